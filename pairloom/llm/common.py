@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of 64-bit keys up to which a side may be broadcast (16 bytes a row: 32 MB).
-BROADCAST_ROWS = 2_000_000
+#: Rows of a few numbers up to which a side may be broadcast (about 90 bytes each as a hash table: 45 MB).
+BROADCAST_ROWS = 500_000
 
 _own_dir: list[str] = []
 

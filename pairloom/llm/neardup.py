@@ -30,7 +30,7 @@ SLACK = 0.25
 #: Bounds of a block of a candidate group: members and shingles (16 MB of sets).
 MEMBERS, SHINGLES = 512, 2_000_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 U = np.uint64
 
 
