@@ -1,9 +1,14 @@
-"""Registered queries and their SQL."""
+"""All registered queries, and their SQL."""
+
+from __future__ import annotations
+
+from . import clean_annotate, diag_metrics, folds_sets, graph_render  # noqa: F401  (they register)
+from .registry import _queries, _sql
 
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_sql)
