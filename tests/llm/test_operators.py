@@ -1,0 +1,312 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pairloom.llm import ann, decontam, licenses, mixing, neardup, quality, secrets, sharding, tokens, urls
+from pairloom.llm.common import connected_components
+from pairloom.llm.queries import vocabulary_path
+
+WORDS = [a + b for a in ("ta", "re", "mi", "so", "la", "ti", "du", "ki") for b in ("n", "r", "st", "ld", "ve", "ck", "m")]
+
+
+def texts(n, seed, low=5, high=60):
+    g = random.Random(seed)
+    return [" ".join(g.choice(WORDS) for _ in range(g.randint(low, high))) for _ in range(n)]
+
+
+# secrets --------------------------------------------------------------------------------------
+def test_secret_spans_against_python(spark):
+    g = random.Random(1)
+    hexes = ["".join(g.choice("0123456789abcdef") for _ in range(g.randint(18, 48))) for _ in range(40)]
+    rows = [(i, g.choice([f"é password={h} x", f"token : '{h}'", f"API_KEY=ab {h}", f"secret=token : {h}", f"AKIA{h.upper()[:16]} \U0001f600 {h}", f"Secret=\"{h[:4]}\" {h}{h}"])) for i, h in enumerate(hexes)]
+    got = {r["doc_id"]: r for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for i, t in rows:
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        text = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        assert got[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), t
+        assert set(filter(None, text.split(","))) <= set(got[i]["spans"].split(","))
+
+
+def test_battery_finds_random_strings_and_leaves_structured_ones(spark):
+    g = random.Random(2)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rnd = [(i, "see " + "".join(g.choice(alphabet) for _ in range(44)) + " there") for i in range(60)]
+    plain = [(100 + i, f"see {'Aa1' * 12} and Release{'2' * 12}Notes{'3' * 12} there") for i in range(60)]
+    out = {r["doc_id"]: r["n_random"] for r in secrets.secret_scan(spark.createDataFrame(rnd + plain, "doc_id long, text string")).collect()}
+    assert sum(out[i] == 1 for i, _ in rnd) >= 55 and sum(out[i] for i, _ in plain) == 0
+
+
+# neighbours -----------------------------------------------------------------------------------
+def test_neighbours_against_all_pairs(spark):
+    g = np.random.default_rng(3)
+    x = g.standard_normal((1500, 16)).astype(np.float32)
+    x[100:400] = x[100]  # a hot group of equal vectors
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    d = x.astype(float)
+    for q in range(0, 1500, 20):
+        s = ann.inner(d, d[q])
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(1500), -s))[:20]
+        assert [got[q][k] for k in range(1, 21)] == want.tolist()
+
+
+def test_hilbert_keys_are_a_path():
+    cells = np.array([(x, y) for x in range(8) for y in range(8)])
+    order = cells[np.argsort(ann.hilbert_keys(cells, 3))]
+    assert len(set(ann.hilbert_keys(cells, 3).tolist())) == 64
+    assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
+
+
+# mixture --------------------------------------------------------------------------------------
+def test_raked_marginals(spark):
+    g = random.Random(4)
+    rows = [(i, "big" if g.random() < 0.5 else f"s{g.randint(0, 4)}", g.choice("abc"), g.randint(1, 50)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_tokens long")
+    lang = {"a": 0.5, "b": 0.3, "c": 0.2}
+    out = mixing.mix(df, {"source": 0.5, "lang": lang}, keep=0.4).toPandas()
+    mass = (out.n_tokens * out.weight).groupby(out.lang).sum()
+    for k, v in lang.items():
+        assert abs(mass[k] / mass.sum() - v) < 1e-6
+    want = mixing.tempered((out.n_tokens.groupby(out.source).sum() / out.n_tokens.sum()).to_dict(), 0.5)
+    mass = (out.n_tokens * out.weight).groupby(out.source).sum()
+    assert all(abs(mass[k] / mass.sum() - v) < 1e-6 for k, v in want.items())
+    assert abs((out.prob * out.n_tokens).sum() / out.n_tokens.sum() - 0.4) < 1e-6
+    assert abs(out.sampled.mean() - out.prob.mean()) < 0.03
+
+
+# shards ---------------------------------------------------------------------------------------
+def test_shards_move_only_into_the_new_one_and_slots_have_no_gaps(spark):
+    df = spark.createDataFrame([(i, f"text {i % 50} é") for i in range(3000)], "doc_id long, text string")
+    out = sharding.shard_table(df).toPandas()
+    assert ((out.shard == out.grown_shard) | (out.grown_shard == 16)).all() and (out.grown_shard == 16).any()
+    assert set(out.shard) == set(range(16))
+    for _, part in out.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    for r in out.head(50).itertuples():
+        raw = f"text {r.doc_id % 50} é".encode()
+        assert r.size == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw)
+
+
+def test_weight_changes_move_rows_only_across_the_changed_subtree(spark):
+    tree = sharding.default_tree(16)
+    more = {r: {k: dict(s) for k, s in racks.items()} for r, racks in tree.items()}
+    more["region1"]["rack3"][13] = 3.0
+    df = spark.range(4000).select(F.col("id").alias("doc_id"))
+    a = {r["doc_id"]: r["shard"] for r in sharding.hash_tree_shards(df, tree).collect()}
+    b = {r["doc_id"]: r["shard"] for r in sharding.hash_tree_shards(df, more).collect()}
+    moved = [(a[k], b[k]) for k in a if a[k] != b[k]]
+    assert moved and all(y >= 8 for _, y in moved)  # into the region that gained weight
+    assert all(y >= 12 for x, y in moved if x >= 8) and all(y == 13 for x, y in moved if x >= 12)
+
+
+# tokens ---------------------------------------------------------------------------------------
+TOKENIZED = ["Hello world, it's 2024!", "  spaces \n\n\t tabs", "naïve café — 漢字かな 한국어", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 9, "a<|endoftext|>b <|endoftext|>", "<|endoftext|>", "", "x" * 3001 + "y" * 17, " em nb​zw \x1c\x1f", "don't WE'LL 'Sx", "\U0001f600\U0001f600 ok ½ ²"]
+
+
+def test_token_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path())
+    rows = [(i, t) for i, t in enumerate(TOKENIZED + texts(40, 5))]
+    out = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary_path()).collect()
+    for r in out:
+        t = rows[r["doc_id"]][1]
+        assert r["n_tokens"] == len(lib.encode(t, add_special_tokens=False).ids), repr(t[:60])
+        assert r["n_bytes"] == len(t.encode()) and r["over_limit"] == (r["n_tokens"] > 1024)
+
+
+# near duplicates ------------------------------------------------------------------------------
+def brute_components(rows, k, percent):
+    def shingles(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if x]
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(root)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_rows():
+    g = random.Random(6)
+    rows = list(enumerate(texts(60, 7, 1, 80)))
+    for i, t in list(rows):
+        for _ in range(g.randint(0, 4)):
+            w = t.split()
+            for _ in range(g.randint(0, 3)):
+                w[g.randrange(len(w))] = g.choice(WORDS)
+            rows.append((len(rows), " ".join(w).upper() if g.random() < 0.3 else "  ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates_against_all_pairs(spark, k, percent):
+    rows = near_rows()
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
+    want = brute_components(rows, k, percent)
+    for r in out:
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == (*want[r["doc_id"]], want[r["doc_id"]][1] == r["doc_id"])
+
+
+def test_groups_cut_into_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS", 4)
+    rows = near_rows()
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    want = brute_components(rows, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: c for i, (_, c) in want.items()}
+
+
+def test_sketches_merge_and_estimate():
+    g = np.random.default_rng(8)
+    sk = neardup.Sketcher(512)
+    x = g.integers(0, 2**63, 3000, dtype=np.uint64)
+    a, b = x[:2000], x[500:2500]  # similarity 0.6
+    ra, rb = sk.registers(a), sk.registers(b)
+    assert (neardup.merged(ra, rb) == sk.registers(np.unique(x[:2500]))).all()
+    hat = neardup.likely_similarity(np.array([(ra > rb).sum()]), np.array([(ra < rb).sum()]), np.array([2000.0]), np.array([2000.0]), 512)[0]
+    assert abs(hat - 0.6) < 0.1
+
+
+def test_components_of_long_paths(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 3)], "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[100] == got[101] == got[102] == 100
+
+
+# licenses -------------------------------------------------------------------------------------
+def test_license_templates(spark):
+    cases = [
+        ("Licensed under the Apache License, Version 2.0.", "apache", "apache,apache-2.0"),
+        ("Licensed under the Apache License, Version 1.1.", "apache", "apache"),
+        ("Released under the MIT License", "mit", "mit,mit-notice"),
+        ("This work is licensed under the terms of the GNU General Public License, version 3.", "gpl", "gpl,gpl-notice"),
+        ("licensed under CC BY-NC 4.0", "", "cc-by"),
+        ("Copyright (c) 2020 Some Body. All rights reserved", "", "all-rights-reserved"),
+        ("the general public licenses nothing here", "", ""),
+        ("mit-license MIT LICENSE", "mit", "mit"),
+    ]
+    out = licenses.license_scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()
+    for r in out:
+        assert (r["base_labels"], r["labels"]) == cases[r["doc_id"]][1:]
+    by = {r["doc_id"]: r for r in out}
+    assert (by[7]["n_base"], by[7]["first_word"], by[7]["last_word"], by[7]["n_words"]) == (2, 0, 2, 4)
+
+
+# decontamination ------------------------------------------------------------------------------
+def test_edit_distance_against_a_table():
+    g = random.Random(9)
+    for _ in range(60):
+        p, t = ("".join(g.choice("abc") for _ in range(g.randint(1, n))) for n in (12, 40))
+        row = list(range(len(p) + 1))
+        best = row[-1]
+        for c in t:
+            new = [0]
+            for i, x in enumerate(p, 1):
+                new.append(min(row[i - 1] + (x != c), row[i] + 1, new[-1] + 1))
+            row, best = new, min(best, new[-1])
+        assert decontam.best_end(p.encode(), t.encode(), 99)[0] == best
+
+
+def test_planted_passages_are_found_and_clean_texts_are_not(spark):
+    g = random.Random(10)
+    items = texts(20, 11, 25, 60)
+    rows, want, lightly = [], set(), set()
+    for i, t in enumerate(texts(200, 12, 100, 300)):
+        w = t.split()
+        if i % 4 == 0:
+            k = g.randrange(len(items))
+            p = items[k].split()
+            if i % 8 == 0:
+                for _ in range(max(1, len(p) // 12)):
+                    p[g.randrange(len(p))] = g.choice(WORDS)
+                lightly.add((i, k))
+            else:
+                want.add((i, k))
+            at = g.randrange(len(w))
+            w[at:at] = p
+        rows.append((i, " ".join(w)))
+    out = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in out.collect()}
+    assert want <= got and len(lightly & got) >= 0.9 * len(lightly) and got <= want | lightly
+
+
+# urls -----------------------------------------------------------------------------------------
+def test_rules_and_templates(spark):
+    bad = [(i, f"http://x.example.com/ads/{i}") for i in range(60)]
+    good = [(100 + i, f"http://x.example.com/docs/{i}.html") for i in range(60)]
+    other = [(200, "http://a.example.net/en/1"), (201, "http://a.example.net/de/1"), (202, "http://a.example.com/de/5"), (203, "http://org/fr/"), (204, "http://xorg/fr/")]
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "page_id long, bad int")
+    out = {r["page_id"]: r for r in urls.url_filter(spark.createDataFrame(bad + good + other, "page_id long, url string"), labels).collect()}
+    assert all(out[i]["verdict"] == "block" and out[i]["template"] == "/ads/*" for i in range(60))
+    assert all(out[100 + i]["verdict"] == "allow" for i in range(60))
+    assert [(out[k]["rule"], out[k]["verdict"]) for k in range(200, 205)] == [("example.net/en/", "allow"), ("net/", "block"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "allow")]
+
+
+# quality --------------------------------------------------------------------------------------
+def test_held_out_accuracy():
+    good = texts(400, 13, 8, 200)
+    g = random.Random(14)
+    junk = [" | ".join(g.choice(WORDS) + "$$$" for _ in range(g.randint(8, 200))) for _ in range(400)]
+    net = quality.train(good[:300] + junk[:300], [1] * 300 + [0] * 300)
+    right = sum(net.score(t) >= 0.5 for t in good[300:]) + sum(net.score(t) < 0.5 for t in junk[300:])
+    assert right >= 195
+
+
+def test_blocks_do_not_change_scores(monkeypatch):
+    net = quality.Network()
+    long = " ".join(texts(1, 15, 6000, 6000))
+    whole = net.raw(long)
+    monkeypatch.setattr(quality, "BLOCK", 2048)
+    assert abs(net.raw(long) - whole) < 1e-5
+
+
+def test_gradients():
+    net = quality.Network(3)
+    for k in net.w:
+        net.w[k] = net.w[k].astype(np.float64)
+    g = np.random.default_rng(1)
+    data = g.integers(0, 256, (4, quality.CHUNK_BYTES + quality.WIDTH - quality.STRIDE)).astype(np.uint8)
+    y, wt = np.array([0, 1, 1, 0.0]), np.ones(4)
+    out, before = net.w["out"].copy(), dict(adam={"t": 0, "m": {}, "v": {}})
+
+    def loss():
+        emb = net.w["embed"][data]
+        r = np.stack([np.stack([e[p * quality.STRIDE : p * quality.STRIDE + quality.WIDTH].ravel() for p in range(quality.CHUNK)]) @ net.w["conv"] for e in emb])
+        z = net.logits(r.max(1))
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    l0 = loss()
+    probe = quality.Network(3)
+    adam = before["adam"]
+    probe.step(data, y.astype(np.float32), wt.astype(np.float32), adam, 0.0)
+    for name, at in (("out", (2,)), ("hide", (3, 1)), ("conv", (5, 2)), ("embed", (int(data[0, 0]), 1))):
+        net.w[name][at] += 1e-5
+        slope = (loss() - l0) / 1e-5
+        net.w[name][at] -= 1e-5
+        assert abs(slope - adam["m"][name][at] / 0.1) < 2e-3
+    assert (net.w["out"] == out).all()
