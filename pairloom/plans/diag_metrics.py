@@ -150,15 +150,15 @@ def vals(t: Tables):
     return t.orders.select(F.col("o_orderpriority").alias("method"), F.pmod("o_orderkey", F.lit(3)).cast("int").alias("seed"), F.pmod("o_custkey", F.lit(50)).alias("grp"), F.when(nan, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("value"))
 
 
-ROLL = lambda df: df.select("method", "grp", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n_seeds", "seeds")
+ROLL = lambda df: df.select("method", "grp", F.round("mean", 6).alias("mean"), F.round("std", 4).alias("std"), "n_seeds", "seeds")
 
 
-@query("a14_seed_rollup", f"WITH {VALUES} SELECT method, grp, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std, count(*) AS n_seeds, string_agg(DISTINCT CAST(seed AS VARCHAR), ',' ORDER BY CAST(seed AS VARCHAR)) AS seeds FROM vals WHERE NOT isnan(value) GROUP BY 1, 2")
+@query("a14_seed_rollup", f"WITH {VALUES} SELECT method, grp, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std, count(*) AS n_seeds, string_agg(DISTINCT CAST(seed AS VARCHAR), ',' ORDER BY CAST(seed AS VARCHAR)) AS seeds FROM vals WHERE NOT isnan(value) GROUP BY 1, 2")
 def a14(t: Tables):
     return ROLL(M.seed_rollup(vals(t), ["method", "grp"]))
 
 
-@query("a15_seed_rollup_keep_nan", f"""WITH {VALUES} SELECT method, grp, round(avg(value) FILTER (NOT isnan(value)), 4) AS mean, CASE WHEN count(*) FILTER (NOT isnan(value)) > 0 THEN round(coalesce(stddev_samp(value) FILTER (NOT isnan(value)), 0), 4) END AS std, count(*) FILTER (NOT isnan(value)) AS n_seeds,
+@query("a15_seed_rollup_keep_nan", f"""WITH {VALUES} SELECT method, grp, round(avg(value) FILTER (NOT isnan(value)), 6) AS mean, CASE WHEN count(*) FILTER (NOT isnan(value)) > 0 THEN round(coalesce(stddev_samp(value) FILTER (NOT isnan(value)), 0), 4) END AS std, count(*) FILTER (NOT isnan(value)) AS n_seeds,
 coalesce(string_agg(DISTINCT CAST(seed AS VARCHAR), ',' ORDER BY CAST(seed AS VARCHAR)) FILTER (NOT isnan(value)), string_agg(DISTINCT CAST(seed AS VARCHAR), ',' ORDER BY CAST(seed AS VARCHAR))) AS seeds FROM vals GROUP BY 1, 2""")
 def a15(t: Tables):
     return ROLL(M.seed_rollup_all(vals(t), ["method", "grp"]))
