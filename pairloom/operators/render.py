@@ -215,7 +215,7 @@ def structure_examples(examples: Column) -> Column:
 
 def evidence_path(label: str, ref: Column, shared: Column) -> Column:
     """A path over the first shared entity (name, type), or structural similarity if there is none."""
-    e = F.element_at(shared, 1)
+    e = F.get(shared, F.lit(0))
     via = F.when(F.size(shared) > 0, F.concat(e["type"], F.lit(": "), e["name"])).otherwise("Structural Similarity")
     return F.concat(F.lit(f"({label} -> {{"), via, F.lit("} <- "), ref, F.lit(")"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+_TYPES = {"string": StringType(), "boolean": BooleanType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType()}
 
-def _of(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+
+def _of(columns: str) -> StructType:
+    """A schema from ``name type, ...``; unlike Spark's own parser it needs no session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(","))])
 
 
 DRUGS = _of("drugbank_id string, name string, type string, smiles string, groups string")

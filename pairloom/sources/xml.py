@@ -35,7 +35,7 @@ class RawTables:
 
 
 def primary_id(ids: Column) -> Column:
-    return F.nullif(F.trim(F.element_at(F.filter(ids, lambda x: x["_primary"] == "true"), 1)["_VALUE"]), F.lit(""))
+    return F.nullif(F.trim(F.get(F.filter(ids, lambda x: x["_primary"] == "true"), F.lit(0))["_VALUE"]), F.lit(""))
 
 
 def clean(x: Column) -> Column:
@@ -52,7 +52,7 @@ def parse(spark: SparkSession, path: str, row: str = "drug") -> RawTables:
     """The seven tables.  Records without a primary id are skipped; the first record of an id and the
     first direction of a pair stay; an entity has a row for each action, or one with none."""
     r = read_records(spark, path, row)
-    smiles = F.element_at(F.filter("calculated-properties.property", lambda p: p["kind"] == "SMILES"), 1)["value"]
+    smiles = F.get(F.filter("calculated-properties.property", lambda p: p["kind"] == "SMILES"), F.lit(0))["value"]
     groups = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("groups.group", F.array()), lambda g: F.trim(g)), lambda g: g != ""))), ";")
     drugs = keep_first(r.select("drugbank_id", clean(F.col("name")).alias("name"), clean(F.col("_type")).alias("type"), F.nullif(F.trim(smiles), F.lit("")).alias("smiles"), groups.alias("groups"), "doc_ord"), ["drugbank_id"], ["doc_ord"]).drop("doc_ord")
     inter = r.select("drugbank_id", clean(F.col("name")).alias("drug_a_name"), "doc_ord", F.posexplode("drug-interactions.drug-interaction").alias("pos", "x"))
