@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
         return told.rstrip("/")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="pairloom-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return _own[0]
 
 
