@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         return told.rstrip("/")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="pairloom-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return _own_dir[0]
 
 
