@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbering import range_numbered
 from ..functions.scalars import normalize_text, pair_hi, pair_lo
 
 TYPE_FLOOR, DEGREE_FLOOR = 10, 10
@@ -84,7 +85,7 @@ def degree_floor(edges: DataFrame, floor: int = DEGREE_FLOOR, a: str = "drug_a_i
 
 def degree_order(edges: DataFrame, a: str = "drug_a_id", b: str = "drug_b_id") -> DataFrame:
     """Nodes by falling degree with their place recorded, ties by id."""
-    return degrees(edges, "node", a, b).withColumn("place", F.row_number().over(W.orderBy(F.desc("degree"), "node")))
+    return range_numbered(degrees(edges, "node", a, b), [F.desc("degree"), F.col("node")]).withColumn("place", F.col("place").cast("int"))
 
 
 def first_seen_pairs(edges: DataFrame, order: list[str], a: str = "drug_a_id", b: str = "drug_b_id") -> DataFrame:

@@ -121,6 +121,35 @@ def ksai(triples: DataFrame, preds: DataFrame) -> DataFrame:
     return out.unionByName(missing_rows(out, ["KSAI"]))
 
 
+def masked_panel(triples: DataFrame, preds: DataFrame) -> DataFrame:
+    """Indicators of a scorer with maskable channels: KPS-F on the base condition, and the changes of
+    score with the structure channel (``mask_mol``) or the binding channel (``mask_kg``) masked."""
+    swaps = staged(kps_f(triples, preds, "base"), "panel")
+    swaps = swaps.unionByName(missing_rows(swaps, ["KPS-F"])) if preds.where("cond = 'base'").isEmpty() else swaps
+    return swaps.unionByName(channel_deltas(triples, preds, (("KPS-mol", "base", "mask_mol"), ("KPS-KG", "base", "mask_kg"))))
+
+
+def scored_conditions(pairs: DataFrame, models: dict) -> DataFrame:
+    """(cond, a, b, p) of scorers, or of stored (a, b, p) tables, by condition."""
+    from .scoring import scored
+
+    out = None
+    for cond, m in models.items():
+        one = (m if isinstance(m, DataFrame) else scored(pairs, m)).select(F.lit(cond).alias("cond"), "a", "b", "p")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def winner(rows: DataFrame, by: str = "split", auc: str = "auc", step: str = "step") -> DataFrame:
+    """The row of the best AUC of each split, the earlier step on a tie; a split of NaN alone is an error."""
+    good = rows.where(F.col(auc).isNotNull() & ~F.isnan(auc))
+    lost = rows.select(by).distinct().join(good, by, "left_anti")
+    bad = [r[0] for r in lost.limit(10).collect()]
+    if bad:
+        raise ValueError(f"no valid AUC for {bad}")
+    return rank_first(good, [by], [F.desc(auc), F.col(step)], 1).drop("place")
+
+
 def ab_gap(indicators: DataFrame) -> DataFrame:
     """(PK-A + PD-A) / 2 - (PK-B + PD-B) / 2 of each indicator, null where one is missing."""
     v = lambda b: F.max(F.when(F.col("bucket") == b, F.col("value")))

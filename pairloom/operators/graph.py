@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbering import range_numbered
 from ..functions.scalars import hash32
 
 
@@ -13,7 +14,7 @@ def triple_index(triples: DataFrame, nodes: DataFrame, head: str = "head", tail:
     """Distinct (h, r, t) with dense numbers: nodes first, then other entities, both in id order."""
     own = nodes.select(F.col(nodes.columns[0]).cast("string").alias("v")).distinct().withColumn("is_node", F.lit(0))
     others = triples.select(F.col(tail).cast("string").alias("v")).distinct().join(own.select("v"), "v", "left_anti").withColumn("is_node", F.lit(1))
-    vocab = own.unionByName(others).withColumn("n", F.row_number().over(W.orderBy("is_node", "v")) - 1)
+    vocab = range_numbered(own.unionByName(others), ["is_node", "v"], "n").withColumn("n", (F.col("n") - 1).cast("int"))
     d = triples.select(F.col(head).cast("string").alias("h"), rel, F.col(tail).cast("string").alias("t")).distinct()
     return d.join(vocab.select(F.col("v").alias("h"), F.col("n").alias("src")), "h").join(vocab.select(F.col("v").alias("t"), F.col("n").alias("dst")), "t").select("src", rel, "dst")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import with_full_stop
+
 # Fixed values -------------------------------------------------------------------------------
 TASK = "Task: Binary Classification of Drug-Drug Interactions (DDI)\n"
 INSTRUCTION = (
@@ -252,9 +254,9 @@ def answer_of(label: Column) -> Column:
 
 
 def described_pair(name_a: Column, desc_a: Column, name_b: Column, desc_b: Column) -> Column:
-    """A plain prompt of two names with their descriptions; names alone if both texts are blank; null
+    """The text-classifier prompt of two names with descriptions; names alone if both are blank; null
     for an unknown name."""
-    both = (F.coalesce(F.trim(desc_a), F.lit("")) == "") & (F.coalesce(F.trim(desc_b), F.lit("")) == "")
-    plain = F.concat(name_a, F.lit(" and "), name_b)
-    told = F.concat(name_a, F.lit(": "), F.coalesce(desc_a, F.lit("")), F.lit(" "), name_b, F.lit(": "), F.coalesce(desc_b, F.lit("")))
-    return F.when(name_a.isNull() | name_b.isNull(), F.lit(None).cast("string")).when(both, plain).otherwise(told)
+    a, b = with_full_stop(F.coalesce(desc_a, F.lit(""))), with_full_stop(F.coalesce(desc_b, F.lit("")))
+    query = F.concat(F.lit("In the above context, we can predict that the drug-drug interactions between "), name_a, F.lit(" and "), name_b, F.lit(" is that: "))
+    told = F.concat(name_a, F.lit(": "), a, F.lit(" "), name_b, F.lit(": "), b, F.lit(" "), query)
+    return F.when(name_a.isNull() | name_b.isNull(), F.lit(None).cast("string")).when((a == "") & (b == ""), F.concat(name_a, F.lit(" "), name_b, F.lit(" "), query)).otherwise(told)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbering import range_numbered
 from ..functions.scalars import hash32, hash_order, pair_hi, pair_lo, unit
 from ..sources.stage import staged
 from .folds import NEGATIVE_OFFSETS, TRAIN_NEGATIVE_OFFSET, numbered
@@ -44,7 +45,7 @@ def all_pairs_sample(pool: DataFrame, known: DataFrame, n: int, seed: int) -> Da
 def indexed_pool(nodes: DataFrame, node: str = "node") -> DataFrame:
     """(idx, node): nodes numbered from 0 in their own order."""
     ids = nodes.select(F.col(node).alias("node")).distinct()
-    return ids.withColumn("idx", F.row_number().over(W.orderBy("node")) - 1).select("idx", "node")
+    return range_numbered(ids, ["node"], "idx").select((F.col("idx") - 1).alias("idx"), "node")
 
 
 def static_negatives(spark: SparkSession, folds: DataFrame, groups: DataFrame, seed: int, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:

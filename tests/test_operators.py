@@ -235,3 +235,46 @@ def test_scoring_and_resume(spark, tmp_path):
     for _ in range(2):
         resume.stream_scores(spark, str(tmp_path / "in"), model, path, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(path).count() == 2
+
+
+def test_range_numbers_and_features(spark):
+    from pairloom.functions.numbering import range_numbered
+    from pairloom.operators import features
+
+    got = {r["id"]: r["place"] for r in range_numbered(spark.range(500).repartition(7), [F.desc("id")]).collect()}
+    assert got == {i: 500 - i for i in range(500)}
+    prints = spark.createDataFrame([(1, [1, 2]), (2, [2, 3]), (3, [])], "node long, bits array<int>")
+    prof = features.reference_profiles(prints, spark.createDataFrame([(0, [1, 2]), (1, [3])], "pos int, bits array<int>"))
+    assert {r["node"]: [round(x, 3) for x in r["profile"]] for r in prof.collect()} == {1: [1.0, 0.0], 2: [0.333, 0.5], 3: [0.0, 0.0]}
+    pc = features.principal_components(prof, prof.where("node < 3"), 5).collect()
+    assert len(pc) == 3 and sum(r["components"][0] for r in pc if r["node"] < 3) == pytest.approx(0)
+    assert {(r["node"], r["bit"]) for r in features.print_edges(prints).collect()} == {(1, 1), (1, 2), (2, 2), (2, 3), (3, -1)}
+    edges = features.interaction_edges(spark.createDataFrame([(1, 2)], "a long, b long"), prints)
+    assert {tuple(r) for r in edges.collect()} == {(1, 2), (2, 1), (3, 3)}
+    groups = spark.createDataFrame([(1, "G1"), (2, "G1"), (3, "G2")], "node long, grp string")
+    kg_rows = spark.createDataFrame([(1, "enzyme", "e")], "node long, edge_type string, entity_id string")
+    bio = features.biomedical_edges(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), groups, kg_rows, ("enzyme",))
+    assert {tuple(r) for r in bio.collect()} == {("1", "2", 1), ("2", "1", 1), ("1", "entity:e", 2), ("entity:e", "1", 2)}
+
+
+def test_audit_of_descriptions(spark):
+    from pairloom.operators import audit
+
+    rows = spark.createDataFrame([("d", "Blocks CYP3A4, CYP2D6 and Foo kinase; potential interactions.", ["Foo kinase", "Foo"]), ("e", None, None)], "drug_id string, text string, own array<string>")
+    out = {r["drug_id"]: r for r in audit.mask_descriptions(rows).collect()}
+    assert out["d"]["masked"] == "Blocks [MASKED_ENTITY] and [MASKED_ENTITY]; potential interactions." and out["d"]["n_replaced"] == 3 and out["e"]["masked"] == ""
+    a = audit.audit_descriptions(rows)
+    got = {r["drug_id"]: r for r in a.collect()}
+    assert [(m["category"], m["start"]) for m in got["d"]["mentions"]] == [("short_form", 7), ("short_form", 15), ("ddi_phrase", 38), ("own_kg", 26), ("own_kg", 26)]
+    assert audit.audit_summary(a).first()["descriptions_with_candidate_mentions"] == 1
+
+
+def test_panel_and_winner(spark):
+    tri = spark.createDataFrame([("a", "b", "c", 1, "PK-A")], "qa string, qb string, qa_prime string, label int, bucket string")
+    preds = spark.createDataFrame([("base", "a", "b", 0.9), ("base", "c", "b", 0.4), ("mask_kg", "b", "a", 0.6)], "cond string, a string, b string, p double")
+    out = {(r["indicator"], r["bucket"]): r for r in diagnostics.masked_panel(tri, preds).collect()}
+    assert out["KPS-KG", "ALL"]["value"] == pytest.approx(0.3) and out["KPS-F", "PK-A"]["value"] == pytest.approx(0.5) and math.isnan(out["KPS-mol", "ALL"]["value"])
+    rows = spark.createDataFrame([("s0", 10, 0.8), ("s0", 5, 0.8), ("s0", 1, float("nan"))], "split string, step int, auc double")
+    assert diagnostics.winner(rows).first()["step"] == 5
+    with pytest.raises(ValueError):
+        diagnostics.winner(rows.where("isnan(auc)"))
