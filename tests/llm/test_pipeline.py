@@ -2,7 +2,7 @@
 
 import random
 
-from test_operators import WORDS, brute_components, texts
+from test_brute_force import WORDS, brute_components, texts
 
 import corpus_pipeline
 
