@@ -32,6 +32,38 @@ def read_table(spark: SparkSession, folder: str, name: str, schema=None) -> Data
     raise FileNotFoundError(f"{folder}/{name}: neither Parquet nor CSV")
 
 
+def read_any(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Parquet by the suffix of the path, else CSV with a header."""
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
+    r = spark.read.option("header", True).option("escape", '"')
+    return (r.schema(schema) if schema is not None else r).csv(path)
+
+
+def find_one(spark: SparkSession, places: list[str]) -> str:
+    """The first place that exists; none is an error that names them all."""
+    for p in places:
+        if _has(spark, p):
+            return p
+    raise FileNotFoundError(f"in none of {places}")
+
+
+def cached_negatives(spark: SparkSession, folder: str) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(static negatives with their split, epochs in order) stored as ``<split>.parquet`` and
+    ``epoch_<n>.parquet``.  Static ones count only if all six folds are there; epochs end at the
+    first gap."""
+    names = [f"{kind}_s{i}" for i in range(3) for kind in ("val", "test")]
+    static = None
+    if all(_has(spark, f"{folder}/{n}.parquet") for n in names):
+        for n in names:
+            one = spark.read.parquet(f"{folder}/{n}.parquet").withColumn("split", F.lit(n))
+            static = one if static is None else static.unionByName(one)
+    epochs: list[DataFrame] = []
+    while _has(spark, f"{folder}/epoch_{len(epochs)}.parquet"):
+        epochs.append(spark.read.parquet(f"{folder}/epoch_{len(epochs)}.parquet"))
+    return static, epochs
+
+
 def load_kg(spark: SparkSession, folder: str) -> DataFrame:
     from ..operators.kg import long_view
 

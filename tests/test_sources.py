@@ -58,3 +58,29 @@ def test_json(spark, tmp_path):
     assert json.loads((tmp_path / "o.json").read_text()) == {"v": 1}
     with pytest.raises(ValueError):
         tables.write_json({"v": float("nan")}, str(tmp_path / "o.json"))
+
+
+def test_cached_negatives_are_all_or_none(spark, tmp_path):
+    from pairloom.sources import tables as T
+
+    one = spark.createDataFrame([("x", "y")], "a string, b string")
+    names = [f"{k}_s{i}" for i in range(3) for k in ("val", "test")]
+    for n in names[:-1] + ["epoch_0", "epoch_2"]:
+        one.write.parquet(f"{tmp_path}/{n}.parquet")
+    static, epochs = T.cached_negatives(spark, str(tmp_path))
+    assert static is None and len(epochs) == 1
+    one.write.parquet(f"{tmp_path}/{names[-1]}.parquet")
+    static, _ = T.cached_negatives(spark, str(tmp_path))
+    assert sorted(r["split"] for r in static.collect()) == sorted(names)
+
+
+def test_first_place_that_exists(spark, tmp_path):
+    import pytest
+
+    from pairloom.sources import tables as T
+
+    spark.range(3).write.parquet(f"{tmp_path}/b.parquet")
+    got = T.find_one(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.parquet"])
+    assert got.endswith("b.parquet") and T.read_any(spark, got).count() == 3
+    with pytest.raises(FileNotFoundError, match="a.csv"):
+        T.find_one(spark, [f"{tmp_path}/a.csv"])
