@@ -90,6 +90,12 @@ def text_to_bool(value: Column) -> Column:
     )
 
 
+def substituted(value: Column, other: Column, merged: dict[str, str], unknown: str = "?") -> Column:
+    """``other`` where the value is ``unknown``; then each value of ``merged`` gives way to its stand-in."""
+    out = F.when(value == unknown, other).otherwise(value)
+    return reduce(lambda rest, kv: F.when(out == kv[0], kv[1]).otherwise(rest), merged.items(), out)
+
+
 def first_by_keyword(text: Column, table: Sequence[tuple[str, Column]], default: Column) -> Column:
     """The value of the first keyword of an ordered table that the text contains."""
     low = F.lower(text)

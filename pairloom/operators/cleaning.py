@@ -57,6 +57,11 @@ def organic_without_metal(smiles: Column) -> Column:
     return F.coalesce(F.array_contains(found, "C") & ~F.arrays_overlap(found, F.array(*map(F.lit, METALS))), F.lit(False))
 
 
+def pair_columns(rows: DataFrame, a: str = "drug_a_id", b: str = "drug_b_id") -> DataFrame:
+    """The pair columns alone if both are there, else the rows as they are."""
+    return rows.select(a, b) if {a, b} <= set(rows.columns) else rows
+
+
 def both_ends_in(edges: DataFrame, keep: DataFrame, node: str, a: str = "drug_a_id", b: str = "drug_b_id") -> DataFrame:
     """Edges with both ends in ``keep``: two semi joins, never one join with OR."""
     k = keep.select(F.col(node).alias("__node"))

@@ -17,22 +17,53 @@ def capacity(n_a: int, n_b: int, same: bool) -> int:
     return n_a * (n_a - 1) // 2 if same else n_a * n_b
 
 
-def draw_pairs(spark: SparkSession, pool_a: DataFrame, pool_b: DataFrame, known: DataFrame, n: int, seed: int, tries: int | None = None) -> DataFrame:
-    """Exactly ``n`` distinct unordered pairs (a, b) that are not in ``known``, sorted by draw.
-
-    ``pool_*``: (idx, node), idx from 0.  Draw i takes hash(seed:x:i) modulo the pool on each side;
-    self pairs go, a pair keeps its first draw, known pairs are anti-joined, and the first n stay.
-    Work is in proportion to n, whatever the size of pool x pool.
+def draw_tagged(spark: SparkSession, wanted: dict, pools: DataFrame, known: DataFrame) -> DataFrame:
+    """(tag, a, b): exactly n distinct unordered pairs that are not in ``known`` for each tag.
+
+    ``wanted``: tag -> (n, seed, pool of one side, pool of the other).  ``pools``: (pool, idx, node),
+    idx from 0.  Draw i of a tag takes hash(seed:x:i) modulo the pool on each side; self pairs go, a
+    pair keeps its first draw, known pairs are anti-joined, and the first n stay.  All tags share one
+    plan, whose work is in proportion to the n wanted, whatever the size of pool x pool.  A tag that
+    falls short is drawn further, which changes no earlier draw; more pairs than there are, or 50
+    draws a pair without enough, is an error.
     """
-    na, nb = pool_a.count(), pool_b.count()
-    m = tries or 3 * n + 1000
-    x = F.pmod(hash32(str(seed), "a", F.col("id")), F.lit(max(na, 1)))
-    y = F.pmod(hash32(str(seed), "b", F.col("id")), F.lit(max(nb, 1)))
-    draws = spark.range(m).select(F.col("id").alias("i"), x.alias("x"), y.alias("y"))
-    named = draws.join(pool_a.select(F.col("idx").alias("x"), F.col("node").alias("u")), "x").join(pool_b.select(F.col("idx").alias("y"), F.col("node").alias("v")), "y")
-    pairs = named.where("u <> v").groupBy(pair_lo("u", "v").alias("a"), pair_hi("u", "v").alias("b")).agg(F.min("i").alias("i"))
-    fresh = pairs.join(known.select(pair_lo("a", "b").alias("a"), pair_hi("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return fresh.orderBy("i").limit(n).select("a", "b")
+    sizes = {r["pool"]: r["n"] for r in pools.groupBy("pool").agg(F.count("*").alias("n")).collect()}
+    for tag, (n, _, p, q) in wanted.items():
+        if n > capacity(sizes.get(p, 0), sizes.get(q, 0), p == q):
+            raise ValueError(f"{tag}: {n} pairs are more than the pools hold")
+    most = {tag: max(50 * w[0], 1000) for tag, w in wanted.items()}
+    tries = {tag: min(3 * w[0] + 1000, most[tag]) for tag, w in wanted.items()}
+    side = lambda s, x, u: pools.select(F.col("pool").alias(f"p{s}"), F.col("idx").alias(x), F.col("node").alias(u))
+    taken = known.select(pair_lo("a", "b").alias("a"), pair_hi("a", "b").alias("b"))
+    while True:
+        draws = None
+        for tag, (_, seed, p, q) in wanted.items():
+            x, y = (F.pmod(hash32(str(seed), s, F.col("id")), F.lit(max(sizes.get(pool, 0), 1))) for s, pool in (("a", p), ("b", q)))
+            one = spark.range(tries[tag]).select(F.lit(tag).alias("tag"), F.lit(p).alias("pa"), F.lit(q).alias("pb"), F.col("id").alias("i"), x.alias("x"), y.alias("y"))
+            draws = one if draws is None else draws.unionAll(one)
+        named = draws.join(side("a", "x", "u"), ["pa", "x"]).join(side("b", "y", "v"), ["pb", "y"])
+        pairs = named.where("u <> v").groupBy("tag", pair_lo("u", "v").alias("a"), pair_hi("u", "v").alias("b")).agg(F.min("i").alias("i"))
+        placed = range_numbered(pairs.join(taken, ["a", "b"], "left_anti"), ["tag", "i"])
+        got = {r["tag"]: r for r in placed.groupBy("tag").agg(F.min("place").alias("first"), F.count("*").alias("n")).collect()}
+        short = [tag for tag, w in wanted.items() if w[0] > (got[tag]["n"] if tag in got else 0)]
+        if not short:
+            break
+        for tag in short:
+            if tries[tag] >= most[tag]:
+                raise ValueError(f"{tag}: too few pairs after {tries[tag]} draws")
+            tries[tag] = min(4 * tries[tag], most[tag])
+    last = [(tag, r["first"] + wanted[tag][0]) for tag, r in got.items()]
+    kind = placed.schema["tag"].dataType.simpleString()
+    ends = F.broadcast(spark.createDataFrame(last, f"tag {kind}, __end long"))
+    return placed.join(ends, "tag").where(F.col("place") < F.col("__end")).select("tag", "a", "b")
+
+
+def draw_pairs(spark: SparkSession, pool_a: DataFrame, pool_b: DataFrame, known: DataFrame, n: int, seed: int) -> DataFrame:
+    """(a, b): exactly ``n`` pairs between two pools of (idx, node), or inside one; see :func:`draw_tagged`."""
+    pools = pool_a.select(F.lit("a").alias("pool"), "idx", "node")
+    if pool_b is not pool_a:
+        pools = pools.unionAll(pool_b.select(F.lit("b").alias("pool"), "idx", "node"))
+    return draw_tagged(spark, {"pairs": (n, seed, "a", "a" if pool_b is pool_a else "b")}, pools, known).select("a", "b")
 
 
 def all_pairs_sample(pool: DataFrame, known: DataFrame, n: int, seed: int) -> DataFrame:
@@ -51,34 +82,28 @@ def indexed_pool(nodes: DataFrame, node: str = "node") -> DataFrame:
 def static_negatives(spark: SparkSession, folds: DataFrame, groups: DataFrame, seed: int, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
     """(split, a, b): as many negatives as positives for each of the six evaluation folds, from the
     pools of the fold's class, never a positive of any fold."""
-    folds, groups = staged(folds.select("split", a, b), "folds"), staged(groups, "groups")  # read by every fold's draws
+    folds, groups = staged(folds.select("split", a, b), "folds"), staged(groups, "groups")
     sizes = {r["split"]: r["n"] for r in folds.groupBy("split").agg(F.count("*").alias("n")).collect()}
-    g1 = staged(indexed_pool(groups.where("grp = 'G1'"), node), "pool")
-    g2 = staged(indexed_pool(groups.where("grp = 'G2'"), node), "pool")
-    pools = {"s0": (g1, g1), "s1": (g1, g2), "s2": (g2, g2)}
+    g1, g2 = (indexed_pool(groups.where(F.col("grp") == g), node).withColumn("pool", F.lit(g)) for g in ("G1", "G2"))
+    sides = {"s0": ("G1", "G1"), "s1": ("G1", "G2"), "s2": ("G2", "G2")}
+    wanted = {split: (sizes.get(split, 0), seed + shift, *sides[split[-2:]]) for split, shift in NEGATIVE_OFFSETS.items()}
     known = folds.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    out = None
-    for split, shift in NEGATIVE_OFFSETS.items():
-        pa, pb = pools[split[-2:]]
-        one = draw_pairs(spark, pa, pb, known, sizes.get(split, 0), seed + shift).select(F.lit(split).alias("split"), "a", "b")
-        out = one if out is None else out.unionAll(one)
-    return out
+    return draw_tagged(spark, wanted, staged(g1.unionByName(g2), "pools"), known).withColumnRenamed("tag", "split")
 
 
 def epoch_negatives(spark: SparkSession, train: DataFrame, pool: DataFrame, known: DataFrame, seed: int, epochs: int) -> DataFrame:
     """(epoch, a, b): fresh training negatives for every epoch."""
     n = train.count()
-    pool, known = staged(pool, "pool"), staged(known.select("a", "b"), "known")
-    out = None
-    for e in range(epochs):
-        one = draw_pairs(spark, pool, pool, known, n, seed + TRAIN_NEGATIVE_OFFSET + e).select(F.lit(e).alias("epoch"), "a", "b")
-        out = one if out is None else out.unionAll(one)
-    return out
+    pools = staged(pool.select(F.lit("all").alias("pool"), "idx", "node"), "pool")
+    wanted = {e: (n, seed + TRAIN_NEGATIVE_OFFSET + e, "all", "all") for e in range(epochs)}
+    return draw_tagged(spark, wanted, pools, staged(known.select("a", "b"), "known")).withColumnRenamed("tag", "epoch")
 
 
 def hash_top(rows: DataFrame, n: int, seed: int, tag: str, key: str) -> DataFrame:
-    """n rows by the least hash of their key: a sample without replacement."""
-    return rows.orderBy(hash_order(str(seed), tag, F.col(key)), key).limit(n)
+    """n rows by the least hash of their key: a sample without replacement.  Places are numbered by
+    ranges, so that a large n is no single task either."""
+    order = hash_order(str(seed), tag, F.col(key))
+    return range_numbered(rows.withColumn("__o", order), ["__o", key], "__place").where(F.col("__place") <= n).drop("__o", "__place")
 
 
 def induced_subset(nodes: DataFrame, edges: DataFrame, n: int, seed: int, node: str = "node", a: str = "a", b: str = "b") -> tuple[DataFrame, DataFrame]:

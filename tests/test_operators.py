@@ -278,3 +278,25 @@ def test_panel_and_winner(spark):
     assert diagnostics.winner(rows).first()["step"] == 5
     with pytest.raises(ValueError):
         diagnostics.winner(rows.where("isnan(auc)"))
+
+
+def test_draws_are_exact_or_an_error(spark):
+    pool = sampling.indexed_pool(spark.range(12).withColumnRenamed("id", "node"))
+    none = spark.createDataFrame([], "a long, b long")
+    got = sampling.draw_pairs(spark, pool, pool, none, 60, 1)
+    rows = {tuple(r) for r in got.collect()}
+    assert len(rows) == 60 and all(a < b for a, b in rows)
+    few = {tuple(r) for r in sampling.draw_pairs(spark, pool, pool, none, 10, 1).collect()}
+    assert few < rows  # more draws change no earlier one
+    with pytest.raises(ValueError, match="more than"):
+        sampling.draw_pairs(spark, pool, pool, none, 67, 1)
+    known = spark.createDataFrame([(a, b) for a in range(12) for b in range(a + 1, 12) if (a, b) != (0, 1)], "a long, b long")
+    assert [tuple(r) for r in sampling.draw_pairs(spark, pool, pool, known, 1, 1).collect()] == [(0, 1)]
+    with pytest.raises(ValueError, match="too few"):
+        sampling.draw_pairs(spark, pool, pool, known, 2, 1)
+
+
+def test_substitution_and_pair_columns(spark):
+    d = spark.createDataFrame([("?", "x"), ("m", "y"), (None, "z")], "own string, other string")
+    assert [r[0] for r in d.select(S.substituted(F.col("own"), F.col("other"), {"m": "pk", "x": "pk"})).collect()] == ["pk", "pk", None]
+    assert cleaning.pair_columns(d, "own", "other").columns == ["own", "other"] and cleaning.pair_columns(d.select("own")).columns == ["own"]
