@@ -38,6 +38,21 @@ STRUCTURED = 0.001
 #: p-values are kept in steps of a sixteenth of a power of ten, over 20 powers
 STEPS, POWERS = 16, 20
 SPAN = "array<struct<s:int,e:int,t:string>>"
+PLACED = "array<struct<s:int,kind:int,e:int>>"
+#: spans gathered or compared at once
+PIECE = 128
+
+
+def _grown(acc: Column, x: Column) -> list[Column]:
+    """The fields ``cur`` and ``done`` of an accumulator with one more element.  Elements gather in
+    pieces of PIECE, so that appending n of them is not n copies of all before."""
+    full = F.size(acc["cur"]) >= PIECE
+    cur = F.when(full, F.array(x)).otherwise(F.concat(acc["cur"], F.array(x)))
+    return [cur.alias("cur"), F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done")]
+
+
+def _none(kind: str) -> list[Column]:
+    return [F.expr(f"cast(array() as {kind})").alias("cur"), F.expr(f"cast(array() as array<{kind}>)").alias("done")]
 
 
 def found(text: Column, matches: Column, pattern: str) -> Column:
@@ -48,11 +63,18 @@ def found(text: Column, matches: Column, pattern: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["g"])
         end = start + F.length(x["m"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("t")))).alias("out"))
+        return F.struct(end.alias("pos"), *_grown(acc, F.struct(start.alias("s"), end.alias("e"), x["m"].alias("t"))))
+
+    pairs = F.arrays_zip(gaps.alias("g"), matches.alias("m"))
+    walk = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), *_none(SPAN)), step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["cur"]))))
+    return F.when(F.size(matches) > 0, walk).otherwise(F.expr(f"cast(array() as {SPAN})"))
+
 
-    empty = F.expr(f"cast(array() as {SPAN})")
-    walk = F.aggregate(F.arrays_zip(gaps.alias("g"), matches.alias("m")), F.struct(F.lit(0).alias("pos"), empty.alias("out")), step)
-    return F.when(F.size(matches) > 0, walk["out"]).otherwise(empty)
+def blocks(spans: Column) -> Column:
+    """Spans in order, in pieces with their smallest start and largest end."""
+    walk = F.aggregate(spans, F.struct(*_none(PLACED)), lambda acc, x: F.struct(*_grown(acc, x)), lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
+    ends = lambda p: F.array_max(F.transform(p, lambda x: x["e"]))
+    return F.transform(F.filter(walk, lambda p: F.size(p) > 0), lambda p: F.struct(p[0]["s"].alias("lo"), ends(p).alias("hi"), p.alias("spans")))
 
 
 def _tail(z: Column) -> Column:
@@ -91,24 +113,30 @@ def battery(cands: Column) -> tuple[Column, ...]:
         xs = F.transform(F.filter(chars, lambda ch: ch != ""), lambda ch: F.least(F.instr(alphabet, ch), F.length(alphabet)).cast("double") - 1)
         return F.struct(c["s"].alias("s"), c["e"].alias("e"), enc.alias("enc"), xs.alias("x"), F.length(alphabet).cast("double").alias("k"))
 
-    def tested(c: Column) -> Column:
+    def summed(c: Column) -> Column:
+        # every sum is worked out once; none is inside another one's loop
         xs, k = c["x"], c["k"]
-        n = F.size(xs).cast("double")
+        at = F.sequence(F.lit(2), F.size(xs))
         squares = _sum(F.array_distinct(xs), lambda v: F.pow(F.size(F.filter(xs, lambda y: y == v)).cast("double"), 2))
-        chi = squares * k / n - n
+        turns = _sum(at, lambda i: F.when((F.element_at(xs, i) >= k / 2) != (F.element_at(xs, i - 1) >= k / 2), 1.0).otherwise(0.0))
+        return F.struct(
+            c["s"].alias("s"), c["e"].alias("e"), c["enc"].alias("enc"), k.alias("k"), F.size(xs).cast("double").alias("n"), squares.alias("squares"), turns.alias("turns"),
+            _sum(xs, lambda v: F.when(v >= k / 2, 1.0).otherwise(0.0)).alias("high"), _sum(xs, lambda v: v).alias("total"), _sum(xs, lambda v: v * v).alias("power"),
+            _sum(at, lambda i: F.element_at(xs, i) * F.element_at(xs, i - 1)).alias("cross"), (xs[0] + F.element_at(xs, -1)).alias("ends"),
+        )
+
+    def tested(c: Column) -> Column:
+        n, k, high = c["n"], c["k"], c["high"]
+        chi = c["squares"] * k / n - n
         lean = k * _pick(c["enc"], 2) - 1
         looks_random = ((k - 1) + (n - 1) * lean - chi) / F.sqrt(2 * (k - 1) + 4 * n * lean)
-        at = F.sequence(F.lit(2), F.size(xs))
-        high = _sum(xs, lambda v: F.when(v >= k / 2, 1.0).otherwise(0.0))
-        low = n - high
-        runs = 1 + _sum(at, lambda i: F.when((F.element_at(xs, i) >= k / 2) != (F.element_at(xs, i - 1) >= k / 2), 1.0).otherwise(0.0))
-        expect = 2 * high * low / n + 1
+        expect = 2 * high * (n - high) / n + 1
         var = (expect - 1) * (expect - 2) / (n - 1)
-        p_runs = F.when(var > 0, 2 * _tail(F.abs(runs - expect) / F.sqrt(var))).otherwise(0.0)
-        mean = _sum(xs, lambda v: v) / n
-        spread = _sum(xs, lambda v: (v - mean) * (v - mean))
-        lag = _sum(at, lambda i: (F.element_at(xs, i) - mean) * (F.element_at(xs, i - 1) - mean))
-        p_serial = F.when(spread > 0, 2 * _tail(F.abs(lag / spread) * F.sqrt(n))).otherwise(0.0)
+        p_runs = F.when(var > 0, 2 * _tail(F.abs(1 + c["turns"] - expect) / F.sqrt(var))).otherwise(0.0)
+        mean = c["total"] / n
+        spread = c["power"] - n * mean * mean
+        lag = c["cross"] - mean * (2 * c["total"] - c["ends"]) + (n - 1) * mean * mean
+        p_serial = F.when(spread > 1e-6, 2 * _tail(F.abs(lag / spread) * F.sqrt(n))).otherwise(0.0)
         p = F.when((p_runs < STRUCTURED) | (p_serial < STRUCTURED), F.lit(1.0)).otherwise(_tail(looks_random))
         step = F.least(F.floor(-F.log10(p) * STEPS), F.lit(STEPS * POWERS)).cast("int")
         band = F.least(F.floor(F.log2(n / 20)), F.lit(4)).cast("string")
@@ -117,6 +145,7 @@ def battery(cands: Column) -> tuple[Column, ...]:
     return (
         F.filter(F.transform(cands, inferred), lambda c: c["enc"].isNotNull() & (F.length(c["t"]) >= 20)),
         coded,
+        summed,
         tested,
     )
 
@@ -160,9 +189,9 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", q: flo
         found(F.col("__text"), F.col("__h"), HEX).alias("h"),
         F.when(F.exists("__c", lambda t: t.rlike("[0-9]")), found(F.col("__text"), F.col("__c"), CANDIDATE)).otherwise(F.expr(f"cast(array() as {SPAN})")).alias("c"),
     )
-    keep, coded, tested = battery(F.col("c"))
+    keep, coded, summed, tested = battery(F.col("c"))
     scan = scan.withColumn("c", keep)
-    scan = scan.withColumn("c", F.transform("c", coded))
+    scan = scan.withColumn("c", F.transform(F.transform("c", coded), summed))
     scan = scan.withColumn("tests", F.transform("c", tested)).drop("c")
     ends = lambda c, kind: F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("kind"), x["e"].alias("e")))
     scan = scan.select(
@@ -170,7 +199,7 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", q: flo
         F.size("a").cast("long").alias("n_assign"),
         F.size("k").cast("long").alias("n_access"),
         F.size("h").cast("long").alias("n_hex"),
-        F.concat(ends(F.col("a"), 0), ends(F.col("k"), 1), ends(F.col("h"), 2)).alias("base"),
+        blocks(F.array_sort(F.concat(ends(F.col("a"), 0), ends(F.col("k"), 1), ends(F.col("h"), 2)))).alias("base"),
         "tests",
     )
     scan = materialize(scan, "secrets")
@@ -181,14 +210,15 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", q: flo
         return reduce(lambda a, b: a | b, [(c["stratum"] == s) & (c["step"] >= n) for s, n in passed], F.lit(False))
 
     def alone(c: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["s"] <= c["s"]) & (b["e"] >= c["e"]))
+        return ~F.exists("base", lambda p: (p["lo"] <= c["s"]) & (p["hi"] >= c["e"]) & F.exists(p["spans"], lambda b: (b["s"] <= c["s"]) & (b["e"] >= c["e"])))
 
     random = ends(F.filter("tests", lambda c: accepted(c) & alone(c)), 3)
+    base = F.flatten(F.transform("base", lambda p: p["spans"]))
     names = F.array(*[F.lit(k) for k in KINDS])
     written = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     return scan.select(
         F.col("__key").alias(key), "n_assign", "n_access", "n_hex",
-        F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        written(F.concat("base", random)).alias("spans"),
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
+        written(F.concat(base, random)).alias("spans"),
         F.size(random).cast("long").alias("n_random"),
     )

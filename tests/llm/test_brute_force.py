@@ -310,3 +310,17 @@ def test_gradients():
         net.w[name][at] -= 1e-5
         assert abs(slope - adam["m"][name][at] / 0.1) < 2e-3
     assert (net.w["out"] == out).all()
+
+
+def test_secret_scan_of_very_long_texts_is_linear(spark):
+    import base64
+    import time
+
+    blob = base64.b64encode(np.random.default_rng(5).bytes(150_000)).decode().rstrip("=")
+    many = "token=abcdef1 é a1b2c3d4e5f60718293a4b5c6d7e8f90 " * 3000
+    begun = time.time()
+    rows = {r["doc_id"]: r for r in secrets.secret_scan(spark.createDataFrame([(1, blob), (2, many)], "doc_id long, text string")).collect()}
+    assert time.time() - begun < 60
+    assert rows[1]["spans"] == f"random:0:{len(blob)}" and rows[2]["n_assign"] == rows[2]["n_hex"] == 3000
+    unit = len(many) // 3000
+    assert rows[2]["spans"].split(",")[-2:] == [f"assign:{2999 * unit}:{2999 * unit + 13}", f"hex:{2999 * unit + 16}:{2999 * unit + 48}"]
