@@ -205,7 +205,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
                 if hits:
                     yield _hits(hits)
 
-        found.append(_top(index.mapInArrow(check, HITS), k))
+        top = _top(index.mapInArrow(check, HITS), k)
+        if groups > 1:  # only one batch of queries is held at a time
+            top = materialize(top, "checked")
+            told.destroy()
+        found.append(top)
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionAll(more)

@@ -324,3 +324,15 @@ def test_secret_scan_of_very_long_texts_is_linear(spark):
     assert rows[1]["spans"] == f"random:0:{len(blob)}" and rows[2]["n_assign"] == rows[2]["n_hex"] == 3000
     unit = len(many) // 3000
     assert rows[2]["spans"].split(",")[-2:] == [f"assign:{2999 * unit}:{2999 * unit + 13}", f"hex:{2999 * unit + 16}:{2999 * unit + 48}"]
+
+
+def test_neighbours_by_batches_of_queries(spark, monkeypatch):
+    g = np.random.default_rng(4)
+    x = g.standard_normal((300, 8))
+    d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = sorted(tuple(r) for r in ann.nearest(d, k=5).collect())
+    monkeypatch.setattr(ann, "QUERIES", 6)
+    assert sorted(tuple(r) for r in ann.nearest(d, k=5).collect()) == whole
+    for q, rank, v, _ in whole:
+        order = [j for j in np.lexsort((np.arange(300), -(x @ x[q]))) if j != q]
+        assert order[rank - 1] == v
