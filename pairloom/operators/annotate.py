@@ -113,6 +113,16 @@ def role_pattern(a: Column, b: Column) -> Column:
     )
 
 
+def mechanism_chain(a: Column, act_a: Column, b: Column, act_b: Column, entity: Column, kind: Column) -> Column:
+    """A line from one node over the entity to the other.  An inhibitor or inducer points at the
+    entity, which handles the substrate; any other two actions meet at the entity."""
+    drives = lambda act: act.isin("inhibitor", "inducer")
+    verb = F.when(kind == "transporter", "transports").otherwise("metabolizes")
+    one_way = lambda x, act, y: F.format_string("%s --[%s]--> %s --[substrate: %s]--> %s", x, act, entity, verb, y)
+    meet = F.format_string("%s --[%s]--> %s <--[%s]-- %s", a, act_a, entity, act_b, b)
+    return F.when(drives(act_a) & (act_b == "substrate"), one_way(a, act_a, b)).when(drives(act_b) & (act_a == "substrate"), one_way(b, act_b, a)).otherwise(meet)
+
+
 def _action(c: str) -> Column:
     return F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
 

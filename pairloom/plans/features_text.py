@@ -130,6 +130,19 @@ def n03(t: Tables):
     return t.lineitem.select("l_returnflag", "l_linestatus").distinct().select("l_returnflag", "l_linestatus", A.role_pattern(x, y).alias("pattern"))
 
 
+@query("n04_mechanism_chain", """WITH k AS (SELECT DISTINCT 'P' || l_partkey AS a, 'Q' || l_linenumber AS b, 'S' || l_suppkey AS e, CASE l_suppkey % 2 WHEN 0 THEN 'transports' ELSE 'metabolizes' END AS verb,
+CASE l_returnflag WHEN 'R' THEN 'inhibitor' WHEN 'A' THEN 'substrate' ELSE 'inducer' END AS x, CASE l_linestatus WHEN 'O' THEN 'substrate' ELSE 'inhibitor' END AS y FROM lineitem)
+SELECT CASE WHEN x <> 'substrate' AND y = 'substrate' THEN a || ' --[' || x || ']--> ' || e || ' --[substrate: ' || verb || ']--> ' || b WHEN y <> 'substrate' AND x = 'substrate' THEN b || ' --[' || y || ']--> ' || e || ' --[substrate: ' || verb || ']--> ' || a
+ELSE a || ' --[' || x || ']--> ' || e || ' <--[' || y || ']-- ' || b END AS chain FROM k""")
+def n04(t: Tables):
+    x = F.when(F.col("l_returnflag") == "R", "inhibitor").when(F.col("l_returnflag") == "A", "substrate").otherwise("inducer")
+    y = F.when(F.col("l_linestatus") == "O", "substrate").otherwise("inhibitor")
+    rows = t.lineitem.select(
+        F.concat(F.lit("P"), "l_partkey").alias("a"), F.concat(F.lit("Q"), "l_linenumber").alias("b"), F.concat(F.lit("S"), "l_suppkey").alias("e"),
+        F.when(F.pmod("l_suppkey", F.lit(2)) == 0, "transporter").otherwise("enzyme").alias("kind"), x.alias("x"), y.alias("y")).distinct()
+    return rows.select(A.mechanism_chain(*map(F.col, ("a", "x", "b", "y", "e", "kind"))).alias("chain"))
+
+
 @query("n06_canonical_pair", "SELECT DISTINCT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi FROM lineitem")
 def n06(t: Tables):
     return t.lineitem.select(S.pair_lo("l_partkey", "l_suppkey").alias("lo"), S.pair_hi("l_partkey", "l_suppkey").alias("hi")).distinct()
