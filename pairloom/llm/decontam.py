@@ -1,11 +1,11 @@
-"""Benchmark decontamination: CGK random walks and bit-sampling LSH over item-sized windows.
-
-The CGK walk reads a window with a pointer that a random function of step and byte holds or moves
-on; the bytes read are an embedding under which texts a few edits apart differ in few places.
-Every repetition samples places of that embedding as one key.  Items are embedded at all shifts
-and their keys broadcast; windows of documents, a quarter of a window apart over the whole text,
-are embedded and looked up.  Every candidate is verified by exact edit distance (bit-parallel,
-semi-global) of the whole item against the place where it would stand.
+"""Benchmark decontamination: an exact pigeonhole filter over chosen pieces of the items.
+
+An item of m bytes with up to k = rate * m edits keeps at least t of any k + t disjoint pieces of it
+unchanged, and the places of those pieces move by at most k against each other.  The pieces of each
+item are cut so that they are rare in a sample of the documents; which are cut changes the time, not
+the result.  Documents are read once: places of equal pieces are counted by item and diagonal, and
+where t of them lie within k diagonals the whole item is verified by exact edit distance
+(bit-parallel, semi-global).  Nothing within the rate is missed.
 """
 
 from __future__ import annotations
@@ -19,76 +19,166 @@ from pyspark.sql import functions as F
 
 #: Lower-casing of A-Z, and white space as spaces; lengths stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-REPEATS, PLACES = 12, 13
-#: Windows embedded at once.
-BLOCK = 1 << 13
-#: Item windows in one broadcast table (16 bytes for each repetition): 200 MB at most.
-TABLE_WINDOWS = 2_000_000
+#: Pieces of SHORT to LONG bytes; SPARE of them are to be found (fewer for items too short for so many).
+SHORT, LONG, SPARE = 3, 8, 7
+#: Bytes of an item whose pieces are chosen together, and such segments at once.
+SEGMENT, SEGMENTS = 512, 64
+#: Bytes of text looked up at once, and pairs of a place and a piece at once.
+BLOCK, PAIRS = 1 << 18, 1 << 21
+#: Bytes of items in one broadcast table.
+TABLE_BYTES = 2_000_000
+#: Documents and characters of each that tell which pieces are rare.
+SAMPLE, SAMPLE_CHARS = 500, 4000
+
+
+def codes(buf: np.ndarray, q: int) -> np.ndarray:
+    """The q bytes from each place on as one number."""
+    n = max(0, len(buf) - q + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(q):
+        out = out << np.uint64(8) | buf[j : j + n]
+    return out
+
+
+def cut(segments: list[tuple[bytes, int]], shortest: int, seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[int, int]]]:
+    """For each (bytes, p): p disjoint pieces (start, length) of it with the fewest places in the sample."""
+    size, most = max(len(t) for t, _ in segments), max(p for _, p in segments)
+    lengths = range(shortest, LONG + 1)
+    cost = {}
+    for q in lengths:
+        cost[q] = np.full((len(segments), size + 1), np.inf, np.float32)
+        for i, (t, _) in enumerate(segments):
+            c = codes(np.frombuffer(t, np.uint8), q)
+            known, counts = seen[q]
+            at = np.minimum(np.searchsorted(known, c), len(known) - 1)
+            cost[q][i, q : q + len(c)] = np.where(known[at] == c, counts[at], 0) + 0.1 if len(known) else 0.1
+    best = np.full((size + 1, len(segments), most + 1), np.inf, np.float32)
+    best[:, :, 0] = 0
+    took = np.zeros(best.shape, np.int8)
+    for i in range(1, size + 1):
+        best[i] = best[i - 1]
+        for q in lengths:
+            if q <= i:
+                new = best[i - q][:, :-1] + cost[q][:, i, None]
+                better = new < best[i][:, 1:]
+                best[i][:, 1:][better] = new[better]
+                took[i][:, 1:][better] = q
+    out = []
+    for s, (t, p) in enumerate(segments):
+        i, pieces = len(t), []
+        while p:
+            q = int(took[i, s, p])
+            if q:
+                pieces.append((i - q, q))
+                p -= 1
+            i -= q or 1
+        out.append(pieces)
+    return out
 
 
 class Index:
-    """Keys of all item windows of one length class."""
+    """Chosen pieces of all items, by length and sorted."""
 
-    def __init__(self, items: list[tuple[int, bytes]], seed: int = 11):
+    def __init__(self, items: list[tuple[int, bytes]], rate: float, sample: bytes = b""):
         self.items = items
-        self.w = max(4, int(0.6 * min(len(t) for _, t in items)))
-        self.stride = max(1, self.w // 4)
-        self.steps = max(PLACES, int(1.5 * self.w))
-        g = np.random.default_rng(seed)
-        self.move = g.integers(0, 2, (self.steps, 256)).astype(np.int64)
-        self.places = [np.sort(g.choice(self.steps, PLACES, replace=False)) for _ in range(REPEATS)]
-        buf, starts, owner, shift = [], [], [], []
-        at = 0
+        self.most = np.array([int(rate * len(t)) for _, t in items], np.int64)
+        self.need = np.ones(len(items), np.int64)
+        #: Items without pieces (rates near 1): they are verified everywhere.
+        self.whole: list[int] = []
+        about = np.frombuffer(sample or bytes(LONG).join(t for _, t in items), np.uint8)
+        seen = {q: np.unique(codes(about, q), return_counts=True) for q in range(1, LONG + 1)}
+        jobs: dict[int, list[tuple[int, int, bytes, int]]] = {}
         for i, (_, t) in enumerate(items):
-            n = max(1, len(t) - self.w + 1)
-            starts.append(at + np.arange(n))
-            owner.append(np.full(n, i))
-            shift.append(np.arange(n))
-            buf += [t, bytes(self.steps)]
-            at += len(t) + self.steps
-        keys = self.keys(np.frombuffer(b"".join(buf), np.uint8), np.concatenate(starts))
-        owner, shift = np.concatenate(owner), np.concatenate(shift)
-        self.bits = max(16, int(np.ceil(np.log2(len(owner) * REPEATS))) + 4)
-        self.maybe = np.zeros(1 << self.bits, bool)
-        self.tables = []
-        for k in keys:
-            order = np.argsort(k, kind="stable")
-            self.tables.append((k[order], owner[order].astype(np.int32), shift[order].astype(np.int32)))
-            self.maybe[k >> np.uint64(64 - self.bits)] = True
-
-    def keys(self, buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(REPEATS, windows) keys: the walk over all windows at once, step by step."""
-        out = np.empty((REPEATS, len(starts)), np.uint64)
-        mul = np.uint64(0x9E3779B97F4A7C15)
-        for a in range(0, len(starts), BLOCK):
-            at = starts[a : a + BLOCK].astype(np.int64)
-            read = np.empty((self.steps, len(at)), np.uint8)
-            moved = np.empty(len(at), np.int64)
-            for j in range(self.steps):
-                np.take(buf, at, out=read[j], mode="clip")
-                np.take(self.move[j], read[j], out=moved, mode="clip")
-                at += moved
-            for r in range(REPEATS):
-                # sampled bytes side by side are two 64-bit numbers
-                pair = np.zeros((len(at), 16), np.uint8)
-                pair[:, :PLACES] = read[self.places[r]].T
-                pair = pair.view(np.uint64)
-                out[r, a : a + BLOCK] = (pair[:, 0] * mul + pair[:, 1]) * mul
-        return out
+            m, k = len(t), int(self.most[i])
+            self.need[i] = max(1, min(SPARE, m // SHORT - k))
+            p, n = k + int(self.need[i]), -(-m // SEGMENT)
+            parts = [(j * m // n, (j + 1) * m // n) for j in range(n)]
+            parts = [(a, b, p * b // m - p * a // m) for a, b in parts]
+            shortest = next((q for q in range(SHORT, 0, -1) if all(q * c <= b - a for a, b, c in parts)), 0)
+            if shortest:
+                jobs.setdefault(shortest, []).extend((i, a, t[a:b], c) for a, b, c in parts if c)
+            else:
+                self.whole.append(i)
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        for shortest, todo in jobs.items():
+            for a in range(0, len(todo), SEGMENTS):
+                part = todo[a : a + SEGMENTS]
+                for (i, off, t, _), pieces in zip(part, cut([x[2:] for x in part], shortest, seen), strict=True):
+                    for s, q in pieces:
+                        by.setdefault(q, []).append((int.from_bytes(t[s : s + q], "big"), i, off + s))
+        self.tables = {}
+        for q, rows in sorted(by.items()):
+            rows.sort()
+            code = np.array([r[0] for r in rows], np.uint64)
+            bits = max(12, int(np.ceil(np.log2(len(rows)))) + 4)
+            maybe = np.zeros(1 << bits, bool)
+            maybe[self.slot(code, bits)] = True
+            self.tables[q] = (code, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), bits, maybe)
 
-    def candidates(self, buf: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-        """(item number, place where the item would start in ``buf``), from equal keys."""
-        found: set[tuple[int, int]] = set()
-        for a in range(0, len(starts), BLOCK * 8):
-            part = starts[a : a + BLOCK * 8]
-            for key, (sorted_keys, owner, shift) in zip(self.keys(buf, part), self.tables, strict=True):
-                hit = np.flatnonzero(self.maybe[key >> np.uint64(64 - self.bits)])
-                if not len(hit):
+    @staticmethod
+    def slot(code: np.ndarray, bits: int) -> np.ndarray:
+        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+    def met(self, buf: np.ndarray) -> np.ndarray:
+        """Numbers (item << 32 | diagonal) in order, one for each place of a piece (SPARE equal ones at most).
+
+        A diagonal is a piece's place in the text less its place in the item, plus the item's length.
+        """
+        keys: list[np.ndarray] = []
+        sizes = np.array([len(t) for _, t in self.items], np.int64)
+        for begin in range(0, len(buf), BLOCK):
+            for q, (code, owner, offset, bits, maybe) in self.tables.items():
+                c = codes(buf[begin : begin + BLOCK + q - 1], q)
+                at = np.flatnonzero(maybe[self.slot(c, bits)])
+                c = c[at]
+                lo = np.searchsorted(code, c, "left")
+                same = code[np.minimum(lo, len(code) - 1)] == c
+                at, lo, c = at[same] + begin, lo[same], c[same]
+                if not len(at):
                     continue
-                lo, hi = np.searchsorted(sorted_keys, key[hit], "left"), np.searchsorted(sorted_keys, key[hit], "right")
-                for h, x, y in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                    found.update((int(owner[i]), int(part[h] - shift[i])) for i in range(x, y))
-        return found
+                n = np.searchsorted(code, c, "right") - lo
+                ends = np.cumsum(n)
+                a = 0
+                while a < len(at):
+                    # at least one place, and pairs up to a number
+                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+                    m = n[a:b]
+                    row = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                    item = owner[row]
+                    keys.append(item << 32 | np.repeat(at[a:b], m) - offset[row] + sizes[item])
+                    a = b
+                    if sum(map(len, keys[1:])) > PAIRS:
+                        keys = [self.ordered(keys)]
+        return self.ordered(keys)
+
+    @staticmethod
+    def ordered(keys: list[np.ndarray]) -> np.ndarray:
+        out = np.sort(np.concatenate([np.empty(0, np.int64), *keys]))
+        return np.concatenate([out[:SPARE], out[SPARE:][out[SPARE:] != out[:-SPARE]]])
+
+    def regions(self, buf: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item number, begin, end): parts of ``buf`` that hold every passage within the rate."""
+        for i in self.whole:
+            yield i, 0, len(buf)
+        keys = self.met(buf)
+        # the pieces left of a passage lie on diagonals that differ by the edits allowed at most
+        item = keys >> 32
+        to = np.arange(len(keys)) + self.need[item] - 1
+        enough = np.r_[keys, np.full(SPARE, np.iinfo(np.int64).max)][to] - keys <= self.most[item]
+        last = None
+        for key in np.unique(keys[enough]).tolist():
+            i, diagonal = key >> 32, key & 0xFFFFFFFF
+            m, k = len(self.items[i][1]), int(self.most[i])
+            # begin and end of the passage are on diagonals within k of all its pieces
+            begin, end = diagonal - m - k, diagonal + k
+            if last and last[0] == i and begin <= last[2]:
+                last = (i, last[1], end)
+                continue
+            if last:
+                yield last
+            last = (i, begin, end)
+        if last:
+            yield last
 
 
 def best_end(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
@@ -119,47 +209,35 @@ def best_end(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
 
 
 class Searcher:
-    def __init__(self, indexes: list[Index], rate: float):
-        self.indexes, self.rate = indexes, rate
+    def __init__(self, indexes: list[Index]):
+        self.indexes = indexes
 
     def find(self, texts: list[str | None]) -> list[dict[int, tuple[int, int]]]:
         """For each text: item id -> (edits, end in bytes), the best place of each item found."""
         raw = [(t or "").encode().translate(NORMAL) for t in texts]
         out: list[dict[int, tuple[int, int]]] = [{} for _ in raw]
+        gap = bytes(LONG)
+        heads = np.cumsum([0] + [len(t) + len(gap) for t in raw])
+        buf = np.frombuffer(gap.join([*raw, b""]), np.uint8)
         for index in self.indexes:
-            gap, starts, buf, at, heads = bytes(index.steps), [], [], 0, []
-            for t in raw:
-                heads.append(at)
-                last = max(0, len(t) - index.w)
-                if t:
-                    s = np.arange(0, last + 1, index.stride)
-                    starts.append(at + (s if s[-1] == last else np.r_[s, last]))
-                buf += [t, gap]
-                at += len(t) + len(gap)
-            if not starts:
-                continue
-            begins = np.array(heads)
-            tried: set[tuple[int, int, int]] = set()
-            for i, place in sorted(index.candidates(np.frombuffer(b"".join(buf), np.uint8), np.concatenate(starts))):
+            for i, begin, end in index.regions(buf):
                 item_id, item = index.items[i]
-                # a place before its text's head belongs to the text whose window was met
-                d = max(0, int(np.searchsorted(begins, place + min(len(item), index.w), "right")) - 1)
-                most = int(self.rate * len(item))
-                rel = place - heads[d]
-                slack = 2 * most + 1
-                if (d, i, rel // slack) in tried:
-                    continue
-                tried.add((d, i, rel // slack))
-                low = max(0, rel - 2 * slack)
-                got = best_end(item, raw[d][low : rel + len(item) + 2 * slack], most)
-                if got:
-                    mine = (got[0], low + got[1])
-                    out[d][item_id] = min(out[d].get(item_id, mine), mine)
+                most = int(index.most[i])
+                d = max(0, int(np.searchsorted(heads, begin, "right")) - 1)
+                while d < len(raw) and heads[d] < end:
+                    # a text shorter than the item by more than the edits allowed cannot hold it
+                    if raw[d] and len(raw[d]) >= len(item) - most:
+                        low = max(0, begin - int(heads[d]))
+                        got = best_end(item, raw[d][low : max(0, end - int(heads[d]))], most)
+                        if got:
+                            mine = (got[0], low + got[1])
+                            out[d][item_id] = min(out[d].get(item_id, mine), mine)
+                    d += 1
         return out
 
 
 def read_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> list[list[tuple[int, bytes]]]:
-    """Items in tables of bounded size, by length class (a factor of eight) and then by windows.
+    """Items in tables of bounded size, in order of length.
 
     Items are the query set; they are streamed to the driver one at a time.  Null, empty and keyless
     items are no items; equal ids with different texts are different items.
@@ -167,12 +245,12 @@ def read_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -
     by: dict[int, list[tuple[int, bytes]]] = {}
     items = sorted({(r[0], r[1].encode().translate(NORMAL)) for r in benchmark.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(key, text).toLocalIterator()}, key=lambda x: (len(x[1]), x))
     tables: list[list[tuple[int, bytes]]] = []
-    shortest, room = 0, 0
+    room = 0
     for item in items:
         n = len(item[1])
-        if not tables or n >= 8 * shortest or room < n:
+        if not tables or room < n:
             tables.append([])
-            shortest, room = n, TABLE_WINDOWS
+            room = TABLE_BYTES
         tables[-1].append(item)
         room -= n
     return tables
@@ -183,8 +261,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, key:
 
     One row for each row of ``docs`` and item, at its best place (fewest edits, then earliest).
     Null and empty texts hold nothing.  Texts differ by case of A-Z and kind of white space for
-    free.  Documents are read once for each table of items (one for up to TABLE_WINDOWS bytes of
-    items) and never shuffled.
+    free.  Documents are read once for each table of items (one for up to TABLE_BYTES bytes of
+    items) and never shuffled; a sample of the first ones comes to the driver before.
     """
     tables = read_items(benchmark, item)
     spark = docs.sparkSession
@@ -195,11 +273,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, key:
         return spark.createDataFrame([], schema)
     out = None
     types = [pa.int64(), pa.int64()]
+    first = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE).collect()
+    sample = bytes(LONG).join((r["t"] or "").encode().translate(NORMAL) for r in first)
     for table in tables:
-        told = spark.sparkContext.broadcast(table)
+        told = spark.sparkContext.broadcast(Index(table, rate, sample))
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            search = Searcher([Index(told.value)], rate)
+            search = Searcher([told.value])
             for whole in batches:
                 at = 0
                 while at < whole.num_rows:

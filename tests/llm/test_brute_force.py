@@ -255,6 +255,23 @@ def test_planted_passages_are_found_and_clean_texts_are_not(spark):
     assert want <= got and len(lightly & got) >= 0.9 * len(lightly) and got <= want | lightly
 
 
+def test_decontamination_equals_all_pairs_up_to_the_rate(spark):
+    g = random.Random(21)
+    items = [t[:n] for t, n in zip(texts(24, 22, 60, 90), [4, 25, 60, 100, 140, 230] * 4, strict=True)]
+    rows = []
+    for i, t in enumerate(texts(240, 23, 40, 80)):
+        p = list(items[i % len(items)])
+        for _ in range(int(len(p) * (0.08, 0.12, 0.15, 0.18, 0.2)[i % 5])):
+            at = g.randrange(len(p))
+            p[at : at + g.randint(0, 1)] = g.choice(["", "x", "q", "ab"[i % 2]])
+        at = g.randrange(len(t))
+        rows.append((i, t[:at] + "".join(p) + t[at:]))
+    out = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["end_byte"]) for r in out.collect()}
+    places = {(i, k): decontam.best_end(p.encode(), t.encode(), int(0.2 * len(p))) for i, t in rows for k, p in enumerate(items)}
+    assert got == {x: v for x, v in places.items() if v}
+
+
 # urls -----------------------------------------------------------------------------------------
 def test_rules_and_templates(spark):
     bad = [(i, f"http://x.example.com/ads/{i}") for i in range(60)]
