@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns plus a randomness test battery, in native expressions only.
 
-Candidate strings (long runs of encoding characters) get an encoding: hex, base32, base36 or
-base64.  Three tests look at their alphabet positions: chi-squared uniformity, Wald-Wolfowitz runs
+Candidate strings (long runs of encoding characters) get an encoding: hex, base32, base36 (hex and
+base36 also in parts with '-' or '_' between) or base64.  Three tests look at their alphabet positions: chi-squared uniformity, Wald-Wolfowitz runs
 about the middle of the alphabet and lag-1 serial correlation.  A string that fails runs or serial
 correlation is structured and never a finding.  For the others the p-value is the chance that
 ordinary writing of the same length, whose letters repeat more, shows a chi-squared value as small;
@@ -25,14 +25,19 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a maximal run, so the minimum may stand in the pattern
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: '=' belongs to a run only as padding at its end, so the value of NAME=VALUE is a run of its own.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
 #: encoding -> (alphabet, whole-string pattern, repeat rate of ordinary writing in that alphabet)
 ENCODINGS = {
     "hex": ("0123456789abcdef", r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$", 0.12),
+    "hexparts": ("0123456789abcdef", r"^(?=.*[_-])(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f_-]+|[0-9A-F_-]+)=*$", 0.12),
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", 0.065),
     "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", r"^(?=.*[0-9])(?=.*[a-zA-Z])([0-9a-z]+|[0-9A-Z]+)$", 0.065),
+    "base36parts": ("0123456789abcdefghijklmnopqrstuvwxyz", r"^(?=.*[_-])(?=.*[0-9])(?=.*[a-zA-Z])([0-9a-z_-]+|[0-9A-Z_-]+)=*$", 0.065),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+=*$", 0.055),
 }
+#: single-case runs in parts (UUIDs, tokens with a prefix): '-' and '_' only part them and are not tested
+PARTED = ("hexparts", "base36parts")
 FALSE_DISCOVERIES = 0.05
 STRUCTURED = 0.001
 #: p-values are kept in steps of a sixteenth of a power of ten, over 20 powers
@@ -99,15 +104,16 @@ def battery(cands: Column) -> tuple[Column, ...]:
     """Stages that turn spans into (s, e, stratum, step); each is to be its own projection."""
 
     def inferred(c: Column) -> Column:
+        body = F.regexp_replace(c["t"], "=+$", "")
         enc = F.lit(None).cast("string")
         for name, (_, pattern, _) in reversed(ENCODINGS.items()):
-            enc = F.when(c["t"].rlike(pattern), F.lit(name)).otherwise(enc)
-        body = F.regexp_replace(c["t"], "=+$", "")
+            enc = F.when(body.rlike(pattern), F.lit(name)).otherwise(enc)
+        body = F.when(enc.isin(*PARTED), F.regexp_replace(body, "[_-]", "")).otherwise(body)
         return F.struct(c["s"].alias("s"), c["e"].alias("e"), body.alias("t"), enc.alias("enc"))
 
     def coded(c: Column) -> Column:
         enc = c["enc"]
-        plain = F.when(enc.isin("hex", "base36"), F.lower(c["t"])).otherwise(c["t"])
+        plain = F.when(enc.isin("hex", "base36", *PARTED), F.lower(c["t"])).otherwise(c["t"])
         alphabet = _pick(enc, 0)
         chars = F.split(plain, "")
         xs = F.transform(F.filter(chars, lambda ch: ch != ""), lambda ch: F.least(F.instr(alphabet, ch), F.length(alphabet)).cast("double") - 1)
@@ -153,7 +159,7 @@ def battery(cands: Column) -> tuple[Column, ...]:
 def thresholds(tested: DataFrame, q: float = FALSE_DISCOVERIES) -> dict[str, int]:
     """The smallest accepted step of each stratum under Benjamini-Hochberg.
 
-    What comes to the driver is one number for each of at most 20 strata.
+    What comes to the driver is one number for each of at most 30 strata.
     """
     from pyspark.sql import Window as W
 

@@ -46,6 +46,26 @@ def test_battery_finds_random_strings_and_leaves_structured_ones(spark):
     assert sum(out[i] == 1 for i, _ in rnd) >= 55 and sum(out[i] for i, _ in plain) == 0
 
 
+def test_values_after_equals_signs_and_in_parts_are_tested(spark):
+    g = random.Random(31)
+    lower, mixed = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rnd = lambda a, n: "".join(g.choice(a) for _ in range(n))
+    forms = [
+        lambda: ("AWS_SECRET_ACCESS_KEY=", rnd(mixed, 44), " there"), lambda: ("SECRET_KEY=", rnd(mixed, 43) + "=", "\n"), lambda: ("https://h.example/x?sig=", rnd(mixed, 44), "&v=1"),
+        lambda: ("id=", "-".join(rnd("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), " there"), lambda: ("export K=", "pk_" + rnd(lower, 60), ";"),
+    ]
+    rows, want = [], {}
+    for i in range(300):
+        before, value, after = forms[i % 5]()
+        rows.append((i, f"see {before}{value}{after}"))
+        want[i] = f"random:{4 + len(before)}:{4 + len(before) + len(value)}"
+    plain = [(1000 + i, "LONG_SETTING_NAME_OF_THE_HOST=the_setting_of_the_3rd_host_of_this_house") for i in range(20)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.secret_scan(spark.createDataFrame(rows + plain, "doc_id long, text string")).collect()}
+    for form in range(5):
+        assert sum(want[i] in got[i] for i in range(form, 300, 5)) >= 50, form
+    assert all(got[i] == [""] for i, _ in plain)
+
+
 # neighbours -----------------------------------------------------------------------------------
 def test_neighbours_against_all_pairs(spark):
     g = np.random.default_rng(3)
