@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import range_numbered
 from ..functions.scalars import hash32
+from ..sources.stage import staged
 
 
 def triple_index(triples: DataFrame, nodes: DataFrame, head: str = "head", tail: str = "tail", rel: str = "rel") -> DataFrame:
@@ -39,11 +40,15 @@ def isolated_loops(nodes: DataFrame, edges: DataFrame, loop: int = 0) -> DataFra
     return edges.select("src", "dst", "rel").unionByName(alone.select(F.col("n").alias("src"), F.col("n").alias("dst"), F.lit(loop).alias("rel")))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """(src, node, dist) of everything reachable in up to ``most`` steps; a source reaches itself in 0.
+def shortest_paths(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(src, node, dist) of everything reachable in up to ``most`` steps, or in any number if None; a
+    source reaches itself in 0.
 
-    One join and one anti join for each step; only the frontier is joined with the edges.
+    One join and one anti join for each step; only the frontier is joined with the edges.  Without a
+    limit each frontier is a written table, until one is empty.
     """
+    if most is None:
+        return _reachable(edges, sources)
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     front = sources.select(F.col("n").alias("src"), F.col("n").alias("node"), F.lit(0).alias("dist"))
     seen = front
@@ -54,6 +59,20 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame
     return seen
 
 
+def _reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    both = staged(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "paths-edges")
+    before, front = None, staged(sources.select(F.col("n").alias("src"), F.col("n").alias("node"), F.lit(0).alias("dist")).distinct(), "paths-0")
+    seen, d = front, 0
+    while not front.isEmpty():
+        d += 1
+        step = front.select("src", F.col("node").alias("via")).join(both.select(F.col("src").alias("via"), "dst"), "via").select("src", F.col("dst").alias("node")).distinct()
+        # edges go both ways, so a step leads one frontier back, nowhere or one ahead
+        known = front if before is None else front.unionByName(before)
+        before, front = front, staged(step.join(known.select("src", "node"), ["src", "node"], "left_anti").withColumn("dist", F.lit(d)), f"paths-{d}")
+        seen = seen.unionByName(front)
+    return seen
+
+
 def k_hop(edges: DataFrame, sources: DataFrame, hops: int, fixed: int, seed: int) -> DataFrame:
     """(src, node): nodes within ``hops``, at most ``fixed`` new neighbours by hash for each node and hop."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()

@@ -257,6 +257,12 @@ def g17(t: Tables):
     return G.induced_relations(paths, nations.where("n % 2 = 0"), 7)
 
 
+@query("g17_distance_relations_whole", GR.PATHS_SQL + " SELECT src, node, CAST(dist + 7 AS INTEGER) AS rel FROM r")
+def g17_whole(t: Tables):
+    nodes = GR.nodes(t)
+    return G.induced_relations(G.shortest_paths(GR.small(t), nodes), nodes, 7)
+
+
 CTX_PAIR = ", ".join(f"array_to_string(x.{k}, '|') || '/' || array_to_string(y.{k}, '|') AS {k}" for k in GR.KINDS)
 
 

@@ -126,6 +126,27 @@ def g12(t: Tables):
     return G.shortest_paths(small(t).where("pmod(src * 3 + dst, 7) = 0"), t.nation.select(F.col("n_nationkey").cast("bigint").alias("n")), 4)
 
 
+#: Every node of the stand-in graph, nations without edges too, and the lengths of all paths among them.
+NODES_SQL = "al AS (SELECT src AS n FROM sm UNION SELECT dst FROM sm UNION SELECT n_nationkey FROM nation)"
+PATHS_SQL = f"""WITH RECURSIVE {SMALL}, {NODES_SQL}, bo AS (SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM sm UNION SELECT dst, src FROM sm),
+r(src, node, dist) USING KEY (src, node) AS (SELECT n::BIGINT, n::BIGINT, 0 FROM al UNION SELECT r.src, bo.dst, r.dist + 1 FROM r JOIN bo ON bo.src = r.node LEFT JOIN recurring.r s ON s.src = r.src AND s.node = bo.dst WHERE s.src IS NULL)"""
+
+
+def nodes(t: Tables):
+    return small(t).select(F.explode(F.array("src", "dst")).alias("n")).union(t.nation.select(F.col("n_nationkey").cast("bigint"))).distinct()
+
+
+@query("g06_isolated_selfloops_whole", f"WITH {SMALL}, un AS (SELECT n_nationkey AS n FROM nation UNION SELECT p_size + 25 FROM part) SELECT src, dst, 1 AS rel FROM sm UNION ALL SELECT n, n, 0 FROM un WHERE n NOT IN (SELECT src FROM sm UNION SELECT dst FROM sm)")
+def g06_whole(t: Tables):
+    sizes = t.part.select((F.col("p_size") + 25).cast("bigint").alias("n"))
+    return G.isolated_loops(t.nation.select(F.col("n_nationkey").cast("bigint").alias("n")).union(sizes).distinct(), small(t).withColumn("rel", F.lit(1)))
+
+
+@query("g12_shortest_paths_whole", PATHS_SQL + " SELECT src, node, CAST(dist AS INTEGER) AS dist FROM r")
+def g12_whole(t: Tables):
+    return G.shortest_paths(small(t), nodes(t))
+
+
 @query("g13_khop", f"""WITH RECURSIVE {SMALL}, bo AS (SELECT src, dst FROM sm UNION SELECT dst, src FROM sm), fw AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY h32('{SEED}:' || src || ':' || dst), dst) AS r FROM bo) WHERE r <= 3),
 r AS (SELECT n_nationkey::BIGINT AS src, n_nationkey::BIGINT AS node, 0 AS d FROM nation UNION SELECT r.src, fw.dst, d + 1 FROM r JOIN fw ON fw.src = r.node WHERE d < 2) SELECT DISTINCT src, node FROM r""")
 def g13(t: Tables):
