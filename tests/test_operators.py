@@ -207,6 +207,19 @@ def test_retrieval(spark):
     assert retrieval.shared_evidence(ex, names).first()["shared_QA_CA"] == ["k1"]
 
 
+def test_padding_avoids_the_query_in_a_skewed_pool(spark):
+    pool = [("a", f"p{i}") for i in range(95)] + [(f"s{i}", f"t{i}") for i in range(4)] + [("a", "b")]
+    q = [("a", f"q{i}") for i in range(60)] + [("a", "s0")]
+    none = spark.createDataFrame([], "qa string, qb string, place int, ra string, rb string, score double")
+    run = lambda pool: retrieval.padded(none, spark.createDataFrame(q, "qa string, qb string"), spark.createDataFrame(pool, "ra string, rb string"), 3, 1).collect()
+    got = run(pool)
+    assert len(got) == 3 * len(q) == len({(r["qa"], r["qb"], r["place"]) for r in got})
+    assert all(r["note"] == "padding" and not {r["qa"], r["qb"]} & {r["ra"], r["rb"]} and (r["ra"], r["rb"]) in pool for r in got)
+    assert {r["ra"] for r in got} == {"s0", "s1", "s2", "s3"}
+    got = run([p for p in pool if "a" in p])
+    assert len(got) == 3 * len(q) and {r["note"] for r in got} == {"padding_leaking_unavoidable"}
+
+
 def test_rendering(spark):
     ctx = F.array(F.struct(F.lit("targets").alias("type"), F.array(F.lit("T1"), F.lit("T2")).alias("A"), F.array(F.lit("unknown")).alias("B")), F.struct(F.lit("smiles").alias("type"), F.array(F.lit("C")).alias("A"), F.array(F.lit("N")).alias("B")))
     a, b = F.lit("X"), F.lit("Y")
