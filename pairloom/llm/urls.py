@@ -74,14 +74,18 @@ def _merged_level(shapes: DataFrame, many: int, share: float, z: float) -> DataF
     )
 
 
-def path_templates(pages: DataFrame, bad: Column, levels: int = 3, many: int = 32, share: float = 0.2, z: float = 2.576) -> DataFrame:
+def path_templates(pages: DataFrame, bad: Column, levels: int | None = None, many: int = 32, share: float = 0.2, z: float = 2.576) -> DataFrame:
     """(host, shape, template, n, seen, bad) of ``pages`` (host, path); ``bad`` is 1, 0 or null.
 
-    Segments beyond ``levels`` stay as their form wrote them.
+    The tree is as deep as the longest path; segments beyond ``levels``, if given, stay as their form
+    wrote them.
     """
     start = pages.select("host", shape(F.col("path")).alias("shape"), bad.alias("b")).groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("bad"), F.count("b").alias("seen")
     )
+    if levels is None:
+        start = materialize(start, "shapes")
+        levels = start.agg(F.coalesce(F.max(F.size("shape")), F.lit(0))).first()[0]
     shapes = start.withColumn("tree", F.lit("")).withColumn("rest", F.col("shape"))
     for level in range(levels):
         # each level reads the one before three times: a written table keeps the plan in proportion

@@ -304,6 +304,15 @@ def test_rules_and_templates(spark):
     assert [(out[k]["rule"], out[k]["verdict"]) for k in range(200, 205)] == [("example.net/en/", "allow"), ("net/", "block"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "allow")]
 
 
+def test_templates_of_deep_paths(spark):
+    slugs = [a + b + c for a in "bcdfg" for b in "aeiou" for c in ("x", "rt", "lm")]
+    rows = [(k * 100 + i, f"http://x.example.com/a/b/c/{d}/{s}") for k, d in enumerate(("ads", "docs")) for i, s in enumerate(slugs)]
+    labels = spark.createDataFrame([(k * 100 + i, 1 - k) for k in (0, 1) for i in range(50)], "page_id long, bad int")
+    out = {r["page_id"]: r for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert all(out[i]["template"] == "/a/b/c/ads/*" and out[i]["verdict"] == "block" for i in range(len(slugs)))
+    assert all(out[100 + i]["template"] == "/a/b/c/docs/*" and out[100 + i]["verdict"] == "allow" for i in range(len(slugs)))
+
+
 # quality --------------------------------------------------------------------------------------
 def test_held_out_accuracy():
     good = texts(400, 13, 8, 200)
