@@ -67,20 +67,51 @@ def test_values_after_equals_signs_and_in_parts_are_tested(spark):
 
 
 # neighbours -----------------------------------------------------------------------------------
-def test_neighbours_against_all_pairs(spark):
-    g = np.random.default_rng(3)
-    x = g.standard_normal((1500, 16)).astype(np.float32)
-    x[100:400] = x[100]  # a hot group of equal vectors
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {}
-    for r in ann.nearest(df).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
-    d = x.astype(float)
-    for q in range(0, 1500, 20):
-        s = ann.inner(d, d[q])
+def vectors_of(spark, x):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+
+
+def recall_of(spark, x, k=20):
+    """The share of each query's true neighbours found; places, order and scores are checked."""
+    rows = {}
+    for r in ann.nearest(vectors_of(spark, x), k=k).collect():
+        rows.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    d, found = x.astype(float), 0
+    asked = range(0, len(x), 20)
+    assert sorted(rows) == list(asked)
+    for q in asked:
+        s = d @ d[q]
         s[q] = -np.inf
-        want = np.lexsort((np.arange(1500), -s))[:20]
-        assert [got[q][k] for k in range(1, 21)] == want.tolist()
+        want = np.lexsort((np.arange(len(x)), -s))[:k]
+        got = [rows[q][n] for n in range(1, k + 1)]
+        assert len({i for i, _ in got}) == k and all(abs(s[i] - score) < 1e-9 for i, score in got)
+        assert got == sorted(got, key=lambda t: (-t[1], t[0]))
+        found += len({i for i, _ in got} & set(want.tolist()))
+    return found / (k * len(asked))
+
+
+def test_neighbours_of_tables_within_one_window_equal_all_pairs(spark):
+    g = np.random.default_rng(3)
+    x = g.standard_normal((500, 16)).astype(np.float32)
+    x[100:250] = x[100]  # a hot group of equal vectors
+    assert recall_of(spark, x) == 1.0
+
+
+def test_neighbours_recall_without_structure(spark):
+    x = np.random.default_rng(4).standard_normal((50_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert recall_of(spark, x) >= 0.9
+
+
+def test_neighbours_recall_of_clusters_and_a_hot_vector(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    centres = g.standard_normal((1500, 64))
+    x = (centres[g.integers(0, 1500, 60_000)] + 0.15 * g.standard_normal((60_000, 64))).astype(np.float32)
+    x[1000:21_000] = x[999]
+    widths, measured = [], ann._window
+    monkeypatch.setattr(ann, "_window", lambda *a: widths.append(measured(*a)) or widths[-1])
+    assert recall_of(spark, x) >= 0.9
+    assert widths[0] < 40_000 // 20  # windows of a few per cent are enough where vectors have structure
 
 
 def test_hilbert_keys_are_a_path():
@@ -372,12 +403,13 @@ def test_secret_scan_of_very_long_texts_is_linear(spark):
     assert rows[2]["spans"].split(",")[-2:] == [f"assign:{2999 * unit}:{2999 * unit + 13}", f"hex:{2999 * unit + 16}:{2999 * unit + 48}"]
 
 
-def test_neighbours_by_batches_of_queries(spark, monkeypatch):
+def test_neighbours_by_batches_and_blocks(spark, monkeypatch):
     g = np.random.default_rng(4)
     x = g.standard_normal((300, 8))
     d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     whole = sorted(tuple(r) for r in ann.nearest(d, k=5).collect())
-    monkeypatch.setattr(ann, "QUERIES", 6)
+    monkeypatch.setattr(ann, "TOGETHER", 3)
+    monkeypatch.setattr(ann, "BLOCK", 37)
     assert sorted(tuple(r) for r in ann.nearest(d, k=5).collect()) == whole
     for q, rank, v, _ in whole:
         order = [j for j in np.lexsort((np.arange(300), -(x @ x[q]))) if j != q]
