@@ -32,8 +32,8 @@ TARGET = 0.95
 FIT, TRUTH = 4096, 400
 #: Places to each side that every window has at least.
 LEAST = 512
-#: Rows of a block, and queries scored against a block at once.
-BLOCK, TOGETHER = 4096, 256
+#: Components of a block (16 MB as doubles), queries scored together, and rows that they meet at once.
+BLOCK, TOGETHER, STEP = 1 << 21, 256, 4096
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -254,14 +254,29 @@ def _window(index: DataFrame, places: DataFrame, dim: int, k: int, target: float
 
 def _met(index: DataFrame, places: DataFrame, dim: int, n: int, wide: int, k: int) -> DataFrame:
     """(q, qid, x, xid, score): the k best classes of each asking class in each block of its windows."""
+    block = max(1, BLOCK // dim)
     rows = index.select("h1", "h2", "v").join(places, ["h1", "h2"]).select(F.col("at")[0].alias("uid"), "id", "asks", "v", F.posexplode("at").alias("curve", "place"))
     fields = ["curve", "block", "asking", "place", "uid", "id", "v"]
-    held = rows.withColumn("block", F.floor(F.col("place") / BLOCK)).withColumn("asking", F.lit(False)).select(*fields)
-    low, high = F.floor(F.greatest(F.col("place") - wide, F.lit(0)) / BLOCK), F.floor(F.least(F.col("place") + wide, F.lit(n - 1)) / BLOCK)
+    held = rows.withColumn("block", F.floor(F.col("place") / block)).withColumn("asking", F.lit(False)).select(*fields)
+    low, high = F.floor(F.greatest(F.col("place") - wide, F.lit(0)) / block), F.floor(F.least(F.col("place") + wide, F.lit(n - 1)) / block)
     asking = rows.where("asks").withColumn("block", F.explode(F.sequence(low, high))).withColumn("asking", F.lit(True)).select(*fields)
 
+    def best_of(held: list[np.ndarray], place: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of a block for some queries in the order of their places, in steps along the curve."""
+        first, last = np.searchsorted(held[0], [place[0] - wide, place[-1] + wide + 1])
+        now = None
+        for at in range(first, last, STEP):
+            part = slice(at, min(last, at + STEP))
+            i, j, score = best(held[3][part], held[2][part], x, np.abs(held[0][part][None, :] - place[:, None]) <= wide, k)
+            now = [i, j + at, score] if now is None else [np.concatenate(p) for p in zip(now, (i, j + at, score), strict=True)]
+            order = np.lexsort((held[2][now[1]], -now[2], now[0]))
+            now = [p[order] for p in now]
+            keep = np.arange(len(order)) - np.searchsorted(now[0], now[0], "left") < k
+            now = [p[keep] for p in now]
+        return now or (np.empty(0, int), np.empty(0, int), np.empty(0))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, block = None, [], None
+        now, parts, held = None, [], None
         for batch in batches:
             curve, number, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
             place, uid, ids = (batch.column(c).to_numpy() for c in range(3, 6))
@@ -269,17 +284,17 @@ def _met(index: DataFrame, places: DataFrame, dim: int, n: int, wide: int, k: in
             cuts = np.flatnonzero(np.r_[True, (curve[1:] != curve[:-1]) | (number[1:] != number[:-1]) | (asks[1:] != asks[:-1])])
             for a, b in zip(cuts, np.r_[cuts[1:], len(curve)], strict=True):
                 if (curve[a], number[a]) != now:
-                    now, parts, block = (curve[a], number[a]), [], None
+                    now, parts, held = (curve[a], number[a]), [], None
                 if not asks[a]:
                     parts.append((place[a:b], uid[a:b], ids[a:b], x[a:b]))
                     continue
-                if block is None:
-                    block = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else []
-                for s in range(a, b, TOGETHER) if block else ():
+                if held is None:
+                    held = [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else []
+                    parts = []
+                for s in range(a, b, TOGETHER) if held else ():
                     e = min(b, s + TOGETHER)
-                    seen = np.abs(block[0][None, :] - place[s:e, None]) <= wide
-                    i, j, score = best(block[3], block[2], x[s:e], seen, k)
-                    yield _batch(["q", "qid", "x", "xid", "score"], uid[s:e][i], ids[s:e][i], block[1][j], block[2][j], score)
+                    i, j, score = best_of(held, place[s:e], x[s:e])
+                    yield _batch(["q", "qid", "x", "xid", "score"], uid[s:e][i], ids[s:e][i], held[1][j], held[2][j], score)
 
     # the rows of a block come before the queries that meet it
     dealt = held.unionAll(asking).repartition("curve", "block").sortWithinPartitions("curve", "block", "asking", "place")

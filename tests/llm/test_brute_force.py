@@ -409,7 +409,8 @@ def test_neighbours_by_batches_and_blocks(spark, monkeypatch):
     d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     whole = sorted(tuple(r) for r in ann.nearest(d, k=5).collect())
     monkeypatch.setattr(ann, "TOGETHER", 3)
-    monkeypatch.setattr(ann, "BLOCK", 37)
+    monkeypatch.setattr(ann, "BLOCK", 37 * 8)
+    monkeypatch.setattr(ann, "STEP", 5)
     assert sorted(tuple(r) for r in ann.nearest(d, k=5).collect()) == whole
     for q, rank, v, _ in whole:
         order = [j for j in np.lexsort((np.arange(300), -(x @ x[q]))) if j != q]
