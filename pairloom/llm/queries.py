@@ -12,8 +12,8 @@ from .common import materialize, read_table
 
 #: Where the vocabulary lies; any path to a file of the same form may be given instead.
 VOCABULARY = "byte_bpe_50k.json"
-#: Targets of the mixture: observed shares of source, language and topic raised to these powers.
-MIXTURE = {"source": 0.7, "lang": 0.6, "topic": 0.8}
+#: Targets of the mixture: given weights of the languages; observed shares of sources and topics raised to these powers.
+MIXTURE = {"source": 0.7, "lang": {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}, "topic": 0.8}
 SHARDS = 16
 ACCEPT = 0.7
 

@@ -131,13 +131,57 @@ def test_raked_marginals(spark):
     mass = (out.n_tokens * out.weight).groupby(out.lang).sum()
     for k, v in lang.items():
         assert abs(mass[k] / mass.sum() - v) < 1e-6
-    want = mixing.tempered((out.n_tokens.groupby(out.source).sum() / out.n_tokens.sum()).to_dict(), 0.5)
+    raw = (out.n_tokens.groupby(out.source).sum() / out.n_tokens.sum()) ** 0.5
+    want = (raw / raw.sum()).to_dict()
     mass = (out.n_tokens * out.weight).groupby(out.source).sum()
     assert all(abs(mass[k] / mass.sum() - v) < 1e-6 for k, v in want.items())
     assert abs((out.prob * out.n_tokens).sum() / out.n_tokens.sum() - 0.4) < 1e-6
     assert abs(out.sampled.mean() - out.prob.mean()) < 0.03
 
 
+def brute_mix(rows, dims, keep):
+    """Weights of cells by plain loops over the same rounds: {cell: (weight, prob)}."""
+    mass = {}
+    for *cell, n in rows:
+        mass[tuple(cell)] = mass.get(tuple(cell), 0.0) + (n or 0)
+    mass = {c: max(m, 1e-9) for c, m in mass.items()}
+    share = {c: m / sum(mass.values()) for c, m in mass.items()}
+    goals = []
+    for d, told in enumerate(dims):
+        values = {c[d] for c in share}
+        raw = {v: max(told.get(v, 0.0), 0.0) if isinstance(told, dict) else sum(s for c, s in share.items() if c[d] == v) ** told for v in values}
+        goals.append({v: raw[v] / sum(raw.values()) if sum(raw.values()) else 1 / len(values) for v in values})
+    w = dict(share)
+    for _ in range(400):
+        for d, goal in enumerate(goals):
+            for v, want in goal.items():
+                have = sum(x for c, x in w.items() if c[d] == v)
+                w |= {c: x * want / have if have else 0.0 for c, x in w.items() if c[d] == v}
+    total = sum(w.values())
+    ratio = {c: (w[c] / total if total else 0.0) / share[c] for c in share}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(s * min(1, mid * ratio[c]) for c, s in share.items()) < min(keep, sum(s for c, s in share.items() if ratio[c])) - 1e-12 else (low, mid)
+    return {c: (r, min(1.0, high * r)) for c, r in ratio.items()}
+
+
+@pytest.mark.parametrize("dims", [
+    (0.5, 0.7), ({"s0": 0.5}, 0.5), ({"zz": 1.0}, 0.5), ({"s0": 0.5, "s1": 0.25, "zz": 0.3}, {"l0": 0.5, "l1": 0.5}), ({"s0": 1, None: 1}, {None: 2.0, "l2": 1.0}), (0, 1), ({"s4": 1.0}, {"l0": 1.0}),
+])
+@pytest.mark.parametrize("driver_cells", [100_000, 0])
+def test_mixture_against_plain_loops(spark, dims, driver_cells):
+    """Half covered, uncovered, null and tied targets, and targets that exclude each other."""
+    g = random.Random(8)
+    rows = [(None if i % 11 == 0 else f"s{i % 5}", None if i % 13 == 0 else f"l{i % 3}", None if i % 17 == 0 else g.randint(0, 9)) for i in range(400)]
+    rows = [r for r in rows if not (r[0] == "s4" and r[1] == "l0")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, n_tokens long")
+    want = brute_mix(rows, dims, 0.4)
+    for r in mixing.mix(docs, dict(zip(("source", "lang"), dims, strict=True)), keep=0.4, driver_cells=driver_cells).collect():
+        weight, prob = want[r["source"], r["lang"]]
+        assert abs(r["weight"] - weight) < 1e-5 and abs(r["prob"] - prob) < 1e-5
+
+
 # shards ---------------------------------------------------------------------------------------
 def test_shards_move_only_into_the_new_one_and_slots_have_no_gaps(spark):
     df = spark.createDataFrame([(i, f"text {i % 50} é") for i in range(3000)], "doc_id long, text string")
