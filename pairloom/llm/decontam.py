@@ -1,11 +1,15 @@
-"""Benchmark decontamination: an exact pigeonhole filter over chosen pieces of the items.
-
-An item of m bytes with up to k = rate * m edits keeps at least t of any k + t disjoint pieces of it
-unchanged, and the places of those pieces move by at most k against each other.  The pieces of each
-item are cut so that they are rare in a sample of the documents; which are cut changes the time, not
-the result.  Documents are read once: places of equal pieces are counted by item and diagonal, and
-where t of them lie within k diagonals the whole item is verified by exact edit distance
-(bit-parallel, semi-global).  Nothing within the rate is missed.
+"""Benchmark decontamination: random-walk embedding, bit sampling, exact edit verification.
+
+A CGK walk reads a text from a place on and, at each step, writes down the byte that it stands on and
+moves on or stays by a random bit of that step and byte.  After an edit two walks soon run side by
+side again, so edit distance becomes Hamming distance.  Repetitions sample some steps of the walk;
+equal samples make windows of a document and of an item meet.  Items are indexed at every byte,
+documents are read in strides, so a planted passage has several windows, and it becomes a candidate
+where enough of them agree on the item within the shift that its edits allow.  The whole item is then
+verified there by exact edit distance (bit-parallel, semi-global).
+
+Windows, strides and votes follow from the lengths of the items, and the number of walks from the target
+recall: walks are added until edited copies of the shortest items, at the full rate, are found.
 """
 
 from __future__ import annotations
@@ -16,169 +20,164 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Lower-casing of A-Z, and white space as spaces; lengths stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-#: Pieces of SHORT to LONG bytes; SPARE of them are to be found (fewer for items too short for so many).
-SHORT, LONG, SPARE = 3, 8, 7
-#: Bytes of an item whose pieces are chosen together, and such segments at once.
-SEGMENT, SEGMENTS = 512, 64
-#: Bytes of text looked up at once, and pairs of a place and a piece at once.
-BLOCK, PAIRS = 1 << 18, 1 << 21
-#: Bytes of items in one broadcast table.
-TABLE_BYTES = 2_000_000
-#: Documents and characters of each that tell which pieces are rare.
-SAMPLE, SAMPLE_CHARS = 500, 4000
-
-
-def codes(buf: np.ndarray, q: int) -> np.ndarray:
-    """The q bytes from each place on as one number."""
-    n = max(0, len(buf) - q + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(q):
-        out = out << np.uint64(8) | buf[j : j + n]
-    return out
+#: Bytes of a window at most (a walk of twice as many steps), and windows of a passage of the shortest item.
+WINDOW, WINDOWS = 20, 10
+#: Of the windows of an item one and one more for each EACH of them have to agree, VOTES at most.
+EACH, VOTES = 5, 8
+#: Steps sampled by a repetition, and repetitions of each walk.
+PLACES, SAMPLES = 12, 4
+#: Share of edited copies that the walks have to find, copies that tell it, and walks at most.
+TARGET, COPIES, WALKS = 0.95, 400, 12
+#: Windows looked up at once.
+BLOCK = 1 << 15
+#: Bytes of text searched at once.
+TEXTS = 1 << 21
+#: Bytes of items in one broadcast table, about (SAMPLES x walks x 12 bytes for each of them).
+TABLE_BYTES = 500_000
+SEED = 17
 
 
-def cut(segments: list[tuple[bytes, int]], shortest: int, seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[int, int]]]:
-    """For each (bytes, p): p disjoint pieces (start, length) of it with the fewest places in the sample."""
-    size, most = max(len(t) for t, _ in segments), max(p for _, p in segments)
-    lengths = range(shortest, LONG + 1)
-    cost = {}
-    for q in lengths:
-        cost[q] = np.full((len(segments), size + 1), np.inf, np.float32)
-        for i, (t, _) in enumerate(segments):
-            c = codes(np.frombuffer(t, np.uint8), q)
-            known, counts = seen[q]
-            at = np.minimum(np.searchsorted(known, c), len(known) - 1)
-            cost[q][i, q : q + len(c)] = np.where(known[at] == c, counts[at], 0) + 0.1 if len(known) else 0.1
-    best = np.full((size + 1, len(segments), most + 1), np.inf, np.float32)
-    best[:, :, 0] = 0
-    took = np.zeros(best.shape, np.int8)
-    for i in range(1, size + 1):
-        best[i] = best[i - 1]
-        for q in lengths:
-            if q <= i:
-                new = best[i - q][:, :-1] + cost[q][:, i, None]
-                better = new < best[i][:, 1:]
-                best[i][:, 1:][better] = new[better]
-                took[i][:, 1:][better] = q
-    out = []
-    for s, (t, p) in enumerate(segments):
-        i, pieces = len(t), []
-        while p:
-            q = int(took[i, s, p])
-            if q:
-                pieces.append((i - q, q))
-                p -= 1
-            i -= q or 1
-        out.append(pieces)
-    return out
+def edited(text: bytes, edits: int, g: np.random.Generator) -> bytes:
+    """A copy with as many random substitutions, insertions and deletions."""
+    out = bytearray(text)
+    for kind, at, byte in zip(g.integers(0, 3, edits), g.random(edits), g.integers(97, 123, edits), strict=True):
+        i = int(at * len(out))
+        out[i : i + (kind != 1)] = b"" if kind == 2 else bytes([byte])
+    return bytes(out)
 
 
-class Index:
-    """Chosen pieces of all items, by length and sorted."""
+class Walks:
+    """Items of like length with the samples of their walks from every byte on."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float, sample: bytes = b""):
+    def __init__(self, items: list[tuple[int, bytes]], rate: float, target: float = TARGET):
         self.items = items
-        self.most = np.array([int(rate * len(t)) for _, t in items], np.int64)
-        self.need = np.ones(len(items), np.int64)
-        #: Items without pieces (rates near 1): they are verified everywhere.
-        self.whole: list[int] = []
-        about = np.frombuffer(sample or bytes(LONG).join(t for _, t in items), np.uint8)
-        seen = {q: np.unique(codes(about, q), return_counts=True) for q in range(1, LONG + 1)}
-        jobs: dict[int, list[tuple[int, int, bytes, int]]] = {}
-        for i, (_, t) in enumerate(items):
-            m, k = len(t), int(self.most[i])
-            self.need[i] = max(1, min(SPARE, m // SHORT - k))
-            p, n = k + int(self.need[i]), -(-m // SEGMENT)
-            parts = [(j * m // n, (j + 1) * m // n) for j in range(n)]
-            parts = [(a, b, p * b // m - p * a // m) for a, b in parts]
-            shortest = next((q for q in range(SHORT, 0, -1) if all(q * c <= b - a for a, b, c in parts)), 0)
-            if shortest:
-                jobs.setdefault(shortest, []).extend((i, a, t[a:b], c) for a, b, c in parts if c)
-            else:
-                self.whole.append(i)
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for shortest, todo in jobs.items():
-            for a in range(0, len(todo), SEGMENTS):
-                part = todo[a : a + SEGMENTS]
-                for (i, off, t, _), pieces in zip(part, cut([x[2:] for x in part], shortest, seen), strict=True):
-                    for s, q in pieces:
-                        by.setdefault(q, []).append((int.from_bytes(t[s : s + q], "big"), i, off + s))
-        self.tables = {}
-        for q, rows in sorted(by.items()):
-            rows.sort()
-            code = np.array([r[0] for r in rows], np.uint64)
-            bits = max(12, int(np.ceil(np.log2(len(rows)))) + 4)
-            maybe = np.zeros(1 << bits, bool)
-            maybe[self.slot(code, bits)] = True
-            self.tables[q] = (code, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), bits, maybe)
+        size = np.array([len(t) for _, t in items], np.int64)
+        self.size, self.most = size, (rate * size).astype(np.int64)
+        shortest = int(size.min())
+        self.window = max(2, min(WINDOW, shortest // 3))
+        self.steps = 2 * self.window
+        self.stride = max(1, (shortest - self.window) // WINDOWS)
+        # the more windows an item has, the more of them have to agree
+        self.votes = np.clip(1 + (size - self.window) // self.stride // EACH, 1, VOTES)
+        self.walks: list[tuple] = []
+        g = np.random.default_rng(SEED)
+        easy = np.argsort(size, kind="stable")[: max(1, len(size) // 5)]
+        copies = [(int(i), edited(items[i][1], int(self.most[i]), g)) for i in easy[g.integers(0, len(easy), COPIES)]]
+        while len(self.walks) < WALKS:
+            self.walks.append(self._walk(g))
+            if self.recall(copies) >= target:
+                break
 
-    @staticmethod
-    def slot(code: np.ndarray, bits: int) -> np.ndarray:
-        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-
-    def met(self, buf: np.ndarray) -> np.ndarray:
-        """Numbers (item << 32 | diagonal) in order, one for each place of a piece (SPARE equal ones at most).
-
-        A diagonal is a piece's place in the text less its place in the item, plus the item's length.
-        """
-        keys: list[np.ndarray] = []
-        sizes = np.array([len(t) for _, t in self.items], np.int64)
-        for begin in range(0, len(buf), BLOCK):
-            for q, (code, owner, offset, bits, maybe) in self.tables.items():
-                c = codes(buf[begin : begin + BLOCK + q - 1], q)
-                at = np.flatnonzero(maybe[self.slot(c, bits)])
-                c = c[at]
-                lo = np.searchsorted(code, c, "left")
-                same = code[np.minimum(lo, len(code) - 1)] == c
-                at, lo, c = at[same] + begin, lo[same], c[same]
-                if not len(at):
-                    continue
-                n = np.searchsorted(code, c, "right") - lo
-                ends = np.cumsum(n)
-                a = 0
-                while a < len(at):
-                    # at least one place, and pairs up to a number
-                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
-                    m = n[a:b]
-                    row = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                    item = owner[row]
-                    keys.append(item << 32 | np.repeat(at[a:b], m) - offset[row] + sizes[item])
-                    a = b
-                    if sum(map(len, keys[1:])) > PAIRS:
-                        keys = [self.ordered(keys)]
-        return self.ordered(keys)
+    def _walk(self, g: np.random.Generator) -> tuple:
+        bits = g.integers(0, 2, (self.steps, 256)).astype(np.int32)
+        n = min(PLACES, self.steps)
+        samples = [(np.sort(g.choice(self.steps, n, replace=False)), g.integers(0, 2**63, (n, 256), dtype=np.uint64) << np.uint64(1)) for _ in range(SAMPLES)]
+        gap = bytes(self.steps + 1)
+        heads = np.cumsum([0] + [len(t) + len(gap) for _, t in self.items[:-1]])
+        buf = np.frombuffer(gap.join([*(t for _, t in self.items), b""]), np.uint8)
+        reach = np.maximum(self.size - self.window + 1, 1)
+        owner = np.repeat(np.arange(len(self.items)), reach)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(reach) - reach, reach)
+        tables = []
+        for sample, code in zip(samples, self._codes(buf, heads[owner] + offset, bits, samples), strict=True):
+            order = np.argsort(code, kind="stable")
+            width = max(12, int(np.ceil(np.log2(len(code)))) + 4)
+            maybe = np.zeros(1 << width, bool)
+            maybe[code >> np.uint64(64 - width)] = True
+            tables.append((code[order], owner[order].astype(np.int32), offset[order].astype(np.int32), np.uint64(64 - width), maybe))
+        return bits, samples, tables
 
     @staticmethod
-    def ordered(keys: list[np.ndarray]) -> np.ndarray:
-        out = np.sort(np.concatenate([np.empty(0, np.int64), *keys]))
-        return np.concatenate([out[:SPARE], out[SPARE:][out[SPARE:] != out[:-SPARE]]])
-
-    def regions(self, buf: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item number, begin, end): parts of ``buf`` that hold every passage within the rate."""
-        for i in self.whole:
-            yield i, 0, len(buf)
-        keys = self.met(buf)
-        # the pieces left of a passage lie on diagonals that differ by the edits allowed at most
-        item = keys >> 32
-        to = np.arange(len(keys)) + self.need[item] - 1
-        enough = np.r_[keys, np.full(SPARE, np.iinfo(np.int64).max)][to] - keys <= self.most[item]
-        last = None
-        for key in np.unique(keys[enough]).tolist():
-            i, diagonal = key >> 32, key & 0xFFFFFFFF
-            m, k = len(self.items[i][1]), int(self.most[i])
-            # begin and end of the passage are on diagonals within k of all its pieces
-            begin, end = diagonal - m - k, diagonal + k
-            if last and last[0] == i and begin <= last[2]:
-                last = (i, last[1], end)
+    def _codes(buf: np.ndarray, starts: np.ndarray, bits: np.ndarray, samples: list) -> list[np.ndarray]:
+        """The samples of the walks from ``starts``, each as one number."""
+        at, seen = starts.astype(np.int32), np.empty((len(bits), len(starts)), np.uint8)
+        for step, move in enumerate(bits):
+            np.take(buf, at, out=seen[step])
+            at += move[seen[step]]
+        out = []
+        for places, numbers in samples:
+            code = numbers[0][seen[places[0]]]
+            for p, n in zip(places[1:], numbers[1:], strict=True):
+                code += n[seen[p]]
+            out.append(code)
+        return out
+
+    def met(self, buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, diagonal, start) of equal samples; a diagonal is a window's place in the text less its
+        place in the item, plus the item's length.  ``buf`` is padded by the steps of a walk."""
+        out: list[tuple] = []
+        for begin in range(0, max(1, length), BLOCK * self.stride):
+            starts = np.arange(begin, min(begin + BLOCK * self.stride, max(1, length)), self.stride)
+            for bits, samples, tables in self.walks:
+                for code, (known, owner, offset, shift, maybe) in zip(self._codes(buf, starts, bits, samples), tables, strict=True):
+                    at = np.flatnonzero(maybe[code >> shift])
+                    if not len(at):
+                        continue
+                    c = code[at]
+                    low = np.searchsorted(known, c, "left")
+                    same = known[np.minimum(low, len(known) - 1)] == c
+                    at, low, c = at[same], low[same], c[same]
+                    n = np.searchsorted(known, c, "right") - low
+                    row = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    start = np.repeat(starts[at], n)
+                    out.append((owner[row], start - offset[row] + self.size[owner[row]], start))
+        if not out:
+            return (np.empty(0, np.int64),) * 3
+        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+
+    def regions(self, buf: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+        """(item number, begin, end): parts of a text where enough windows agree on an item."""
+        item, diagonal, start = self.met(buf, length)
+        key = item << 40 | diagonal
+        order = np.lexsort((start, key))
+        key, start = key[order], start[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (start[1:] != start[:-1])][: len(key)]
+        key, start = key[new], start[new]
+        item = key >> 40
+        # the windows of a passage lie on diagonals that differ by its edits at most
+        last = np.searchsorted(key, key + self.most[item], "right")
+        changes = np.r_[np.flatnonzero(start[1:] != start[:-1]) + 1, len(start)]
+        other = changes[np.searchsorted(changes, np.arange(len(start)), "right")] if len(start) else start
+        enough = (last - np.arange(len(key)) >= self.votes[item]) & ((other < last) | (self.votes[item] == 1))
+        item, diagonal = item[enough], key[enough] & ((1 << 40) - 1)
+        held = None
+        for i, d in dict.fromkeys(zip(item.tolist(), diagonal.tolist(), strict=True)):
+            m, k = int(self.size[i]), int(self.most[i])
+            begin, end = d - m - k, d + k
+            if held and held[0] == i and begin <= held[2]:
+                held = (i, held[1], end)
                 continue
-            if last:
-                yield last
-            last = (i, begin, end)
-        if last:
-            yield last
+            if held:
+                yield held
+            held = (i, begin, end)
+        if held:
+            yield held
+
+    def recall(self, copies: list[tuple[int, bytes]]) -> float:
+        """The share of edited copies (item number, bytes) of which a candidate arises."""
+        gap = bytes(2 * int(self.size.max()) + self.steps)
+        heads = np.cumsum([0] + [len(t) + len(gap) for _, t in copies])
+        raw = gap.join([*(t for _, t in copies), b""])
+        found = set()
+        for i, begin, end in self.regions(np.frombuffer(raw + bytes(self.steps + 1), np.uint8), len(raw)):
+            found.update((i, int(n)) for n in range(np.searchsorted(heads, begin, "right") - 1, np.searchsorted(heads, end, "left")))
+        return sum((i, n) in found for n, (i, _) in enumerate(copies)) / len(copies)
+
+
+class Index:
+    """Items by length in octaves, each with its own windows; items that allow no edit stand alone."""
+
+    def __init__(self, items: list[tuple[int, bytes]], rate: float, target: float = TARGET):
+        self.exact = [(n, t) for n, t in items if int(rate * len(t)) == 0]
+        by: dict[int, list[tuple[int, bytes]]] = {}
+        for n, t in items:
+            if int(rate * len(t)):
+                by.setdefault(min(len(t).bit_length(), 7), []).append((n, t))
+        self.groups = [Walks(group, rate, target) for _, group in sorted(by.items())]
 
 
 def best_end(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
@@ -209,92 +208,91 @@ def best_end(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
 
 
 class Searcher:
-    def __init__(self, indexes: list[Index]):
-        self.indexes = indexes
+    def __init__(self, index: Index):
+        self.index = index
 
     def find(self, texts: list[str | None]) -> list[dict[int, tuple[int, int]]]:
-        """For each text: item id -> (edits, end in bytes), the best place of each item found."""
+        """For each text: item -> (edits, end in bytes), the best place of each item found."""
         raw = [(t or "").encode().translate(NORMAL) for t in texts]
         out: list[dict[int, tuple[int, int]]] = [{} for _ in raw]
-        gap = bytes(LONG)
+        for n, t in self.index.exact:
+            for d, r in enumerate(raw):
+                at = r.find(t)
+                if at >= 0:
+                    out[d][n] = (0, at + len(t))
+        gap = bytes(2 * WINDOW + 1)
         heads = np.cumsum([0] + [len(t) + len(gap) for t in raw])
-        buf = np.frombuffer(gap.join([*raw, b""]), np.uint8)
-        for index in self.indexes:
-            for i, begin, end in index.regions(buf):
-                item_id, item = index.items[i]
-                most = int(index.most[i])
+        joined = gap.join([*raw, b""])
+        buf = np.frombuffer(joined + gap, np.uint8)
+        for group in self.index.groups:
+            for i, begin, end in group.regions(buf, len(joined)):
+                n, item = group.items[i]
+                most = int(group.most[i])
                 d = max(0, int(np.searchsorted(heads, begin, "right")) - 1)
                 while d < len(raw) and heads[d] < end:
                     # a text shorter than the item by more than the edits allowed cannot hold it
-                    if raw[d] and len(raw[d]) >= len(item) - most:
+                    if len(raw[d]) >= len(item) - most:
                         low = max(0, begin - int(heads[d]))
                         got = best_end(item, raw[d][low : max(0, end - int(heads[d]))], most)
                         if got:
                             mine = (got[0], low + got[1])
-                            out[d][item_id] = min(out[d].get(item_id, mine), mine)
+                            out[d][n] = min(out[d].get(n, mine), mine)
                     d += 1
         return out
 
 
-def read_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> list[list[tuple[int, bytes]]]:
-    """Items in tables of bounded size, in order of length.
+def item_tables(benchmark: DataFrame, key: str, text: str = "text") -> Iterator[list[tuple]]:
+    """(key, normal bytes) of the items, in tables of about TABLE_BYTES: the driver holds one at a time.
 
-    Items are the query set; they are streamed to the driver one at a time.  Null, empty and keyless
-    items are no items; equal ids with different texts are different items.
+    Null, empty and keyless items are no items; equal rows count once, and equal keys with different
+    texts are different items.
     """
-    by: dict[int, list[tuple[int, bytes]]] = {}
-    items = sorted({(r[0], r[1].encode().translate(NORMAL)) for r in benchmark.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(key, text).toLocalIterator()}, key=lambda x: (len(x[1]), x))
-    tables: list[list[tuple[int, bytes]]] = []
-    room = 0
-    for item in items:
-        n = len(item[1])
-        if not tables or room < n:
-            tables.append([])
-            room = TABLE_BYTES
-        tables[-1].append(item)
-        room -= n
-    return tables
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """(key, item, edits, end_byte): every item found in a document within ``rate`` of its bytes.
+    items = benchmark.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    tables = -(-total // TABLE_BYTES)
+    for n in range(tables):
+        rows = items.where(F.pmod(F.xxhash64("t"), F.lit(tables)) == n).collect()
+        if rows:
+            yield sorted({(r["k"], r["t"].encode().translate(NORMAL)) for r in rows}, key=lambda x: (len(x[1]), x[1], str(x[0])))
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, key: str = "doc_id", text: str = "text", item: str = "item_id", target: float = TARGET
+) -> DataFrame:
+    """(key, item, edits, end_byte): items found in a document within ``rate`` of their bytes.
 
     One row for each row of ``docs`` and item, at its best place (fewest edits, then earliest).
     Null and empty texts hold nothing.  Texts differ by case of A-Z and kind of white space for
-    free.  Documents are read once for each table of items (one for up to TABLE_BYTES bytes of
-    items) and never shuffled; a sample of the first ones comes to the driver before.
+    free.  Every row is a verified place; of the passages that differ by the full rate from the shortest
+    items the share ``target`` is found, of others more.  Documents are read once for each table of items
+    (TABLE_BYTES) and never shuffled.  Keys of items may be of any type.
     """
-    tables = read_items(benchmark, item)
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    ikind = benchmark.schema[item].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{item}` {ikind}, edits long, end_byte long"
-    if not tables:
-        return spark.createDataFrame([], schema)
+    kind, ikind = docs.schema[key].dataType, benchmark.schema[item].dataType
     out = None
-    types = [pa.int64(), pa.int64()]
-    first = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE).collect()
-    sample = bytes(LONG).join((r["t"] or "").encode().translate(NORMAL) for r in first)
-    for table in tables:
-        told = spark.sparkContext.broadcast(Index(table, rate, sample))
+    for table in item_tables(benchmark, item):
+        told = spark.sparkContext.broadcast(Index([(n, t) for n, (_, t) in enumerate(table)], rate, target))
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            search = Searcher([told.value])
+            search = Searcher(told.value)
             for whole in batches:
                 at = 0
                 while at < whole.num_rows:
                     # texts are taken together up to a size, so that memory stays bounded
                     texts, size, begun = [], 0, at
-                    while at < whole.num_rows and (size < 1 << 21 or not texts):
+                    while at < whole.num_rows and (size < TEXTS or not texts):
                         texts.append(whole.column(1)[at].as_py())
                         size += len(texts[-1] or "")
                         at += 1
-                    hits = [(begun + d, i, *v) for d, found in enumerate(search.find(texts)) for i, v in sorted(found.items())]
+                    hits = [(begun + d, n, *v) for d, found in enumerate(search.find(texts)) for n, v in sorted(found.items())]
                     if hits:
-                        rows, ids, edits, ends = zip(*hits, strict=True)
-                        keys = whole.column(0).take(pa.array(rows))
-                        yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.int64()), pa.array(edits, types[0]), pa.array(ends, types[1])], names=[key, item, "edits", "end_byte"])
+                        rows, *cols = zip(*hits, strict=True)
+                        yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in cols)], names=["k", "n", "edits", "end_byte"])
 
-        one = docs.select(F.col(key), F.col(text).alias("__text")).mapInArrow(run, schema)
+        found = docs.select(F.col(key), F.col(text).alias("__text")).mapInArrow(run, f"k {kind.simpleString()}, n long, edits long, end_byte long")
+        names = spark.createDataFrame([(n, k) for n, (k, _) in enumerate(table)], T.StructType([T.StructField("n", T.LongType()), T.StructField("i", ikind)]))
+        one = found.join(F.broadcast(names), "n").select(F.col("k").alias(key), F.col("i").alias(item), "edits", "end_byte")
         out = one if out is None else out.unionAll(one)
+    if out is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(key, kind), T.StructField(item, ikind), T.StructField("edits", T.LongType()), T.StructField("end_byte", T.LongType())]))
     return out
