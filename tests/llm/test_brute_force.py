@@ -66,6 +66,44 @@ def test_values_after_equals_signs_and_in_parts_are_tested(spark):
     assert all(got[i] == [""] for i, _ in plain)
 
 
+PARTS = ["usr", "lib", "python3", "dist-packages", "site-packages", "share", "include", "src", "main", "resources", "static", "assets", "images", "config", "modules", "docs", "v2", "x86_64-linux-gnu", "test_data", "2024", "node_modules"]
+NAMES = ["Http", "Server", "Request", "Handler", "Default", "Abstract", "Factory", "Base64", "Utf8", "Client", "Session", "Manager", "Json", "Parser", "Version2", "Config", "Event", "Listener", "Internal", "Sha256", "Thread", "Pool", "Context"]
+
+
+def ordinary(g):
+    """Paths, identifiers in several styles, urls and slugs."""
+    words = [w.lower() for w in NAMES] + [f"{w}{n}" for w, n in zip(WORDS, range(20), strict=False)]
+    return g.choice([
+        lambda: "/" + "/".join(g.choice(PARTS) for _ in range(g.randint(3, 6))) + f"/Foo{g.randint(1, 99)}/Module",
+        lambda: "".join(g.choice(NAMES) for _ in range(g.randint(4, 6))) + str(g.randint(1, 99)),
+        lambda: "_".join(g.choice(words) for _ in range(g.randint(4, 6))) + f"_{g.randint(1, 9)}",
+        lambda: "_".join(g.choice(words).upper() for _ in range(g.randint(4, 6))) + f"_{g.randint(1, 9)}",
+        lambda: "-".join(g.choice(words) for _ in range(g.randint(4, 7))) + f"-{g.randint(1990, 2030)}",
+        lambda: "/docs/" + "/".join(g.choice(NAMES) for _ in range(3)) + f"/{g.randint(1, 9999)}/index",
+    ])()
+
+
+@pytest.mark.parametrize("share", [0.5, 0.1])
+def test_false_discoveries_and_recall_by_length(spark, share):
+    """The realised share of false findings among ordinary strings, and the recall by length."""
+    g = random.Random(41)
+    alphabets = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "hex": "0123456789abcdef"}
+    rows, length = [], {}
+    for i in range(3000):
+        if i < 3000 * share:
+            a, length[i] = g.choice([*alphabets.values()]), g.choice([20, 24, 32, 40, 64])
+            rows.append((i, "see " + "".join(g.choice(a) for _ in range(length[i])) + " there"))
+        else:
+            rows.append((i, f"see {ordinary(g)} there"))
+    found = {r["doc_id"] for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_random"] + r["n_hex"]}
+    true = {i for i in found if i in length}
+    assert len(found - true) <= 0.05 * len(found)
+    least = {0.5: {20: 0.7, 24: 0.85, 32: 0.95, 40: 0.97, 64: 0.98}, 0.1: {20: 0.5, 24: 0.75, 32: 0.9, 40: 0.92, 64: 0.97}}[share]
+    for n, want in least.items():
+        mine = {i for i, m in length.items() if m == n}
+        assert len(mine & true) >= want * len(mine), n
+
+
 # neighbours -----------------------------------------------------------------------------------
 def vectors_of(spark, x):
     return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
