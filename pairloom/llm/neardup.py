@@ -3,11 +3,13 @@
 Texts become sets of word shingles.  Equal sets are one class at once, so copies never meet as
 pairs.  Each class has a SetSketch: registers are truncated logarithms, in steps of BASE, of minima
 of exponential draws, so the sketch of a union is the elementwise maximum and equal registers are
-as likely as the sets are similar.  Bands of registers group classes; every class is tied to the
-smallest of its bands (stars, never pairs) and the connected stars are the candidate groups.
-Inside a group the joint likelihood of two sketches rules pairs out, full sets confirm the others,
-and a spanning forest of confirmed links leaves.  Groups beyond a bound are cut into blocks, and
-blocks meet two at a time.  Components of the confirmed links are the result.
+as likely as the sets are similar.  Bands of registers are buckets.  Inside a bucket the joint
+likelihood of two sketches rules pairs out, and a forest of the likely ones leaves; their components are
+the candidate groups, so texts that share a passage but are not alike do not chain.  Inside a group full
+sets confirm links, and a forest of those leaves.  Large buckets and groups are cut into blocks.  The
+blocks of a group first link within, then through one member of each part that they found; only members
+that are still apart from the largest part meet all others.  Components of the confirmed links are the
+result.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ BANDS, ROWS = 20, 5
 #: SetSketch parameters: base, rate and largest register (16 bits).
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
 #: A candidate pair is verified if its likelihood estimate is no more than this below the threshold.
-SLACK = 0.25
-#: Bounds of a block of a candidate group: members and shingles (16 MB of sets).
-MEMBERS, SHINGLES = 512, 2_000_000
+SLACK = 0.2
+#: Bounds of a block of a bucket or a candidate group: members and shingles (16 MB of sets).
+MEMBERS, SHINGLES = 128, 2_000_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 150_000
 U = np.uint64
@@ -113,11 +115,41 @@ def likely_similarity(more: np.ndarray, less: np.ndarray, n1: np.ndarray, n2: np
     return j[np.arange(len(j)), ll.argmax(1)]
 
 
-def links(sets: list[np.ndarray], sketches: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * common >= percent * union.  ``part`` tells two
-    blocks apart: if both are there, only pairs across them are looked at."""
+def likely(sketches: np.ndarray, n: np.ndarray, at: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Estimates for the pairs (at, rest); -1 where the sizes alone rule a pair out."""
+    out = np.full(len(rest), -1.0)
+    ok = np.flatnonzero(100 * np.minimum(n[at], n[rest]) >= percent * np.maximum(n[at], n[rest]))
+    if len(ok):
+        a, b = sketches[at[ok]], sketches[rest[ok]]
+        out[ok] = likely_similarity((a > b).sum(1), (a < b).sum(1), n[at[ok]].astype(float), n[rest[ok]].astype(float), sketches.shape[1])
+    return out
+
+
+def alike(sketches: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest of the pairs of a bucket that are likely to link.  ``side`` tells two blocks apart: if both
+    are there, only pairs across them count.  Who is reached is not looked at again."""
+    across, out, left = len(np.unique(side)) > 1, [], np.ones(len(n), bool)
+    for seed in range(len(n)):
+        if not left[seed]:
+            continue
+        left[seed], todo = False, [seed]
+        while todo:
+            i = todo.pop()
+            rest = np.flatnonzero(left & (side != side[i]) if across else left)
+            near = rest[likely(sketches, n, np.full(len(rest), i), rest, percent) >= percent / 100 - SLACK]
+            left[near] = False
+            out += [(i, int(j)) for j in near]
+            todo += near.tolist()
+    return out
+
+
+def links(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray, part: list, percent: int) -> list[tuple[int, int]]:
+    """A forest of the pairs with 100 * common >= percent * union.  ``side`` tells two blocks apart: if both
+    are there, only pairs across them are looked at.  Members of one ``part`` are known to be connected."""
     n = np.array([len(s) for s in sets])
-    root = list(range(len(sets)))
+    root, first = list(range(len(sets))), {}
+    for i, p in enumerate(part):
+        root[i] = first.setdefault(p, i)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -125,17 +157,15 @@ def links(sets: list[np.ndarray], sketches: np.ndarray, part: np.ndarray, percen
             x = root[x]
         return x
 
-    out, across = [], len(set(part.tolist())) > 1
+    out, across = [], len(set(side.tolist())) > 1
     for i in range(len(sets) - 1):
-        rest = np.arange(i + 1, len(sets))
-        ok = (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])) & ((part[rest] != part[i]) | (not across))
-        rest = rest[ok]
+        mine = find(i)
+        rest = np.array([j for j in range(i + 1, len(sets)) if not (across and side[j] == side[i]) and find(j) != mine], int)
         if not len(rest):
             continue
-        a, b = sketches[i], sketches[rest]
-        more, less = (a > b).sum(1), (a < b).sum(1)
-        hat = likely_similarity(more, less, np.full(len(rest), n[i], float), n[rest].astype(float), len(a))
-        for j in rest[hat >= percent / 100 - SLACK][np.argsort(-hat[hat >= percent / 100 - SLACK], kind="stable")]:
+        hat = likely(sketches, n, np.full(len(rest), i), rest, percent)
+        order = np.argsort(-hat, kind="stable")
+        for j in rest[order[hat[order] >= percent / 100 - SLACK]]:
             x, y = find(i), find(int(j))
             if x == y:
                 continue
@@ -152,8 +182,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 
     Links join rows with 100 * common >= percent * union of their sets of ``words``-word shingles.
     A null or blank text has no shingles and is linked with nothing.  Rows with a null key link
-    with nothing, have a null component_id and are kept.  Repeated keys share the component of each
-    of their texts; equal rows give equal results.
+    with nothing, have a null component_id and are kept.  Rows with equal keys and words are one
+    document: what any of their texts links with is reachable from all.  Equal rows give equal results.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -162,41 +192,93 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 part = whole.slice(at, 1000)
-                n, keys, bands = [], [], []
+                n, keys, sketches, bands = [], [], [], []
                 for t in part.column(1):
                     s = shingles(t.as_py(), seen, words)
+                    r = sk.registers(s) if len(s) else None
                     n.append(len(s))
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    bands.append(sk.bands(sk.registers(s)) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=[key, "n_shingles", "set_key", "bands"])
+                    sketches.append(r.tobytes() if len(s) else None)
+                    bands.append(sk.bands(r) if len(s) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=[key, "n_shingles", "set_key", "sketch", "bands"],
+                )
 
     slim = docs.select(F.col(key), F.col(text).alias("__text"))
-    feats = materialize(slim.mapInArrow(features, f"`{key}` {kind}, n_shingles long, set_key binary, bands array<long>"), "features")
-    node = F.conv(F.hex(F.substring("set_key", 1, 7)), 16, 10).cast("long")  # 56 bits of the set's checksum
+    feats = materialize(slim.mapInArrow(features, f"`{key}` {kind}, n_shingles long, set_key binary, sketch binary, bands array<long>"), "features")
     usable = feats.where(F.col("set_key").isNotNull() & F.col(key).isNotNull())
-    classes = materialize(
-        usable.groupBy("set_key").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).withColumn("node", node),
-        "classes",
-    )
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    hubs = materialize(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("band", "hub"), "hubs")
-    stars = banded.join(bounded_broadcast(hubs, hubs.count()), "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = connected_components(stars, "groups")
-    members = materialize(classes.join(groups, "node").select("node", "set_key", "rep", "n", F.col("component").alias("grp")), "members")
-    linked = connected_components(_confirmed(slim, members, words, percent, key), "links")
-
-    ids = linked.join(members.select("node", "rep"), "node")
+    first = [F.first(c).alias(c) for c in ("sketch", "bands")]
+    classes = usable.groupBy("set_key").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *first)
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing them
+    groups = connected_components(_likely_links(classes, percent), "groups")
+    members = materialize(classes.select("node", "set_key", "rep", "n").join(groups, "node").withColumnRenamed("component", "grp"), "members")
+    # classes of one key are one document
+    several = usable.groupBy(key).agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select(key)
+    several = materialize(several, "several")
+    held = usable.join(bounded_broadcast(several, several.count()), key, "left_semi").select(key, "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
+    same = held.join(held.groupBy(key).agg(F.min("node").alias("b")), key).select(F.col("node").alias("a"), "b")
+    linked = connected_components(_confirmed(slim, members, words, percent, key).unionByName(same), "links")
+
+    ids = linked.join(classes.select("node", "rep"), "node")
     low = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = ids.select("component", "node").join(low, "component").select("node", "component_id")
     told = classes.join(of_class, "node", "left").where("component_id IS NOT NULL OR copies > 1").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
     told = materialize(told, "told")
-    joined = feats.join(bounded_broadcast(told, told.count()), "set_key", "left")
+    joined = feats.select(key, "n_shingles", "set_key").join(bounded_broadcast(told, told.count()), "set_key", "left")
     component = F.when(F.col(key).isNotNull(), F.coalesce("component_id", key))
     return joined.select(key, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(key), F.lit(True)).alias("kept"))
 
 
+def _in_blocks(rows: DataFrame, blocks: str, *group: str) -> DataFrame:
+    """Rows of (node, group columns, number of blocks) dealt to tasks of two blocks of their group."""
+    cut = rows.withColumn("side", F.pmod(F.hash("node"), F.col(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    task = F.struct(*group, F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+    return cut.withColumn("task", task).drop("other", *group, blocks)
+
+
+def _likely_links(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): forests of likely links of all buckets."""
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    shared = materialize(banded.groupBy("band").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("blocks"), F.count("*").alias("c")).where("c > 1").select("band", "blocks"), "shared")
+    dealt = _in_blocks(banded.join(bounded_broadcast(shared, shared.count()), "band"), "blocks", "band")
+    rows = dealt.join(classes.select("node", "n", "sketch"), "node").select("task", "node", "side", "n", "sketch")
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(of: list[list]) -> pa.RecordBatch:
+            out: list[tuple[int, int]] = []
+            pairs = [h for h in of if len(h) == 2]
+            if pairs:  # most buckets hold two: all of them at once
+                flat = [x for h in pairs for x in h]
+                n, sk = np.array([x[2] for x in flat]), np.stack([np.frombuffer(x[3], np.uint16) for x in flat])
+                left = np.arange(0, len(flat), 2)
+                ok = likely(sk, n, left, left + 1, percent) >= percent / 100 - SLACK
+                out += [(flat[i][0], flat[i + 1][0]) for i in left[ok]]
+            for h in of:
+                if len(h) > 2:
+                    n, sk = np.array([x[2] for x in h]), np.stack([np.frombuffer(x[3], np.uint16) for x in h])
+                    out += [(h[i][0], h[j][0]) for i, j in alike(sk, n, np.array([x[1] for x in h]), percent)]
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+        now, held, done = None, [], []
+        for batch in batches:
+            for task, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                task = tuple(task.values())
+                if task != now:
+                    done.append(held)
+                    if len(done) > 1000:
+                        yield found(done)
+                        done = []
+                    now, held = task, []
+                held.append(row)
+        yield found([*done, held])
+
+    edges = rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(forests, "a long, b long")
+    return materialize(edges.distinct(), "likely")
+
+
 def _confirmed(slim: DataFrame, members: DataFrame, words: int, percent: int, key: str) -> DataFrame:
-    """Confirmed links (a, b) of the candidate groups: a spanning forest of each block pair."""
+    """Confirmed links (a, b) that connect what the links of all pairs of a group connect."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sk = Words(), Sketcher()
@@ -209,25 +291,18 @@ def _confirmed(slim: DataFrame, members: DataFrame, words: int, percent: int, ke
                     names=["set_key", "sketch", "elements"],
                 )
 
-    wanted = members.select(F.col("rep").alias(key))
     count = members.count()
-    texts = slim.join(bounded_broadcast(wanted, count, BROADCAST_ROWS), key, "left_semi")
-    sets = texts.mapInArrow(full, "set_key binary, sketch binary, elements binary").dropDuplicates(["set_key"])
-    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("int").alias("blocks"))
-    large = materialize(sizes.where("blocks > 1"), "large")
-    cut = members.join(bounded_broadcast(large, large.count()), "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # light rows are multiplied by block pairs before the sets join them
-    keyed = cut.select("node", "set_key", F.struct("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).alias("task"), "block")
-    rows = keyed.join(sets, "set_key").select("task", "node", "block", "sketch", "elements")
+    texts = slim.join(bounded_broadcast(members.select(F.col("rep").alias(key)).distinct(), count, BROADCAST_ROWS), key, "left_semi")
+    made = texts.mapInArrow(full, "set_key binary, sketch binary, elements binary")
+    sets = materialize(made.join(bounded_broadcast(members.select("set_key", "node"), count, BROADCAST_ROWS), "set_key").dropDuplicates(["node"]).select("node", "sketch", "elements"), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def done() -> pa.RecordBatch:
-            sets = [np.frombuffer(x[3], U) for x in held]
-            sk = np.stack([np.frombuffer(x[2], np.uint16) for x in held])
-            found = links(sets, sk, np.array([x[1] for x in held]), percent) if len(held) > 1 else []
+            sets = [np.frombuffer(x[4], U) for x in held]
+            sk = np.stack([np.frombuffer(x[3], np.uint16) for x in held])
+            found = links(sets, sk, np.array([x[1] for x in held]), [x[2] for x in held], percent) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in found], pa.int64()), pa.array([held[j][0] for _, j in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -241,4 +316,39 @@ def _confirmed(slim: DataFrame, members: DataFrame, words: int, percent: int, ke
         if held:
             yield done()
 
-    return materialize(rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(verify, "a long, b long"), "confirmed")
+    def linked(dealt: DataFrame, tag: str) -> DataFrame:
+        """Links of ``dealt`` (task, node, side, part); light rows are dealt before the sets join them."""
+        rows = dealt.join(sets, "node").select("task", "node", "side", "part", "sketch", "elements")
+        return materialize(rows.repartition("task").sortWithinPartitions("task", "side", "node").mapInArrow(verify, "a long, b long"), tag)
+
+    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("int").alias("blocks"))
+    large = materialize(sizes.where("blocks > 1"), "large")
+    some = large.count()
+    cut = members.join(bounded_broadcast(large, some), "grp", "left").withColumn("block", F.pmod(F.hash("node"), F.coalesce("blocks", F.lit(1))))
+    alone, nothing = F.lit(0).alias("side"), F.col("node").alias("part")
+    within = linked(cut.select(F.struct("grp", "block", F.lit(0).alias("of")).alias("task"), "node", alone, nothing), "within")
+    if not some:
+        return within
+    # members of large groups with the part that each belongs to by now
+    big = materialize(cut.where("blocks IS NOT NULL").select("grp", "node", "n", "block", "blocks"), "big")
+
+    def parted(links: DataFrame, tag: str) -> DataFrame:
+        mine = links.join(big.select(F.col("node").alias("a")), "a", "left_semi")
+        known = connected_components(mine, tag).select("node", F.col("component").alias("part"))
+        return materialize(big.join(known, "node", "left").withColumn("part", F.coalesce("part", "node")), tag)
+
+    parts = parted(within, "parts")
+    one = parts.groupBy("grp", "part").agg(F.min("node").alias("node"), F.first("blocks").alias("blocks"))
+    crowd = one.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("of"))
+    through = one.join(crowd, "grp").select(F.struct("grp", F.pmod(F.hash("node"), F.col("of")).alias("block"), F.lit(1).alias("of")).alias("task"), "node", alone, nothing)
+    joined = within.unionAll(linked(through, "through"))
+    parts = parted(joined, "joined")
+    # all that are not in the largest part of their group meet everyone else
+    counts = parts.groupBy("grp", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = counts.groupBy("grp").agg(F.max(F.struct("c", F.col("part"))).alias("top"), F.sum("c").alias("all"), F.sum("s").alias("words"))
+    most = most.select("grp", F.col("top.part").alias("major"), (F.col("all") - F.col("top.c")).alias("rest"), "words").where("rest > 0")
+    told = parts.join(most, "grp").withColumn("strips", F.greatest(F.ceil(F.col("rest") / F.lit(MEMBERS)), F.ceil(F.col("words") / F.lit(SHINGLES))).cast("int"))
+    every = told.select("grp", "node", "part", F.lit(0).alias("side"), "block", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip"))
+    minors = told.where("part <> major").select("grp", "node", "part", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("node", F.lit(7)), F.col("strips")).alias("strip"))
+    dealt = every.unionByName(minors).select(F.struct("grp", "block", "strip").alias("task"), "node", "side", "part")
+    return joined.unionAll(linked(dealt, "across"))

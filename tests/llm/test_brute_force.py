@@ -309,11 +309,36 @@ def test_near_duplicates_against_all_pairs(spark, k, percent):
 def test_groups_cut_into_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "MEMBERS", 4)
     rows = near_rows()
+    g, base = random.Random(16), texts(1, 17, 120, 120)[0].split()
+    for _ in range(60):  # a chain: each is near some of the others only
+        base[g.randrange(len(base))] = g.choice(WORDS)
+        rows.append((len(rows), " ".join(base)))
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     want = brute_components(rows, 3, 85)
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: c for i, (_, c) in want.items()}
 
 
+def test_keys_with_several_texts_are_one_document(spark):
+    a, b, c = texts(3, 18, 30, 40)
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (5, c + " more"), (2, None), (6, "")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    got = {(r["doc_id"], r["n_shingles"] > 0): (r["component_id"], r["kept"]) for r in out}
+    assert got == {(1, True): (1, True), (2, True): (1, False), (3, True): (1, False), (4, True): (4, True), (5, True): (4, False), (2, False): (2, True), (6, False): (6, True)}
+
+
+def test_texts_that_share_a_passage_do_not_chain(spark, monkeypatch):
+    """Boilerplate in every text: buckets hold unlike texts, groups do not."""
+    g = random.Random(19)
+    shared = texts(1, 20, 60, 60)[0]
+    rows = [(i, shared + " " + " ".join(f"{g.choice(WORDS)}{g.randrange(999)}" for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 300, 3)]
+    sizes, built = [], neardup._confirmed
+    monkeypatch.setattr(neardup, "_confirmed", lambda slim, members, *a: sizes.append(members.groupBy("grp").count().agg(F.max("count")).first()[0]) or built(slim, members, *a))
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
+    assert sizes[0] <= 4
+
+
 def test_sketches_merge_and_estimate():
     g = np.random.default_rng(8)
     sk = neardup.Sketcher(512)
