@@ -125,54 +125,29 @@ def likely(sketches: np.ndarray, n: np.ndarray, at: np.ndarray, rest: np.ndarray
     return out
 
 
-def alike(sketches: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A forest of the pairs of a bucket that are likely to link.  ``side`` tells two blocks apart: if both
-    are there, only pairs across them count.  Who is reached is not looked at again."""
-    across, out, left = len(np.unique(side)) > 1, [], np.ones(len(n), bool)
-    for seed in range(len(n)):
-        if not left[seed]:
-            continue
-        left[seed], todo = False, [seed]
-        while todo:
-            i = todo.pop()
-            rest = np.flatnonzero(left & (side != side[i]) if across else left)
-            near = rest[likely(sketches, n, np.full(len(rest), i), rest, percent) >= percent / 100 - SLACK]
-            left[near] = False
-            out += [(i, int(j)) for j in near]
-            todo += near.tolist()
-    return out
-
-
-def links(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray, part: list, percent: int) -> list[tuple[int, int]]:
-    """A forest of the pairs with 100 * common >= percent * union.  ``side`` tells two blocks apart: if both
-    are there, only pairs across them are looked at.  Members of one ``part`` are known to be connected."""
-    n = np.array([len(s) for s in sets])
-    root, first = list(range(len(sets))), {}
-    for i, p in enumerate(part):
-        root[i] = first.setdefault(p, i)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out, across = [], len(set(side.tolist())) > 1
-    for i in range(len(sets) - 1):
-        mine = find(i)
-        rest = np.array([j for j in range(i + 1, len(sets)) if not (across and side[j] == side[i]) and find(j) != mine], int)
+def forest(sets: list[np.ndarray] | None, sketches: np.ndarray, n: np.ndarray, side: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest of the pairs that link: with ``sets`` those with 100 * common >= percent * union, without
+    them those whose sketches are likely to.  ``side`` tells two blocks apart: if both are there, only
+    pairs across them are looked at.  Members of one ``part`` are connected already."""
+    label = np.unique(part, return_inverse=True)[1]
+    out, across = [], len(np.unique(side)) > 1
+    for i in range(len(n) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if across:
+            rest = rest[side[rest] != side[i]]
         if not len(rest):
             continue
         hat = likely(sketches, n, np.full(len(rest), i), rest, percent)
         order = np.argsort(-hat, kind="stable")
         for j in rest[order[hat[order] >= percent / 100 - SLACK]]:
-            x, y = find(i), find(int(j))
-            if x == y:
+            if label[j] == label[i]:
                 continue
-            both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-            if 100 * both >= percent * (n[i] + n[j] - both):
-                root[max(x, y)] = min(x, y)
-                out.append((i, int(j)))
+            if sets is not None:
+                both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+                if 100 * both < percent * (n[i] + n[j] - both):
+                    continue
+            label[label == label[j]] = label[i]
+            out.append((i, int(j)))
     return out
 
 
@@ -211,7 +186,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     first = [F.first(c).alias(c) for c in ("sketch", "bands")]
     classes = usable.groupBy("set_key").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *first)
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing them
-    groups = connected_components(_likely_links(classes, percent), "groups")
+    banded = classes.select("node", "n", F.explode("bands").alias("grp"))
+    shared = banded.groupBy("grp").agg(F.count("*").alias("c"), F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("blocks")).where("c > 1").drop("c")
+    shared = materialize(shared, "shared")
+    likely_links = _forests(banded.join(bounded_broadcast(shared, shared.count()), "grp"), classes.select("node", "sketch", F.lit(None).cast("binary").alias("elements")), percent, "likely")
+    groups = connected_components(likely_links, "groups")
     members = materialize(classes.select("node", "set_key", "rep", "n").join(groups, "node").withColumnRenamed("component", "grp"), "members")
     # classes of one key are one document
     several = usable.groupBy(key).agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select(key)
@@ -230,55 +209,83 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     return joined.select(key, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(key), F.lit(True)).alias("kept"))
 
 
-def _in_blocks(rows: DataFrame, blocks: str, *group: str) -> DataFrame:
-    """Rows of (node, group columns, number of blocks) dealt to tasks of two blocks of their group."""
-    cut = rows.withColumn("side", F.pmod(F.hash("node"), F.col(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
-    task = F.struct(*group, F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
-    return cut.withColumn("task", task).drop("other", *group, blocks)
-
+def _forests(rows: DataFrame, payload: DataFrame, percent: int, tag: str) -> DataFrame:
+    """(a, b): links that connect what the links of all pairs inside each group connect.
 
-def _likely_links(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): forests of likely links of all buckets."""
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    shared = materialize(banded.groupBy("band").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("blocks"), F.count("*").alias("c")).where("c > 1").select("band", "blocks"), "shared")
-    dealt = _in_blocks(banded.join(bounded_broadcast(shared, shared.count()), "band"), "blocks", "band")
-    rows = dealt.join(classes.select("node", "n", "sketch"), "node").select("task", "node", "side", "n", "sketch")
+    ``rows``: grp, node, n and blocks, the number of blocks that the group is cut into; a node may be in
+    several groups.  ``payload``: node, sketch and elements (null: likely links are enough).  Light rows
+    are dealt to tasks before the payload joins them.  A task holds two blocks at most.
+    """
 
-    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(of: list[list]) -> pa.RecordBatch:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(tasks: list[list]) -> pa.RecordBatch:
             out: list[tuple[int, int]] = []
-            pairs = [h for h in of if len(h) == 2]
+            pairs = [h for h in tasks if len(h) == 2 and h[0][5] is None and h[0][2] != h[1][2]]
             if pairs:  # most buckets hold two: all of them at once
                 flat = [x for h in pairs for x in h]
-                n, sk = np.array([x[2] for x in flat]), np.stack([np.frombuffer(x[3], np.uint16) for x in flat])
+                n, sk = np.array([x[3] for x in flat]), np.stack([np.frombuffer(x[4], np.uint16) for x in flat])
                 left = np.arange(0, len(flat), 2)
                 ok = likely(sk, n, left, left + 1, percent) >= percent / 100 - SLACK
                 out += [(flat[i][0], flat[i + 1][0]) for i in left[ok]]
-            for h in of:
-                if len(h) > 2:
-                    n, sk = np.array([x[2] for x in h]), np.stack([np.frombuffer(x[3], np.uint16) for x in h])
-                    out += [(h[i][0], h[j][0]) for i, j in alike(sk, n, np.array([x[1] for x in h]), percent)]
+            for h in tasks:
+                if len(h) > 2 or len(h) == 2 and h[0][5] is not None:
+                    node, side, part, n, sketch, elements = zip(*h, strict=True)
+                    sets = None if elements[0] is None else [np.frombuffer(x, U) for x in elements]
+                    sk = np.stack([np.frombuffer(x, np.uint16) for x in sketch])
+                    out += [(node[i], node[j]) for i, j in forest(sets, sk, np.array(n), np.array(side), np.array(part), percent)]
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-        now, held, done = None, [], []
+        now, held, done, size = None, [], [], 0
         for batch in batches:
             for task, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 task = tuple(task.values())
                 if task != now:
                     done.append(held)
-                    if len(done) > 1000:
+                    size += len(held)
+                    if size > MEMBERS:
                         yield found(done)
-                        done = []
+                        done, size = [], 0
                     now, held = task, []
                 held.append(row)
         yield found([*done, held])
 
-    edges = rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(forests, "a long, b long")
-    return materialize(edges.distinct(), "likely")
+    def linked(dealt: DataFrame, name: str) -> DataFrame:
+        ready = dealt.join(payload, "node").select("task", "node", "side", "part", "n", "sketch", "elements")
+        edges = ready.repartition("task").sortWithinPartitions("task", "side", "node").mapInArrow(verify, "a long, b long")
+        return materialize(edges.distinct(), f"{tag}-{name}")
+
+    alone, itself = F.lit(0).alias("side"), F.col("node").alias("part")
+    task = lambda *of: F.struct(*of).alias("task")
+    cut = rows.withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    within = linked(cut.select(task("grp", "block", F.lit(0).alias("strip")), "node", alone, itself, "n"), "within")
+    big = materialize(cut.where("blocks > 1"), f"{tag}-big")
+    if big.isEmpty():
+        return within
+
+    def parted(links: DataFrame, name: str) -> DataFrame:
+        """The members of large groups, each with the part that it belongs to by now."""
+        known = connected_components(links.join(big.select(F.col("node").alias("a")).distinct(), "a", "left_semi"), f"{tag}-{name}")
+        return materialize(big.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), f"{tag}-{name}")
+
+    parts = parted(within, "parts")
+    one = parts.groupBy("grp", "part").agg(F.min(F.struct("node", "n")).alias("m")).select("grp", "m.*")
+    crowd = one.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("of"))
+    through = one.join(crowd, "grp").withColumn("block", F.pmod(F.hash("node"), F.col("of"))).select(task("grp", "block", F.lit(0).alias("strip")), "node", alone, itself, "n")
+    joined = within.unionAll(linked(through, "through"))
+    parts = parted(joined, "joined")
+    # all that are not in the largest part of their group meet everyone else
+    counts = parts.groupBy("grp", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = counts.groupBy("grp").agg(F.max(F.struct("c", "part", "s")).alias("top"), F.sum("c").alias("all"), F.sum("s").alias("sum"))
+    most = most.select("grp", F.col("top.part").alias("major"), (F.col("all") - F.col("top.c")).alias("rest"), (F.col("sum") - F.col("top.s")).alias("words")).where("rest > 0")
+    told = parts.join(most, "grp").withColumn("strips", F.greatest(F.ceil(F.col("rest") / F.lit(MEMBERS)), F.ceil(F.col("words") / F.lit(SHINGLES))).cast("int"))
+    every = told.select("grp", "node", "n", "part", F.lit(0).alias("side"), "block", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip"))
+    minors = told.where("part <> major").select("grp", "node", "n", "part", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("node", F.lit(7)), F.col("strips")).alias("strip"))
+    dealt = every.unionByName(minors).select(task("grp", "block", "strip"), "node", "side", "part", "n")
+    return joined.unionAll(linked(dealt, "across"))
 
 
 def _confirmed(slim: DataFrame, members: DataFrame, words: int, percent: int, key: str) -> DataFrame:
-    """Confirmed links (a, b) that connect what the links of all pairs of a group connect."""
+    """Confirmed links (a, b) of the candidate groups."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sk = Words(), Sketcher()
@@ -294,61 +301,7 @@ def _confirmed(slim: DataFrame, members: DataFrame, words: int, percent: int, ke
     count = members.count()
     texts = slim.join(bounded_broadcast(members.select(F.col("rep").alias(key)).distinct(), count, BROADCAST_ROWS), key, "left_semi")
     made = texts.mapInArrow(full, "set_key binary, sketch binary, elements binary")
-    sets = materialize(made.join(bounded_broadcast(members.select("set_key", "node"), count, BROADCAST_ROWS), "set_key").dropDuplicates(["node"]).select("node", "sketch", "elements"), "sets")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done() -> pa.RecordBatch:
-            sets = [np.frombuffer(x[4], U) for x in held]
-            sk = np.stack([np.frombuffer(x[3], np.uint16) for x in held])
-            found = links(sets, sk, np.array([x[1] for x in held]), [x[2] for x in held], percent) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in found], pa.int64()), pa.array([held[j][0] for _, j in found], pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for task, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                task = tuple(task.values())
-                if task != now:
-                    if held:
-                        yield done()
-                    now, held = task, []
-                held.append(row)
-        if held:
-            yield done()
-
-    def linked(dealt: DataFrame, tag: str) -> DataFrame:
-        """Links of ``dealt`` (task, node, side, part); light rows are dealt before the sets join them."""
-        rows = dealt.join(sets, "node").select("task", "node", "side", "part", "sketch", "elements")
-        return materialize(rows.repartition("task").sortWithinPartitions("task", "side", "node").mapInArrow(verify, "a long, b long"), tag)
-
+    made = made.join(bounded_broadcast(members.select("set_key", "node"), count, BROADCAST_ROWS), "set_key").dropDuplicates(["node"]).select("node", "sketch", "elements")
     sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("int").alias("blocks"))
-    large = materialize(sizes.where("blocks > 1"), "large")
-    some = large.count()
-    cut = members.join(bounded_broadcast(large, some), "grp", "left").withColumn("block", F.pmod(F.hash("node"), F.coalesce("blocks", F.lit(1))))
-    alone, nothing = F.lit(0).alias("side"), F.col("node").alias("part")
-    within = linked(cut.select(F.struct("grp", "block", F.lit(0).alias("of")).alias("task"), "node", alone, nothing), "within")
-    if not some:
-        return within
-    # members of large groups with the part that each belongs to by now
-    big = materialize(cut.where("blocks IS NOT NULL").select("grp", "node", "n", "block", "blocks"), "big")
-
-    def parted(links: DataFrame, tag: str) -> DataFrame:
-        mine = links.join(big.select(F.col("node").alias("a")), "a", "left_semi")
-        known = connected_components(mine, tag).select("node", F.col("component").alias("part"))
-        return materialize(big.join(known, "node", "left").withColumn("part", F.coalesce("part", "node")), tag)
-
-    parts = parted(within, "parts")
-    one = parts.groupBy("grp", "part").agg(F.min("node").alias("node"), F.first("blocks").alias("blocks"))
-    crowd = one.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("of"))
-    through = one.join(crowd, "grp").select(F.struct("grp", F.pmod(F.hash("node"), F.col("of")).alias("block"), F.lit(1).alias("of")).alias("task"), "node", alone, nothing)
-    joined = within.unionAll(linked(through, "through"))
-    parts = parted(joined, "joined")
-    # all that are not in the largest part of their group meet everyone else
-    counts = parts.groupBy("grp", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    most = counts.groupBy("grp").agg(F.max(F.struct("c", F.col("part"))).alias("top"), F.sum("c").alias("all"), F.sum("s").alias("words"))
-    most = most.select("grp", F.col("top.part").alias("major"), (F.col("all") - F.col("top.c")).alias("rest"), "words").where("rest > 0")
-    told = parts.join(most, "grp").withColumn("strips", F.greatest(F.ceil(F.col("rest") / F.lit(MEMBERS)), F.ceil(F.col("words") / F.lit(SHINGLES))).cast("int"))
-    every = told.select("grp", "node", "part", F.lit(0).alias("side"), "block", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip"))
-    minors = told.where("part <> major").select("grp", "node", "part", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("node", F.lit(7)), F.col("strips")).alias("strip"))
-    dealt = every.unionByName(minors).select(F.struct("grp", "block", "strip").alias("task"), "node", "side", "part")
-    return joined.unionAll(linked(dealt, "across"))
+    sizes = materialize(sizes, "sizes")
+    return _forests(members.join(bounded_broadcast(sizes, sizes.count()), "grp").select("grp", "node", "n", "blocks"), materialize(made, "sets"), percent, "links")
