@@ -48,27 +48,26 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> D
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
 
-    Minimum labels travel over the edges and labels jump to their label's label, so the rounds
-    grow with the logarithm of the longest path.  All aggregates combine before the shuffle; a
-    hub's rows meet in no single task.  Every round is a written table.  Null ends are ignored.
+    Every node hooks to its smallest neighbour, labels jump to their label's label until they rest, and
+    edges shrink to those between different labels: a round leaves at most half of the nodes, a star
+    is gone after one.  All aggregates combine before the shuffle; a hub's rows meet in no single
+    task.  Every step is a written table.  Null ends are ignored.
     """
-    edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = materialize(edges.union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{tag}-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("lab")), f"{tag}-0")
-    k = 0
-    while True:
-        k += 1
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("lab").alias("low"))
-        stepped = labels.join(near, F.col("node") == F.col("a"), "left").select(
-            "node", F.col("lab").alias("was"), F.coalesce(F.least("lab", "low"), "lab").alias("lab")
-        )
-        jump = labels.select(F.col("node").alias("via"), F.col("lab").alias("far"))
-        moved = materialize(
-            stepped.join(jump, F.col("lab") == F.col("via"), "left").select(
-                "node", F.least(F.col("lab"), F.coalesce("far", "lab")).alias("lab"), "was"
-            ),
-            f"{tag}-{k}",
-        )
-        labels = moved.select("node", "lab")
-        if moved.where("lab <> was").isEmpty():
-            return labels.select("node", F.col("lab").alias("component"))
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    left = materialize(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(low, high).distinct(), f"{tag}-edges")
+    known = None
+    while known is None or not left.isEmpty():
+        both = left.unionAll(left.select("b", "a"))
+        labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("lab")), f"{tag}-hooks")
+        while True:
+            via = labels.select(F.col("node").alias("via"), F.col("lab").alias("far"))
+            moved = materialize(labels.join(via, F.col("lab") == F.col("via")).select("node", F.col("far").alias("lab"), (F.col("far") != F.col("lab")).alias("new")), f"{tag}-jumps")
+            labels = moved.select("node", "lab")
+            if moved.where("new").isEmpty():
+                break
+        # labels of earlier rounds are nodes of this one, or rest
+        step = labels.select(F.col("node").alias("via"), F.col("lab").alias("far"))
+        known = labels if known is None else materialize(known.join(step, F.col("lab") == F.col("via"), "left").select("node", F.coalesce("far", "lab").alias("lab")), f"{tag}-known")
+        ends = left.join(labels.select(F.col("node").alias("a"), F.col("lab").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("lab").alias("y")), "b")
+        left = materialize(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{tag}-edges")
+    return known.select("node", F.col("lab").alias("component"))

@@ -125,12 +125,14 @@ def likely(sketches: np.ndarray, n: np.ndarray, at: np.ndarray, rest: np.ndarray
     return out
 
 
-def forest(sets: list[np.ndarray] | None, sketches: np.ndarray, n: np.ndarray, side: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A forest of the pairs that link: with ``sets`` those with 100 * common >= percent * union, without
-    them those whose sketches are likely to.  ``side`` tells two blocks apart: if both are there, only
-    pairs across them are looked at.  Members of one ``part`` are connected already."""
+def forest(sets: list[np.ndarray] | None, sketches: np.ndarray, n: np.ndarray, side: np.ndarray, node: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """What the pairs that link connect, as stars (node, smallest node): with ``sets`` those with
+    100 * common >= percent * union, without them those whose sketches are likely to.  ``side`` tells two
+    blocks apart: if both are there, only pairs across them are looked at.  Members of one ``part`` are
+    connected already, and one of them is in the star.  Stars of the same members are the same whatever
+    bucket they meet in."""
     label = np.unique(part, return_inverse=True)[1]
-    out, across = [], len(np.unique(side)) > 1
+    begun, across = label.copy(), len(np.unique(side)) > 1
     for i in range(len(n) - 1):
         rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         if across:
@@ -147,7 +149,12 @@ def forest(sets: list[np.ndarray] | None, sketches: np.ndarray, n: np.ndarray, s
                 if 100 * both < percent * (n[i] + n[j] - both):
                     continue
             label[label == label[j]] = label[i]
-            out.append((i, int(j)))
+    out = []
+    for l in np.unique(label[label != begun]):
+        at = np.flatnonzero(label == l)
+        at = at[np.argsort(node[at], kind="stable")]
+        first = at[np.unique(begun[at], return_index=True)[1]]  # the smallest node of each part
+        out += [(int(node[i]), int(node[at[0]])) for i in first if node[i] != node[at[0]]]
     return out
 
 
@@ -187,7 +194,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     classes = usable.groupBy("set_key").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *first)
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing them
     banded = classes.select("node", "n", F.explode("bands").alias("grp"))
-    shared = banded.groupBy("grp").agg(F.count("*").alias("c"), F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("blocks")).where("c > 1").drop("c")
+    shared = banded.groupBy("grp").agg(F.count("*").alias("c"), _blocks(F.count("*") / F.lit(MEMBERS)).alias("blocks")).where("c > 1").drop("c")
     shared = materialize(shared, "shared")
     likely_links = _forests(banded.join(bounded_broadcast(shared, shared.count()), "grp"), classes.select("node", "sketch", F.lit(None).cast("binary").alias("elements")), percent, "likely")
     groups = connected_components(likely_links, "groups")
@@ -209,6 +216,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     return joined.select(key, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(key), F.lit(True)).alias("kept"))
 
 
+def _blocks(least) -> F.Column:
+    """A power of two of at least so many blocks: members meet in like blocks in buckets of like size."""
+    return F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(least)), F.lit(0))).cast("int")
+
+
 def _forests(rows: DataFrame, payload: DataFrame, percent: int, tag: str) -> DataFrame:
     """(a, b): links that connect what the links of all pairs inside each group connect.
 
@@ -226,13 +238,13 @@ def _forests(rows: DataFrame, payload: DataFrame, percent: int, tag: str) -> Dat
                 n, sk = np.array([x[3] for x in flat]), np.stack([np.frombuffer(x[4], np.uint16) for x in flat])
                 left = np.arange(0, len(flat), 2)
                 ok = likely(sk, n, left, left + 1, percent) >= percent / 100 - SLACK
-                out += [(flat[i][0], flat[i + 1][0]) for i in left[ok]]
+                out += [(flat[i + 1][0], flat[i][0]) for i in left[ok]]
             for h in tasks:
                 if len(h) > 2 or len(h) == 2 and h[0][5] is not None:
                     node, side, part, n, sketch, elements = zip(*h, strict=True)
                     sets = None if elements[0] is None else [np.frombuffer(x, U) for x in elements]
                     sk = np.stack([np.frombuffer(x, np.uint16) for x in sketch])
-                    out += [(node[i], node[j]) for i, j in forest(sets, sk, np.array(n), np.array(side), np.array(part), percent)]
+                    out += forest(sets, sk, np.array(n), np.array(side), np.array(node), np.array(part), percent)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
         now, held, done, size = None, [], [], 0
@@ -262,17 +274,21 @@ def _forests(rows: DataFrame, payload: DataFrame, percent: int, tag: str) -> Dat
     if big.isEmpty():
         return within
 
-    def parted(links: DataFrame, name: str) -> DataFrame:
-        """The members of large groups, each with the part that it belongs to by now."""
-        known = connected_components(links.join(big.select(F.col("node").alias("a")).distinct(), "a", "left_semi"), f"{tag}-{name}")
-        return materialize(big.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), f"{tag}-{name}")
+    def parted(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Stars of ``links``, and the members of large groups with the part that each belongs to by now."""
+        known = connected_components(links, f"{tag}-{name}")
+        parts = materialize(big.join(known, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), f"{tag}-{name}")
+        return known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), parts
 
-    parts = parted(within, "parts")
+    ends = big.select(F.col("node").alias("a")).distinct()
+    stars, parts = parted(within.join(ends, "a", "left_semi").select("a", "b"), "parts")
     one = parts.groupBy("grp", "part").agg(F.min(F.struct("node", "n")).alias("m")).select("grp", "m.*")
     crowd = one.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("of"))
     through = one.join(crowd, "grp").withColumn("block", F.pmod(F.hash("node"), F.col("of"))).select(task("grp", "block", F.lit(0).alias("strip")), "node", alone, itself, "n")
-    joined = within.unionAll(linked(through, "through"))
-    parts = parted(joined, "joined")
+    more = linked(through, "through")
+    if not more.isEmpty():
+        stars, parts = parted(stars.unionAll(more), "joined")
+    joined = within.join(ends, "a", "left_anti").select("a", "b").unionAll(stars)
     # all that are not in the largest part of their group meet everyone else
     counts = parts.groupBy("grp", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     most = counts.groupBy("grp").agg(F.max(F.struct("c", "part", "s")).alias("top"), F.sum("c").alias("all"), F.sum("s").alias("sum"))
@@ -302,6 +318,6 @@ def _confirmed(slim: DataFrame, members: DataFrame, words: int, percent: int, ke
     texts = slim.join(bounded_broadcast(members.select(F.col("rep").alias(key)).distinct(), count, BROADCAST_ROWS), key, "left_semi")
     made = texts.mapInArrow(full, "set_key binary, sketch binary, elements binary")
     made = made.join(bounded_broadcast(members.select("set_key", "node"), count, BROADCAST_ROWS), "set_key").dropDuplicates(["node"]).select("node", "sketch", "elements")
-    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES))).cast("int").alias("blocks"))
+    sizes = members.groupBy("grp").agg(_blocks(F.greatest(F.count("*") / F.lit(MEMBERS), F.sum("n") / F.lit(SHINGLES))).alias("blocks"))
     sizes = materialize(sizes, "sizes")
     return _forests(members.join(bounded_broadcast(sizes, sizes.count()), "grp").select("grp", "node", "n", "blocks"), materialize(made, "sets"), percent, "links")
