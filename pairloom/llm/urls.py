@@ -3,14 +3,17 @@
 Segments that vary by form (numbers, long hexadecimal or mixed identifiers) become wildcards at
 once; what is left is a small table of path shapes with counts, on which the tree is built level by
 level.  At each level a branch becomes ``*`` where its parent has too many children for their
-number of rows, and sibling branches whose labelled shares do not differ (a two-proportion test
-against the rest of the siblings) merge.  A template is rejected when the smoothed share of bad
-labels passes a limit.
+number of rows.  Labelled siblings merge where their shares of bad labels do not differ: those that do
+not differ from all the others become ``*``, and of those that do, neighbours in the order of shares
+that do not differ from each other become one branch.  Branches without labels stay as they are.  A
+template is rejected when the smoothed share of bad labels passes a limit; how far shares are smoothed
+is measured by how much templates differ at all, so labels that tell nothing reject nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -57,15 +60,23 @@ def _merged_level(shapes: DataFrame, many: int, share: float, z: float) -> DataF
     whole = child.groupBy("host", "tree").agg(
         F.sum("cn").alias("pn"), F.sum("cb").alias("pb"), F.sum("cs").alias("ps"), F.count("*").alias("kids")
     )
-    # crowded parents have many children with few rows each; others keep children unless alike
+    def apart(s1: Column, b1: Column, s2: Column, b2: Column) -> Column:
+        """The two-proportion statistic; null where a side has no labels."""
+        pooled = (b1 + b2 + 1) / (s1 + s2 + 2)
+        return F.when((s1 > 0) & (s2 > 0), F.abs(b1 / s1 - b2 / s2) / F.sqrt(pooled * (1 - pooled) * (1 / s1 + 1 / s2)))
+
+    # crowded parents have many children with few rows each
     crowded = (F.col("kids") >= many) & (F.col("kids") >= share * F.col("pn"))
-    other_s, other_b = F.col("ps") - F.col("cs"), F.col("pb") - F.col("cb")
-    pooled = (F.col("pb") + 1) / (F.col("ps") + 2)
-    gap = F.abs(F.col("cb") / F.col("cs") - other_b / other_s) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("cs") + 1 / other_s))
-    alike = F.when((F.col("cs") > 0) & (other_s > 0), gap < z).otherwise(F.lit(True))
-    decided = child.join(whole, ["host", "tree"]).select(
-        "host", "tree", "seg", F.when((F.col("seg") != "") & (crowded | (alike & (F.col("kids") > 1))), F.lit("*")).otherwise(F.col("seg")).alias("to")
-    )
+    near_all = F.coalesce(apart(F.col("cs"), F.col("cb"), F.col("ps") - F.col("cs"), F.col("pb") - F.col("cb")) < z, F.lit(False))
+    told = child.join(whole, ["host", "tree"]).withColumn("star", (F.col("seg") != "") & (crowded | near_all))
+    # labelled children that differ from the rest, in the order of their shares
+    differs = materialize(told.where("NOT star AND seg <> '' AND cs > 0"), "differs")
+    by = W.partitionBy("host", "tree").orderBy(F.col("cb") / F.col("cs"), "seg")
+    gap = apart(F.col("cs"), F.col("cb"), F.lag("cs").over(by), F.lag("cb").over(by))
+    runs = differs.withColumn("cut", (F.coalesce(gap, F.lit(z)) >= z).cast("int")).withColumn("run", F.sum("cut").over(by))
+    names = runs.groupBy("host", "tree", "run").agg(F.min("seg").alias("name"), F.count("*").alias("c"))
+    merged = runs.join(names, ["host", "tree", "run"]).select("host", "tree", "seg", F.when(F.col("c") > 1, F.concat("name", F.lit("|*"))).otherwise(F.col("name")).alias("like"))
+    decided = told.join(merged, ["host", "tree", "seg"], "left").select("host", "tree", "seg", F.when(F.col("star"), F.lit("*")).otherwise(F.coalesce("like", "seg")).alias("to"))
     ended = F.size("rest") == 0
     return parent.join(decided, ["host", "tree", "seg"]).select(
         "host", "shape", "n", "bad", "seen",
@@ -94,14 +105,34 @@ def path_templates(pages: DataFrame, bad: Column, levels: int | None = None, man
     return shapes.select("host", "shape", "n", "bad", "seen", F.concat("tree", left).alias("template"))
 
 
+def smoothing(templates: DataFrame, least: float) -> tuple[float, float]:
+    """(share of bad labels, rows that it counts as) for templates (tb of ts labels bad).
+
+    The spread of the templates' shares beyond chance (the moment estimate of the correlation of labels
+    within a template) gives the weight; it is bounded below by ``least``, and by a million rows above.
+    """
+    n, b = templates.agg(F.coalesce(F.sum("ts"), F.lit(0)), F.coalesce(F.sum("tb"), F.lit(0))).first()
+    base = (b + 1) / (n + 2)
+    seen = templates.where("ts > 0").agg(F.count("*"), F.sum(F.col("ts") * F.pow(F.col("tb") / F.col("ts") - F.lit(base), 2)), F.sum(F.col("ts") * F.col("ts"))).first()
+    if not n or seen[0] < 2 or n <= seen[0]:
+        return base, 1e6
+    within = (n * base * (1 - base) - seen[1]) / (n - seen[0])
+    between = seen[1] / (seen[0] - 1)
+    size = (n - seen[2] / n) / (seen[0] - 1)
+    same = (between - within) / max(between + (size - 1) * within, 1e-12)
+    return base, min(max(least, (1 - same) / same if same > 1e-6 else 1e6), 1e6)
+
+
 def url_filter(
     pages: DataFrame, labels: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", limit: float = 0.5, prior: float = 10.0, **tree
 ) -> DataFrame:
     """key, host, path, rule, verdict, template and bad_share of every page.
 
     ``labels`` (key, bad 0/1) marks some pages; the share of bad labels of a template is smoothed
-    towards the share of all labels with the weight of ``prior`` rows.  Verdict: the longest rule's,
-    else block where the smoothed share passes ``limit``, else allow.  Null urls have empty host and
+    towards the share of all labels.  The weight of that is ``prior`` rows or, where templates differ
+    less than that, as many as their differences beyond chance support (none: shares of templates
+    are not believed).  Verdict: the longest rule's, else block where the smoothed share passes
+    ``limit``, else allow.  Null urls have empty host and
     path and are judged as such; repeated rows are judged each; several labels of a key count as
     bad if any is.  Hosts are grouped with partial sums, and joined on (host, shape), whose table
     has a row per shape, so a host with a third of all pages is no large group.
@@ -112,8 +143,9 @@ def url_filter(
     marked = parts.join(marks, "__key", "left")
     known = path_templates(marked, F.col("bad"), **tree)
     template = known.groupBy("host", "template").agg(F.sum("bad").alias("tb"), F.sum("seen").alias("ts"))
-    base = known.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("seen"), F.lit(0)) + 2)).first()[0]
-    share = (F.col("tb") + prior * F.lit(base)) / (F.col("ts") + prior)
+    template = materialize(template, "purity")
+    base, weight = smoothing(template, prior)
+    share = (F.col("tb") + weight * F.lit(base)) / (F.col("ts") + weight)
     purity = template.select("host", "template", share.alias("bad_share"))
     by_shape = known.select("host", "shape", "template").join(purity, ["host", "template"])
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
