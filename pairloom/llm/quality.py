@@ -20,8 +20,8 @@ WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 4, 6, 32, 24
 CHUNK = 96
 #: Bytes convolved at once: bounds a worker's memory whatever the length of a text.
 BLOCK = 1 << 16
-#: Bound of the labelled sample that is fitted, of each label, and chunks of each text used in fitting.
-SAMPLE, SAMPLE_CHUNKS = 1500, 4
+#: Bound of the labelled rows that are fitted, of each label; all chunks of their texts are.
+SAMPLE = 1500
 CHUNK_BYTES = CHUNK * STRIDE
 
 
@@ -116,7 +116,7 @@ class Network:
 
 
 def train(texts: list[str], labels: list[int], base: float = 0.5, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 7) -> Network:
-    """Fit on the given texts: up to SAMPLE_CHUNKS chunks of each, spread evenly over its length,
+    """Fit on the given texts: all chunks of each, which together weigh as much as those of any other,
     and one shorter piece, as short texts have fewer patterns.  Every fifth text only calibrates.
     ``base`` is the share of label 1 among all labels, to which the probability is moved."""
     net = Network(seed)
@@ -130,8 +130,7 @@ def train(texts: list[str], labels: list[int], base: float = 0.5, epochs: int =
         at = int(g.integers(0, max(1, len(data) - crop)))
         if k % 5 == 4:
             continue
-        room = max(0, len(data) - size)
-        starts = sorted({int(x) for x in np.linspace(0, room, SAMPLE_CHUNKS)}) if room else [0]
+        starts = [*range(0, max(1, len(data) - size), CHUNK_BYTES), max(0, len(data) - size)] if len(data) > size else [0]
         for s, x in [*((s, data[s : s + size]) for s in starts), (at, data[at : at + crop])]:
             chunks.append(np.r_[x, np.zeros(size - len(x), np.uint8)])
             target.append(y)
@@ -172,7 +171,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     and the share of label 1 among all labels that may be learnt from.
 
     The sample is the only thing that comes to the driver; its bound does not depend on the data.
-    Ids are chosen on the labels alone; texts are then fetched by those ids.
+    Ids are chosen on the labels alone; texts are then fetched by those ids (of several texts of one
+    id the smallest).
     """
     y = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).groupBy(key).agg(F.min(label).alias("__y"))
     order = F.xxhash64(F.lit("fit"), key)
@@ -181,7 +181,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     if not told:
         return [], [], 0.5
     base = y.agg(F.avg("__y")).first()[0]
-    rows = docs.where(F.col(key).isin(list(told))).select(F.col(key), F.col(text).alias("__t")).dropDuplicates([key]).collect()
+    rows = docs.where(F.col(key).isin(list(told))).select(F.col(key), F.col(text).alias("__t")).groupBy(key).agg(F.min("__t").alias("__t")).collect()
     rows.sort(key=lambda r: r[0])
     return [r[1] or "" for r in rows], [told[r[0]] for r in rows], float(base)
 
