@@ -66,8 +66,9 @@ def hash_tree_shards(docs: DataFrame, tree: Tree, key: str = "doc_id", out: str
     return docs.withColumn(out, shard_of(F.col(key), tree).cast("int"))
 
 
-def with_slots(rows: DataFrame, shard: str = "shard", key: str = "doc_id", pieces: int = 256) -> DataFrame:
-    """Add ``slot``: a gapless count from 0 within each shard.
+def with_slots(rows: DataFrame, shard: str = "shard", key: str = "doc_id", pieces: int = 256, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``slot``: a gapless count from 0 within each shard, in the order of a hash, the key and
+    ``ties``; only rows equal in all of them may change places.
 
     Every shard is cut into ``pieces`` hash ranges.  A range is numbered on its own, starting
     behind the ranges before it, whose sizes are a table of at most shards x pieces rows: no task
@@ -75,13 +76,13 @@ def with_slots(rows: DataFrame, shard: str = "shard", key: str = "doc_id", piece
     """
     from pyspark.sql import Window as W
 
-    h = F.xxhash64(F.lit("slot"), F.col(key))
+    h = F.xxhash64(F.lit("slot"), F.col(key), *ties)  # ties also spread rows of one key, or of none
     cut = rows.withColumn("__h", h).withColumn("__p", F.pmod(F.col("__h"), F.lit(pieces)).cast("int"))
     sizes = cut.groupBy(F.col(shard).alias("__s"), F.col("__p").alias("__q")).count()
     before = sizes.select(
         "__s", "__q", F.coalesce(F.sum("count").over(W.partitionBy("__s").orderBy("__q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before")
     )
-    rank = F.row_number().over(W.partitionBy(shard, "__p").orderBy("__h", key))
+    rank = F.row_number().over(W.partitionBy(shard, "__p").orderBy("__h", key, *ties))
     ranked = cut.withColumn("__r", rank)
     joined = ranked.join(F.broadcast(before), (F.col(shard) == F.col("__s")) & (F.col("__p") == F.col("__q")))
     return joined.withColumn("slot", F.col("__before") + F.col("__r") - 1).drop("__h", "__p", "__s", "__q", "__before", "__r")
@@ -97,4 +98,4 @@ def shard_table(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: st
     slim = docs.select(F.col(key), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     slim = hash_tree_shards(slim, default_tree(shards), key)
     slim = hash_tree_shards(slim, default_tree(shards + 1), key, "grown_shard")
-    return with_slots(slim, key=key).select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return with_slots(slim, key=key, ties=("size", "text_crc32")).select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
