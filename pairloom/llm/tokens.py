@@ -35,10 +35,24 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def supported(spec: dict) -> None:
+    """Raise where the file asks for anything that would be counted wrong here."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    wants = {
+        "model.type": model.get("type", "BPE") == "BPE", "model.dropout": not model.get("dropout"), "model.continuing_subword_prefix": not model.get("continuing_subword_prefix"),
+        "model.end_of_word_suffix": not model.get("end_of_word_suffix"), "model.byte_fallback": not model.get("byte_fallback"), "model.ignore_merges": not model.get("ignore_merges"),
+        "normalizer": spec.get("normalizer") is None, "pre_tokenizer": split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True),
+        "added_tokens": not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])),
+    }
+    if wrong := [k for k, ok in wants.items() if not ok]:
+        raise ValueError(f"unsupported settings of the vocabulary: {', '.join(wrong)}")
+
+
 class MergeTable:
     """Merge ranks as sorted arrays.  Size is that of the vocabulary, whatever the corpus."""
 
     def __init__(self, spec: dict):
+        supported(spec)
         vocab = spec["model"]["vocab"]
         self.base = np.array([vocab[c] for c in byte_symbols()], dtype=np.int64)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
