@@ -296,3 +296,26 @@ def contaminated(
     if out is None:
         return spark.createDataFrame([], T.StructType([T.StructField(key, kind), T.StructField(item, ikind), T.StructField("edits", T.LongType()), T.StructField("end_byte", T.LongType())]))
     return out
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, text: str = "text", item: str = "item_id", target: float = TARGET) -> DataFrame:
+    """The rows of ``docs`` in whose text no item is found (as ``contaminated`` finds them), whatever their
+    keys; each row is judged by its own text.  Narrow: one pass for each table of items."""
+    at, schema = docs.columns.index(text), docs.schema
+    for table in item_tables(benchmark, item):
+        told = docs.sparkSession.sparkContext.broadcast(Index([(n, t) for n, (_, t) in enumerate(table)], rate, target))
+
+        def keep(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            search = Searcher(told.value)
+            for whole in batches:
+                clean: list[bool] = []
+                while len(clean) < whole.num_rows:
+                    texts, size = [], 0
+                    while len(clean) + len(texts) < whole.num_rows and (size < TEXTS or not texts):
+                        texts.append(whole.column(at)[len(clean) + len(texts)].as_py())
+                        size += len(texts[-1] or "")
+                    clean += [not found for found in search.find(texts)]
+                yield whole.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(keep, schema)
+    return docs

@@ -245,6 +245,13 @@ def test_weight_changes_move_rows_only_across_the_changed_subtree(spark):
     assert all(y >= 12 for x, y in moved if x >= 8) and all(y == 13 for x, y in moved if x >= 12)
 
 
+def test_slots_of_repeated_and_null_keys_do_not_depend_on_the_partitions(spark):
+    rows = [(None if i % 3 == 0 else 7, f"text {i % 25}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    a, b = (sorted(map(tuple, sharding.shard_table(d.select("doc_id", "text")).collect()), key=str) for d in (df, df.repartition(7, "n").sortWithinPartitions(F.desc("n"))))
+    assert a == b
+
+
 # tokens ---------------------------------------------------------------------------------------
 TOKENIZED = ["Hello world, it's 2024!", "  spaces \n\n\t tabs", "naïve café — 漢字かな 한국어", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 9, "a<|endoftext|>b <|endoftext|>", "<|endoftext|>", "", "x" * 3001 + "y" * 17, " em nb​zw \x1c\x1f", "don't WE'LL 'Sx", "\U0001f600\U0001f600 ok ½ ²"]
 
@@ -261,6 +268,16 @@ def test_token_counts_equal_the_library(spark):
         assert r["n_bytes"] == len(t.encode()) and r["over_limit"] == (r["n_tokens"] > 1024)
 
 
+def test_other_kinds_of_vocabulary_are_refused():
+    import json
+
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError):
+            tokens.MergeTable(spec | change)
+
+
 # near duplicates ------------------------------------------------------------------------------
 def brute_components(rows, k, percent):
     def shingles(t):
@@ -520,6 +537,28 @@ def test_templates_of_deep_paths(spark):
     assert all(out[100 + i]["template"] == "/a/b/c/docs/*" and out[100 + i]["verdict"] == "allow" for i in range(len(slugs)))
 
 
+def test_labels_that_tell_nothing_reject_nothing(spark):
+    g = random.Random(51)
+    rows = [(i, f"http://h{i % 7}.example.com/{g.choice('abcdef')}/{g.choice('xyz')}/{i}") for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(g.random() < 0.4)) for i in range(0, 3000, 2)], "page_id long, bad int")
+    out = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
+    assert all(r["verdict"] == "allow" for r in out)
+
+
+def test_like_branches_merge_with_like(spark):
+    shares = {"ads": 0.9, "promo": 0.9, "news": 0.1, "help": 0.1}
+    g = random.Random(52)
+    rows, marks = [], []
+    for k, (s, bad) in enumerate(shares.items()):
+        for i in range(200):
+            rows.append((1000 * k + i, f"http://x.example.com/{s}/{i}"))
+            marks.append((1000 * k + i, int(g.random() < bad)))
+    rows += [(9000 + i, f"http://x.example.com/other/{i}") for i in range(5)]
+    out = {r["page_id"]: r for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, bad int")).collect()}
+    assert {out[1000 * k]["template"] for k in (0, 1)} == {"/ads|*/*"} and {out[1000 * k]["template"] for k in (2, 3)} == {"/help|*/*"}
+    assert [out[1000 * k]["verdict"] for k in range(4)] == ["block", "block", "allow", "allow"] and out[9000]["template"] == "/other/*"
+
+
 # quality --------------------------------------------------------------------------------------
 def test_held_out_accuracy():
     good = texts(400, 13, 8, 200)
