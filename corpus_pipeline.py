@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import decontam, mixing, neardup, quality, sharding
 from pairloom.llm.common import bounded_broadcast, materialize, read_table
-from pairloom.llm.queries import MIXTURE, SHARDS, mixture_rows
+from pairloom.llm.queries import MIXTURE, SHARDS
 
 #: Documents below this probability of label 1 are rejected.
 REJECT_BELOW = 0.5
@@ -35,17 +35,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item.  Rows with equal doc_ids stay or go together."""
-    hits = decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    gone = materialize(hits.select("doc_id").where("doc_id IS NOT NULL").distinct(), "leaks")
-    return docs.join(bounded_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; each row is judged by its own text, whatever its id."""
+    return decontam.without_items(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents by calibrated probabilities of source, language and topic."""
+    """A sample of documents by calibrated probabilities of source, language and topic.  Null values are
+    values of their own; columns of ``docs`` keep their names and values."""
     rows = docs.withColumns({"__topic": mixing.topic_of(F.col("text")), "__tokens": mixing.tokens_of(F.col("text"))})
-    dims = {("__topic" if d == "topic" else d): power for d, power in MIXTURE.items()}
-    return mixing.mix(rows, dims, tokens="__tokens").where("sampled").select(*docs.columns)
+    dims = {("__topic" if d == "topic" else d): told for d, told in MIXTURE.items()}
+    return mixing.mix(rows, dims, tokens="__tokens", prefix="__mix_").where("__mix_sampled").select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
