@@ -136,6 +136,7 @@ def train(texts: list[str], labels: list[int], base: float = 0.5, epochs: int =
             target.append(y)
             weight.append((0.5 / share if y else 0.5 / max(1 - share, 1e-9)) / (len(starts) + 1))
     if not chunks or len(set(target)) < 2:
+        net.scale = 0.0  # nothing to learn: every text scores 0.5
         return net
     data, y, wt = np.stack(chunks), np.array(target, np.float32), np.array(weight, np.float32)
     wt *= len(wt) / wt.sum()
