@@ -115,8 +115,8 @@ def wanted(cells: DataFrame, dims: dict[str, float | dict[str | None, float]], n
             raw = seen.join(bounded_broadcast(listed, len(told)), "value", "left").select("value", F.coalesce("raw", F.lit(0.0)).alias("raw"))
         else:
             raw = seen.select("value", F.pow("s", F.lit(float(told))).alias("raw"))
-        whole = raw.agg(F.sum("raw").alias("t"), F.count("*").alias("c"))
-        one = raw.crossJoin(F.broadcast(whole)).select(F.lit(named[d]).alias("dim"), "value", F.when(F.col("t") > 0, F.col("raw") / F.col("t")).otherwise(1 / F.col("c")).alias("want"))
+        total, count = raw.agg(F.sum("raw"), F.count("*")).first()
+        one = raw.select(F.lit(named[d]).alias("dim"), "value", (F.col("raw") / F.lit(total) if total else F.lit(1.0 / max(count, 1))).alias("want"))
         out = one if out is None else out.unionAll(one)
     return materialize(out, "targets")
 
