@@ -15,7 +15,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import annotate, cleaning, diagnostics, folds, metrics, sampling, scoring, validate
+from .operators import annotate, cleaning, diagnostics, folds, metrics, runs, sampling, scoring, validate
 from .sources import tables, xml
 
 STAGES = ("extract", "clean", "label")
@@ -23,9 +23,7 @@ STAGES = ("extract", "clean", "label")
 
 def reconstruct(spark: SparkSession, path: str, out: str, skip: tuple[str, ...] = ()) -> None:
     """XML to raw tables, cleaned tables and type labels.  A skipped stage's tables must be there."""
-    unknown = set(skip) - set(STAGES)
-    if unknown:
-        raise ValueError(f"unknown stages: {sorted(unknown)}")
+    runs.check_inputs(spark, out, STAGES, skip)
     names = ("enzymes", "targets", "transporters", "carriers", "pathways")
     if "extract" not in skip:
         tables.write_tables(xml.parse(spark, path).named(), f"{out}/raw", "parquet")
@@ -33,6 +31,7 @@ def reconstruct(spark: SparkSession, path: str, out: str, skip: tuple[str, ...]
         raw = {n: tables.read_table(spark, f"{out}/raw", n) for n in ("drugs", "edges", *names)}
         edges = raw["edges"].withColumn("ord", F.struct("doc_ord", "pos"))
         done = cleaning.clean(raw["drugs"], edges, {n: raw[n] for n in names})
+        cleaning.write_bundle(done, f"{out}/bundle")
         tables.write_tables({"drugs": done.drugs, "edges": done.edges.drop("ord"), **done.aux, "type_text": done.type_text, "stats": done.stats}, f"{out}/clean", "parquet")
     if "label" not in skip:
         tables.write_tables({"pkpd": annotate.label_types(tables.read_table(spark, f"{out}/clean", "edges"))}, f"{out}/labels", "parquet")
@@ -78,8 +77,8 @@ def main(argv: list[str] | None = None) -> None:
     elif a.what == "diagnose":
         diagnose(spark.read.parquet(a.triples), spark.read.parquet(a.predictions), a.out)
     elif a.what == "aggregate":
-        runs = tables.load_runs(spark, a.runs, "indicator string, bucket string, value double, std double, n bigint")
-        metrics.seed_rollup_all(runs, ["method", "indicator", "bucket"]).write.mode("overwrite").parquet(a.out)
+        seeds = tables.load_runs(spark, a.runs, "indicator string, bucket string, value double, std double, n bigint")
+        metrics.seed_rollup_all(seeds, ["method", "indicator", "bucket"]).write.mode("overwrite").parquet(a.out)
     else:
         validate.check_pairs(spark.read.parquet(a.pairs))
 

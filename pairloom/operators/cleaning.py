@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import range_numbered
 from ..functions.scalars import normalize_text, pair_hi, pair_lo
+from ..sources.stage import staged
 
 TYPE_FLOOR, DEGREE_FLOOR = 10, 10
 # Element symbols that count as metals (technetium and thallium do not).
@@ -126,7 +127,8 @@ def clean(
 ) -> Cleaned:
     """All seven steps: small molecules, valid structures, approved, typed texts, frequent types,
     organic without metals (types counted again), then the degree floor.  Auxiliary tables are
-    pruned once, to the last drug set.  Counts of each step are lazily part of ``stats``."""
+    pruned once, to the last drug set.  The graph is written after the approved, the frequent and the
+    organic step; counts of each step are lazily part of ``stats``."""
     key = "drugbank_id"
     counts: list[DataFrame] = []
 
@@ -141,6 +143,8 @@ def clean(
     for step, name, test in ((1, "small molecule", F.col("type") == "small molecule"), (2, "valid structure", structure(F.col("smiles"))), (3, "approved", has_token(F.col("groups"), "approved"))):
         d = d.where(test)
         e = both_ends_in(e, d, key)
+        if step == 3:  # written tables: later steps and the counts do not repeat what is before
+            d, e = staged(d, "approved-nodes"), staged(e, "approved-edges")
         note(step, name, d, e, False)
     names = d.select(F.col(key).alias("__id"), F.col("name").alias("__name"))
     e = e.join(names.withColumnsRenamed({"__id": "drug_a_id", "__name": "__na"}), "drug_a_id").join(names.withColumnsRenamed({"__id": "drug_b_id", "__name": "__nb"}), "drug_b_id")
@@ -148,10 +152,12 @@ def clean(
     note(4, "typed", d, e, True)
     e = type_floor(e, floor=type_min)
     d = d.join(ends_of(e, key).distinct(), key, "left_semi")
+    d, e = staged(d, "frequent-nodes"), staged(e, "frequent-edges")
     note(5, "frequent types", d, e, True)
     d = d.where(organic(F.col("smiles")))
     e = type_floor(both_ends_in(e, d, key), floor=type_min)
     d = d.join(ends_of(e, key).distinct(), key, "left_semi")
+    d, e = staged(d, "organic-nodes"), staged(e, "organic-edges")
     note(6, "organic", d, e, True)
     keep = degrees(e, key).where(F.col("degree") >= degree_min)
     d = d.join(keep, key, "left_semi")
@@ -162,3 +168,14 @@ def clean(
         stats = stats.unionByName(c)
     pruned = {k: t.join(d.select(key), key, "left_semi") for k, t in (aux or {}).items()}
     return Cleaned(d, e, pruned, first_description(e, order), stats)
+
+
+def write_bundle(done: Cleaned, folder: str) -> None:
+    """The cleaned tables as CSV, and three small JSON files: step counts, the text of each type, and the
+    smallest drugs' ids by degree that a subset may start from."""
+    from ..sources.tables import write_json_rows, write_tables
+
+    write_tables({"drugs": done.drugs, "ddi_edges": done.edges.drop("ord"), **done.aux}, folder, "csv")
+    write_json_rows(done.stats.orderBy("step"), f"{folder}/stats")
+    write_json_rows(done.type_text.orderBy("ddi_type"), f"{folder}/type_to_text")
+    write_json_rows(degrees(done.edges).orderBy(F.desc("degree"), "node").limit(100), f"{folder}/subset_candidates")

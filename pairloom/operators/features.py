@@ -12,7 +12,10 @@ from .metrics import percentile_edges
 def reference_profiles(prints: DataFrame, reference: DataFrame, node: str = "node", bits: str = "bits") -> DataFrame:
     """(node, profile): similarities to a fixed, small reference list, in its order.
 
-    ``reference``: (pos, bits).  It is one broadcast row, so each node is worked out in place."""
+    ``reference``: (pos, bits), 10,000 rows at most.  It is one broadcast row, so each node is worked out
+    in place."""
+    if reference.limit(10_001).count() > 10_000:
+        raise ValueError("a reference list has at most 10000 rows")
     ref = reference.agg(F.array_sort(F.collect_list(F.struct("pos", F.col(bits).alias("b")))).alias("refs")).withColumn("__j", F.lit(1))
     j = prints.select(node, bits).withColumn("__j", F.lit(1)).join(F.broadcast(ref), "__j")
     return j.select(node, F.transform("refs", lambda r: tanimoto(F.col(bits), r["b"])).alias("profile"))

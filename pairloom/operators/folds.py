@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stage import bounded_broadcast
 from ..functions.scalars import hash_order, pair_hi, pair_lo
 
 # Shares of the two protocols, and seed offsets of the negatives of each fold.
@@ -49,7 +50,7 @@ def numbered(rows: DataFrame, by: list[str], order: Column, ties: list[str], out
     sizes = cut.groupBy(*by, "__k").agg(F.count("*").alias("__c"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(W.partitionBy(*by).orderBy("__k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     rank = F.row_number().over(W.partitionBy(*by, "__k").orderBy("__o", *ties))
-    return cut.withColumn("__r", rank).join(F.broadcast(before), [*by, "__k"]).withColumn(out, F.col("__before") + F.col("__r")).drop("__o", "__k", "__r", "__before")
+    return cut.withColumn("__r", rank).join(bounded_broadcast(before), [*by, "__k"]).withColumn(out, F.col("__before") + F.col("__r")).drop("__o", "__k", "__r", "__before")
 
 
 def node_groups(nodes: DataFrame, seed: int, node: str = "node", protocol: dict | None = None) -> DataFrame:
@@ -86,9 +87,11 @@ def fair_folds(edges: DataFrame, groups: DataFrame, seed: int, a: str = "a", b:
 
 
 def coverage_anchors(edges: DataFrame, seed: int, a: str = "a", b: str = "b") -> DataFrame:
-    """Edges that cover every node, for the legacy protocol: an edge is an anchor if it comes first,
-    in a keyed order, at one of its ends.  Unlike a greedy pass this needs no sequence: a node's
-    first edge is found by one aggregate."""
+    """Edges that cover every node, for the legacy protocol: what a greedy pass in a keyed order keeps.
+
+    The pass keeps an edge if one of its ends is unseen.  All edges before it at that end would have
+    been kept for it and made it seen, so the edge is the end's first; and a node's first edge is always
+    kept.  So the anchors are the first edges of the nodes, and one aggregate finds them."""
     order = hash_order(F.lit(str(seed)), F.lit("anchor"), pair_lo(a, b), pair_hi(a, b))
     keyed = edges.withColumn("__o", order)
     ends = keyed.select(F.explode(F.array(a, b)).alias("__n"), "__o").groupBy("__n").agg(F.min("__o").alias("__o")).select("__o").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import range_numbered
 from ..functions.scalars import hash32
-from ..sources.stage import staged
+from ..sources.stage import bounded_broadcast, staged
 
 
 def triple_index(triples: DataFrame, nodes: DataFrame, head: str = "head", tail: str = "tail", rel: str = "rel") -> DataFrame:
@@ -44,26 +44,13 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: int | None = None
     """(src, node, dist) of everything reachable in up to ``most`` steps, or in any number if None; a
     source reaches itself in 0.
 
-    One join and one anti join for each step; only the frontier is joined with the edges.  Without a
-    limit each frontier is a written table, until one is empty.
+    One join and one anti join for each step; only the frontier, a written table, is joined with the
+    edges, until it is empty.
     """
-    if most is None:
-        return _reachable(edges, sources)
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    front = sources.select(F.col("n").alias("src"), F.col("n").alias("node"), F.lit(0).alias("dist"))
-    seen = front
-    for d in range(1, most + 1):
-        step = front.select("src", F.col("node").alias("via")).join(both.select(F.col("src").alias("via"), "dst"), "via").select("src", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("src", "node"), ["src", "node"], "left_anti").withColumn("dist", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen
-
-
-def _reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     both = staged(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "paths-edges")
     before, front = None, staged(sources.select(F.col("n").alias("src"), F.col("n").alias("node"), F.lit(0).alias("dist")).distinct(), "paths-0")
     seen, d = front, 0
-    while not front.isEmpty():
+    while d != most and not front.isEmpty():
         d += 1
         step = front.select("src", F.col("node").alias("via")).join(both.select(F.col("src").alias("via"), "dst"), "via").select("src", F.col("dst").alias("node")).distinct()
         # edges go both ways, so a step leads one frontier back, nowhere or one ahead
@@ -77,25 +64,27 @@ def k_hop(edges: DataFrame, sources: DataFrame, hops: int, fixed: int, seed: int
     """(src, node): nodes within ``hops``, at most ``fixed`` new neighbours by hash for each node and hop."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     order = W.partitionBy("src").orderBy(hash32(str(seed), F.col("src"), F.col("dst")), "dst")
-    few = both.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= fixed).drop("__r")
+    few = staged(both.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= fixed).drop("__r"), "hop-edges")
     front = sources.select(F.col("n").alias("src"), F.col("n").alias("node"))
     seen = front
     for _ in range(hops):
         front = front.select("src", F.col("node").alias("via")).join(few.select(F.col("src").alias("via"), F.col("dst").alias("node")), "via").select("src", "node").distinct()
-        seen = seen.union(front).distinct()
-    return seen
+        front = staged(front, "hop")
+        seen = seen.union(front)
+    return seen.distinct()
 
 
 def random_walk(edges: DataFrame, sources: DataFrame, steps: int, seed: int) -> DataFrame:
     """(start, step, node): one uniform walk from each source; the pick is a keyed hash over sorted
     neighbours.  A walk ends at a node without neighbours."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    lists = both.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("nb"))
+    lists = staged(both.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("nb")), "walk-lists")
     at = sources.select(F.col("n").alias("start"), F.lit(0).alias("step"), F.col("n").alias("node"))
     out = at
     for k in range(1, steps + 1):
         pick = F.pmod(hash32(str(seed), F.col("start"), str(k)), F.size("nb")).cast("int")
         at = at.join(lists, "node").select("start", F.lit(k).alias("step"), F.element_at("nb", pick + 1).alias("node"))
+        at = staged(at, "walk")
         out = out.unionByName(at)
     return out
 
@@ -104,7 +93,7 @@ def biased_walk(edges: DataFrame, sources: DataFrame, steps: int, seed: int, p:
     """(start, step, node) of a second-order walk: weight 1/p back, 1 to common neighbours, 1/q else,
     drawn by the place of a keyed uniform among cumulated weights."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    lists = both.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("nb"))
+    lists = staged(both.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("nb")), "walk-lists")
     prior = lists.select(F.col("node").alias("prev"), F.col("nb").alias("prev_nb"))
     at = sources.select(F.col("n").alias("start"), F.lit(0).alias("step"), F.col("n").alias("node"), F.lit(None).cast("bigint").alias("prev"))
     out = at.select("start", "step", "node")
@@ -114,6 +103,7 @@ def biased_walk(edges: DataFrame, sources: DataFrame, steps: int, seed: int, p:
         j = j.withColumn("w", weight).withColumn("u", hash32(str(seed), F.col("start"), str(k)) / 4294967296.0 * F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
         walk = F.aggregate("w", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.when(a["sum"] + x <= F.col("u"), a["i"] + 1).otherwise(a["i"]).alias("i")))
         at = j.select("start", F.lit(k).alias("step"), F.element_at("nb", F.least(walk["i"] + 1, F.size("nb"))).alias("next"), F.col("node").alias("prev")).withColumnRenamed("next", "node")
+        at = staged(at, "walk")
         out = out.unionByName(at.select("start", "step", "node"))
     return out
 
@@ -122,17 +112,17 @@ def google_rows(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85) -> Data
     """(src, dst, p) where there is an edge: alpha / out-degree + (1 - alpha) / N.  Nodes without
     edges out are given as one row with a null dst and p = 1 / N for every target."""
     n = nodes.select("n").distinct()
-    total = n.agg(F.count("*").alias("N"))
+    total = n.count()
     out = edges.select("src", "dst").distinct()
     deg = out.groupBy("src").agg(F.count("*").alias("deg"))
-    rows = out.join(deg, "src").crossJoin(F.broadcast(total)).select("src", "dst", (F.lit(alpha) / F.col("deg") + (1 - alpha) / F.col("N")).alias("p"))
-    bare = n.select(F.col("n").alias("src")).join(deg, "src", "left_anti").crossJoin(F.broadcast(total)).select("src", F.lit(None).cast("bigint").alias("dst"), (1 / F.col("N")).alias("p"))
+    rows = out.join(deg, "src").select("src", "dst", (F.lit(alpha) / F.col("deg") + F.lit((1 - alpha) / max(total, 1))).alias("p"))
+    bare = n.select(F.col("n").alias("src")).join(deg, "src", "left_anti").select("src", F.lit(None).cast("bigint").alias("dst"), F.lit(1 / max(total, 1)).alias("p"))
     return rows.unionByName(bare)
 
 
 def message_step(edges: DataFrame, state: DataFrame, gates: DataFrame) -> DataFrame:
     """(node, h): the gated sum of neighbours' states over one step."""
-    m = edges.join(state.select(F.col("node").alias("src"), "h"), "src").join(F.broadcast(gates), "rel")
+    m = edges.join(state.select(F.col("node").alias("src"), "h"), "src").join(bounded_broadcast(gates), "rel")
     return m.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("h") * F.col("gate")).alias("h"))
 
 

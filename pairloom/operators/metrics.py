@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbering import range_numbered
+
 NAN = float("nan")
 
 
@@ -96,8 +98,25 @@ def quadrants(rows: DataFrame, quadrant: str, agree: Column, names: list[str]) -
 
 def percentile_edges(rows: DataFrame, value: str, bins: int = 10, by: list[str] | None = None) -> DataFrame:
     """``edges``: exact percentiles by linear interpolation, the last one raised by 1e-9.  Fewer than
-    two values have no edges."""
+    two values have no edges.  Without ``by`` the order statistics are picked by their places in a
+    range-partitioned order: no task holds all values."""
+    if not by:
+        return _global_edges(rows, value, bins)
     at = [i / bins for i in range(bins + 1)]
     raw = F.percentile(F.col(value), F.array(*map(F.lit, at)))
     last = F.transform(raw, lambda e, i: F.when(i == bins, e + 1e-9).otherwise(e))
-    return rows.groupBy(*(by or [])).agg(F.when(F.count(value) >= 2, last).otherwise(F.expr("cast(array() as array<double>)")).alias("edges"))
+    return rows.groupBy(*by).agg(F.when(F.count(value) >= 2, last).otherwise(F.expr("cast(array() as array<double>)")).alias("edges"))
+
+
+def _global_edges(rows: DataFrame, value: str, bins: int) -> DataFrame:
+    placed = range_numbered(rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), ["v"])
+    n = placed.count()
+    edges: list[float] = []
+    if n >= 2:
+        at = [(n - 1) * i / bins for i in range(bins + 1)]
+        got = {r["place"]: r["v"] for r in placed.where(F.col("place").isin(sorted({int(p) + 1 for p in at} | {int(-(-p // 1)) + 1 for p in at}))).collect()}
+        for p in at:
+            low, high = int(p), int(-(-p // 1))
+            edges.append(got[low + 1] if low == high else (high - p) * got[low + 1] + (p - low) * got[high + 1])
+        edges[-1] += 1e-9
+    return rows.sparkSession.createDataFrame([(edges,)], "edges array<double>")

@@ -66,13 +66,6 @@ def draw_pairs(spark: SparkSession, pool_a: DataFrame, pool_b: DataFrame, known:
     return draw_tagged(spark, {"pairs": (n, seed, "a", "a" if pool_b is pool_a else "b")}, pools, known).select("a", "b")
 
 
-def all_pairs_sample(pool: DataFrame, known: DataFrame, n: int, seed: int) -> DataFrame:
-    """The same from the enumeration of a small pool: never short of a pair that exists."""
-    u, v = pool.select(F.col("node").alias("a")), pool.select(F.col("node").alias("b"))
-    fresh = u.join(v, F.col("a") < F.col("b")).join(known.select(pair_lo("a", "b").alias("a"), pair_hi("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return fresh.orderBy(hash_order(str(seed), F.col("a"), F.col("b")), "a", "b").limit(n)
-
-
 def indexed_pool(nodes: DataFrame, node: str = "node") -> DataFrame:
     """(idx, node): nodes numbered from 0 in their own order."""
     ids = nodes.select(F.col(node).alias("node")).distinct()
@@ -99,6 +92,19 @@ def epoch_negatives(spark: SparkSession, train: DataFrame, pool: DataFrame, know
     return draw_tagged(spark, wanted, pools, staged(known.select("a", "b"), "known")).withColumnRenamed("tag", "epoch")
 
 
+def write_epochs(spark: SparkSession, train: DataFrame, pool: DataFrame, known: DataFrame, seed: int, epochs: int, folder: str) -> None:
+    """Training negatives of each epoch as ``epoch_<n>.parquet``, one after the other; epochs that are
+    there already are left as they are, so a run that stopped goes on where it was."""
+    from ..sources.tables import has_table
+
+    n = train.count()
+    pools, known = staged(pool.select(F.lit("all").alias("pool"), "idx", "node"), "pool"), staged(known.select("a", "b"), "known")
+    for e in range(epochs):
+        if not has_table(spark, f"{folder}/epoch_{e}.parquet"):
+            drawn = draw_tagged(spark, {e: (n, seed + TRAIN_NEGATIVE_OFFSET + e, "all", "all")}, pools, known)
+            drawn.select("a", "b").write.mode("overwrite").parquet(f"{folder}/epoch_{e}.parquet")
+
+
 def hash_top(rows: DataFrame, n: int, seed: int, tag: str, key: str) -> DataFrame:
     """n rows by the least hash of their key: a sample without replacement.  Places are numbered by
     ranges, so that a large n is no single task either."""

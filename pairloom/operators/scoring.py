@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_json, write_json
+
 MODALITIES = ("mol", "kg", "text", "mol+kg", "mol+kg-fused")
 #: what may be masked for each modality
 MASKS = {"mol": (), "text": (), "mol+kg-fused": (), "kg": ("kg",), "mol+kg": ("mol", "kg")}
@@ -29,23 +32,60 @@ class NegativeSampler(Protocol):
 
 
 _scorers: dict[str, type] = {}
+#: name -> module that registers it when it is first wanted
+_modules: dict[str, str] = {}
+
+
+def _key(name: str) -> str:
+    return name.replace("-", "_")
 
 
 def register(name: str) -> Callable[[type], type]:
     def add(cls: type) -> type:
         if getattr(cls, "modality", None) not in MODALITIES:
             raise ValueError(f"{name}: unknown modality {getattr(cls, 'modality', None)!r}")
-        _scorers[name.replace("-", "_")] = cls
+        if _scorers.get(_key(name), cls) is not cls:
+            raise ValueError(f"{name} is taken by {_scorers[_key(name)].__name__}")
+        _scorers[_key(name)] = cls
         return cls
 
     return add
 
 
+def register_module(name: str, module: str) -> None:
+    """A scorer whose module, with what it depends on, is imported only when it is wanted."""
+    _modules[_key(name)] = module
+
+
+def scorer_class(name: str) -> type:
+    if _key(name) not in _scorers and _key(name) in _modules:
+        try:
+            importlib.import_module(_modules[_key(name)])
+        except ImportError as e:
+            raise ImportError(f"scorer {name!r} needs {_modules[_key(name)]!r}: {e}") from e
+    if _key(name) not in _scorers:
+        raise KeyError(f"no scorer {name!r}; known: {sorted({*_scorers, *_modules})}")
+    return _scorers[_key(name)]
+
+
 def scorer(name: str, **kw) -> PairScorer:
-    try:
-        return _scorers[name.replace("-", "_")](**kw)
-    except KeyError:
-        raise KeyError(f"no scorer {name!r}; known: {sorted(_scorers)}") from None
+    return scorer_class(name)(**kw)
+
+
+def save_scorer(spark: SparkSession, name: str, settings: dict, folder: str, version: str = "1") -> None:
+    """A manifest of name, version and settings; a scorer with more to keep writes it beside."""
+    write_json({"scorer": _key(name), "version": version, "settings": settings}, f"{folder}/manifest.json", spark)
+
+
+def load_scorer(spark: SparkSession, folder: str) -> PairScorer:
+    """The scorer that the manifest names, made from its settings, or by its own ``load`` if it has one."""
+    told = read_json(spark, f"{folder}/manifest.json")
+    if told is None:
+        raise FileNotFoundError(f"{folder}: no manifest.json")
+    if not told.get("scorer"):
+        raise ValueError(f"{folder}: the manifest names no scorer")
+    cls = scorer_class(told["scorer"])
+    return cls.load(folder) if hasattr(cls, "load") else cls(**told.get("settings", {}))
 
 
 def mask_channels(modality: str) -> tuple[str, ...]:

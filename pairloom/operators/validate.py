@@ -12,6 +12,11 @@ class Invalid(ValueError):
     """A table breaks its contract."""
 
 
+def column_audit(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, present) of required columns."""
+    return df.sparkSession.createDataFrame([(c, c in df.columns) for c in columns], "name string, present boolean")
+
+
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import annotate as A
 from ..operators import cleaning as C
+from ..sources.stage import bounded_broadcast
 from .registry import Tables, query, with_parts
 
 POLISHED = "STANDARD POLISHED TIN"
@@ -102,7 +103,7 @@ THEN 'Mixed' ELSE 'PK' END WHEN len(list_filter({PD_LIST}, lambda k: contains(lo
 @query("j01_label_left_join", with_parts("typed") + f", {LABELS_SQL} SELECT a, b, t.ddi_type, pk_pd_label FROM typed t LEFT JOIN lab USING (ddi_type)")
 def j01(t: Tables):
     e = t.typed_edges()
-    return e.join(F.broadcast(A.label_types(e).select("ddi_type", "pk_pd_label")), "ddi_type", "left").select("a", "b", "ddi_type", "pk_pd_label")
+    return e.join(bounded_broadcast(A.label_types(e).select("ddi_type", "pk_pd_label")), "ddi_type", "left").select("a", "b", "ddi_type", "pk_pd_label")
 
 
 PK_SQL = with_parts("typed", "kg") + """, ty AS (SELECT a, b, ddi_type, CASE WHEN contains(lower(ddi_type), 'metabolism') THEN ['enzyme'] WHEN contains(lower(ddi_type), 'serum concentration') THEN ['enzyme', 'transporter']

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.numbering import range_numbered
 from ..operators import diagnostics as D
 from ..operators import metrics as M
 from ..sources.stage import staged
@@ -233,9 +234,7 @@ def w10(t: Tables):
 
 @query("w12_sequential_ids", "SELECT printf('P%04d', row_number() OVER (ORDER BY s_suppkey)) AS pair_id, s_suppkey FROM supplier")
 def w12(t: Tables):
-    from pyspark.sql import Window as W
-
-    return t.supplier.select(F.format_string("P%04d", F.row_number().over(W.orderBy("s_suppkey"))).alias("pair_id"), "s_suppkey")
+    return range_numbered(t.supplier.select("s_suppkey"), ["s_suppkey"], "n").select(F.format_string("P%04d", "n").alias("pair_id"), "s_suppkey")
 
 
 @query("n20_softmax", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(1 / (1 + exp(l_tax - l_discount)), 12) AS p_yes FROM lineitem")

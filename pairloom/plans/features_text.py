@@ -248,17 +248,8 @@ def g11(t: Tables):
     return FE.property_bins(t.part.withColumn("node", F.col("p_partkey")), ["p_retailprice"])
 
 
-@query("g17_distance_relations", f"""WITH RECURSIVE {GR.SMALL}, e AS (SELECT src, dst FROM sm WHERE (src * 3 + dst) % 7 = 0), bo AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT n_nationkey::BIGINT AS src, n_nationkey::BIGINT AS node, 0 AS dist FROM nation UNION SELECT r.src, bo.dst, dist + 1 FROM r JOIN bo ON bo.src = r.node WHERE dist < 4)
-SELECT src, node, CAST(min(dist) + 7 AS INTEGER) AS rel FROM r WHERE src % 2 = 0 AND node % 2 = 0 AND node < 25 GROUP BY 1, 2""")
+@query("g17_distance_relations", GR.PATHS_SQL + " SELECT src, node, CAST(dist + 7 AS INTEGER) AS rel FROM r")
 def g17(t: Tables):
-    nations = t.nation.select(F.col("n_nationkey").cast("bigint").alias("n"))
-    paths = G.shortest_paths(GR.small(t).where("pmod(src * 3 + dst, 7) = 0"), nations, 4)
-    return G.induced_relations(paths, nations.where("n % 2 = 0"), 7)
-
-
-@query("g17_distance_relations_whole", GR.PATHS_SQL + " SELECT src, node, CAST(dist + 7 AS INTEGER) AS rel FROM r")
-def g17_whole(t: Tables):
     nodes = GR.nodes(t)
     return G.induced_relations(G.shortest_paths(GR.small(t), nodes), nodes, 7)
 

@@ -32,14 +32,14 @@ def n18(t: Tables):
 NATION_BITS = "nb AS (SELECT s_nationkey AS node, list_sort(list(DISTINCT s_suppkey % 32)) AS bits FROM supplier GROUP BY 1), sim AS (SELECT x.node AS u, y.node AS v, len(list_intersect(x.bits, y.bits)) / len(list_distinct(list_concat(x.bits, y.bits)))::DOUBLE AS sim FROM nb x, nb y)"
 
 
-def nation_sims(t: Tables):
-    nb = t.supplier.groupBy(F.col("s_nationkey").alias("node")).agg(F.array_sort(F.collect_set(F.pmod("s_suppkey", F.lit(32)))).alias("bits"))
-    return RT.node_similarity(nb, nb, nb)
+def nation_prints(t: Tables):
+    return t.supplier.groupBy(F.col("s_nationkey").alias("node")).agg(F.array_sort(F.collect_set(F.pmod("s_suppkey", F.lit(32)))).alias("bits"))
 
 
 @query("j15_reference_matrix", f"WITH {NATION_BITS} SELECT u, v, sim FROM sim")
 def j15(t: Tables):
-    return nation_sims(t)
+    nb = nation_prints(t)
+    return RT.node_similarity(nb, nb, nb)
 
 
 PAIRS_SQL = ", q AS (SELECT DISTINCT n_regionkey AS qa, n_nationkey AS qb FROM nation WHERE n_regionkey <> n_nationkey), po AS (SELECT x.n_nationkey AS ra, y.n_nationkey AS rb FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey)"
@@ -56,10 +56,7 @@ s AS (SELECT qa, qb, ra, rb, greatest((x.sim + y.sim) / 2, (z.sim + w.sim) / 2)
 SELECT qa, qb, CAST(place AS INTEGER) AS place, ra, rb, score FROM (SELECT *, row_number() OVER (PARTITION BY qa, qb ORDER BY score DESC, ra, rb) AS place FROM s) WHERE place <= 3""")
 def n19(t: Tables):
     q, po = query_pairs(t)
-    one = q.withColumn("j", F.lit(1)).join(F.broadcast(po.withColumn("j", F.lit(1))), "j").drop("j")
-    c = one.where("ra <> qa AND ra <> qb AND rb <> qa AND rb <> qb")
-    sims = nation_sims(t).select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), "sim")
-    return RT.scored_examples(c, sims, 3)
+    return RT.top_pair_examples(q, po, nation_prints(t).select(F.col("node").cast("bigint").alias("node"), "bits"), 3)
 
 
 @query("j13_shared_entity_candidates", "WITH nm AS (SELECT DISTINCT s_nationkey AS n, 'e' || s_suppkey % 17 AS entity FROM supplier)" + PAIRS_SQL + """,
@@ -113,19 +110,6 @@ def small(t: Tables):
     return t.supplier.select(F.col("s_nationkey").cast("bigint").alias("src"), (F.pmod("s_suppkey", F.lit(40)).cast("int") + 25).cast("bigint").alias("dst")).distinct()
 
 
-@query("g06_isolated_selfloops", f"WITH {SMALL}, e AS (SELECT src, dst FROM sm WHERE (src + dst) % 5 = 0) SELECT src, dst, 1 AS rel FROM e UNION ALL SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
-def g06(t: Tables):
-    e = small(t).where("pmod(src + dst, 5) = 0").withColumn("rel", F.lit(1))
-    return G.isolated_loops(t.nation.select(F.col("n_nationkey").cast("bigint").alias("n")), e)
-
-
-@query("g12_shortest_paths", f"""WITH RECURSIVE {SMALL}, e AS (SELECT src, dst FROM sm WHERE (src * 3 + dst) % 7 = 0), bo AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT n_nationkey::BIGINT AS src, n_nationkey::BIGINT AS node, 0 AS dist FROM nation UNION SELECT r.src, bo.dst, dist + 1 FROM r JOIN bo ON bo.src = r.node WHERE dist < 4)
-SELECT src, node, CAST(min(dist) AS INTEGER) AS dist FROM r GROUP BY 1, 2""")
-def g12(t: Tables):
-    return G.shortest_paths(small(t).where("pmod(src * 3 + dst, 7) = 0"), t.nation.select(F.col("n_nationkey").cast("bigint").alias("n")), 4)
-
-
 #: Every node of the stand-in graph, nations without edges too, and the lengths of all paths among them.
 NODES_SQL = "al AS (SELECT src AS n FROM sm UNION SELECT dst FROM sm UNION SELECT n_nationkey FROM nation)"
 PATHS_SQL = f"""WITH RECURSIVE {SMALL}, {NODES_SQL}, bo AS (SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM sm UNION SELECT dst, src FROM sm),
@@ -136,14 +120,14 @@ def nodes(t: Tables):
     return small(t).select(F.explode(F.array("src", "dst")).alias("n")).union(t.nation.select(F.col("n_nationkey").cast("bigint"))).distinct()
 
 
-@query("g06_isolated_selfloops_whole", f"WITH {SMALL}, un AS (SELECT n_nationkey AS n FROM nation UNION SELECT p_size + 25 FROM part) SELECT src, dst, 1 AS rel FROM sm UNION ALL SELECT n, n, 0 FROM un WHERE n NOT IN (SELECT src FROM sm UNION SELECT dst FROM sm)")
-def g06_whole(t: Tables):
+@query("g06_isolated_selfloops", f"WITH {SMALL}, un AS (SELECT n_nationkey AS n FROM nation UNION SELECT p_size + 25 FROM part) SELECT src, dst, 1 AS rel FROM sm UNION ALL SELECT n, n, 0 FROM un WHERE n NOT IN (SELECT src FROM sm UNION SELECT dst FROM sm)")
+def g06(t: Tables):
     sizes = t.part.select((F.col("p_size") + 25).cast("bigint").alias("n"))
     return G.isolated_loops(t.nation.select(F.col("n_nationkey").cast("bigint").alias("n")).union(sizes).distinct(), small(t).withColumn("rel", F.lit(1)))
 
 
-@query("g12_shortest_paths_whole", PATHS_SQL + " SELECT src, node, CAST(dist AS INTEGER) AS dist FROM r")
-def g12_whole(t: Tables):
+@query("g12_shortest_paths", PATHS_SQL + " SELECT src, node, CAST(dist AS INTEGER) AS dist FROM r")
+def g12(t: Tables):
     return G.shortest_paths(small(t), nodes(t))
 
 
@@ -269,3 +253,12 @@ def n07(t: Tables):
 @query("n09_occurrence_count", "SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n FROM documents")
 def n09(t: Tables):
     return t.documents.select("doc_id", S.occurrences(F.col("text"), "the").alias("n"))
+
+
+@query("r04_few_shot_map")
+def r04_map(t: Tables):
+    """Queries are pairs of a region key and a nation key; some ends have no print, some no entity."""
+    q, pool = query_pairs(t)
+    own = t.supplier.select(F.col("s_nationkey").cast("bigint").alias("node"), "s_suppkey")
+    names = own.select("node", F.concat(F.lit("e"), F.pmod("s_suppkey", F.lit(17))).alias("entity")).distinct()
+    return RT.few_shot_map(q, pool, names, nation_prints(t).select(F.col("node").cast("bigint").alias("node"), "bits"), 3, SEED)

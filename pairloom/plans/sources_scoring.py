@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import cleaning as CL
+from ..operators import diagnostics as DG
+from ..operators import runs as RU
+from ..operators import sampling as X
 from ..operators import scoring as SC
 from ..operators import validate as V
 from ..schemas import EDGE_TYPES
 from ..sources import tables as T
-from ..sources import xml as X
+from ..sources import xml as XM
 from ..sources.stage import shared_dir, staged
 from ..streaming import resume as RS
 from .registry import SEED, Tables, query, with_parts
@@ -56,29 +59,29 @@ DRUGS_SQL = "SELECT 'P' || p_partkey AS drugbank_id, p_name AS name, CASE WHEN p
 
 @query("s01_xml_drugs", DRUGS_SQL)
 def s01(t: Tables):
-    return X.parse(t.spark, as_xml(t)).drugs
+    return XM.parse(t.spark, as_xml(t)).drugs
 
 
 @query("s05_xml_interactions", with_parts("edges") + " SELECT 'P' || a AS drug_a_id, 'P' || b AS drug_b_id, p_name AS drug_a_name, 'meets ' || b AS description FROM edges JOIN part ON p_partkey = a")
 def s05(t: Tables):
-    return X.parse(t.spark, as_xml(t)).edges.select("drug_a_id", "drug_b_id", "drug_a_name", "description")
+    return XM.parse(t.spark, as_xml(t)).edges.select("drug_a_id", "drug_b_id", "drug_a_name", "description")
 
 
 @query("s06_xml_entities", "SELECT 'P' || l_partkey AS drugbank_id, 'S' || l_suppkey AS enzyme_id, 'Supplier ' || l_suppkey AS enzyme_name, 'Humans' AS organism, unnest(CASE WHEN count(DISTINCT l_returnflag) FILTER (l_returnflag <> 'N') = 0 THEN [''] ELSE list(DISTINCT l_returnflag) FILTER (l_returnflag <> 'N') END) AS action FROM lineitem WHERE l_suppkey % 4 = 0 GROUP BY l_partkey, l_suppkey")
 def s06(t: Tables):
-    return X.parse(t.spark, as_xml(t)).enzymes.select("drugbank_id", "enzyme_id", "enzyme_name", "organism", "action")
+    return XM.parse(t.spark, as_xml(t)).enzymes.select("drugbank_id", "enzyme_id", "enzyme_name", "organism", "action")
 
 
 @query("s07_xml_pathways", "SELECT 'P' || p_partkey AS drugbank_id, 'W' || p_size AS pathway_id, p_type AS pathway_name FROM part")
 def s07(t: Tables):
-    return X.parse(t.spark, as_xml(t)).pathways.select("drugbank_id", "pathway_id", "pathway_name")
+    return XM.parse(t.spark, as_xml(t)).pathways.select("drugbank_id", "pathway_id", "pathway_name")
 
 
 @query("s17_xml_subset", with_parts("edges") + " SELECT 'P' || a AS drug_a_id, 'P' || b AS drug_b_id FROM edges JOIN part x ON x.p_partkey = a AND x.p_size % 3 = 0 JOIN part y ON y.p_partkey = b AND y.p_size % 3 = 0")
 def s17(t: Tables):
     out = fresh(t, "subset")
     X.write_subset(t.spark, as_xml(t), t.part.where("p_size % 3 = 0").select(_id("p_partkey").alias("drugbank_id")), out)
-    return X.parse(t.spark, out).edges.select("drug_a_id", "drug_b_id")
+    return XM.parse(t.spark, out).edges.select("drug_a_id", "drug_b_id")
 
 
 @query("s08_csv_round_trip", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
@@ -176,11 +179,26 @@ def s21(t: Tables):
 
 @query("s22_json_manifest", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def s22(t: Tables):
-    """Counts through a strict JSON text: NaN is refused on the way out."""
+    """Counts through the atomic JSON writer, written twice: the second file replaces the first."""
     counts = {r[0]: r[1] for r in t.orders.groupBy("o_orderstatus").count().collect()}
-    path = fresh(t, "json")
-    t.spark.createDataFrame([(json.dumps(counts, allow_nan=False, sort_keys=True),)], "value string").coalesce(1).write.text(path)
-    return t.spark.read.text(path).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("o_orderstatus", "n"))
+    path = f"{fresh(t, 'json')}/counts.json"
+    T.write_json({}, path, t.spark)
+    T.write_json(counts, path, t.spark)
+    return t.spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("o_orderstatus", "n"))
+
+
+@query("s09_filter_bundle", with_parts("typed") + ", tt AS (SELECT DISTINCT ddi_type FROM typed) SELECT 'edges' AS part, CAST(count(*) AS VARCHAR) AS said FROM typed UNION ALL SELECT 'type', ddi_type FROM tt UNION ALL SELECT 'step 1', CAST(count(*) AS VARCHAR) FROM part")
+def s09(t: Tables):
+    """The bundle of a cleaned graph, read back."""
+    folder, e = fresh(t, "bundle"), t.typed_edges()
+    edges = e.select(F.col("a").alias("drug_a_id"), F.col("b").alias("drug_b_id"), "ddi_type", F.col("ddi_type").alias("description"), F.col("a").alias("ord"))
+    drugs = t.part.select(F.col("p_partkey").alias("drugbank_id"), F.col("p_name").alias("name"))
+    stats = drugs.agg(F.lit(1).alias("step"), F.count("*").alias("n_drugs"))
+    CL.write_bundle(CL.Cleaned(drugs, edges, {}, CL.first_description(edges), stats), folder)
+    back = T.read_any(t.spark, f"{folder}/ddi_edges.csv").agg(F.lit("edges").alias("part"), F.count("*").cast("string").alias("said"))
+    types = t.spark.read.json(f"{folder}/type_to_text").where("ddi_type = description").select(F.lit("type").alias("part"), F.col("ddi_type").alias("said"))
+    steps = t.spark.read.json(f"{folder}/stats").select(F.concat(F.lit("step "), "step").alias("part"), F.col("n_drugs").cast("string").alias("said"))
+    return back.unionByName(types).unionByName(steps)
 
 
 @query("s25_delimited_links", "SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS src, CAST(s_suppkey % 7 AS VARCHAR) AS dst, 'r' AS rel FROM supplier")
@@ -255,3 +273,73 @@ def q09(t: Tables):
     found = staged(V.file_digests(t.spark, folder, "part-*"), "digests")
     told = found.select("path", "md5").unionByName(t.spark.createDataFrame([("gone.txt", "0"), ("../up.txt", "0")], "path string, md5 string"))
     return V.verify_digests(found, told)
+
+
+@query("m01_saved_scorer", SCORES_SQL)
+def m01(t: Tables):
+    """A scorer by its manifest: the class is found by name and made from its settings."""
+    folder = fresh(t, "scorer")
+    SC.save_scorer(t.spark, "hash-baseline", {}, folder)
+    return SC.scored(text_pairs(t), SC.load_scorer(t.spark, folder))
+
+
+@query("d10_scored_conditions", with_parts("edges") + " SELECT c AS cond, CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, CASE WHEN c = 'R0' THEN unit('None:' || a || ':' || b) ELSE (a % 8) / 8.0::DOUBLE END AS p FROM edges, (VALUES ('R0'), ('R1')) v(c)")
+def d10(t: Tables):
+    """A scorer and a stored table side by side, as indicators take them."""
+    pairs = text_pairs(t)
+    kept = pairs.withColumn("p", F.pmod(F.col("a").cast("bigint"), F.lit(8)) / 8.0)
+    return DG.scored_conditions(pairs, {"R0": SC.scorer("hash_baseline"), "R1": kept})
+
+
+@query("q01_required_columns", "SELECT * FROM (VALUES ('l_orderkey', true), ('l_partkey', true), ('no_such_column', false)) v(name, present)")
+def q01(t: Tables):
+    return V.column_audit(t.lineitem, ["l_orderkey", "l_partkey", "no_such_column"])
+
+
+@query("q10_stage_inputs", "SELECT 'label' AS stage, 'clean/edges.parquet' AS file, 'clean' AS producer")
+def q10(t: Tables):
+    """Of two skipped producers one has written its files."""
+    out = fresh(t, "stages")
+    T.write_tables({"drugs": t.nation.limit(1), "edges": t.region.limit(1)}, f"{out}/raw", "parquet")
+    lost = RU.missing_inputs(t.spark, out, ("extract", "clean", "label"), ("extract", "clean"))
+    return t.spark.createDataFrame(lost + RU.missing_inputs(t.spark, out, ("extract", "clean", "label"), ("extract",)), "stage string, file string, producer string")
+
+
+@query("q11_prompt_contract", "SELECT * FROM (VALUES ('model_name', 'llama', 'qwen'), ('task_name', 'interaction', 'severity')) v(field, trained, now)")
+def q11(t: Tables):
+    trained = {"method": "one_hop_subgraph_sequence", "task_name": "interaction", "model_name": "Llama-3.2-1B"}
+    now = {"method": "One_Hop_Subgraph_Sequence".lower(), "task_name": "severity", "model_name": "Qwen2.5-3B"}
+    return t.spark.createDataFrame(RU.prompt_differences(trained, now), "field string, trained string, now string")
+
+
+@query("q12_run_identity", "SELECT 'changed' AS problem UNION ALL SELECT 'another run'")
+def q12(t: Tables):
+    """A finished table of one part that is written again, and a run of another identity."""
+    folder = fresh(t, "run")
+    run = RU.Run(t.spark, folder, {"model": "m", "seed": 1})
+    t.nation.select("n_name").coalesce(1).write.text(f"{folder}/names")
+    run.finish("names")
+    run.check()
+    name = t.spark.read.format("binaryFile").load(f"{folder}/names/part-*").select("path").first()[0]
+    T.write_json({"other": 1}, name, t.spark)
+    odd = RU.Run(t.spark, folder, {"model": "m", "seed": 1}).problems().select("problem")
+    try:
+        RU.Run(t.spark, folder, {"model": "m", "seed": 2})
+        said = "none"
+    except V.Invalid:
+        said = "another run"
+    return odd.unionByName(t.spark.createDataFrame([(said,)], "problem string"))
+
+
+@query("t02_epochs_one_by_one", "WITH e(epoch) AS (VALUES (0), (1), (2)) SELECT CAST(epoch AS INTEGER) AS epoch, (SELECT count(*) FROM nation) AS n FROM e")
+def t02(t: Tables):
+    """Epochs written one after the other; a second call goes on behind those that are there."""
+    folder = fresh(t, "epochs")
+    nodes, known = X.indexed_pool(t.part.select(F.col("p_partkey").alias("node"))), t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    for epochs in (1, 3):
+        X.write_epochs(t.spark, t.nation, nodes, known, SEED, epochs, folder)
+    out = None
+    for e, df in enumerate(T.cached_negatives(t.spark, folder)[1]):
+        one = df.distinct().agg(F.lit(e).alias("epoch"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -8,6 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a side may be broadcast.
+BROADCAST_ROWS = 500_000
 
 _own: list[str] = []
 
@@ -30,3 +34,8 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a side for broadcast only if its rows, counted up to the bound, stay within it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..schemas import EDGE_TYPES, ENTITIES, PATHWAYS, RAW_TABLES
 
 
-def _has(spark: SparkSession, path: str) -> bool:
+def has_table(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -25,9 +26,9 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "csv") ->
 
 def read_table(spark: SparkSession, folder: str, name: str, schema=None) -> DataFrame:
     """Parquet if there is one, else CSV with the table's schema; neither is an error."""
-    if _has(spark, f"{folder}/{name}.parquet"):
+    if has_table(spark, f"{folder}/{name}.parquet"):
         return spark.read.parquet(f"{folder}/{name}.parquet")
-    if _has(spark, f"{folder}/{name}.csv"):
+    if has_table(spark, f"{folder}/{name}.csv"):
         return spark.read.schema(schema or RAW_TABLES[name]).option("header", True).option("escape", '"').csv(f"{folder}/{name}.csv")
     raise FileNotFoundError(f"{folder}/{name}: neither Parquet nor CSV")
 
@@ -43,7 +44,7 @@ def read_any(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def find_one(spark: SparkSession, places: list[str]) -> str:
     """The first place that exists; none is an error that names them all."""
     for p in places:
-        if _has(spark, p):
+        if has_table(spark, p):
             return p
     raise FileNotFoundError(f"in none of {places}")
 
@@ -54,12 +55,12 @@ def cached_negatives(spark: SparkSession, folder: str) -> tuple[DataFrame | None
     first gap."""
     names = [f"{kind}_s{i}" for i in range(3) for kind in ("val", "test")]
     static = None
-    if all(_has(spark, f"{folder}/{n}.parquet") for n in names):
+    if all(has_table(spark, f"{folder}/{n}.parquet") for n in names):
         for n in names:
             one = spark.read.parquet(f"{folder}/{n}.parquet").withColumn("split", F.lit(n))
             static = one if static is None else static.unionByName(one)
     epochs: list[DataFrame] = []
-    while _has(spark, f"{folder}/epoch_{len(epochs)}.parquet"):
+    while has_table(spark, f"{folder}/epoch_{len(epochs)}.parquet"):
         epochs.append(spark.read.parquet(f"{folder}/epoch_{len(epochs)}.parquet"))
     return static, epochs
 
@@ -88,34 +89,52 @@ def read_folds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
 
 
 def load_text_map(spark: SparkSession, path: str) -> DataFrame:
-    """(drug_id, text) from a JSON object; repeated keys and blank texts are errors."""
-
-    def unique(pairs):
-        out = {}
-        for k, v in pairs:
-            if k in out:
-                raise ValueError(f"duplicate key {k!r}")
-            out[k] = v
-        return out
-
-    data = json.loads("\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()), object_pairs_hook=unique)
-    if not isinstance(data, dict) or not data:
-        raise ValueError("expected a JSON object that is not empty")
-    for k, v in data.items():
-        if not k.strip() or not isinstance(v, str) or not v.strip():
-            raise ValueError(f"no text for {k!r}")
-    return spark.createDataFrame(list(data.items()), "drug_id string, text string")
-
-
-def write_json(obj, path: str) -> None:
-    """Written beside and renamed, so that a reader sees the old file or the new one; NaN is refused."""
+    """(drug_id, text) from one JSON object, read and taken apart by Spark; its size is bounded by that of
+    a variant (128 MB).  No object, an empty one, a repeated key, a blank key and a text that is blank or
+    no text are errors."""
+    raw = spark.read.option("wholetext", True).text(path)
+    sql = """SELECT v.key AS drug_id, CASE WHEN schema_of_variant(v.value) = 'STRING' THEN CAST(v.value AS STRING) END AS text
+             FROM {raw}, LATERAL variant_explode(parse_json({raw}.value)) AS v"""
+    try:
+        out = spark.sql(sql, raw=raw).where("drug_id IS NOT NULL")
+        n, odd = out.agg(F.count("*"), F.sum((F.trim("drug_id") == "").cast("int") + (F.coalesce(F.trim("text"), F.lit("")) == "").cast("int"))).first()
+    except Exception as e:  # malformed text and repeated keys end the parse
+        raise ValueError(f"no JSON object with distinct keys: {str(e)[:200]}") from e
+    if not n or odd:
+        raise ValueError("expected an object that is not empty, with a text for every key" if not n else f"{odd} keys or texts are blank or no text")
+    return out
+
+
+def write_json(obj, path: str, spark: SparkSession | None = None) -> None:
+    """Written beside and renamed, so that a reader sees the old file or the new one; NaN is refused.
+    With a session the path may be in any store that Spark writes."""
     text = json.dumps(obj, indent=2, sort_keys=True, allow_nan=False)
+    if spark is not None:
+        jvm = spark._jvm.org.apache.hadoop.fs
+        to, beside = jvm.Path(path), jvm.Path(f"{path}.{uuid.uuid4().hex}.part")
+        fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+        out = fs.create(beside, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if fs.exists(to):
+            fs.delete(to, False)
+        fs.rename(beside, to)
+        return
     fd, tmp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
     with os.fdopen(fd, "w") as f:
         f.write(text)
     os.replace(tmp, path)
 
 
+def read_json(spark: SparkSession, path: str):
+    """The one JSON value of a file, null if there is no file."""
+    return json.loads(spark.read.option("wholetext", True).text(path).first()[0]) if has_table(spark, path) else None
+
+
+def write_json_rows(rows: DataFrame, path: str) -> None:
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
 def load_runs(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """CSV files under ``<method>/seed<N>/`` as one table with method and seed."""
     df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)

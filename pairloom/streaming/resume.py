@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.runs import Run
 from ..operators.scoring import PairScorer, scored
 
 SCORES = "a string, b string, p double"
@@ -19,8 +20,13 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], SCORES)
 
 
-def resume(spark: SparkSession, pairs: DataFrame, model: PairScorer, path: str) -> DataFrame:
-    """Score what is missing, append it (each append commits as a whole) and return all wanted scores."""
+def resume(spark: SparkSession, pairs: DataFrame, model: PairScorer, path: str, identity: dict | None = None) -> DataFrame:
+    """Score what is missing, append it (each append commits as a whole) and return all wanted scores.
+
+    With an ``identity`` (model, version, settings, inputs) the scores at ``path`` belong to it, and
+    going on with another one is an error."""
+    if identity is not None:
+        Run(spark, f"{path}.run", identity)
     missing = pairs.select("a", "b").distinct().join(stored(spark, path), ["a", "b"], "left_anti")
     scored(missing, model).write.mode("append").parquet(path)
     return pairs.select("a", "b").distinct().join(stored(spark, path).dropDuplicates(["a", "b"]), ["a", "b"])
