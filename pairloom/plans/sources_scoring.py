@@ -80,7 +80,7 @@ def s07(t: Tables):
 @query("s17_xml_subset", with_parts("edges") + " SELECT 'P' || a AS drug_a_id, 'P' || b AS drug_b_id FROM edges JOIN part x ON x.p_partkey = a AND x.p_size % 3 = 0 JOIN part y ON y.p_partkey = b AND y.p_size % 3 = 0")
 def s17(t: Tables):
     out = fresh(t, "subset")
-    X.write_subset(t.spark, as_xml(t), t.part.where("p_size % 3 = 0").select(_id("p_partkey").alias("drugbank_id")), out)
+    XM.write_subset(t.spark, as_xml(t), t.part.where("p_size % 3 = 0").select(_id("p_partkey").alias("drugbank_id")), out)
     return XM.parse(t.spark, out).edges.select("drug_a_id", "drug_b_id")
 
 
@@ -184,7 +184,7 @@ def s22(t: Tables):
     path = f"{fresh(t, 'json')}/counts.json"
     T.write_json({}, path, t.spark)
     T.write_json(counts, path, t.spark)
-    return t.spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("o_orderstatus", "n"))
+    return t.spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("o_orderstatus", "n"))
 
 
 @query("s09_filter_bundle", with_parts("typed") + ", tt AS (SELECT DISTINCT ddi_type FROM typed) SELECT 'edges' AS part, CAST(count(*) AS VARCHAR) AS said FROM typed UNION ALL SELECT 'type', ddi_type FROM tt UNION ALL SELECT 'step 1', CAST(count(*) AS VARCHAR) FROM part")

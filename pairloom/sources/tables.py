@@ -92,7 +92,7 @@ def load_text_map(spark: SparkSession, path: str) -> DataFrame:
     """(drug_id, text) from one JSON object, read and taken apart by Spark; its size is bounded by that of
     a variant (128 MB).  No object, an empty one, a repeated key, a blank key and a text that is blank or
     no text are errors."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     sql = """SELECT v.key AS drug_id, CASE WHEN schema_of_variant(v.value) = 'STRING' THEN CAST(v.value AS STRING) END AS text
              FROM {raw}, LATERAL variant_explode(parse_json({raw}.value)) AS v"""
     try:
@@ -128,7 +128,7 @@ def write_json(obj, path: str, spark: SparkSession | None = None) -> None:
 
 def read_json(spark: SparkSession, path: str):
     """The one JSON value of a file, null if there is no file."""
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0]) if has_table(spark, path) else None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if has_table(spark, path) else None
 
 
 def write_json_rows(rows: DataFrame, path: str) -> None:

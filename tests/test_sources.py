@@ -54,6 +54,12 @@ def test_json(spark, tmp_path):
         p.write_text(bad)
         with pytest.raises(ValueError):
             tables.load_text_map(spark, str(p))
+    p.write_text('{\n  "a": "x",\n  "b": "y"\n}')
+    assert tables.load_text_map(spark, str(p)).count() == 2
+    for told in ({}, {"v": [1, {"w": None}]}):
+        tables.write_json(told, str(tmp_path / "told.json"), spark)
+        assert tables.read_json(spark, str(tmp_path / "told.json")) == told
+    assert tables.read_json(spark, str(tmp_path / "none.json")) is None
     tables.write_json({"v": 1}, str(tmp_path / "o.json"))
     assert json.loads((tmp_path / "o.json").read_text()) == {"v": 1}
     with pytest.raises(ValueError):
