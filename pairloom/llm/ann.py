@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialize
+from .common import bounded_broadcast, materialize, received, sent
 
 CURVES, DIMS, BITS = 3, 8, 7
 #: Share of the true neighbours of the sampled queries that the windows have to meet.
@@ -191,12 +191,13 @@ def _places(index: DataFrame, dim: int, n: int) -> DataFrame:
     """(h1, h2, id, asks, at): the place of each class from 0 on every curve."""
     spark = index.sparkSession
     sample = _sample(index.select("h1", "h2", "v"), n, FIT, "fit", "h1", "h2")
-    told = spark.sparkContext.broadcast(Curves(np.array([r["v"] for r in sample], float).reshape(-1, dim)))
+    told = sent(spark, Curves(np.array([r["v"] for r in sample], float).reshape(-1, dim)))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        curves = received(told)
         for batch in batches:
             if batch.num_rows:
-                keys = told.value.keys(_matrix(batch.column(4), dim))
+                keys = curves.keys(_matrix(batch.column(4), dim))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, CURVES), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), flat], names=["h1", "h2", "id", "asks", "keys"])
 

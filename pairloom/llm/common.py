@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,16 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> D
     return F.broadcast(df) if rows <= most else df
 
 
+def sent(spark: SparkSession, thing: object) -> Broadcast:
+    """Broadcast an object of this package with its class by value: workers need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def received(told: Broadcast) -> object:
+    """What ``sent`` broadcast, to be read once for each task."""
+    return pickle.loads(told.value)
+
+
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import received, sent
+
 #: Lower-casing of A-Z, and white space as spaces; lengths stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 #: Bytes of a window at most (a walk of twice as many steps), and windows of a passage of the shortest item.
@@ -271,10 +273,10 @@ def contaminated(
     kind, ikind = docs.schema[key].dataType, benchmark.schema[item].dataType
     out = None
     for table in item_tables(benchmark, item):
-        told = spark.sparkContext.broadcast(Index([(n, t) for n, (_, t) in enumerate(table)], rate, target))
+        told = sent(spark, Index([(n, t) for n, (_, t) in enumerate(table)], rate, target))
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            search = Searcher(told.value)
+            search = Searcher(received(told))
             for whole in batches:
                 at = 0
                 while at < whole.num_rows:
@@ -303,10 +305,10 @@ def without_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, text
     keys; each row is judged by its own text.  Narrow: one pass for each table of items."""
     at, schema = docs.columns.index(text), docs.schema
     for table in item_tables(benchmark, item):
-        told = docs.sparkSession.sparkContext.broadcast(Index([(n, t) for n, (_, t) in enumerate(table)], rate, target))
+        told = sent(docs.sparkSession, Index([(n, t) for n, (_, t) in enumerate(table)], rate, target))
 
         def keep(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            search = Searcher(told.value)
+            search = Searcher(received(told))
             for whole in batches:
                 clean: list[bool] = []
                 while len(clean) < whole.num_rows:

@@ -96,3 +96,19 @@ def test_mixture_beyond_the_driver_bound(spark):
     far = {r["doc_id"]: r for r in mixing.mix(docs, dims, driver_cells=0).collect()}
     for k, r in near.items():
         assert abs(r["weight"] - far[k]["weight"]) < 1e-5 and abs(r["prob"] - far[k]["prob"]) < 1e-5
+
+
+def test_sent_objects_need_no_package_in_the_workers(tmp_path):
+    """What operators broadcast is read by a process that cannot import this package."""
+    import subprocess
+    import sys
+
+    import numpy as np
+    from pyspark import cloudpickle
+
+    from pairloom.llm import ann, decontam
+
+    (tmp_path / "thing").write_bytes(cloudpickle.dumps((ann.Curves(np.eye(32)), decontam.Index([(0, b"a passage of some forty bytes that is long")], 0.2))))
+    code = "import pickle, sys; c, i = pickle.load(open('thing', 'rb')); print(c.keys(__import__('numpy').eye(32)).shape[0], len(i.groups), 'pairloom' in sys.modules)"
+    got = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert got.stdout.split() == ["32", "1", "False"], got.stderr[-500:]
