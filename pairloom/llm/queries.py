@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can express."""
+"""The registered queries of the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, licenses, mixing, neardup, quality, secrets, sharding, tokens, urls
+from . import ann, centroids, decontam, licenses, mixing, neardup, quality, secrets, sharding, tokens, urls
 from .common import materialize, read_table
 
 #: Where the vocabulary lies; any path to a file of the same form may be given instead.
@@ -74,16 +74,49 @@ def op10_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = [op1_secret_scan, op2_hilbert_neighbours, op3_raked_mixture, op4_hash_tree_shards, op5_token_counts, op6_setsketch_dedup, op7_license_templates, op8_decontamination, op9_url_templates, op10_byte_convnet]
+    ops = [
+        op1_secret_scan, op2_hilbert_neighbours, op3_raked_mixture, op4_hash_tree_shards, op5_token_counts, op6_setsketch_dedup,
+        op7_license_templates, op8_decontamination, op9_url_templates, op10_byte_convnet, op12_centroid_clusters,
+    ]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL by brute force: all pairs by common shingles, all inner products."""
-    return {"op2_hilbert_neighbours": NEIGHBOURS_SQL, "op6_setsketch_dedup": NEAR_DUPLICATES_SQL}
+    """SQL by brute force: all pairs by common shingles, all inner products, all distances of every round."""
+    return {"op2_hilbert_neighbours": NEIGHBOURS_SQL, "op6_setsketch_dedup": NEAR_DUPLICATES_SQL, "op12_centroid_clusters": clusters_sql()}
+
+
+def clusters_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """All distances of every round; a round is three views."""
+    views = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS HUGEINT)) AS e FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, e FROM
+           (SELECT sha256('3:' || vec_id) AS h, e FROM v ORDER BY h LIMIT {clusters}))""",
+    ]
+    far = "list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for k in range(rounds + 1):
+        views += [
+            f"d{k} AS (SELECT v.r, c.c, {far} AS d FROM v CROSS JOIN c{k} c)",
+            f"a{k} AS MATERIALIZED (SELECT r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS n FROM d{k}) WHERE n = 1)",
+        ]
+        if k < rounds:
+            views += [
+                f"""m{k} AS (SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS HUGEINT) AS x FROM (SELECT a.c, g.i, CAST(sum(v.e[g.i]) AS HUGEINT) AS s, count(*) AS n
+                FROM a{k} a JOIN v ON v.r = a.r CROSS JOIN (SELECT unnest(range(1, 65)) AS i) g GROUP BY 1, 2))""",
+                f"c{k + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.e, c.e) AS e FROM c{k} c LEFT JOIN (SELECT c, list(x ORDER BY i) AS e FROM m{k} GROUP BY c) m ON m.c = c.c)",
+            ]
+    return f"""WITH {", ".join(views)}
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v ON v.r = a.r JOIN c{rounds} c ON c.c = a.c"""
 
 
 NEIGHBOURS_SQL = """
