@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, decontam, licenses, mixing, neardup, quality, secrets, sharding, tokens, urls
+from . import ann, centroids, decontam, licenses, mixing, neardup, quality, search, secrets, sharding, tokens, urls
 from .common import materialize, read_table
 
 #: Where the vocabulary lies; any path to a file of the same form may be given instead.
@@ -74,6 +74,10 @@ def op10_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -83,14 +87,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     ops = [
         op1_secret_scan, op2_hilbert_neighbours, op3_raked_mixture, op4_hash_tree_shards, op5_token_counts, op6_setsketch_dedup,
-        op7_license_templates, op8_decontamination, op9_url_templates, op10_byte_convnet, op12_centroid_clusters,
+        op7_license_templates, op8_decontamination, op9_url_templates, op10_byte_convnet,
+        op11_ranked_search, op12_centroid_clusters,
     ]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by brute force: all pairs by common shingles, all inner products, all distances of every round."""
-    return {"op2_hilbert_neighbours": NEIGHBOURS_SQL, "op6_setsketch_dedup": NEAR_DUPLICATES_SQL, "op12_centroid_clusters": clusters_sql()}
+    return {"op2_hilbert_neighbours": NEIGHBOURS_SQL, "op6_setsketch_dedup": NEAR_DUPLICATES_SQL, "op11_ranked_search": RANKED_SQL, "op12_centroid_clusters": clusters_sql()}
 
 
 def clusters_sql(clusters: int = 8, rounds: int = 10) -> str:
@@ -142,3 +147,19 @@ m AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.node = d.doc_id
 """
+
+RANKED_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY 1, 2),
+c AS (SELECT count(*) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d WHERE len(ws) > 0),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM f, c),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+m AS (SELECT r, doc_id, CAST(50 + (50 * len(ws) * n) // l AS BIGINT) AS m FROM d, c),
+s AS (SELECT q.item_id, m.r, m.doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * m.m))) AS BIGINT) AS score
+      FROM q JOIN w ON w.term = q.term JOIN t ON t.term = q.term JOIN m ON m.r = t.r GROUP BY 1, 2, 3)
+SELECT item_id, rank, doc_id, score FROM
+  (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
