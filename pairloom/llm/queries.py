@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, decontam, licenses, mixing, neardup, quality, search, secrets, sharding, tokens, urls
+from . import ann, centroids, decontam, licenses, mixing, neardup, quality, search, secrets, sharding, tokens, urls, wrappers
 from .common import materialize, read_table
 
 #: Where the vocabulary lies; any path to a file of the same form may be given instead.
@@ -82,20 +82,27 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_wrapper_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     ops = [
         op1_secret_scan, op2_hilbert_neighbours, op3_raked_mixture, op4_hash_tree_shards, op5_token_counts, op6_setsketch_dedup,
         op7_license_templates, op8_decontamination, op9_url_templates, op10_byte_convnet,
-        op11_ranked_search, op12_centroid_clusters,
+        op11_ranked_search, op12_centroid_clusters, op13_wrapper_texts,
     ]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by brute force: all pairs by common shingles, all inner products, all distances of every round."""
-    return {"op2_hilbert_neighbours": NEIGHBOURS_SQL, "op6_setsketch_dedup": NEAR_DUPLICATES_SQL, "op11_ranked_search": RANKED_SQL, "op12_centroid_clusters": clusters_sql()}
+    return {
+        "op2_hilbert_neighbours": NEIGHBOURS_SQL, "op6_setsketch_dedup": NEAR_DUPLICATES_SQL, "op11_ranked_search": RANKED_SQL,
+        "op12_centroid_clusters": clusters_sql(), "op13_wrapper_texts": ARTICLES_SQL,
+    }
 
 
 def clusters_sql(clusters: int = 8, rounds: int = 10) -> str:
@@ -163,3 +170,12 @@ s AS (SELECT q.item_id, m.r, m.doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1
 SELECT item_id, rank, doc_id, score FROM
   (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 50
 """
+
+#: The pages of the given tables mark their main text as an article of headings and paragraphs, which the operator is not told.
+ARTICLES_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS h FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS h FROM b),
+t AS (SELECT page_id, url, trim(regexp_replace(h, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
