@@ -12,6 +12,7 @@ from ..operators import diagnostics as D
 from ..operators import features as FE
 from ..operators import graph as G
 from ..operators import kg as K
+from ..operators import mentions as MN
 from ..operators import render as R
 from ..operators import retrieval as RT
 from ..operators import sampling as X
@@ -105,6 +106,43 @@ def n08(t: Tables):
     return m.select("p_partkey", "m.category", "m.text", F.col("m.start").alias("s"))
 
 
+OTHERS_SQL = r"""nm AS (SELECT CAST(item_id AS VARCHAR) AS other, regexp_extract(text, '(\p{L}+ \p{L}+)', 1) AS name FROM benchmark),
+ht AS (SELECT d.doc_id, d.text, o.other, length(o.name) AS n, string_split(lower(d.text), lower(o.name)) AS ps
+  FROM documents d JOIN nm o ON length(o.name) >= 4 AND contains(lower(d.text), lower(o.name)) AND CAST(d.doc_id AS VARCHAR) <> o.other
+  LEFT JOIN nm own ON own.other = CAST(d.doc_id AS VARCHAR) WHERE lower(own.name) IS DISTINCT FROM lower(o.name)),
+pl AS (SELECT doc_id, text, other, n, list_sum(list_transform(ps[1:i], lambda p: length(p))) + (i - 1) * n AS s
+  FROM (SELECT *, unnest(range(1, len(ps))) AS i FROM ht)),
+mn AS (SELECT doc_id, other, substr(text, CAST(s + 1 AS BIGINT), n) AS mention, CAST(s AS INTEGER) AS s, CAST(s + n AS INTEGER) AS e FROM pl
+  WHERE NOT regexp_matches(CASE WHEN s = 0 THEN '' ELSE substr(text, CAST(s AS BIGINT), 1) END, '[\p{L}\p{N}_]')
+    AND NOT regexp_matches(substr(text, CAST(s + n + 1 AS BIGINT), 1), '[\p{L}\p{N}_]'))"""
+
+
+def name_list(t: Tables):
+    """The first two words of each benchmark item, as the name of an entity of that id."""
+    return t.benchmark.select(F.col("item_id").cast("string").alias("id"), F.regexp_extract("text", r"(\p{L}+ \p{L}+)", 1).alias("name"))
+
+
+@query("n08_other_mentions", f"WITH {OTHERS_SQL} SELECT * FROM mn")
+def n08_others(t: Tables):
+    found = MN.with_mentions(t.documents.select("doc_id", "text"), name_list(t), "doc_id", name_key="id")
+    m = found.select("doc_id", F.explode("others").alias("m"))
+    return m.select("doc_id", "m.other", F.col("m.text").alias("mention"), F.col("m.start").alias("s"), F.col("m.end").alias("e"))
+
+
+ANY_RULE = "(?i)" + "|".join([rf"\b(?:{p})\b" for p in AU.ENTITY_PATTERNS] + list(AU.PHRASE_PATTERNS)).replace("'", "''")
+
+
+@query(
+    "a27_audit_with_names",
+    f"""WITH {OTHERS_SQL}, d AS (SELECT doc_id, text, (length(text) - length(replace(text, '{AU.MASK}', ''))) // {len(AU.MASK)} AS k FROM documents)
+SELECT count(*) AS description_count, count(*) FILTER (k > 0) AS descriptions_with_masks, CAST(sum(k) AS BIGINT) AS mask_count,
+  count(*) FILTER (regexp_matches(text, '{ANY_RULE}') OR doc_id IN (SELECT doc_id FROM mn)) AS descriptions_with_candidate_mentions FROM d""",
+)
+def a27_names(t: Tables):
+    own = F.expr("cast(array() as array<string>)").alias("own")
+    return AU.audit_summary(AU.audit_descriptions(t.documents.select("doc_id", "text", own), "doc_id", names=name_list(t), name_key="id"))
+
+
 @query("w11_winner", "SELECT split, step, auc FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY auc DESC, step) AS r FROM (SELECT o_orderpriority AS split, o_orderkey AS step, round(o_totalprice / 50000) AS auc FROM orders WHERE o_orderkey % 7 <> 0)) WHERE r = 1")
 def w11(t: Tables):
     auc = F.when(F.pmod("o_orderkey", F.lit(7)) == 0, F.lit(float("nan"))).otherwise(F.round(F.col("o_totalprice") / 50000))
