@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import clean_annotate, diag_metrics, features_text, folds_sets, graph_render, sources_scoring  # noqa: F401  (they register)
+from . import (  # noqa: F401  (they register)
+    clean_annotate,
+    diag_metrics,
+    features_text,
+    folds_sets,
+    graph_render,
+    sources_scoring,
+    walks_structures,
+)
 from .registry import _queries, _sql
 
 
