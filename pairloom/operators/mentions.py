@@ -25,8 +25,8 @@ from ..sources.stage import staged
 
 #: Bytes of names in one table (about 24 bytes of arrays for each), and characters of texts laid end to end at a time.
 TABLE_BYTES, BLOCK = 4 << 20, 1 << 21
-#: Least bytes that a lane takes on its own.
-LANE = 256
+#: Least bytes that a lane takes on its own, and states whose transitions are held whole (2 KB each).
+LANE, DENSE = 256, 8192
 #: Names with fewer characters are left out.
 LEAST = 4
 #: Stands between texts; no word character.
@@ -76,59 +76,66 @@ class Automaton:
         self.name = np.full(count + 1, -1, np.int32)
         for state, number in ends:
             self.name[state] = number
-        self.root = np.zeros(256, np.int32)
-        top = self.keys[self.keys < 256]
-        self.root[top] = np.arange(1, len(top) + 1)
         # where to go on after a mismatch, and the next shorter name that ends here too
-        self.fail, self.shorter = np.zeros(count + 1, np.int32), np.zeros(count + 1, np.int32)
-        for low, high in levels[1:]:
+        self.fail, self.shorter = np.zeros(count + 1, np.int64), np.zeros(count + 1, np.int64)
+        self.full = np.zeros((min(count + 1, DENSE), 256), np.int64)
+        for depth, (low, high) in enumerate(levels):
             states = np.arange(low + 1, high + 1)
-            parent, byte = self.keys[low:high] >> 8, (self.keys[low:high] & 255).astype(np.uint8)
-            self.fail[states] = self.step(self.fail[parent], byte)
+            parent, byte = self.keys[low:high] >> 8, self.keys[low:high] & 255
+            if depth:
+                self.fail[states] = self.step(self.fail[parent], byte)
+            else:
+                self.full[0, byte] = states
+            # rows of states are whole once those of the states that they fall back to are
+            mine = states[states < len(self.full)]
+            self.full[mine] = self.full[self.fail[mine]]
+            if high < count:
+                low2, high2 = levels[depth + 1]
+                kids = self.keys[low2:high2]
+                few = (kids >> 8) < len(self.full)
+                self.full[kids[few] >> 8, kids[few] & 255] = np.arange(low2 + 1, high2 + 1)[few]
         for low, high in levels:
             states = np.arange(low + 1, high + 1)
             back = self.fail[states]
             self.shorter[states] = np.where(self.name[back] >= 0, back, self.shorter[back])
+        self.last = np.where(self.name >= 0, np.arange(count + 1), self.shorter)  # the longest name that ends here
 
     def step(self, states: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The states after one byte each."""
-        out = self.root[byte]
-        live = np.flatnonzero(states)
-        s, b = states[live].astype(np.int64), byte[live].astype(np.int64)
+        """The states after one byte each: from whole rows of the first states, by search and falling back beyond."""
+        if len(self.full) == len(self.fail):
+            return self.full.ravel().take(states * 256 + byte)
+        out, live = np.zeros(len(states), np.int64), np.arange(len(states))
+        s, b = states, byte.astype(np.int64)
         while len(live):
+            near = s < len(self.full)
+            out[live[near]] = self.full[s[near], b[near]]
+            s, b, live = s[~near], b[~near], live[~near]
             key = s * 256 + b
             k = np.searchsorted(self.keys, key)
             hit = self.keys[np.minimum(k, len(self.keys) - 1)] == key
             out[live[hit]] = k[hit] + 1
-            s = self.fail[s[~hit]].astype(np.int64)
-            live, b = live[~hit], b[~hit]
-            going = s > 0
-            s, live, b = s[going], live[going], b[going]
+            s, b, live = self.fail[s[~hit]], b[~hit], live[~hit]
         return out
 
     def found(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.longest or not len(text):
             return (np.zeros(0, np.int64),) * 3
-        lane = max(LANE, 2 * self.longest)
-        own = np.arange(0, len(text), lane)
-        begin = np.maximum(own - self.longest + 1, 0)
-        states, got = np.zeros(len(own), np.int32), []
-        for k in range(lane + self.longest - 1):
-            at = begin + k
-            live = (at < own + lane) & (at < len(text))
-            if not live.any():
-                break
-            states = self.step(states, text[np.minimum(at, len(text) - 1)])
-            states[~live] = 0
-            told = np.flatnonzero(at >= own)
-            told = told[states[told] > 0]
-            s, place = states[told], at[told]
-            while len(s):
-                ends = self.name[s] >= 0
-                if ends.any():
-                    got.append(np.stack([self.name[s[ends]].astype(np.int64), place[ends] + 1]))
-                s = self.shorter[s]
-                s, place = s[s > 0], place[s > 0]
+        lane, before = max(LANE, 2 * self.longest), self.longest - 1
+        lanes = -(-len(text) // lane)
+        padded = np.full(lanes * lane + before, 255, np.uint8)  # a byte that no text has
+        padded[before : before + len(text)] = text
+        columns = np.lib.stride_tricks.as_strided(padded, (lane + before, lanes), (1, lane)).astype(np.int64)
+        states, begin, got = np.zeros(lanes, np.int64), np.arange(lanes) * lane - before, []
+        for k, column in enumerate(columns):
+            states = self.step(states, column)
+            if k >= before:  # earlier bytes are the lane's before
+                ends = self.last.take(states)
+                told = np.flatnonzero(ends)
+                s, end = ends[told], begin[told] + k + 1
+                while len(s):
+                    got.append(np.stack([self.name[s].astype(np.int64), end]))
+                    s = self.shorter[s]
+                    s, end = s[s > 0], end[s > 0]
         number, end = np.concatenate(got, axis=1) if got else np.zeros((2, 0), np.int64)
         return number, end - self.lengths[number], end
 

@@ -42,9 +42,10 @@ def case(seed, n=60):
 @pytest.mark.parametrize("seed", range(6))
 def test_against_the_plain_loop(seed, monkeypatch):
     rows, names = case(seed)
-    for block, lane in ((1 << 21, 256), (300, 3)):
+    for block, lane, dense in ((1 << 21, 256, 8192), (300, 3, 1), (500, 40, 17)):
         monkeypatch.setattr(M, "BLOCK", block)
         monkeypatch.setattr(M, "LANE", lane)
+        monkeypatch.setattr(M, "DENSE", dense)
         assert found(rows, names) == plain(rows, names)
 
 
