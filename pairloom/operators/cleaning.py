@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numbering import range_numbered
 from ..functions.scalars import normalize_text, pair_hi, pair_lo
 from ..sources.stage import staged
+from .structures import graph_of
 
 TYPE_FLOOR, DEGREE_FLOOR = 10, 10
 # Element symbols that count as metals (technetium and thallium do not).
@@ -36,14 +37,8 @@ def has_token(text: Column, token: str) -> Column:
 
 
 def valid_structure(smiles: Column) -> Column:
-    """A syntactic check, standing in for a chemistry toolkit: allowed characters, balanced
-    brackets, and ring-closure digits outside brackets in pairs.  It is an approximation."""
-    bare = F.regexp_replace(smiles, r"\[[^\[\]]*\]", "*")
-    count = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
-    ok = bare.rlike(r"^[A-Za-z0-9@+\-=#$:/\\.()%*~]+$") & (count(bare, "(") == count(bare, ")"))
-    for d in "0123456789":
-        ok = ok & (count(F.regexp_replace(bare, r"%\d\d", ""), d) % 2 == 0)
-    return F.coalesce(ok, F.lit(False))
+    """Whether the text is a structure by the grammar of the line notation; valences are not judged."""
+    return graph_of(smiles)["valid"]
 
 
 def atoms(smiles: Column) -> Column:

@@ -1,10 +1,12 @@
-"""Queries of walks and subgraphs over the pages, their hosts and their sections."""
+"""Queries of walks and subgraphs over the pages, their hosts and their sections, and of structures."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
+from ..operators import retrieval as RT
+from ..operators import structures as ST
 from ..operators import walks as WK
 from .registry import SEED, Tables, query
 
@@ -67,3 +69,95 @@ def g13_subgraphs(t: Tables):
     one = page_graph(t)
     both = one.union(one.select("dst", "src", F.col("rel") + 3))
     return WK.induced_edges(both, WK.k_hop_nodes(both, page_nodes(t), 2, 6, SEED))
+
+
+# Structures are fragments one after the other, drawn by hash.  For SQL each fragment lists its atoms (symbol, aromatic, in a ring),
+# its bonds (a, b, order) and the atom that the next fragment joins.
+FRAGMENTS = (
+    ("C", [("C", 0, 0)], [], 0),
+    ("CC(=O)", [("C", 0, 0), ("C", 0, 0), ("O", 0, 0)], [(0, 1, 1.0), (1, 2, 2.0)], 1),
+    ("c1ccccc1", [("C", 1, 1)] * 6, [(0, 1, 1.5), (1, 2, 1.5), (2, 3, 1.5), (3, 4, 1.5), (4, 5, 1.5), (0, 5, 1.5)], 5),
+    ("N", [("N", 0, 0)], [], 0),
+    ("O", [("O", 0, 0)], [], 0),
+    ("S(=O)(=O)", [("S", 0, 0), ("O", 0, 0), ("O", 0, 0)], [(0, 1, 2.0), (0, 2, 2.0)], 0),
+    ("C(F)(F)", [("C", 0, 0), ("F", 0, 0), ("F", 0, 0)], [(0, 1, 1.0), (0, 2, 1.0)], 0),
+    (
+        "c1cnc(Cl)nc1", [("C", 1, 1), ("C", 1, 1), ("N", 1, 1), ("C", 1, 1), ("Cl", 0, 0), ("N", 1, 1), ("C", 1, 1)],
+        [(0, 1, 1.5), (1, 2, 1.5), (2, 3, 1.5), (3, 4, 1.0), (3, 5, 1.5), (5, 6, 1.5), (0, 6, 1.5)], 6,
+    ),
+)
+#: The last two leave a branch or a bond open.
+ENDINGS = ("", "", "", "", "", "", "C(", "=")
+
+
+def drawn_structures(ids, key: str):
+    """(key, smiles): 3 to 7 fragments and an ending, by hash of the key."""
+    k, parts = F.col(key), F.array(*[F.lit(f[0]) for f in FRAGMENTS])
+    pick = lambda i: F.get(parts, F.pmod(hash32("part", k, i.cast("string")), F.lit(len(FRAGMENTS))).cast("int"))
+    count = F.pmod(hash32("parts", k), F.lit(5)).cast("int") + 3
+    ending = F.get(F.array(*map(F.lit, ENDINGS)), F.pmod(hash32("ending", k), F.lit(len(ENDINGS))).cast("int"))
+    return ids.select(key, F.concat(F.array_join(F.transform(F.sequence(F.lit(1), count), pick), ""), ending).alias("smiles"))
+
+
+def structure_sql(ids: str, key: str) -> str:
+    """Views ato (k, idx, symbol, soft, ring, hydrogens, degree) and bo (k, src, dst, o): atoms, and bonds both ways."""
+    atoms = ", ".join(f"({f}, {i}, '{s}', {soft}, {ring})" for f, (_, xs, _, _) in enumerate(FRAGMENTS) for i, (s, soft, ring) in enumerate(xs))
+    bonds = ", ".join(f"({f}, {a}, {b}, {o}::DOUBLE)" for f, (_, _, xs, _) in enumerate(FRAGMENTS) for a, b, o in xs)
+    sizes = ", ".join(f"({f}, {len(xs)}, {last})" for f, (_, xs, _, last) in enumerate(FRAGMENTS))
+    valences = "CASE symbol WHEN 'C' THEN 4 WHEN 'N' THEN 3 WHEN 'O' THEN 2 WHEN 'S' THEN CASE WHEN used <= 2 THEN 2 WHEN used <= 4 THEN 4 ELSE 6 END ELSE 1 END"
+    return f"""fa(f, i, symbol, soft, ring) AS (VALUES {atoms}), fb(f, a, b, o) AS (VALUES {bonds}), fs(f, n, last) AS (VALUES {sizes}),
+ky AS (SELECT DISTINCT {key} AS k FROM {ids} WHERE h32('ending:' || {key}) % {len(ENDINGS)} < {len(ENDINGS) - 2}),
+dr AS (SELECT k, p, h32('part:' || k || ':' || p) % {len(FRAGMENTS)} AS f FROM (SELECT k, unnest(range(1, CAST(h32('parts:' || k) % 5 + 4 AS BIGINT))) AS p FROM ky)),
+pl AS (SELECT k, p, dr.f, last, CAST(coalesce(sum(n) OVER (PARTITION BY k ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS pos
+  FROM dr JOIN fs ON fs.f = dr.f),
+b1 AS (SELECT k, pos + a AS a, pos + b AS b, o FROM pl JOIN fb ON fb.f = pl.f UNION ALL
+  SELECT k, before, pos, 1.0 FROM (SELECT k, pos, lag(pos + last) OVER (PARTITION BY k ORDER BY p) AS before FROM pl) WHERE before IS NOT NULL),
+bo AS (SELECT k, a AS src, b AS dst, o FROM b1 UNION ALL SELECT k, b, a, o FROM b1),
+us AS (SELECT k, src, sum(o) AS used, count(*) AS degree FROM bo GROUP BY 1, 2),
+ato AS (SELECT pl.k, pos + i AS idx, symbol, soft, ring, CAST(greatest(floor({valences} - used), 0) AS INTEGER) AS hydrogens, CAST(degree AS INTEGER) AS degree
+  FROM pl JOIN fa ON fa.f = pl.f JOIN us ON us.k = pl.k AND us.src = pos + i)"""
+
+
+@query(
+    "g19_structure_atoms",
+    f"""WITH {structure_sql("documents", "doc_id")} SELECT k AS doc_id, idx, symbol, soft = 1 AS aromatic, 0 AS charge, hydrogens, degree, ring = 1 AS in_ring FROM ato""",
+)
+def g19_atoms(t: Tables):
+    graphs = ST.with_graph(drawn_structures(t.documents.select("doc_id").distinct(), "doc_id"))
+    return ST.atom_rows(graphs, "doc_id").drop("isotope")
+
+
+@query("g19_structure_bonds", f"""WITH {structure_sql("documents", "doc_id")} SELECT k AS doc_id, src, dst, o AS "order" FROM bo""")
+def g19_bonds(t: Tables):
+    graphs = ST.with_graph(drawn_structures(t.documents.select("doc_id").distinct(), "doc_id"))
+    return ST.bond_rows(graphs, "doc_id").drop("in_ring")
+
+
+def _round(k: int) -> str:
+    return f"""s{k} AS (SELECT b.k, b.src AS idx, string_agg(CAST(b.o * 2 AS INTEGER) || '-' || i.id, ',' ORDER BY CAST(b.o * 2 AS INTEGER), i.id) AS said
+  FROM bo b JOIN i{k - 1} i ON i.k = b.k AND i.idx = b.dst GROUP BY 1, 2),
+i{k} AS (SELECT i.k, i.idx, h32('{k}:' || i.id || ':' || s.said) AS id FROM i{k - 1} i JOIN s{k} s ON s.k = i.k AND s.idx = i.idx)"""
+
+
+@query(
+    "r03_similarity_map",
+    f"""WITH {structure_sql("supplier", "s_suppkey")},
+i0 AS (SELECT k, idx, h32(symbol || ':0:' || degree || ':' || hydrogens || ':0:' || ring || ':' || soft) AS id FROM ato), {_round(1)}, {_round(2)},
+bi AS (SELECT k, list(DISTINCT id % 1024) AS bits FROM (SELECT k, id FROM i0 UNION ALL SELECT k, id FROM i1 UNION ALL SELECT k, id FROM i2) GROUP BY 1),
+sm AS (SELECT x.k AS u, y.k AS v, len(list_intersect(x.bits, y.bits)) AS c, len(x.bits) + len(y.bits) AS n FROM bi x, bi y),
+sc AS (SELECT u, v, c / (n - c)::DOUBLE AS sim FROM sm),
+q AS (SELECT DISTINCT x.s_suppkey AS qa, y.s_suppkey AS qb FROM supplier x JOIN supplier y ON y.s_suppkey = x.s_suppkey + 1),
+po AS (SELECT DISTINCT x.s_suppkey AS ra, y.s_suppkey AS rb FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey),
+ca AS (SELECT qa, qb, ra, rb, greatest((coalesce(aa.sim, 0) + coalesce(bb.sim, 0)) / 2, (coalesce(ab.sim, 0) + coalesce(ba.sim, 0)) / 2) AS score
+  FROM q JOIN po ON ra <> qa AND ra <> qb AND rb <> qa AND rb <> qb LEFT JOIN sc aa ON aa.u = qa AND aa.v = ra LEFT JOIN sc bb ON bb.u = qb AND bb.v = rb
+  LEFT JOIN sc ab ON ab.u = qa AND ab.v = rb LEFT JOIN sc ba ON ba.u = qb AND ba.v = ra)
+SELECT qa, qb, place, ra, rb, score, '' AS note FROM
+  (SELECT *, CAST(row_number() OVER (PARTITION BY qa, qb ORDER BY score DESC, ra, rb) AS INTEGER) AS place FROM ca) WHERE place <= 3""",
+)
+def r03(t: Tables):
+    key = F.col("s_suppkey")
+    x, y = t.supplier.select(key.alias("x"), F.col("s_nationkey").alias("nation")), t.supplier.select(key.alias("y"), F.col("s_nationkey").alias("nation"))
+    queries = x.join(y, F.col("y") == F.col("x") + 1).select(F.col("x").alias("qa"), F.col("y").alias("qb"))
+    pool = x.join(y, "nation").where("x < y").select(F.col("x").alias("ra"), F.col("y").alias("rb"))
+    structures = drawn_structures(t.supplier.select("s_suppkey").distinct(), "s_suppkey").withColumnRenamed("s_suppkey", "node")
+    return RT.similarity_map(queries, pool, structures, 3, SEED)

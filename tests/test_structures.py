@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.operators import retrieval as RT
 from pairloom.operators import structures as ST
 
 
@@ -141,3 +142,27 @@ def test_atom_features_and_rows(spark):
     assert v[3] == [] and all(len(x) == 55 for x in v[1]) and v[2][0][43] == 1.0
     assert [x[48:53].index(1.0) for x in v[1]] == [0, 0, 1, 1, 1, 1, 1, 1, 2] and v[1][2][53] == 1.0 and v[1][0][44] == pytest.approx(0.1)
     assert ST.atom_rows(df, "k").count() == 10 and ST.bond_rows(df, "k").count() == 18
+
+
+def test_similarity_map_against_plain_loops(spark):
+    g = random.Random(6)
+    texts = {f"d{i}": t for i, t in enumerate(made(14, 3))} | {"bad": "C(", "none": None}
+    nodes = [*texts, "unknown"]
+    pairs = sorted({tuple(g.sample(sorted(nodes), 2)) for _ in range(30)})
+    pool, queries = pairs[:12], pairs[8:] + pairs[8:10]
+    rows = spark.createDataFrame([*texts.items(), (None, "C")], "node string, smiles string")
+    out = RT.similarity_map(spark.createDataFrame(queries, "qa string, qb string"), spark.createDataFrame(pool, "ra string, rb string"), rows, 4, 7).collect()
+    graphs_ = {r["node"]: r["graph"] for r in ST.with_graph(rows).collect()}
+    bits = {n: set(plain_bits(graphs_[n], 2, 1024)) for n in texts}
+    sim = lambda u, v: len(bits[u] & bits[v]) / len(bits[u] | bits[v]) if bits[u] | bits[v] else 0.0
+    for qa, qb in set(queries):
+        mine = sorted((r["place"], r["ra"], r["rb"], r["score"], r["note"]) for r in out if (r["qa"], r["qb"]) == (qa, qb))
+        assert [m[0] for m in mine] == [1, 2, 3, 4]
+        want = []
+        if {qa, qb} <= set(texts):
+            apart = [(a, b) for a, b in pool if not {a, b} & {qa, qb} and {a, b} <= set(texts)]
+            want = sorted((-max((sim(qa, a) + sim(qb, b)) / 2, (sim(qa, b) + sim(qb, a)) / 2), a, b) for a, b in apart)[:4]
+        assert [(m[1], m[2], pytest.approx(m[3])) for m in mine if m[4] == ""] == [(a, b, -s) for s, a, b in want]
+        assert all(m[3] == 0.0001 and (m[1], m[2]) in pool for m in mine if m[4] == "padding")
+    with pytest.raises(ValueError):
+        RT.similarity_map(spark.createDataFrame(queries, "qa string, qb string"), spark.createDataFrame([], "ra string, rb string"), rows, 2, 7)
