@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import diagnostics as D
 from ..operators import folds as FO
 from ..operators import kg as K
+from ..operators import published as PU
 from ..operators import sampling as X
 from ..operators import validate as V
 from .registry import SEED, Tables, query, with_parts
@@ -33,6 +34,17 @@ def x04(t: Tables):
     return t.folds().where("n_g2 > 0").select("a", "b", "split")
 
 
+@query("x01_published_groups")
+def x01_published(t: Tables):
+    return PU.published_groups(t.part.select(F.col("p_partkey").alias("node")), SEED)
+
+
+@query("x03_published_folds")
+def x03_published(t: Tables):
+    groups = PU.published_groups(t.part.select(F.col("p_partkey").alias("node")), SEED)
+    return PU.published_fair_folds(t.edges(), groups, SEED, ["a", "b"]).select("a", "b", "n_g2", "split")
+
+
 @query("p05_endpoint_classes", with_parts("folds") + " SELECT n_g2, count(*) AS n FROM folds GROUP BY n_g2")
 def p05(t: Tables):
     return FO.edge_class(t.edges(), t.groups()).groupBy("n_g2").agg(F.count("*").alias("n"))
