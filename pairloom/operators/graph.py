@@ -126,6 +126,37 @@ def message_step(edges: DataFrame, state: DataFrame, gates: DataFrame) -> DataFr
     return m.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("h") * F.col("gate")).alias("h"))
 
 
+def message_passing(edges: DataFrame, starts: DataFrame, gates: DataFrame, steps: int, mix: list[list[list[float]]] | None = None, relu: bool = True) -> DataFrame:
+    """(query, node, h): states after ``steps`` rounds along edges (src, dst, rel); nodes not reached have no row.
+
+    ``starts`` (query, node, h): all other states begin as zeros.  In round k each edge carries its source's state times
+    the gate of its relation, place by place, and a node's new state is the sum of what it gets, mixed by the matrix
+    ``mix[k - 1]`` (columns to places; None: as it is) and cut at zero by ``relu``.  ``gates`` (step, rel, gate): vectors,
+    normalised over the relations of a round and place to sum to 1; relations without a gate carry nothing.  Parallel
+    edges carry each.  States of equal query and node in ``starts`` are added.
+
+    A round joins the states that are not zero with the edges and sums with partial sums; it ends in a written table.
+    """
+    first = starts.select(F.size("h")).first()
+    width = first[0] if first else 0
+    add = lambda c: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(width)])
+    total = gates.groupBy("step").agg(add(F.col("gate")).alias("total"))
+    gates = gates.join(F.broadcast(total), "step").select("step", "rel", F.zip_with("gate", "total", lambda g, t: g / t).alias("gate"))
+    links = staged(edges.select("src", "dst", "rel").where("src IS NOT NULL AND dst IS NOT NULL"), "message-edges")
+    state = staged(starts.groupBy("query", "node").agg(add(F.col("h")).alias("h")), "states")
+    for k in range(1, steps + 1):
+        mine = bounded_broadcast(gates.where(F.col("step") == k).select("rel", "gate"))
+        sent = state.where(F.exists("h", lambda x: x != 0)).withColumnRenamed("node", "src").join(links, "src").join(mine, "rel")
+        got = sent.groupBy("query", F.col("dst").alias("node")).agg(add(F.zip_with("h", "gate", lambda x, g: x * g)).alias("h"))
+        if mix is not None:
+            rows = [sum((F.get("h", F.lit(i)) * F.lit(float(mix[k - 1][i][j])) for i in range(width)), F.lit(0.0)) for j in range(width)]
+            got = got.withColumn("h", F.array(*rows))
+        if relu:
+            got = got.withColumn("h", F.transform("h", lambda x: F.greatest(x, F.lit(0.0))))
+        state = staged(got, f"states-{k}")
+    return state
+
+
 def induced_relations(paths: DataFrame, keep: DataFrame, relations: int) -> DataFrame:
     """(src, node, rel): relations that stand for distances among kept nodes, numbered behind the others."""
     k = keep.select(F.col("n").alias("src"))

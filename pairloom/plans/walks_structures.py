@@ -1,10 +1,14 @@
-"""Queries of walks and subgraphs over the pages, their hosts and their sections, and of structures."""
+"""Queries of walks and subgraphs over the pages, their hosts and their sections, of structures and of answers."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
+from ..operators import answers as AN
+from ..operators import graph as G
 from ..operators import retrieval as RT
 from ..operators import structures as ST
 from ..operators import walks as WK
@@ -71,6 +75,55 @@ def g13_subgraphs(t: Tables):
     return WK.induced_edges(both, WK.k_hop_nodes(both, page_nodes(t), 2, 6, SEED))
 
 
+#: Gates of relations 0 to 5 in three rounds, at two places; each sums to 16, so that sums of states are exact.
+GATES = (((1, 2, 3, 4, 5, 1), (6, 1, 1, 2, 2, 4)), ((4, 4, 2, 2, 2, 2), (1, 1, 1, 1, 4, 8)), ((8, 4, 1, 1, 1, 1), (2, 2, 2, 2, 4, 4)))
+MIX = (((1.0, -0.5), (0.5, 1.0)), ((1.0, 0.0), (-1.0, 1.0)), ((0.5, 0.25), (0.25, 0.5)))
+
+
+def _passed(k: int) -> str:
+    one, two = ("CASE e.rel " + " ".join(f"WHEN {r} THEN {g / 16}::DOUBLE" for r, g in enumerate(gates)) + " END" for gates in GATES[k - 1])
+    (a, b), (c, d) = MIX[k - 1]
+    return f"""t{k} AS (SELECT query, e.dst AS node, sum(x * {one}) AS x, sum(y * {two}) AS y FROM h{k - 1} JOIN ed e ON e.src = node WHERE x <> 0 OR y <> 0 GROUP BY 1, 2),
+h{k} AS (SELECT query, node, greatest(x * {a}::DOUBLE + y * {c}::DOUBLE, 0) AS x, greatest(x * {b}::DOUBLE + y * {d}::DOUBLE, 0) AS y FROM t{k})"""
+
+
+@query(
+    "g18_message_passing",
+    f"""WITH {PAGES_SQL}, ed AS (SELECT src, dst, rel FROM pe UNION SELECT dst, src, rel + 3 FROM pe),
+h0 AS (SELECT DISTINCT h AS query, h AS node, 1.0::DOUBLE AS x, 2.0::DOUBLE AS y FROM pg), {_passed(1)}, {_passed(2)}, {_passed(3)}
+SELECT query, node, x, y FROM h3""",
+)
+def g18_passing(t: Tables):
+    one = page_graph(t)
+    both = one.union(one.select("dst", "src", F.col("rel") + 3))
+    starts = one.where("rel = 0").select(F.col("dst").alias("query"), F.col("dst").alias("node"), F.array(F.lit(1.0), F.lit(2.0)).alias("h")).distinct()
+    rows = [(k + 1, r, [float(x[r]), float(y[r])]) for k, (x, y) in enumerate(GATES) for r in range(6)]
+    gates = t.spark.createDataFrame(rows, "step int, rel int, gate array<double>")
+    done = G.message_passing(both, starts, gates, 3, [list(map(list, m)) for m in MIX])
+    return done.select("query", "node", F.col("h")[0].alias("x"), F.col("h")[1].alias("y"))
+
+
+HEADER = ("of", "the")
+WORD_IDS = ("list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z ]', '', 'g'), ' '), lambda w: h32(w))")
+
+
+@query(
+    "r15_answer_labels",
+    f"""WITH d AS (SELECT doc_id, {WORD_IDS} AS ids, [h32('{HEADER[0]}'), h32('{HEADER[1]}')] AS hd FROM documents),
+e AS (SELECT *, coalesce(list_max(list_filter(range(2, len(ids) + 1), lambda k: ids[k - 1] = hd[1] AND ids[k] = hd[2])), -1) AS last FROM d)
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, CAST(CASE WHEN last < 0 THEN len(ids) - 1 ELSE last END AS INTEGER) AS masked,
+  md5(array_to_string(list_transform(range(1, len(ids) + 1), lambda k: CASE WHEN k <= CASE WHEN last < 0 THEN len(ids) - 1 ELSE last END THEN -100 ELSE ids[k] END), ' ')) AS labels_md5
+FROM e""",
+)
+def r15(t: Tables):
+    words = F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z ]", ""), " ", -1)
+    ids = t.documents.select("doc_id", F.transform(words, lambda w: hash32(w)).alias("ids"))
+    header = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in HEADER]
+    told = ids.select("doc_id", F.size("ids").alias("n"), AN.answer_labels(F.col("ids"), header).alias("labels"))
+    masked = F.size(F.filter("labels", lambda x: x == AN.MASKED)).alias("masked")
+    return told.select("doc_id", "n", masked, F.md5(F.array_join(F.transform("labels", lambda x: x.cast("string")), " ").cast("binary")).alias("labels_md5"))
+
+
 # Structures are fragments one after the other, drawn by hash.  For SQL each fragment lists its atoms (symbol, aromatic, in a ring),
 # its bonds (a, b, order) and the atom that the next fragment joins.
 FRAGMENTS = (
