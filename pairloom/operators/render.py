@@ -104,6 +104,14 @@ def model_family(name: str | None) -> str:
     return next((f for f in FAMILIES if f in (name or "").lower()), "qwen")
 
 
+def family_of(name: Column) -> Column:
+    """``model_family`` of a column; null counts as qwen."""
+    low, out = F.lower(F.coalesce(name, F.lit(""))), F.lit("qwen")
+    for f in reversed(FAMILIES):
+        out = F.when(F.contains(low, F.lit(f)), f).otherwise(out)
+    return out
+
+
 def chat_template(name: str) -> str:
     """Template for direct chat formatting; names of none count as llama."""
     return next((t for word, t in CHAT_NAMES if word in name.lower()), "llama")

@@ -140,13 +140,6 @@ def neighbour_sample(neighbours: DataFrame, k: int, seed: int, node: str = "node
     return rows.select(node, "i", F.when(F.size("all") >= k, F.element_at("order", F.col("i") + 1)).otherwise(F.element_at("all", again + 1)).alias(other))
 
 
-def simulated_adjudication(rows: DataFrame, key: str, auto: str, other: str, seed: int, share: float = 0.6) -> DataFrame:
-    """``simulated``: where two labels differ, a keyed coin takes ``auto`` with probability ``share``.
-    It is a simulation, not a judgement."""
-    coin = unit(str(seed), "coin", F.col(key))
-    return rows.withColumn("simulated", F.when(F.col(auto) == F.col(other), F.col(auto)).when(coin < share, F.col(auto)).otherwise(F.col(other)))
-
-
 def shuffled(rows: DataFrame, key: str, seed: int, tag: str = "shuffle") -> DataFrame:
     """Rows with their place in a keyed order."""
     return numbered(rows.withColumn("__all", F.lit(1)), ["__all"], hash_order(str(seed), tag, F.col(key)), [key]).drop("__all")

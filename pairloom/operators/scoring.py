@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_json, write_json
@@ -92,6 +92,14 @@ def mask_channels(modality: str) -> tuple[str, ...]:
     return MASKS[modality]
 
 
+def mask_conditions(modality: Column) -> Column:
+    """``none``, then the channels that a modality can mask, in order; an unknown modality has ``none`` alone."""
+    out = F.array(F.lit("none"))
+    for m, channels in MASKS.items():
+        out = F.when(modality == m, F.array(F.lit("none"), *map(F.lit, channels))).otherwise(out)
+    return out
+
+
 def scored(pairs: DataFrame, model: PairScorer, mask: str | None = None, unknown: float | None = 0.5, a: str = "a", b: str = "b") -> DataFrame:
     """Pairs with ``p``, scored in Arrow batches; a length that differs from the batch is an error.
 

@@ -8,6 +8,7 @@ from . import (  # noqa: F401  (they register)
     features_text,
     folds_sets,
     graph_render,
+    rendering_all,
     sources_scoring,
     walks_structures,
 )

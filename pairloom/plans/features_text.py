@@ -16,7 +16,7 @@ from ..operators import mentions as MN
 from ..operators import render as R
 from ..operators import retrieval as RT
 from ..operators import sampling as X
-from ..operators.scoring import MASKS
+from ..operators.scoring import MASKS, mask_conditions
 from . import diag_metrics as DM
 from . import graph_render as GR
 from .registry import SEED, Tables, query, with_parts
@@ -192,9 +192,8 @@ MODELS = ("Org/Llama-3", "Qwen2.5", "gemma-7b", "Mistral-v0.3", "other")
 
 @query("n13_model_family", f"SELECT n_nationkey, {FAMILY_SQL} AS family FROM (SELECT n_nationkey, lower([" + ", ".join(f"'{m}'" for m in MODELS) + "][1 + n_nationkey % 5]) AS n FROM nation)")
 def n13(t: Tables):
-    """A model's family is settled on the driver, once for each model named."""
-    known = F.array(*[F.lit(R.model_family(m)) for m in MODELS])
-    return t.nation.select("n_nationkey", F.element_at(known, (F.pmod("n_nationkey", F.lit(len(MODELS))) + 1).cast("int")).alias("family"))
+    names = F.element_at(F.array(*map(F.lit, MODELS)), (F.pmod("n_nationkey", F.lit(len(MODELS))) + 1).cast("int"))
+    return t.nation.select("n_nationkey", R.family_of(names).alias("family"))
 
 
 @query("n16_interaction_term", "SELECT event_id, abs(unit('1:' || event_id) - unit('3:' || event_id)) - abs(unit('0:' || event_id) - unit('2:' || event_id)) AS delta FROM events")
@@ -338,6 +337,15 @@ def d08(t: Tables):
     return DM.rounded(D.masked_panel(tri, p))
 
 
-@query("d11_mask_channels", "SELECT * FROM (VALUES ('mol', ''), ('text', ''), ('mol+kg-fused', ''), ('kg', 'kg'), ('mol+kg', 'mol,kg')) v(modality, masks)")
+MODALITY = "['mol', 'text', 'mol+kg-fused', 'kg', 'mol+kg'][1 + event_id % 5]"
+
+
+@query(
+    "d11_mask_channels",
+    f"""SELECT event_id, unnest(CASE {MODALITY} WHEN 'kg' THEN ['none', 'kg'] WHEN 'mol+kg' THEN ['none', 'mol', 'kg'] ELSE ['none'] END) AS mask FROM events""",
+)
 def d11(t: Tables):
-    return t.spark.createDataFrame([(m, ",".join(c)) for m, c in MASKS.items()], "modality string, masks string")
+    """The conditions under which each row's model is to be scored: unmasked, and each channel that its modality can mask."""
+    modality = F.element_at(F.array(*map(F.lit, MASKS)), (F.pmod("event_id", F.lit(len(MASKS))) + 1).cast("int"))
+    return t.events.select("event_id", F.explode(mask_conditions(modality)).alias("mask"))
+

@@ -126,12 +126,6 @@ def x16(t: Tables):
     return X.neighbour_sample(t.lineitem.select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("other")), 5, SEED)
 
 
-@query("x20_simulated_adjudication", f"SELECT event_id, CASE WHEN event_type = o THEN event_type WHEN unit('{SEED}:coin:' || event_id) < 0.6 THEN event_type ELSE o END AS simulated FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'view' ELSE event_type END AS o FROM events)")
-def x20(t: Tables):
-    rows = t.events.withColumn("o", F.when(F.pmod("event_id", F.lit(3)) == 0, "view").otherwise(F.col("event_type")))
-    return X.simulated_adjudication(rows, "event_id", "event_type", "o", SEED).select("event_id", "simulated")
-
-
 @query("w09_balanced_cap", "SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS r FROM labels) WHERE r <= 50")
 def w09(t: Tables):
     return X.balanced_cap(t.labels.select("doc_id", "quality"), "quality", ["doc_id"], 100)

@@ -110,15 +110,15 @@ def write_json(obj, path: str, spark: SparkSession | None = None) -> None:
     With a session the path may be in any store that Spark writes."""
     text = json.dumps(obj, indent=2, sort_keys=True, allow_nan=False)
     if spark is not None:
-        jvm = spark._jvm.org.apache.hadoop.fs
+        jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
         to, beside = jvm.Path(path), jvm.Path(f"{path}.{uuid.uuid4().hex}.part")
-        fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
-        out = fs.create(beside, True)
+        out = to.getFileSystem(conf).create(beside, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(to):
-            fs.delete(to, False)
-        fs.rename(beside, to)
+        how = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+        how[0] = jvm.Options.Rename.OVERWRITE
+        store = jvm.FileContext.getFileContext(to.toUri(), conf)
+        store.rename(store.makeQualified(beside), store.makeQualified(to), how)  # in one step: no moment without a file
         return
     fd, tmp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
     with os.fdopen(fd, "w") as f:
