@@ -6,6 +6,8 @@ the key itself is absent.  Two equi joins do that; there is no join on either-or
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,6 +73,54 @@ def kps_f(triples: DataFrame, preds: DataFrame, cond: str = "R0", name: str = "K
     return summarise(kept)
 
 
+def swap_sensitivity(source: DataFrame, pool: DataFrame, groups: DataFrame | None, preds: DataFrame, bucket: Callable[[Column, Column], Column], cond: str = "R0", name: str = "KPS-F") -> DataFrame:
+    """What ``kps_f`` gives over ``swap_triples``, without a triple: ``bucket`` is that of a pair (u, v).
+
+    All replacements of u at v carry the other label (labels are 0 and 1) and lie in u's group.  Sorted by score with
+    running counts and sums, they give every pair its sum of distances and of squares; u itself, if it carries both
+    labels with v, is taken off.  A hub with n pairs and m replacements costs a sort of n + m rows, not n times m.
+    """
+    both = lambda t: t.select("a", "b", "label", "prio").unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b"), "label", "prio"))
+    p = preds.where(F.col("cond") == cond)
+    base = both(source).groupBy("a", "b").agg(F.min_by("label", "prio").alias("label")).where("label IN (0, 1)")
+    other = both(pool).where("label IN (0, 1) AND a <> b").select("a", "b", F.col("label").alias("side")).distinct()
+    known = lambda c: F.coalesce(F.nanvl(c, F.lit(None).cast("double")).isNotNull(), F.lit(False)).cast("long")
+    base = with_score(base, p, "s").where("s_found").select("a", "b", "label", (1 - F.col("label")).alias("side"), F.col("s").cast("double").alias("s"))
+    other = with_score(other, p, "s").where("s_found").select("a", "b", "side", F.col("s").cast("double").alias("s"))
+    own = other.select("a", "b", "side", F.col("s").alias("own"), F.lit(1).cast("long").alias("has"))
+    base = base.join(own, ["a", "b", "side"], "left")
+    if groups is not None:
+        g = groups.select(F.col("node").alias("a"), "grp")
+        base, other = base.join(g, "a"), other.join(g, "a")
+    else:
+        base, other = base.withColumn("grp", F.lit(0)), other.withColumn("grp", F.lit(0))
+    cast = {"label": "int", "own": "double", "has": "long"}
+    rows = staged(
+        base.withColumn("kind", F.lit(0)).unionByName(other.withColumn("kind", F.lit(1)).withColumns({c: F.lit(None).cast(t) for c, t in cast.items()})).withColumn("fine", known(F.col("s"))), "swaps"
+    )
+    whole = W.partitionBy("b", "grp", "side")
+    upto = whole.orderBy("s", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    there, mine = F.col("kind") == 1, (F.col("kind") == 1) & (F.col("fine") == 1)
+    add = lambda c, of: F.coalesce(F.sum(F.when(mine, c)).over(of), F.lit(0))
+    v = F.col("s")
+    sums = rows.withColumns({
+        "n_all": F.count(F.when(there, 1)).over(whole), "n": add(F.lit(1), whole), "sum": add(v, whole), "squares": add(v * v, whole), "below": add(F.lit(1), upto), "below_sum": add(v, upto),
+    }).where("kind = 0")
+    gap = F.when(F.col("has").isNotNull() & (known(F.col("own")) == 1), F.abs(v - F.col("own")))
+    taken = F.when(gap.isNotNull(), 1).otherwise(0)
+    scored = F.col("fine") == 1
+    per = sums.select(
+        bucket(F.col("a"), F.col("b")).alias("bucket"), "label", (F.col("n_all") - F.coalesce("has", F.lit(0))).alias("n_all"), F.when(scored, F.col("n") - taken).otherwise(0).alias("n"),
+        F.when(scored, v * (2 * F.col("below") - F.col("n")) - 2 * F.col("below_sum") + F.col("sum") - F.coalesce(gap, F.lit(0.0))).otherwise(0.0).alias("far"),
+        F.when(scored, F.col("n") * v * v - 2 * v * F.col("sum") + F.col("squares") - F.coalesce(gap * gap, F.lit(0.0))).otherwise(0.0).alias("far2"),
+    ).where("n_all > 0")
+    out = per.where(F.col("bucket").isin(*PRIMARY)).unionByName(per.where("label = 1").withColumn("bucket", F.lit("ALL")))
+    total = out.groupBy("bucket").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("k"), F.sum("far").alias("far"), F.sum("far2").alias("far2"))
+    mean = F.when(F.col("k") > 0, F.col("far") / F.col("k"))
+    spread = F.when(F.col("k") > 1, F.sqrt(F.greatest(F.col("far2") - F.col("far") * mean, F.lit(0.0)) / (F.col("k") - 1))).otherwise(F.lit(0.0))
+    return total.select(F.lit(name).alias("indicator"), "bucket", mean.alias("value"), spread.alias("std"), F.col("n_all").alias("n"))
+
+
 def base_pairs(triples: DataFrame) -> DataFrame:
     return triples.groupBy(F.col("qa").alias("a"), F.col("qb").alias("b")).agg(F.min("bucket").alias("bucket"), F.min("label").alias("label"))
 

@@ -26,17 +26,24 @@ SUMMARY = """SELECT indicator, bucket, round(avg(delta), 9) AS value, round(coal
 CHANNELS = ", dl AS (" + " UNION ALL ".join(f"SELECT '{n}' AS indicator, bucket, label, abs({x.lower()} - {y.lower()}) AS delta FROM sc" for n, x, y in D.CHANNELS) + ")"
 
 
-def triples(t: Tables):
+def swap_sources(t: Tables):
     lab = staged(t.labelled(), "labelled")
-    src = lab.where("split = 'test_s2'").select("a", "b", "label", F.lit(0).alias("prio"))
-    pool = lab.where("split IN ('test_s1', 'test_s2')").select("a", "b", "label", F.lit(0).alias("prio"))
-    return D.swap_triples(src, pool, t.groups())
+    of = lambda *splits: lab.where(F.col("split").isin(*splits)).select("a", "b", "label", F.lit(0).alias("prio"))
+    return of("test_s2"), of("test_s1", "test_s2")
+
+
+def pair_bucket(a, b):
+    names = F.array(*map(F.lit, (*D.PRIMARY, "Other")))
+    return F.element_at(names, (F.pmod(a + b, F.lit(5)) + 1).cast("int"))
+
+
+def triples(t: Tables):
+    return D.swap_triples(*swap_sources(t), t.groups())
 
 
 def bucketed(t: Tables):
     """Triples with a bucket, written once: the universe and every lookup read them again."""
-    names = F.array(*map(F.lit, (*D.PRIMARY, "Other")))
-    tri = triples(t).select("qa", "qb", "qa_prime", F.col("label_uv").alias("label"), F.element_at(names, (F.pmod(F.col("qa") + F.col("qb"), F.lit(5)) + 1).cast("int")).alias("bucket"))
+    tri = triples(t).select("qa", "qb", "qa_prime", F.col("label_uv").alias("label"), pair_bucket(F.col("qa"), F.col("qb")).alias("bucket"))
     return staged(tri, "triples")
 
 
@@ -63,8 +70,10 @@ def d01(t: Tables):
 
 @query("d03_kps_f", TRIPLES + BUCKETS + PREDS + """, dl AS (SELECT 'KPS-F' AS indicator, bucket, label, abs(x.r0 - y.r0) AS delta FROM tb JOIN pr x ON x.a = least(qa, qb) AND x.b = greatest(qa, qb) JOIN pr y ON y.a = least(qa_prime, qb) AND y.b = greatest(qa_prime, qb)) """ + SUMMARY)
 def d03(t: Tables):
-    b = bucketed(t)
-    return rounded(D.kps_f(b, preds(b, ("R0",))))
+    src, pool = swap_sources(t)
+    pairs = src.unionByName(pool).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().where("pmod(a * 5 + b, 11) <> 0")
+    scores = pairs.withColumn("cond", F.lit("R0")).withColumn("p", S.unit(F.col("cond"), F.col("a"), F.col("b")))
+    return rounded(D.swap_sensitivity(src, pool, t.groups(), scores, pair_bucket))
 
 
 @query("d04_channel_deltas", TRIPLES + BUCKETS + PREDS + BASE + CHANNELS + " " + SUMMARY)
