@@ -99,6 +99,14 @@ def method_name(method: str | None) -> str:
     return ALIASES.get(method, method.lower()) if method else "zero_shot"
 
 
+def method_of(method: Column) -> Column:
+    """``method_name`` of a column."""
+    out = F.when(F.coalesce(method, F.lit("")) == "", F.lit("zero_shot"))
+    for alias, name in ALIASES.items():
+        out = out.when(method == alias, F.lit(name))
+    return out.otherwise(F.lower(method))
+
+
 def model_family(name: str | None) -> str:
     """Family for prompts; names of none of the four count as qwen."""
     return next((f for f in FAMILIES if f in (name or "").lower()), "qwen")

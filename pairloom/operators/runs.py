@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import has_table, read_json, write_json
-from .render import method_name, model_family
+from .render import family_of, method_name, method_of, model_family
 from .validate import Invalid, file_digests, verify_digests
 
 #: stage -> (file that it reads, stage that writes the file)
@@ -38,6 +38,17 @@ def prompt_differences(trained: dict, now: dict) -> list[tuple[str, str, str]]:
     return [(f, meaning[f](trained[f]), meaning[f](now[f])) for f in shared if meaning[f](trained[f]) != meaning[f](now[f])]
 
 
+def prompt_audit(rows: DataFrame) -> DataFrame:
+    """(key, field, trained, now) where the settings of a row (key, trained, now: structs of method, task_name and
+    model_name) differ, by the rules of ``prompt_differences``."""
+    meaning = {"method": method_of, "task_name": lambda c: c, "model_name": family_of}
+    both = F.array(*[
+        F.struct(F.lit(f).alias("field"), F.when(F.col(f"trained.{f}").isNotNull(), m(F.col(f"trained.{f}"))).alias("trained"), F.when(F.col(f"now.{f}").isNotNull(), m(F.col(f"now.{f}"))).alias("now"))
+        for f, m in meaning.items()
+    ])
+    return rows.select("key", F.explode(both).alias("x")).select("key", "x.*").where("trained <> now")
+
+
 def check_prompt(trained: dict, now: dict) -> None:
     odd = prompt_differences(trained, now)
     if odd:

@@ -17,6 +17,13 @@ def column_audit(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, c in df.columns) for c in columns], "name string, present boolean")
 
 
+def required_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, present, n_missing) of required columns: rows without a value, all of them if the column is absent."""
+    none = [F.count(F.when(F.col(c).isNull(), 1)) if c in df.columns else F.count("*") for c in columns]
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(c in df.columns).alias("present"), n.alias("n_missing")) for c, n in zip(columns, none)])
+    return df.agg(rows.alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as CL
+from ..operators import dataset as DS
 from ..operators import diagnostics as DG
+from ..operators import render as R
 from ..operators import runs as RU
 from ..operators import sampling as X
 from ..operators import scoring as SC
@@ -305,11 +307,67 @@ def q10(t: Tables):
     return t.spark.createDataFrame(lost + RU.missing_inputs(t.spark, out, ("extract", "clean", "label"), ("extract",)), "stage string, file string, producer string")
 
 
-@query("q11_prompt_contract", "SELECT * FROM (VALUES ('model_name', 'llama', 'qwen'), ('task_name', 'interaction', 'severity')) v(field, trained, now)")
+METHODS_NOW = ("zero_shot", "DESC_ONLY", "few_shot_2hop")
+METHODS_THEN = ("Zero_Shot", "desc_only", "Zero_Shot_Sequence", "few_shot_2hop")
+MODELS_THEN, MODELS_NOW = ("Llama-3.2-1B", "Qwen2.5-3B", "other"), ("Llama-3", "gemma-2b")
+
+
+def _nth(values, by: str):
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(by, F.lit(len(values))) + 1).cast("int"))
+
+
+def _listed(values, by: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][1 + {by} % {len(values)}]"
+
+
+@query(
+    "q11_prompt_contract",
+    f"""WITH r AS (SELECT p_partkey AS key, {_listed([R.method_name(m) for m in METHODS_THEN], "p_size")} AS m1, {_listed([m.lower() for m in METHODS_NOW], "p_partkey")} AS m2,
+  CASE WHEN p_size % 7 = 0 THEN NULL ELSE 'interaction' END AS t1, CASE WHEN p_size % 5 = 0 THEN 'severity' ELSE 'interaction' END AS t2,
+  {_listed([R.model_family(m) for m in MODELS_THEN], "p_size")} AS f1, {_listed([R.model_family(m) for m in MODELS_NOW], "p_partkey")} AS f2 FROM part)
+SELECT key, 'method' AS field, m1 AS trained, m2 AS now FROM r WHERE m1 <> m2 UNION ALL SELECT key, 'task_name', t1, t2 FROM r WHERE t1 <> t2
+UNION ALL SELECT key, 'model_name', f1, f2 FROM r WHERE f1 <> f2""",
+)
 def q11(t: Tables):
-    trained = {"method": "one_hop_subgraph_sequence", "task_name": "interaction", "model_name": "Llama-3.2-1B"}
-    now = {"method": "One_Hop_Subgraph_Sequence".lower(), "task_name": "severity", "model_name": "Qwen2.5-3B"}
-    return t.spark.createDataFrame(RU.prompt_differences(trained, now), "field string, trained string, now string")
+    """Settings of two runs for each part; some tasks were not told."""
+    size = lambda n: F.pmod("p_size", F.lit(n)) == 0
+    then = F.struct(_nth(METHODS_THEN, "p_size").alias("method"), F.when(~size(7), "interaction").alias("task_name"), _nth(MODELS_THEN, "p_size").alias("model_name"))
+    now = F.struct(_nth(METHODS_NOW, "p_partkey").alias("method"), F.when(size(5), "severity").otherwise("interaction").alias("task_name"), _nth(MODELS_NOW, "p_partkey").alias("model_name"))
+    return RU.prompt_audit(t.part.select(F.col("p_partkey").alias("key"), then.alias("trained"), now.alias("now")))
+
+
+@query(
+    "q01_required_values",
+    """SELECT 'doc_id' AS name, true AS present, count(*) FILTER (doc_id IS NULL) AS n_missing FROM documents
+UNION ALL SELECT 'lang', true, count(*) FILTER (lang IS NULL) FROM documents UNION ALL SELECT 'no_such_column', false, count(*) FROM documents""",
+)
+def q01_values(t: Tables):
+    return V.required_values(t.documents, ["doc_id", "lang", "no_such_column"])
+
+
+@query(
+    "q08_dataset_check",
+    with_parts("folds", "typed") + """, kept AS (SELECT * FROM folds WHERE (a + b) % 97 <> 0), ng AS (SELECT split FROM kept WHERE (a * 3 + b) % 50 <> 0),
+nt AS (SELECT count(*) AS n FROM kept WHERE split = 'train'), ep AS (SELECT a % 2 AS epoch, a, b FROM folds WHERE split <> 'val_s0' AND (a + b) % 5 = 0),
+pr(problem, place, n) AS (
+  SELECT 'not in a fold', '', count(*) FROM folds WHERE (a + b) % 97 = 0
+  UNION ALL SELECT 'not one to one', split, count(*) FILTER ((a * 3 + b) % 50 = 0) FROM kept GROUP BY split
+  UNION ALL SELECT 'epoch size', CAST(epoch AS VARCHAR), abs(count(*) - (SELECT n FROM nt)) FROM ep GROUP BY epoch
+  UNION ALL SELECT 'epoch has an edge', CAST(epoch AS VARCHAR), count(*) FROM ep GROUP BY epoch
+  UNION ALL SELECT 'epoch outside G1', CAST(epoch AS VARCHAR), count(*) FROM ep JOIN groups x ON x.node = a JOIN groups y ON y.node = b WHERE x.grp <> 'G1' OR y.grp <> 'G1' GROUP BY epoch
+  UNION ALL SELECT 'stored count', 'n_drugs', abs((SELECT count(DISTINCT p_partkey) FROM part) - 1900)
+  UNION ALL SELECT 'stored count', 'n_edges', abs((SELECT count(*) FROM typed) - 565731)
+  UNION ALL SELECT 'stored count', 'n_types', abs((SELECT count(DISTINCT ddi_type) FROM typed) - 215)
+) SELECT problem, place, CAST(n AS BIGINT) AS n FROM pr WHERE n > 0""",
+)
+def q08_dataset(t: Tables):
+    """A dataset that lacks some pairs, some negatives and has edges among its training negatives."""
+    folds = staged(t.folds().select("a", "b", "split"), "dataset-folds")
+    kept = folds.where("(a + b) % 97 <> 0")
+    negatives = kept.where("(a * 3 + b) % 50 <> 0")
+    epochs = folds.where("split <> 'val_s0' AND (a + b) % 5 = 0").select((F.col("a") % 2).alias("epoch"), "a", "b")
+    nodes = t.part.select(F.col("p_partkey").alias("node"))
+    return DS.dataset_problems(t.typed_edges(), kept, t.groups(), negatives, epochs, None, nodes, "full")
 
 
 @query("q12_run_identity", "SELECT 'changed' AS problem UNION ALL SELECT 'another run'")
