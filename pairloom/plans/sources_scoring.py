@@ -16,6 +16,7 @@ from ..operators import sampling as X
 from ..operators import scoring as SC
 from ..operators import validate as V
 from ..schemas import EDGE_TYPES
+from ..sources import sheets as SH
 from ..sources import tables as T
 from ..sources import xml as XM
 from ..sources.stage import shared_dir, staged
@@ -203,6 +204,23 @@ def s09(t: Tables):
     return back.unionByName(types).unionByName(steps)
 
 
+@query(
+    "s24_spreadsheet",
+    """SELECT CAST(row_number() OVER (ORDER BY n_nationkey) + 1 AS BIGINT) AS row_number, CAST(n_nationkey AS BIGINT) AS id, n_name AS name, n_nationkey % 2 = 0 AS even,
+  CAST(DATE '2019-12-31' + CAST(n_nationkey * 30 AS INTEGER) AS TIMESTAMP) AS day, n_nationkey / 8.0::DOUBLE AS eighth, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS note FROM nation""",
+)
+def s24(t: Tables):
+    """The nations as one of two sheets of a workbook, read back with their types."""
+    key = F.col("n_nationkey")
+    day = F.date_add(F.lit("2019-12-31").cast("date"), (key * 30).cast("int")).alias("day")
+    rows = t.nation.orderBy(key).select(
+        key.alias("id"), F.col("n_name").alias("name"), (key % 2 == 0).alias("even"), day, (key / 8).alias("eighth"), F.when(key % 3 != 0, F.col("n_name")).alias("note")
+    )
+    path = f"{fresh(t, 'book')}.xlsx"
+    SH.write_workbook(t.spark, {"Nations": rows, "Regions": t.region}, path)
+    return SH.read_sheet(t.spark, path, "Nations")
+
+
 @query("s25_delimited_links", "SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS src, CAST(s_suppkey % 7 AS VARCHAR) AS dst, 'r' AS rel FROM supplier")
 def s25(t: Tables):
     path = fresh(t, "links")

@@ -105,20 +105,25 @@ def load_text_map(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def write_bytes(data: bytes, path: str, spark: SparkSession) -> None:
+    """A file in any store that Spark writes: written beside and renamed in one step, so at no moment is there none."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    to, beside = jvm.Path(path), jvm.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = to.getFileSystem(conf).create(beside, True)
+    out.write(bytearray(data))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    how[0] = jvm.Options.Rename.OVERWRITE
+    store = jvm.FileContext.getFileContext(to.toUri(), conf)
+    store.rename(store.makeQualified(beside), store.makeQualified(to), how)
+
+
 def write_json(obj, path: str, spark: SparkSession | None = None) -> None:
     """Written beside and renamed, so that a reader sees the old file or the new one; NaN is refused.
     With a session the path may be in any store that Spark writes."""
     text = json.dumps(obj, indent=2, sort_keys=True, allow_nan=False)
     if spark is not None:
-        jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-        to, beside = jvm.Path(path), jvm.Path(f"{path}.{uuid.uuid4().hex}.part")
-        out = to.getFileSystem(conf).create(beside, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        how = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
-        how[0] = jvm.Options.Rename.OVERWRITE
-        store = jvm.FileContext.getFileContext(to.toUri(), conf)
-        store.rename(store.makeQualified(beside), store.makeQualified(to), how)  # in one step: no moment without a file
+        write_bytes(text.encode(), path, spark)
         return
     fd, tmp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
     with os.fdopen(fd, "w") as f:
