@@ -46,55 +46,77 @@ def _text(pattern: str, x: Column, group: int) -> Column:
     return F.regexp_extract(x, pattern, group)
 
 
-def _is_atom(x: Column) -> Column:
-    return x.rlike(r"^[\[A-Za-z*]")
+#: Kinds of tokens.
+ATOM_TOKEN, OPENS, CLOSES, DOT, RING, BOND = range(6)
+
+
+def _token(x: Column) -> Column:
+    """A token with its kind and, for ring bonds, its number."""
+    ring = x.rlike(r"^[%\d]")
+    kind = F.when(x.rlike(r"^[\[A-Za-z*]"), ATOM_TOKEN).when(x == "(", OPENS).when(x == ")", CLOSES).when(x == ".", DOT).when(ring, RING).otherwise(BOND)
+    num = F.when(ring, F.replace(x, F.lit("%"), F.lit("")).cast("int")).otherwise(-1)
+    return F.struct(x.alias("x"), kind.alias("kind"), num.alias("num"))
 
 
 def _start() -> Column:
+    none = F.expr("cast(array() as array<int>)")
     return F.struct(
-        F.lit(0).alias("n"), F.lit(-1).alias("at"), F.expr("cast(array() as array<int>)").alias("stack"), F.lit("").alias("want"), F.expr(f"cast(array() as {_RING})").alias("rings"),
-        F.expr(f"cast(array() as {_BOND})").alias("bonds"), F.lit(False).alias("bad"), F.lit("").alias("last"),
+        F.lit(0).alias("n"), F.lit(-1).alias("at"), none.alias("stack"), F.lit("").alias("want"), F.expr(f"cast(array() as {_RING})").alias("rings"),
+        F.expr(f"cast(array() as {_BOND})").alias("bonds"), none.alias("parents"), F.lit(False).alias("bad"), F.lit(-1).alias("last"),
     )
 
 
-def _step(m: Column, x: Column) -> Column:
-    """The machine after one token.  ``at``: the atom that the next one joins (-1: none); ``want``: a bond told so far."""
-    atom, opens, closes, dot = _is_atom(x), x == "(", x == ")", x == "."
-    ring = x.rlike(r"^[%\d]")
-    bond = ~(atom | opens | closes | dot | ring)
-    num = F.when(ring, F.replace(x, F.lit("%"), F.lit("")).cast("int")).otherwise(-1)
-    open_ring = F.get(F.filter(m["rings"], lambda r: r["num"] == num), F.lit(0))
+def _step(m: Column, token: Column) -> Column:
+    """The machine after one token.  ``at``: the atom that the next one joins (-1: none); ``want``: a bond told so far;
+    ``parents``: the atom that each atom joined."""
+    open_ring = F.when(token["kind"] == RING, F.get(F.filter(m["rings"], lambda r: r["num"] == token["num"]), F.lit(0)))
+    return _let(open_ring, lambda ring: _after(m, token, ring))
+
+
+def _after(m: Column, token: Column, open_ring: Column) -> Column:
+    x, kind = token["x"], token["kind"]
+    atom, opens, closes, dot, ring, bond = (kind == k for k in (ATOM_TOKEN, OPENS, CLOSES, DOT, RING, BOND))
     ends = ring & open_ring.isNotNull()
     said = F.when(m["want"] != "", m["want"]).otherwise(open_ring["kind"])
     top = F.size(m["stack"]) - 1
 
-    def one(a: Column, b: Column, kind: Column, ring_bond: bool) -> Column:
-        return F.array(F.struct(a.alias("a"), b.alias("b"), kind.alias("kind"), F.lit(ring_bond).alias("closes")))
+    def one(a: Column, b: Column, what: Column, ring_bond: bool) -> Column:
+        return F.array(F.struct(a.alias("a"), b.alias("b"), what.alias("kind"), F.lit(ring_bond).alias("closes")))
 
-    mine = F.struct(num.alias("num"), m["at"].alias("atom"), m["want"].alias("kind"))
+    mine = F.struct(token["num"].alias("num"), m["at"].alias("atom"), m["want"].alias("kind"))
     straight = F.lit("/\\")
-    clash = (m["want"] != "") & (open_ring["kind"] != "") & (m["want"] != open_ring["kind"]) & ~(F.contains(straight, m["want"]) & F.contains(straight, open_ring["kind"]))
-    again = F.exists(m["bonds"], lambda b: ((b["a"] == open_ring["atom"]) & (b["b"] == m["at"])) | ((b["b"] == open_ring["atom"]) & (b["a"] == m["at"])))
+    clash = (
+        (m["want"] != "") & (open_ring["kind"] != "") & (m["want"] != open_ring["kind"])
+        & ~(F.contains(straight, m["want"]) & F.contains(straight, open_ring["kind"]))
+    )
+    ends_of = lambda b, u, v: ((b["a"] == u) & (b["b"] == v)) | ((b["b"] == u) & (b["a"] == v))
+    again = F.exists(m["bonds"], lambda b: ends_of(b, open_ring["atom"], m["at"]))
+    lone, opened = m["at"] < 0, m["last"] == OPENS
     wrong = (
-        (bond & ((m["at"] < 0) | (m["want"] != "")))
-        | (opens & ((m["at"] < 0) | (m["want"] != "") | (m["last"] == "(")))
-        | (closes & ((top < 0) | (m["want"] != "") | (m["last"] == "(") | (m["last"] == ".")))
-        | (dot & ((m["at"] < 0) | (m["want"] != "") | (m["last"] == "(")))
-        | (ring & ((m["at"] < 0) | (m["last"] == "(")))
-        | (ends & ((open_ring["atom"] == m["at"]) | clash | again))
+        F.when(atom, F.lit(False))
+        .when(bond, lone | (m["want"] != ""))
+        .when(opens, lone | (m["want"] != "") | opened)
+        .when(closes, (top < 0) | (m["want"] != "") | opened | (m["last"] == DOT))
+        .when(dot, lone | (m["want"] != "") | opened)
+        .when(ends, lone | opened | (open_ring["atom"] == m["at"]) | clash | again)
+        .otherwise(lone | opened)
     )
     return F.struct(
         F.when(atom, m["n"] + 1).otherwise(m["n"]).alias("n"),
         F.when(atom, m["n"]).when(closes, F.coalesce(F.get(m["stack"], top), F.lit(-1))).when(dot, F.lit(-1)).otherwise(m["at"]).alias("at"),
-        F.when(opens, F.concat(m["stack"], F.array(m["at"]))).when(closes, F.slice(m["stack"], F.lit(1), F.greatest(top, F.lit(0)))).otherwise(m["stack"]).alias("stack"),
+        F.when(opens, F.concat(m["stack"], F.array(m["at"])))
+        .when(closes, F.slice(m["stack"], F.lit(1), F.greatest(top, F.lit(0))))
+        .otherwise(m["stack"])
+        .alias("stack"),
         F.when(bond, x).when(atom | ring, F.lit("")).otherwise(m["want"]).alias("want"),
-        F.when(ends, F.filter(m["rings"], lambda r: r["num"] != num)).when(ring, F.concat(m["rings"], F.array(mine))).otherwise(m["rings"]).alias("rings"),
+        F.when(ends, F.filter(m["rings"], lambda r: r["num"] != token["num"])).when(ring, F.concat(m["rings"], F.array(mine))).otherwise(m["rings"]).alias("rings"),
         F.when(atom & (m["at"] >= 0), F.concat(m["bonds"], one(m["at"], m["n"], m["want"], False)))
         .when(ends, F.concat(m["bonds"], one(open_ring["atom"], m["at"], said, True)))
         .otherwise(m["bonds"])
         .alias("bonds"),
+        F.when(atom, F.concat(m["parents"], F.array(m["at"]))).otherwise(m["parents"]).alias("parents"),
         (m["bad"] | F.coalesce(wrong, F.lit(False))).alias("bad"),
-        F.substring(x, 1, 1).alias("last"),
+        kind.alias("last"),
     )
 
 
@@ -111,18 +133,19 @@ def _told_atom(x: Column) -> Column:
     )
 
 
-def _tree_of_ring(bond: Column, bonds: Column, n: Column) -> Column:
+def _tree_of_ring(bond: Column, parents: Column) -> Column:
     """Atoms whose bond to their parent lies on the path between the ends of a ring closure: both climb, the later one first."""
     begin = F.struct(bond["a"].alias("u"), bond["b"].alias("v"), F.expr("cast(array() as array<int>)").alias("on"))
 
     def climb(s: Column, i: Column) -> Column:
-        up = F.get(F.filter(bonds, lambda b: (b["b"] == i) & ~b["closes"]), F.lit(0))["a"]
-        met = (s["u"] != s["v"]) & ((s["u"] == i) | (s["v"] == i)) & up.isNotNull()
-        return F.struct(
-            F.when(met & (s["u"] == i), up).otherwise(s["u"]).alias("u"), F.when(met & (s["v"] == i), up).otherwise(s["v"]).alias("v"), F.when(met, F.concat(s["on"], F.array(i))).otherwise(s["on"]).alias("on")
+        up = F.get(parents, i)
+        met = (s["u"] != s["v"]) & ((s["u"] == i) | (s["v"] == i)) & (up >= 0)
+        moved = F.struct(
+            F.when(s["u"] == i, up).otherwise(s["u"]).alias("u"), F.when(s["v"] == i, up).otherwise(s["v"]).alias("v"), F.concat(s["on"], F.array(i)).alias("on")
         )
+        return F.when(met, moved).otherwise(s)
 
-    return F.aggregate(F.sequence(n - 1, F.lit(0)), begin, climb, lambda s: s["on"])
+    return F.aggregate(F.sequence(F.greatest(bond["a"], bond["b"]), F.lit(0)), begin, climb, lambda s: s["on"])
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -142,22 +165,30 @@ def graph_of(text: Column) -> Column:
     )
 
     def run(s: Column) -> Column:
-        return F.struct(s["t"].alias("t"), s["x"].alias("x"), F.aggregate(s["x"], _start(), _step).alias("m"), F.filter(s["x"], _is_atom).alias("a"))
+        tokens = F.transform(s["x"], _token)
+        return _let(
+            tokens,
+            lambda k: F.struct(
+                s["t"].alias("t"), s["x"].alias("x"), F.aggregate(k, _start(), _step).alias("m"),
+                F.transform(F.filter(k, lambda x: x["kind"] == ATOM_TOKEN), lambda x: x["x"]).alias("a"),
+            ),
+        )
 
     def judged(s: Column) -> Column:
         m = s["m"]
         fine = (
-            (F.array_join(s["x"], "") == s["t"]) & (m["n"] > 0) & ~m["bad"] & (F.size(m["stack"]) == 0) & (F.size(m["rings"]) == 0) & (m["want"] == "") & (m["last"] != ".")
+            (F.array_join(s["x"], "") == s["t"]) & (m["n"] > 0) & ~m["bad"] & (F.size(m["stack"]) == 0) & (F.size(m["rings"]) == 0) & (m["want"] == "") & (m["last"] != DOT)
             & ~F.exists(s["a"], lambda x: x.startswith("[") & ~x.rlike(BRACKET))
         )
-        return F.when(fine, _let(F.struct(F.transform(s["a"], _told_atom).alias("told"), m["bonds"].alias("bonds"), _on_tree(m["bonds"], m["n"]).alias("on")), _bound)).otherwise(none)
+        told = F.struct(F.transform(s["a"], _told_atom).alias("told"), m["bonds"].alias("bonds"), _on_tree(m["bonds"], m["parents"]).alias("on"))
+        return F.when(fine, _let(told, _bound)).otherwise(none)
 
     t = F.trim(F.coalesce(text, F.lit("")))
     return _let(F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)).alias("x")), lambda s: _let(run(s), judged))
 
 
-def _on_tree(bonds: Column, n: Column) -> Column:
-    paths = F.transform(F.filter(bonds, lambda b: b["closes"]), lambda b: _tree_of_ring(b, bonds, n))
+def _on_tree(bonds: Column, parents: Column) -> Column:
+    paths = F.transform(F.filter(bonds, lambda b: b["closes"]), lambda b: _tree_of_ring(b, parents))
     return F.array_distinct(F.flatten(paths))
 
 
