@@ -20,6 +20,7 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -94,6 +95,7 @@ class Page:
     def __init__(self, source: str):
         self.root: list = ["body", []]
         self.stack, self.names = [self.root], ["body"]
+        self.open: Counter = Counter(["body"])
         self.text: list[str] = []
         self.linked = self.links = 0
         self._read(source)
@@ -114,6 +116,7 @@ class Page:
 
     def _close(self, depth: int) -> None:
         self._flush()
+        self.open.subtract(self.names[depth:])
         del self.stack[depth:], self.names[depth:]
         if depth < self.links:  # a link ends with the element that holds it
             self.links = 0
@@ -127,7 +130,7 @@ class Page:
 
     def _open(self, name: str, attributes: str) -> None:
         self._flush()
-        if "head" in self.names and name not in HEAD:
+        if self.open["head"] and name not in HEAD:
             self._close(self.names.index("head"))
         if name in NO_P and self.names[-1] == "p":
             self._close(len(self.names) - 1)
@@ -142,6 +145,7 @@ class Page:
         else:  # too deep: part of the element above
             self.stack.append(self.stack[-1])
         self.names.append(name)
+        self.open[name] += 1
 
     def _read(self, source: str) -> None:
         at, low, last = 0, None, source.rfind(">") + 1
@@ -164,8 +168,8 @@ class Page:
             elif name in INLINE or name == "wbr" or name == "img":
                 continue
             elif m[2]:
-                if name in self.names[1:]:
-                    self._close(len(self.names) - 1 - self.names[::-1].index(name))
+                if self.open[name] and name != "body":
+                    self._close(next(k for k in range(len(self.names) - 1, 0, -1) if self.names[k] == name))
                 elif name in NO_P or name == "body":
                     self._flush()
             else:

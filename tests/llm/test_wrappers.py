@@ -154,3 +154,9 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and by[1] == by[2] == by[5] == by[6] == "" and by[3] == "a b" and by[None] == "c" and by[4] == long.strip()
     assert {r[3] for r in got if r[0] == 5} == {0}
     assert texts(spark, []) == []
+
+
+@pytest.mark.parametrize("source, texts_", [("<div>" * 60_000 + "x", 1), ("<div><ul><li>a<li>b" * 5000, 10_000), ("<a href='" * 20_000, 0), ("<td>x" * 30_000, 30_000)])
+def test_odd_markup_takes_linear_time(source, texts_):
+    root = wr.Page(source).root
+    assert sum(1 for _ in wr.read_by(root, wr.wrapper(wr.dumped(wr.skeleton(root))))) == texts_
