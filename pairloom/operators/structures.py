@@ -240,9 +240,12 @@ def atom_rows(graphs: DataFrame, key: str, graph: str = "graph") -> DataFrame:
 
 def bond_rows(graphs: DataFrame, key: str, graph: str = "graph") -> DataFrame:
     """(key, src, dst, order, in_ring): each bond in both directions."""
-    b = graphs.select(key, F.explode(F.col(graph)["bonds"]).alias("x"))
-    one = b.select(key, F.col("x.a").alias("src"), F.col("x.b").alias("dst"), "x.order", "x.in_ring")
-    return one.unionAll(one.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"), "order", "in_ring"))
+
+    def one(b: Column, src: str, dst: str) -> Column:
+        return F.struct(b[src].alias("src"), b[dst].alias("dst"), b["order"].alias("order"), b["in_ring"].alias("in_ring"))
+
+    both = F.flatten(F.transform(F.col(graph)["bonds"], lambda b: F.array(one(b, "a", "b"), one(b, "b", "a"))))
+    return graphs.select(key, F.explode(both).alias("x")).select(key, "x.*")
 
 
 def atom_features(graph: Column) -> Column:

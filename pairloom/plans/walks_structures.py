@@ -143,6 +143,11 @@ FRAGMENTS = (
 ENDINGS = ("", "", "", "", "", "", "C(", "=")
 
 
+def spread(rows, key: str):
+    """Distinct rows by key in as many tasks as shuffles have, as what follows takes time and few bytes: none are joined for their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).distinct()
+
+
 def drawn_structures(ids, key: str):
     """(key, smiles): 3 to 7 fragments and an ending, by hash of the key."""
     k, parts = F.col(key), F.array(*[F.lit(f[0]) for f in FRAGMENTS])
@@ -176,13 +181,13 @@ ato AS (SELECT pl.k, pos + i AS idx, symbol, soft, ring, CAST(greatest(floor({va
     f"""WITH {structure_sql("documents", "doc_id")} SELECT k AS doc_id, idx, symbol, soft = 1 AS aromatic, 0 AS charge, hydrogens, degree, ring = 1 AS in_ring FROM ato""",
 )
 def g19_atoms(t: Tables):
-    graphs = ST.with_graph(drawn_structures(t.documents.select("doc_id").distinct(), "doc_id"))
+    graphs = ST.with_graph(drawn_structures(spread(t.documents.select("doc_id"), "doc_id"), "doc_id"))
     return ST.atom_rows(graphs, "doc_id").drop("isotope")
 
 
 @query("g19_structure_bonds", f"""WITH {structure_sql("documents", "doc_id")} SELECT k AS doc_id, src, dst, o AS "order" FROM bo""")
 def g19_bonds(t: Tables):
-    graphs = ST.with_graph(drawn_structures(t.documents.select("doc_id").distinct(), "doc_id"))
+    graphs = ST.with_graph(drawn_structures(spread(t.documents.select("doc_id"), "doc_id"), "doc_id"))
     return ST.bond_rows(graphs, "doc_id").drop("in_ring")
 
 
