@@ -1,7 +1,8 @@
 """Second-order random walks and capped k-hop subgraphs, without an array of a hub's neighbours.
 
 Each node has alias tables over its edges, as rows.  A table has at most ``block`` rows; the tables of a
-larger node are the leaves of a tree, whose upper tables draw among blocks by their weights.  A step draws
+larger node are the leaves of a tree, whose upper tables draw among blocks by their weights.  Edges of equal
+weight need neither: one draw among all places of the node.  A step draws
 a neighbour by weight in a fixed number of equi joins on (node, place), which spread a hub's walkers, and
 accepts it by its second-order weight; whether it is also a neighbour of the node before is an equi join on
 edges.  Several tries are drawn at once and the first accepted one counts.  Walkers whose tries are all
@@ -85,16 +86,21 @@ def _aliased(items: DataFrame, block: int) -> DataFrame:
 
 class AliasGraph:
     """Written tables: edges (src, dst, w), leaves (node, place, keep, own, own_deg, alt, alt_deg), and the
-    upper tables (node, place, keep, other), the lowest first."""
+    upper tables (node, place, keep, other), the lowest first.  ``even``: all weights are equal, every place keeps
+    itself, and a node's places are drawn from at once however many there are."""
 
-    def __init__(self, edges: DataFrame, block: int = BLOCK):
-        self.block = block
+    def __init__(self, edges: DataFrame, block: int = BLOCK, even: bool = False):
+        self.block = 1 << 62 if even else block
         placed = staged(range_numbered(edges, ["src", "dst"], "g"), "walk-edges")
         self.edges = placed.select("src", "dst", "w")
         degrees = staged(placed.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("deg"), F.min("g").alias("first")), "walk-degrees")
         self.degrees = degrees.select("node", "deg")
         items = placed.join(degrees, F.col("src") == F.col("node")).select("node", "dst", "w", (F.col("g") - F.col("first")).alias("place"))
         items = staged(items.join(self.degrees.select(F.col("node").alias("dst"), F.col("deg").alias("dst_deg")), "dst"), "walk-items")
+        if even:
+            self.upper, one = [], F.lit(1.0).alias("keep")
+            self.leaves = items.select("node", "place", one, F.col("dst").alias("own"), F.col("dst_deg").alias("own_deg"), F.col("dst").alias("alt"), F.col("dst_deg").alias("alt_deg"))
+            return
         drawn = _aliased(items.select("node", "place", "w"), block)
         own = items.select("node", "place", F.col("dst").alias("own"), F.col("dst_deg").alias("own_deg"))
         alt = items.select("node", F.col("place").alias("other"), F.col("dst").alias("alt"), F.col("dst_deg").alias("alt_deg"))
@@ -148,7 +154,7 @@ def second_order_walks(
     """
     if not (p > 0 and q > 0):
         raise ValueError("p and q are above 0")
-    graph, most = AliasGraph(both_ways(edges, weight), block), max(1 / p, 1.0, 1 / q)
+    graph, most = AliasGraph(both_ways(edges, weight), block, weight is None), max(1 / p, 1.0, 1 / q)
     begin = sources.select(F.col("n").cast("long").alias("start")).where("start IS NOT NULL").distinct()
     begin = begin.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))) if walks > 1 else begin.withColumn("walk", F.lit(0))
     out = begin.select("start", "walk", F.lit(0).alias("step"), F.col("start").alias("node"))

@@ -72,6 +72,15 @@ def test_the_exact_draw_follows_the_weights_too(spark, monkeypatch):
     assert sum((counts[k] - 400 * e) ** 2 / (400 * e) for k, e in ((1, 1), (2, 3), (3, 6))) < 16
 
 
+def test_steps_without_weights_draw_from_all_places_of_a_hub(spark):
+    """The first step from a hub of 40 neighbours takes the place that one keyed number names, whatever the block."""
+    edges = spark.createDataFrame([(0, k, 1.0) for k in range(1, 41)], EDGES)
+    for block in (4, 4096):
+        got = WK.second_order_walks(edges, spark.range(1).withColumnRenamed("id", "n"), 1, 7, walks=30, block=block).where("step = 1").collect()
+        slot = lambda w: int(hashlib.md5(f"7:slot:0:{w}:1:0:0".encode()).hexdigest()[:8], 16) * 40 // 2**32
+        assert {r["walk"]: r["node"] for r in got} == {w: 1 + slot(w) for w in range(30)}
+
+
 def test_a_hub_has_many_small_tables(spark):
     n = 100_000
     edges = spark.range(1, n + 1).selectExpr("0L AS src", "id AS dst", "cast(1 + id % 3 AS double) AS w")
