@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import range_numbered
 from ..schemas import EDGE_TYPES
+from ..sources.stage import bounded_broadcast, staged
 
 
 def long_view(tables: dict[str, DataFrame], node: str = "drugbank_id") -> DataFrame:
@@ -39,11 +41,26 @@ def human_only(kg: DataFrame) -> DataFrame:
     return kg.where("organism = 'Humans'") if "organism" in kg.columns else kg
 
 
+def numbered_entities(kg: DataFrame, *more: str) -> DataFrame:
+    """Distinct (edge_type, entity_id, ...) with ``code``, a dense int from 1 in their order; null types and ids are none."""
+    rows = kg.select("edge_type", "entity_id", *more).where("edge_type IS NOT NULL AND entity_id IS NOT NULL").distinct()
+    return staged(range_numbered(rows, ["edge_type", "entity_id", *more], "code").withColumn("code", F.col("code").cast("int")), "entities")
+
+
 def shared_neighbours(kg: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
-    """(a, b, edge_type, entity_id, entity_name of a): distinct shared entities of each pair."""
-    ka = kg.select(F.col(node).alias(a), "edge_type", "entity_id", "entity_name").distinct()
-    kb = kg.select(F.col(node).alias(b), "edge_type", "entity_id").distinct()
-    return pairs.select(a, b).join(ka, a).join(kb, [b, "edge_type", "entity_id"]).select(a, b, "edge_type", "entity_id", "entity_name").distinct()
+    """(a, b, edge_type, entity_id, entity_name of a): distinct shared entities of each pair.
+
+    A pair carries the codes of a's entities as one array to those of b, so it is shuffled as one row, not as
+    one for each entity of a."""
+    told = numbered_entities(kg, "entity_name")
+    near = bounded_broadcast(told)
+    same = lambda x: [x[c].eqNullSafe(near[c]) for c in ("edge_type", "entity_id", "entity_name")]
+    bound = kg.select(F.col(node).alias("__n"), "edge_type", "entity_id", "entity_name")
+    own = bound.join(near, same(bound)).groupBy(F.col("__n").alias(a)).agg(F.collect_set("code").alias("__ca"))
+    # b's entities under each of their names
+    other = bound.select("__n", "edge_type", "entity_id").join(near.drop("entity_name"), ["edge_type", "entity_id"]).groupBy(F.col("__n").alias(b)).agg(F.collect_set("code").alias("__cb"))
+    met = pairs.select(a, b).distinct().join(own, a).join(other, b).select(a, b, F.explode(F.array_intersect("__ca", "__cb")).alias("code"))
+    return met.join(near, "code").select(a, b, "edge_type", "entity_id", "entity_name")
 
 
 def nodes_of(kg: DataFrame, node: str = "drugbank_id") -> DataFrame:
