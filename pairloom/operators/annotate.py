@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import PD_KEYWORDS, PK_KEYWORDS, first_by_keyword, keyword_hits, keyword_label
+from ..sources.stage import bounded_broadcast, staged
+from .kg import numbered_entities
 
 # Fixed values -------------------------------------------------------------------------------
 PK_ROLE_PAIRS = (
@@ -128,23 +130,29 @@ def _action(c: str) -> Column:
 
 
 def shared_candidates(pairs: DataFrame, bindings: DataFrame, types: Column, a: str = "a", b: str = "b") -> DataFrame:
-    """Every (pair, binding of a, binding of b) on one entity of one of the pair's types.
+    """Every (pair, binding of a, binding of b) on one entity of one of the pair's types, with each end's rank
+    (its first place of the entity) and a's name at it.
 
-    A pair is first multiplied by its few types, then meets a's bindings on (node, type) and b's on
-    (node, type, entity): equi joins only, and a hub entity never meets itself across pairs.
+    A pair meets the codes of its ends' entities as arrays, so that it is shuffled as one row for each of its types;
+    only entities that both hold meet the bindings themselves, one row for each end and entity.
     """
+    told = bounded_broadcast(numbered_entities(bindings))
+    binding = F.struct("entity_name", _action("action").alias("action"), "pos")
+    held = bindings.join(told, ["edge_type", "entity_id"]).groupBy("node", "edge_type", "code").agg(
+        F.min("pos").alias("rank"), F.min_by("entity_name", "pos").alias("first_name"), F.collect_list(binding).alias("rows")
+    )
+    held = staged(held.where("node IS NOT NULL"), "held")
+    codes = staged(held.groupBy("node", "edge_type").agg(F.collect_list("code").alias("codes")), "codes")
     one = pairs.select("*", F.posexplode(types).alias("prio", "edge_type"))
-    side = lambda s: bindings.select(F.col("node").alias(f"__{s}"), "edge_type", "entity_id", F.col("entity_name").alias(f"name_{s}"), _action("action").alias(f"act_{s}"), F.col("pos").alias(f"pos_{s}"))
-    left = one.withColumn("__a", F.col(a)).join(side("a"), ["__a", "edge_type"])
-    return left.withColumn("__b", F.col(b)).join(side("b"), ["__b", "edge_type", "entity_id"]).drop("__a", "__b")
-
-
-def _ranked(cands: DataFrame, bindings: DataFrame, a: str, b: str) -> DataFrame:
-    ranks = entity_ranks(bindings)
     for s, end in (("a", a), ("b", b)):
-        r = ranks.select(F.col("node").alias(end), "edge_type", "entity_id", F.col("rank").alias(f"rank_{s}"))
-        cands = cands.join(r, [end, "edge_type", "entity_id"])
-    return cands.withColumn("rank_sum", F.col("rank_a") + F.col("rank_b"))
+        one = one.join(codes.select(F.col("node").alias(end), "edge_type", F.col("codes").alias(f"__{s}")), [end, "edge_type"])
+    met = one.withColumn("code", F.explode(F.array_intersect("__a", "__b"))).drop("__a", "__b")
+    for s, end in (("a", a), ("b", b)):
+        side = held.select(F.col("node").alias(end), "code", F.col("rank").alias(f"rank_{s}"), F.col("first_name").alias(f"first_{s}"), F.col("rows").alias(f"__{s}"))
+        met = met.join(side if s == "a" else side.drop("first_b"), [end, "code"])
+    met = met.withColumn("__x", F.explode("__a")).drop("__a").withColumn("__y", F.explode("__b")).drop("__b")
+    sides = {f"{out}_{s}": F.col(f"{x}.{c}") for s, x in (("a", "__x"), ("b", "__y")) for out, c in (("name", "entity_name"), ("act", "action"), ("pos", "pos"))}
+    return met.withColumns(sides).drop("__x", "__y").join(told.drop("edge_type"), "code").drop("code")
 
 
 def pk_mediators(pairs: DataFrame, bindings: DataFrame, text: str = "ddi_type", a: str = "a", b: str = "b") -> DataFrame:
@@ -158,7 +166,7 @@ def pk_mediators(pairs: DataFrame, bindings: DataFrame, text: str = "ddi_type",
     c = c.where(ok)
     pair = W.partitionBy(a, b)
     c = c.withColumn("__first", F.min("prio").over(pair)).where("prio = __first").drop("__first")
-    c = _ranked(c, bindings, a, b)
+    c = c.withColumn("rank_sum", F.col("rank_a") + F.col("rank_b"))
     w = pair.orderBy("rank_sum", "name_a", "entity_id", "pos_a", "pos_b")
     best = c.withColumn("__r", F.row_number().over(w)).withColumn("n_candidates", F.count("*").over(pair) - 1).where("__r = 1")
     return best.select(
@@ -179,9 +187,8 @@ def pd_mediators(pairs: DataFrame, bindings: DataFrame, text: str = "ddi_type",
     c = c.withColumn("confidence", pd_confidence(F.col("act_a"), F.col("act_b"))).where("confidence IS NOT NULL").withColumn("__low", (F.col("confidence") != "high").cast("int"))
     per = W.partitionBy(a, b, "entity_id").orderBy("__low", "pos_a", "pos_b")
     c = c.withColumn("__e", F.row_number().over(per)).where("__e = 1")
-    c = _ranked(c, bindings, a, b)
-    first = bindings.groupBy("node", "edge_type", "entity_id").agg(F.min_by("entity_name", "pos").alias("first_name"))
-    c = c.join(first.withColumnRenamed("node", a), [a, "edge_type", "entity_id"]).withColumn("relevance", pd_relevance(F.col(text), F.col("first_name")))
+    c = c.withColumn("rank_sum", F.col("rank_a") + F.col("rank_b")).withColumnRenamed("first_a", "first_name")
+    c = c.withColumn("relevance", pd_relevance(F.col(text), F.col("first_name")))
     w = W.partitionBy(a, b).orderBy("__low", "relevance", "rank_sum", "first_name", "entity_id")
     best = c.withColumn("__r", F.row_number().over(w)).withColumn("n_candidates", F.count("*").over(W.partitionBy(a, b)) - 1).where("__r = 1")
     convergent = (F.col("act_a") == F.col("act_b")) | (F.col("confidence") == "high")
