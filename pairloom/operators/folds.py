@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.stage import bounded_broadcast
+from ..sources.stage import bounded_broadcast, staged
 from ..functions.scalars import hash_order, pair_hi, pair_lo
 
 # Shares of the two protocols, and seed offsets of the negatives of each fold.
@@ -101,15 +101,17 @@ def coverage_anchors(edges: DataFrame, seed: int, a: str = "a", b: str = "b") ->
 def legacy_folds(edges: DataFrame, groups: DataFrame, seed: int, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
     """Legacy sizes: S0 trains on anchors and on others up to 80 %, val is a tenth of the rest; S1
     and S2 give a tenth to val."""
-    classed = edge_class(edges, groups, a, b, node)
+    classed = staged(edge_class(edges, groups, a, b, node), "legacy-edges")
     inner = classed.where("n_g2 = 0")
     anchors = coverage_anchors(inner, seed, a, b).select(F.col(a).alias("__a"), F.col(b).alias("__b"))
     known = classed.join(anchors, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left").withColumn("__anchor", F.col("__a").isNotNull().cast("int")).drop("__a", "__b")
+    known = staged(known, "legacy-known")
     shift = F.when(F.col("n_g2") == 0, LEGACY["offset_s0"]).when(F.col("n_g2") == 1, LEGACY["offset_s1"]).otherwise(LEGACY["offset_s2"])
-    order = F.concat(F.when(F.col("__anchor") == 1, "00").otherwise("01"), hash_order((F.lit(seed) + shift).cast("string"), F.lit("edge"), pair_lo(a, b), pair_hi(a, b)))
+    order = hash_order((F.lit(seed) + shift).cast("string"), F.lit("edge"), pair_lo(a, b), pair_hi(a, b))
     sizes = known.groupBy("n_g2").agg(F.count("*").alias("__n"), F.sum("__anchor").alias("__k"))
-    placed = numbered(known, ["n_g2"], order, [a, b]).join(F.broadcast(sizes), "n_g2")
-    n, p = F.col("__n"), F.col("place")
+    # anchors come first; both are numbered alone, so that the buckets are those of the hash
+    placed = numbered(known, ["n_g2", "__anchor"], order, [a, b]).join(F.broadcast(sizes), "n_g2")
+    n, p = F.col("__n"), F.when(F.col("__anchor") == 1, F.col("place")).otherwise(F.col("__k") + F.col("place"))
     train = F.greatest(F.col("__k"), F.floor(n * LEGACY["train"]))
     s0 = F.when(p <= train, "train").when(p <= train + F.floor((n - train) * LEGACY["val"]), "val_s0").otherwise("test_s0")
     later = lambda s: F.when(p <= F.floor(n * LEGACY["val"]), f"val_{s}").otherwise(f"test_{s}")

@@ -1,6 +1,8 @@
 """Shared entities and mediators: whole results, and one shuffled row for a pair, not one for each entity of its ends."""
 
-from pairloom.operators import annotate, kg
+from pyspark.sql import functions as F
+
+from pairloom.operators import annotate, folds, kg
 
 
 def plan(df):
@@ -23,3 +25,18 @@ def test_mediators_meet_as_arrays(spark):
     out = annotate.pk_mediators(pairs, bound)
     r = out.first()
     assert (r["key_entity_id"], r["key_entity_name"], r["rank_sum"], r["n_candidates"]) == ("1", "A", 3, 1) and "array_intersect" in plan(out)
+
+
+def test_legacy_places_are_sorted_in_buckets_of_the_hash(spark, monkeypatch):
+    """Anchors and others are numbered by the digits of their hashes, not by a mark before them."""
+    edges = spark.createDataFrame([(x, y) for x in range(40) for y in range(x + 1, 40)], "a long, b long")
+    groups = folds.node_groups(spark.range(40).withColumnRenamed("id", "node"), 3)
+    plain, seen = folds.numbered, []
+
+    def counted(rows, by, order, ties, *more, **named):
+        seen.append(rows.groupBy(F.substring(order, 1, 2)).count().count())
+        return plain(rows, by, order, ties, *more, **named)
+
+    monkeypatch.setattr(folds, "numbered", counted)
+    out = folds.legacy_folds(edges, groups, 3)
+    assert out.count() == 780 and seen[-1] > 100
