@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a side may be broadcast.
 BROADCAST_ROWS = 500_000
 
+#: Rows of a table for each task that works on what it gives.
+TASK_ROWS = 250_000
+
 _own: list[str] = []
 
 
@@ -36,6 +39,11 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """A number of tasks in proportion to the rows of ``df``, at least that of the cores: memory of one stays bounded."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a side for broadcast only if its rows, counted up to the bound, stay within it."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -76,8 +76,9 @@ def write_folds(folds: DataFrame, groups: DataFrame, manifest: dict, folder: str
     """Folds partitioned by split, groups, and a manifest with their counts."""
     folds.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/folds")
     groups.write.mode("overwrite").parquet(f"{folder}/groups")
-    counts = {r["split"]: r["n"] for r in folds.groupBy("split").agg(F.count("*").alias("n")).collect()}
     spark = folds.sparkSession
+    written = spark.read.parquet(f"{folder}/folds")  # counted by its folders' files, not made again
+    counts = {str(r["split"]): r["n"] for r in written.groupBy("split").agg(F.count("*").alias("n")).collect()}
     spark.createDataFrame([(json.dumps({**manifest, "n_pairs": counts}, sort_keys=True, allow_nan=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
 
 
