@@ -43,13 +43,16 @@ def swap_triples(source: DataFrame, pool: DataFrame, groups: DataFrame | None =
     its skewed join.
     """
     both = lambda t: t.select("a", "b", "label", "prio").unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b"), "label", "prio"))
-    base = both(source).groupBy("a", "b").agg(F.min_by("label", "prio").alias("label"))
-    other = both(pool).select(F.col("a").alias("up"), "b", F.col("label").alias("lup")).distinct()
-    j = base.join(other, "b").where("label <> lup AND up <> a AND up <> b")
+    base, other, keys = both(source), both(pool).where("a <> b").select(F.col("a").alias("up"), "b", "label"), ["b"]
     if groups is not None:
-        g = groups.select("node", "grp")
-        j = j.join(g.select(F.col("node").alias("a"), F.col("grp").alias("ga")), "a").join(g.select(F.col("node").alias("up"), F.col("grp").alias("gu")), "up").where("ga = gu")
-    return j.select(F.col("a").alias("qa"), F.col("b").alias("qb"), F.col("up").alias("qa_prime"), F.col("label").alias("label_uv")).distinct()
+        # groups go to the ends before these meet, so that only members of one group do
+        g, keys = groups.select("node", "grp"), ["b", "grp"]
+        base, other = base.join(g.withColumnRenamed("node", "a"), "a"), other.join(g.withColumnRenamed("node", "up"), "up")
+    base = base.groupBy("a", *keys).agg(F.min_by("label", "prio").alias("label"))
+    # each replacement once, with its least and greatest label: one of its labels is another one if either is
+    other = other.groupBy("up", *keys).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    j = base.join(other, keys).where("(label <> low OR label <> high) AND up <> a")
+    return j.select(F.col("a").alias("qa"), F.col("b").alias("qb"), F.col("up").alias("qa_prime"), F.col("label").alias("label_uv"))
 
 
 def summarise(deltas: DataFrame, by: str = "indicator") -> DataFrame:
