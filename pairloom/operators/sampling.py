@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbering import range_numbered
 from ..functions.scalars import hash32, hash_order, pair_hi, pair_lo, unit
-from ..sources.stage import staged
+from ..sources.stage import bounded_broadcast, staged
 from .folds import NEGATIVE_OFFSETS, TRAIN_NEGATIVE_OFFSET, numbered
 
 
+#: Rows up to which a sample is merged in one task.
+SMALL = 10_000
+
+
 def capacity(n_a: int, n_b: int, same: bool) -> int:
     """Unordered pairs between two pools, or inside one."""
     return n_a * (n_a - 1) // 2 if same else n_a * n_b
@@ -106,16 +112,20 @@ def write_epochs(spark: SparkSession, train: DataFrame, pool: DataFrame, known:
 
 
 def hash_top(rows: DataFrame, n: int, seed: int, tag: str, key: str) -> DataFrame:
-    """n rows by the least hash of their key: a sample without replacement.  Places are numbered by
-    ranges, so that a large n is no single task either."""
+    """n rows by the least hash of their key: a sample without replacement.  A small n is the first rows of
+    every task, merged; else places are numbered by ranges, so that a large n is no single task either."""
     order = hash_order(str(seed), tag, F.col(key))
+    if n <= SMALL:
+        return rows.withColumn("__o", order).orderBy("__o", key).limit(n).drop("__o")
     return range_numbered(rows.withColumn("__o", order), ["__o", key], "__place").where(F.col("__place") <= n).drop("__o", "__place")
 
 
-def induced_subset(nodes: DataFrame, edges: DataFrame, n: int, seed: int, node: str = "node", a: str = "a", b: str = "b") -> tuple[DataFrame, DataFrame]:
-    """(sampled nodes, edges between them)."""
-    keep = hash_top(nodes.select(node).distinct(), n, seed, "subset", node)
-    k = keep.select(F.col(node).alias("__k"))
+def induced_subset(nodes: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], n: int, seed: int, node: str = "node", a: str = "a", b: str = "b") -> tuple[DataFrame, DataFrame]:
+    """(sampled nodes, edges between them).  The sample is written, so that a small one is known to be small.
+    ``edges``: a table, or a function that makes it from the sample, without edges that lie outside."""
+    keep = staged(hash_top(nodes.select(node).distinct(), n, seed, "subset", node), "subset")
+    k = bounded_broadcast(keep.select(F.col(node).alias("__k")))
+    edges = edges(keep) if callable(edges) else edges
     return keep, edges.join(k, F.col(a) == F.col("__k"), "left_semi").join(k, F.col(b) == F.col("__k"), "left_semi")
 
 

@@ -104,7 +104,7 @@ def x10(t: Tables):
 
 @query("x12_induced_subset", with_parts("edges") + f", k AS (SELECT node FROM (SELECT DISTINCT p_partkey AS node FROM part) ORDER BY md5('{SEED}:subset:' || node), node LIMIT 200) SELECT a, b FROM edges WHERE a IN (SELECT node FROM k) AND b IN (SELECT node FROM k)")
 def x12(t: Tables):
-    return X.induced_subset(t.part.select(F.col("p_partkey").alias("node")), t.edges(), 200, SEED)[1]
+    return X.induced_subset(t.part.select(F.col("p_partkey").alias("node")), t.edges, 200, SEED)[1]
 
 
 @query("x13_stratified_sample", f"SELECT p_partkey, p_type, CAST(place AS INTEGER) AS place FROM (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY md5('{SEED}:stratum:' || p_partkey), p_partkey) AS place FROM part) WHERE place <= 10")
