@@ -97,7 +97,8 @@ def permutation(spark: SparkSession, n: int, seed: int, kind: str = "pcg64") ->
 
     if n <= 0:
         return spark.createDataFrame([], "place long, item long")
-    drawn = spark.range(1).repartition(1).mapInArrow(told, "i long, j long")
+    # written by its one task as it goes, and dealt out from there: sorted for a shuffle they would all stay in its memory
+    drawn = staged(spark.range(1).repartition(1).mapInArrow(told, "i long, j long"), "drawn")
     linked = staged(drawn.withColumn("next", F.lead("i").over(W.partitionBy("j").orderBy("i"))), "swaps")
     # what stands at a place when its turn comes: came by the first later swap that has it as j
     up = staged(linked.where("i <> j").groupBy(F.col("j").alias("p")).agg(F.min("i").alias("up")), "climb")
