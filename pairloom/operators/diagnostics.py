@@ -55,6 +55,37 @@ def swap_triples(source: DataFrame, pool: DataFrame, groups: DataFrame | None =
     return j.select(F.col("a").alias("qa"), F.col("b").alias("qb"), F.col("up").alias("qa_prime"), F.col("label").alias("label_uv"))
 
 
+def swap_ends(source: DataFrame, pool: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(node, b, grp, label, low, high) of each directed key (node, b): its label in the source, and its least and greatest
+    label in the pool, null where it is not there.  ``source`` and ``pool`` as for ``swap_triples``."""
+    both = lambda t: t.select("a", "b", "label", "prio").unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b"), "label", "prio")).withColumnRenamed("a", "node")
+    base = both(source).groupBy("node", "b").agg(F.min_by("label", "prio").alias("label")).where("label IS NOT NULL")
+    other = both(pool).where("node <> b").groupBy("node", "b").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low IS NOT NULL")
+    ends = base.join(other, ["node", "b"], "full").where("node IS NOT NULL AND b IS NOT NULL")
+    if groups is None:
+        return ends.select("node", "b", F.lit(0).alias("grp"), "label", "low", "high")
+    return ends.join(groups.select("node", "grp").where("grp IS NOT NULL"), "node").select("node", "b", "grp", "label", "low", "high")
+
+
+def swap_numbers(ends: DataFrame) -> DataFrame:
+    """(node, b, label, replaced, n): in how many triples of ``swap_triples`` a key is the pair whose node is replaced, and
+    in how many the replacement (two rows, if it is in source and pool).  No triple is made.
+
+    Pairs at b and replacements of one group meet unless the replacement has the pair's label alone, so n is the number
+    of all at b, less those of that one label, less the key itself."""
+    pair = F.struct(F.lit(True).alias("replaced"), F.col("label").alias("one"))
+    instead = F.struct(F.lit(False).alias("replaced"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("one"))
+    parts = F.filter(F.array(F.when(F.col("label").isNotNull(), pair), F.when(F.col("low").isNotNull(), instead)), lambda x: x.isNotNull())
+    rows = ends.select("node", "b", "grp", "label", "low", "high", F.explode(parts).alias("x")).select("*", "x.*").drop("x")
+    at, like, replaced = W.partitionBy("b", "grp"), W.partitionBy("b", "grp", "one"), F.col("replaced")
+    count = lambda x, of: F.count(F.when(x, 1)).over(of)
+    rows = rows.withColumns({"__pairs": count(replaced, at), "__others": count(~replaced, at)})
+    rows = rows.withColumns({"__like_pairs": count(replaced, like), "__like_others": count(~replaced, like)})
+    own = F.coalesce((F.col("label") != F.col("low")) | (F.col("label") != F.col("high")), F.lit(False)).cast("long")
+    n = F.when(replaced, F.col("__others") - F.col("__like_others")).otherwise(F.col("__pairs") - F.col("__like_pairs")) - own
+    return rows.select("node", "b", "label", "replaced", n.alias("n"))
+
+
 def summarise(deltas: DataFrame, by: str = "indicator") -> DataFrame:
     """(indicator, bucket, value, std, n): primary buckets, and ALL over positives alone.  NaN deltas
     count in n but not in the mean; one row has deviation 0."""
@@ -174,10 +205,12 @@ def ksai(triples: DataFrame, preds: DataFrame) -> DataFrame:
     return out.unionByName(missing_rows(out, ["KSAI"]))
 
 
-def masked_panel(triples: DataFrame, preds: DataFrame) -> DataFrame:
+def masked_panel(triples: DataFrame, preds: DataFrame, swaps: DataFrame | None = None) -> DataFrame:
     """Indicators of a scorer with maskable channels: KPS-F on the base condition, and the changes of
-    score with the structure channel (``mask_mol``) or the binding channel (``mask_kg``) masked."""
-    swaps = staged(kps_f(triples, preds, "base"), "panel")
+    score with the structure channel (``mask_mol``) or the binding channel (``mask_kg``) masked.
+
+    With ``swaps``, KPS-F as :func:`swap_sensitivity` gives it, base pairs will do for ``triples``."""
+    swaps = staged(kps_f(triples, preds, "base") if swaps is None else swaps, "panel")
     swaps = swaps.unionByName(missing_rows(swaps, ["KPS-F"])) if preds.where("cond = 'base'").isEmpty() else swaps
     return swaps.unionByName(channel_deltas(triples, preds, (("KPS-mol", "base", "mask_mol"), ("KPS-KG", "base", "mask_kg"))))
 
@@ -217,6 +250,16 @@ def coverage(triples: DataFrame, preds: DataFrame, cond: str = "R0") -> DataFram
     return t.agg(F.coalesce(F.sum(ok), F.lit(0)).alias("kept"), F.coalesce(F.sum(1 - ok), F.lit(0)).alias("skipped"), F.count("*").alias("total"))
 
 
+def swap_coverage(ends: DataFrame, preds: DataFrame, cond: str = "R0") -> DataFrame:
+    """What ``coverage`` gives over the triples of ``swap_ends``, without a triple: both keys of a triple are ends, so those
+    kept are the triples of the ends with a score."""
+    known = staged(with_score(ends, preds.where(F.col("cond") == cond), "s", "node", "b"), "known-ends")
+    number = lambda e, kept: swap_numbers(e).where("replaced").select("n", F.lit(kept).alias("kept"))
+    both = number(known, False).unionByName(number(known.where("s_found"), True))
+    total, kept = (F.coalesce(F.sum(F.when(F.col("kept") == k, F.col("n"))), F.lit(0)) for k in (False, True))
+    return both.agg(kept.alias("kept"), (total - kept).alias("skipped"), total.alias("total"))
+
+
 def bucket_coverage(pairs: DataFrame, lookup: DataFrame) -> DataFrame:
     """Pairs found in each bucket of a lookup table, zero where none is."""
     dim = F.broadcast(pairs.sparkSession.createDataFrame([(b,) for b in (*PRIMARY, "Other")], "bucket string"))
@@ -224,11 +267,9 @@ def bucket_coverage(pairs: DataFrame, lookup: DataFrame) -> DataFrame:
     return dim.join(found.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def scored_universe(test: DataFrame, triples: DataFrame) -> DataFrame:
-    """Distinct directed keys that need a score."""
-    return (
-        test.select("a", "b").union(triples.select(F.col("qa").alias("a"), F.col("qb").alias("b"))).union(triples.select(F.col("qa_prime").alias("a"), F.col("qb").alias("b"))).distinct()
-    )
+def scored_universe(test: DataFrame, swapped: DataFrame) -> DataFrame:
+    """Distinct directed keys that need a score: those of the test, and both keys of each triple (``swap_numbers`` above 0)."""
+    return test.select("a", "b").union(swapped.where("n > 0").select(F.col("node").alias("a"), "b")).distinct()
 
 
 def priority_union(positives: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -103,7 +103,11 @@ def edge_class(edges: DataFrame, groups: DataFrame, a: str = "a", b: str = "b",
 def fair_folds(edges: DataFrame, groups: DataFrame, seed: int, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
     """Edges with ``split``.  S0: train is floor(.9 n), the rest goes to test (ceiling of half) and
     val; one edge alone trains, one held-out edge tests.  S1, S2: test is the ceiling of half."""
-    classed = edge_class(edges, groups, a, b, node)
+    return class_folds(edge_class(edges, groups, a, b, node), seed, a, b)
+
+
+def class_folds(classed: DataFrame, seed: int, a: str = "a", b: str = "b") -> DataFrame:
+    """``fair_folds`` of edges that have their ``n_g2``; some classes alone have the folds that they have among all."""
     order = hash_order(F.lit(str(seed)), F.lit("edge"), pair_lo(a, b), pair_hi(a, b))
 
     def marks(n: Column) -> list[Column]:

@@ -27,9 +27,10 @@ CHANNELS = ", dl AS (" + " UNION ALL ".join(f"SELECT '{n}' AS indicator, bucket,
 
 
 def swap_sources(t: Tables):
-    lab = staged(t.labelled(), "labelled")
-    of = lambda *splits: lab.where(F.col("split").isin(*splits)).select("a", "b", "label", F.lit(0).alias("prio"))
-    return of("test_s2"), of("test_s1", "test_s2")
+    """Source and pool of the swaps.  Both ends of a test_s2 pair are in G2, and so is whatever replaces one and meets the
+    other; so no pair of test_s1, which the pool also holds, makes a triple, and pairs within G2 alone are made."""
+    lab = staged(t.labelled(2).where("split = 'test_s2'").select("a", "b", "label", F.lit(0).alias("prio")), "labelled")
+    return lab, lab
 
 
 def pair_bucket(a, b):
@@ -41,14 +42,18 @@ def triples(t: Tables):
     return D.swap_triples(*swap_sources(t), t.groups())
 
 
-def bucketed(t: Tables):
-    """Triples with a bucket, written once: the universe and every lookup read them again."""
-    tri = triples(t).select("qa", "qb", "qa_prime", F.col("label_uv").alias("label"), pair_bucket(F.col("qa"), F.col("qb")).alias("bucket"))
-    return staged(tri, "triples")
+def swapped(t: Tables, src, pool):
+    """Keys that have a part in triples, written once; no triple is made."""
+    return staged(D.swap_numbers(D.swap_ends(src, pool, t.groups())).where("n > 0"), "swapped")
 
 
-def preds(tri, conds=("R0", "R1", "R2", "R3")):
-    uni = tri.select(F.explode(F.array(F.struct("qa", "qb"), F.struct(F.col("qa_prime").alias("qa"), "qb"))).alias("x")).select(F.least("x.qa", "x.qb").alias("a"), F.greatest("x.qa", "x.qb").alias("b")).distinct()
+def bucketed(keys):
+    """Base pairs with a bucket: each stands for all of its triples."""
+    return keys.where("replaced").select(F.col("node").alias("qa"), F.col("b").alias("qb"), "label", pair_bucket(F.col("node"), F.col("b")).alias("bucket"))
+
+
+def preds(keys, conds=("R0", "R1", "R2", "R3")):
+    uni = keys.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     kept = uni.where("pmod(a * 5 + b, 11) <> 0")
     return kept.withColumn("cond", F.explode(F.array(*map(F.lit, conds)))).withColumn("p", S.unit(F.col("cond"), F.col("a"), F.col("b")))
 
@@ -78,37 +83,40 @@ def d03(t: Tables):
 
 @query("d04_channel_deltas", TRIPLES + BUCKETS + PREDS + BASE + CHANNELS + " " + SUMMARY)
 def d04(t: Tables):
-    b = bucketed(t)
-    return rounded(D.channel_deltas(b, preds(b)))
+    keys = swapped(t, *swap_sources(t))
+    return rounded(D.channel_deltas(bucketed(keys), preds(keys)))
 
 
 @query("d05_ksai", TRIPLES + BUCKETS + PREDS + BASE + ", dl AS (SELECT 'KSAI' AS indicator, bucket, label, abs(r1 - r3) - abs(r0 - r2) AS delta FROM sc) " + SUMMARY)
 def d05(t: Tables):
-    b = bucketed(t)
-    return rounded(D.ksai(b, preds(b)))
+    keys = swapped(t, *swap_sources(t))
+    return rounded(D.ksai(bucketed(keys), preds(keys)))
 
 
 @query("d06_missing_condition_rows", TRIPLES + BUCKETS + PREDS + BASE + ", dl AS (SELECT 'KPS-KG' AS indicator, bucket, label, abs(r0 - r2) AS delta FROM sc) " + SUMMARY + " UNION ALL SELECT 'KPS-Name', b, 'NaN'::DOUBLE, 'NaN'::DOUBLE, 0 FROM (VALUES ('PK-A'), ('PK-B'), ('PD-A'), ('PD-B'), ('ALL')) v(b)")
 def d06(t: Tables):
-    b = bucketed(t)
-    return rounded(D.channel_deltas(b, preds(b, ("R0", "R2")), (("KPS-Name", "R0", "R1"), ("KPS-KG", "R0", "R2"))))
+    keys = swapped(t, *swap_sources(t))
+    return rounded(D.channel_deltas(bucketed(keys), preds(keys, ("R0", "R2")), (("KPS-Name", "R0", "R1"), ("KPS-KG", "R0", "R2"))))
 
 
 @query("d07_coverage", TRIPLES + PREDS + ", k AS (SELECT count(*) AS kept FROM tri JOIN pr x ON x.a = least(qa, qb) AND x.b = greatest(qa, qb) JOIN pr y ON y.a = least(qa_prime, qb) AND y.b = greatest(qa_prime, qb)) SELECT kept, (SELECT count(*) FROM tri) - kept AS skipped, (SELECT count(*) FROM tri) AS total FROM k")
 def d07(t: Tables):
-    b = bucketed(t)
-    return D.coverage(b, preds(b, ("R0",)))
+    ends = staged(D.swap_ends(*swap_sources(t), t.groups()), "ends")
+    keys = D.swap_numbers(ends).where("n > 0")
+    return D.swap_coverage(ends, preds(keys, ("R0",)))
 
 
 @query("d09_ab_gap", TRIPLES + BUCKETS + PREDS + BASE + CHANNELS + f", sm AS ({SUMMARY}) SELECT indicator, round((max(value) FILTER (bucket = 'PK-A') + max(value) FILTER (bucket = 'PD-A')) / 2 - (max(value) FILTER (bucket = 'PK-B') + max(value) FILTER (bucket = 'PD-B')) / 2, 8) AS ab_gap FROM sm GROUP BY 1")
 def d09(t: Tables):
-    b = bucketed(t)
-    return D.ab_gap(rounded(D.channel_deltas(b, preds(b)))).select("indicator", F.round("ab_gap", 8).alias("ab_gap"))
+    keys = swapped(t, *swap_sources(t))
+    return D.ab_gap(rounded(D.channel_deltas(bucketed(keys), preds(keys)))).select("indicator", F.round("ab_gap", 8).alias("ab_gap"))
 
 
 @query("u04_scored_universe", TRIPLES + " SELECT a, b FROM labelled WHERE split LIKE 'test%' UNION SELECT qa, qb FROM tri UNION SELECT qa_prime, qb FROM tri")
 def u04(t: Tables):
-    return D.scored_universe(t.labelled().where("split LIKE 'test%'"), triples(t))
+    test = staged(t.labelled().where("split LIKE 'test%'").select("a", "b", "split", "label"), "test")
+    src = test.where("split = 'test_s2'").withColumn("prio", F.lit(0))  # no pair of test_s1 makes a triple: see swap_sources
+    return D.scored_universe(test, swapped(t, src, src))
 
 
 @query("a12_bucket_coverage", with_parts("edges") + ", lk AS (SELECT a, b, ['PK-A', 'PK-B', 'PD-A'][1 + (a + b) % 3] AS bucket FROM edges WHERE (a + 3 * b) % 7 <> 0), f AS (SELECT coalesce(lk.bucket, 'Other') AS bucket, count(*) AS n FROM edges e LEFT JOIN lk USING (a, b) GROUP BY 1) SELECT v.bucket, coalesce(n, 0) AS n FROM (VALUES ('PK-A'), ('PK-B'), ('PD-A'), ('PD-B'), ('Other')) v(bucket) LEFT JOIN f ON f.bucket = v.bucket")

@@ -331,10 +331,11 @@ def r13(t: Tables):
 @query("d08_masked_panel", DM.TRIPLES + DM.BUCKETS + DM.PREDS + DM.BASE + """, sw AS (SELECT 'KPS-F' AS indicator, bucket, label, abs(x.r0 - y.r0) AS delta FROM tb JOIN pr x ON x.a = least(qa, qb) AND x.b = greatest(qa, qb) JOIN pr y ON y.a = least(qa_prime, qb) AND y.b = greatest(qa_prime, qb)),
 dl AS (SELECT * FROM sw UNION ALL SELECT 'KPS-mol', bucket, label, abs(r0 - r1) FROM sc UNION ALL SELECT 'KPS-KG', bucket, label, abs(r0 - r2) FROM sc) """ + DM.SUMMARY)
 def d08(t: Tables):
-    tri = DM.bucketed(t)
+    src, pool = DM.swap_sources(t)
+    keys = DM.swapped(t, src, pool)
     names = F.when(F.col("cond") == "R0", "base").when(F.col("cond") == "R1", "mask_mol").otherwise("mask_kg")
-    p = DM.preds(tri, ("R0", "R1", "R2")).withColumn("cond", names)
-    return DM.rounded(D.masked_panel(tri, p))
+    p = DM.preds(keys, ("R0", "R1", "R2")).withColumn("cond", names)
+    return DM.rounded(D.masked_panel(DM.bucketed(keys), p, D.swap_sensitivity(src, pool, t.groups(), p, DM.pair_bucket, "base")))
 
 
 MODALITY = "['mol', 'text', 'mol+kg-fused', 'kg', 'mol+kg'][1 + event_id % 5]"

@@ -60,3 +60,14 @@ def test_small_samples_are_merged(spark):
     got = sampling.hash_top(rows, 50, 5, "t", "k")
     assert sorted(r["k"] for r in got.collect()) == sorted(want)
     assert "Limit" in plan(got)
+
+
+def test_classes_are_told_before_pairs_are_made(spark):
+    t = Tables(spark, SF)
+    groups = t.groups()
+    old = folds.edge_class(t.edges(), groups).select("a", "b", "n_g2").collect()
+    new = t.classed_edges(groups)
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old))
+    assert "Join" not in plan(new).split("Generate")[0]  # no pair is moved for its ends
+    cut = {tuple(r) for r in t.folds().select("a", "b", "split").collect() if r["split"].endswith("s2")}
+    assert {tuple(r) for r in t.folds(2).select("a", "b", "split").collect()} == cut and cut

@@ -1,6 +1,7 @@
 """The swap indicator from sorted scores against the one over all triples."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,3 +36,22 @@ def test_no_pair_gives_no_row(spark):
     none = spark.createDataFrame([], "a long, b long, label int, prio int")
     preds = spark.createDataFrame([("R0", 1, 2, 0.5)], "cond string, a long, b long, p double")
     assert D.swap_sensitivity(none, none, None, preds, bucket).collect() == []
+
+
+def swap_case(spark, seed, grouped):
+    g = random.Random(seed)
+    pairs = lambda n: [(g.randrange(12), g.randrange(12), g.choice(["x", "y", "z", None]), g.randint(0, 1)) for _ in range(n)]
+    schema = "a long, b long, label string, prio int"
+    src = spark.createDataFrame(list({frozenset(p[:2]): p for p in pairs(50)}.values()) + [(None, 1, "x", 0), (1, None, "x", 0)], schema)
+    pool = spark.createDataFrame(pairs(150) + [(0, k, "xy"[k % 2], 0) for k in range(1, 12)] + [(None, 1, "y", 0), (2, None, "y", 0)], schema)
+    groups = spark.createDataFrame([(k, ("G1", "G2", None)[k % 3]) for k in range(11)], "node long, grp string") if grouped else None
+    return src, pool, groups
+
+
+@pytest.mark.parametrize("seed, grouped", [(1, True), (2, False), (3, False)])
+def test_numbers_are_those_of_the_triples(spark, seed, grouped):
+    src, pool, groups = swap_case(spark, seed, grouped)
+    tri = [tuple(r) for r in D.swap_triples(src, pool, groups).collect()]
+    want = Counter((qa, qb, label, True) for qa, qb, _, label in tri) + Counter((up, qb, None, False) for _, qb, up, _ in tri)
+    got = D.swap_numbers(D.swap_ends(src, pool, groups)).where("n <> 0").collect()
+    assert Counter({(r["node"], r["b"], r["label"] if r["replaced"] else None, r["replaced"]): r["n"] for r in got}) == want and len(want) > 10
