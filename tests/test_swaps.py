@@ -55,3 +55,21 @@ def test_numbers_are_those_of_the_triples(spark, seed, grouped):
     want = Counter((qa, qb, label, True) for qa, qb, _, label in tri) + Counter((up, qb, None, False) for _, qb, up, _ in tri)
     got = D.swap_numbers(D.swap_ends(src, pool, groups)).where("n <> 0").collect()
     assert Counter({(r["node"], r["b"], r["label"] if r["replaced"] else None, r["replaced"]): r["n"] for r in got}) == want and len(want) > 10
+
+
+def scored_case(spark, conds):
+    g = random.Random(7)
+    src = spark.createDataFrame(list({p[:2]: p for p in [(g.randrange(14), g.randrange(14), g.randint(0, 1), 0) for _ in range(60)]}.values()), "a long, b long, label int, prio int")
+    pool = spark.createDataFrame([(g.randrange(14), g.randrange(14), g.randint(0, 1), 0) for _ in range(120)], src.schema)
+    keys = sorted({(g.randrange(14), g.randrange(14)) for _ in range(160)})
+    preds = spark.createDataFrame([(c, a, b, g.choice([None, g.random(), g.random()])) for c in conds for a, b in keys if g.random() < 0.9], "cond string, a long, b long, p double")
+    tri = D.swap_triples(src, pool).select("qa", "qb", "qa_prime", F.col("label_uv").alias("label"), bucket(F.col("qa"), F.col("qb")).alias("bucket"))
+    pairs = D.swap_numbers(D.swap_ends(src, pool)).where("replaced AND n > 0").select(F.col("node").alias("qa"), F.col("b").alias("qb"), "label", bucket(F.col("node"), F.col("b")).alias("bucket"))
+    rounded = lambda df: sorted(((r["indicator"], r["bucket"], round(r["value"] or 0, 9), round(r["std"], 8), r["n"]) for r in df.collect()), key=str)
+    return src, pool, preds, tri, pairs, rounded
+
+
+def test_panel_without_triples(spark):
+    src, pool, preds, tri, pairs, rounded = scored_case(spark, ("base", "mask_mol", "mask_kg"))
+    swaps = D.swap_sensitivity(src, pool, None, preds, bucket, "base")
+    assert rounded(D.masked_panel(pairs, preds, swaps)) == rounded(D.masked_panel(tri, preds))
