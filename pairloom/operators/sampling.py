@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from math import log1p
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import range_numbered
 from ..functions.scalars import hash32, hash_order, pair_hi, pair_lo, unit
-from ..sources.stage import bounded_broadcast, staged
+from ..sources.stage import BROADCAST_ROWS, TASK_ROWS, bounded_broadcast, staged
 from .folds import NEGATIVE_OFFSETS, TRAIN_NEGATIVE_OFFSET, numbered
 
 
@@ -28,8 +30,8 @@ def draw_tagged(spark: SparkSession, wanted: dict, pools: DataFrame, known: Data
 
     ``wanted``: tag -> (n, seed, pool of one side, pool of the other).  ``pools``: (pool, idx, node),
     idx from 0.  Draw i of a tag takes hash(seed:x:i) modulo the pool on each side; self pairs go, a
-    pair keeps its first draw, known pairs are anti-joined, and the first n stay.  All tags share one
-    plan, whose work is in proportion to the n wanted, whatever the size of pool x pool.  A tag that
+    pair keeps its first draw, known pairs are anti-joined, and the first n stay, which blocks of draws and their
+    counts tell without a sort.  All tags share one plan, whose work is in proportion to the n wanted, whatever the size of pool x pool.  A tag that
     falls short is drawn further, which changes no earlier draw; more pairs than there are, or 50
     draws a pair without enough, is an error.
     """
@@ -38,19 +40,37 @@ def draw_tagged(spark: SparkSession, wanted: dict, pools: DataFrame, known: Data
         if n > capacity(sizes.get(p, 0), sizes.get(q, 0), p == q):
             raise ValueError(f"{tag}: {n} pairs are more than the pools hold")
     most = {tag: max(50 * w[0], 1000) for tag, w in wanted.items()}
+    large = [tag for tag, w in wanted.items() if w[0] > SMALL]
+    held = known.count() if large else 0
     tries = {tag: min(3 * w[0] + 1000, most[tag]) for tag, w in wanted.items()}
-    side = lambda s, x, u: pools.select(F.col("pool").alias(f"p{s}"), F.col("idx").alias(x), F.col("node").alias(u))
+    for tag in large:
+        n, _, p, q = wanted[tag]
+        tries[tag] = min(tries[tag], likely_draws(n, sizes[p], sizes[q], p == q, held))
+    tags, codes, kind = list(wanted), {pool: c for c, pool in enumerate(sizes)}, "int" if all(isinstance(t, int) for t in wanted) else "string"
+    code = reduce(lambda rest, kv: F.when(F.col("pool") == kv[0], kv[1]).otherwise(rest), codes.items(), F.lit(None).cast("int"))
+    fit = F.broadcast if sum(sizes.values()) <= BROADCAST_ROWS else lambda df: df.hint("shuffle_hash")
+    side = lambda s, x, u: fit(pools.select(code.alias(f"p{s}"), F.col("idx").alias(x), F.col("node").alias(u)))
     taken = known.select(pair_lo("a", "b").alias("a"), pair_hi("a", "b").alias("b"))
+    block = F.shiftright("i", 12)
     while True:
         draws = None
-        for tag, (_, seed, p, q) in wanted.items():
+        for t, tag in enumerate(tags):
+            _, seed, p, q = wanted[tag]
             x, y = (F.pmod(hash32(str(seed), s, F.col("id")), F.lit(max(sizes.get(pool, 0), 1))) for s, pool in (("a", p), ("b", q)))
-            one = spark.range(tries[tag]).select(F.lit(tag).alias("tag"), F.lit(p).alias("pa"), F.lit(q).alias("pb"), F.col("id").alias("i"), x.alias("x"), y.alias("y"))
+            one = spark.range(tries[tag]).select(F.lit(t).alias("t"), F.lit(codes.get(p, -1)).alias("pa"), F.lit(codes.get(q, -1)).alias("pb"), F.col("id").alias("i"), x.alias("x"), y.alias("y"))
             draws = one if draws is None else draws.unionAll(one)
         named = draws.join(side("a", "x", "u"), ["pa", "x"]).join(side("b", "y", "v"), ["pb", "y"])
-        pairs = named.where("u <> v").groupBy("tag", pair_lo("u", "v").alias("a"), pair_hi("u", "v").alias("b")).agg(F.min("i").alias("i"))
-        placed = range_numbered(pairs.join(taken, ["a", "b"], "left_anti"), ["tag", "i"])
-        got = {r["tag"]: r for r in placed.groupBy("tag").agg(F.min("place").alias("first"), F.count("*").alias("n")).collect()}
+        # pairs move once: they are made distinct and meet the known ones in the same place
+        pairs = named.where("u <> v").select("t", pair_lo("u", "v").alias("a"), pair_hi("u", "v").alias("b"), "i")
+        tasks = max(spark.sparkContext.defaultParallelism, -(-sum(tries.values()) // TASK_ROWS))
+        pairs = pairs.repartition(tasks, "a", "b").groupBy("t", "a", "b").agg(F.min("i").alias("i"))
+        found = staged(pairs.join(taken.repartition(tasks, "a", "b"), ["a", "b"], "left_anti"), "draws")
+        # the block of draws in which the last one wanted lies, and its place there
+        asked = F.broadcast(spark.createDataFrame([(t, wanted[tag][0]) for t, tag in enumerate(tags)], "t int, asked long"))
+        blocks = found.groupBy("t", block.alias("block")).agg(F.count("*").alias("c"))
+        blocks = blocks.withColumn("upto", F.sum("c").over(W.partitionBy("t").orderBy("block"))).join(asked, "t")
+        last = F.min(F.when((F.col("asked") > 0) & (F.col("upto") >= F.col("asked")), F.struct("block", (F.col("asked") - F.col("upto") + F.col("c")).alias("place"))))
+        got = {tags[r["t"]]: r for r in blocks.groupBy("t").agg(F.sum("c").alias("n"), last.alias("last")).collect()}
         short = [tag for tag, w in wanted.items() if w[0] > (got[tag]["n"] if tag in got else 0)]
         if not short:
             break
@@ -58,10 +78,22 @@ def draw_tagged(spark: SparkSession, wanted: dict, pools: DataFrame, known: Data
             if tries[tag] >= most[tag]:
                 raise ValueError(f"{tag}: too few pairs after {tries[tag]} draws")
             tries[tag] = min(4 * tries[tag], most[tag])
-    last = [(tag, r["first"] + wanted[tag][0]) for tag, r in got.items()]
-    kind = placed.schema["tag"].dataType.simpleString()
-    ends = F.broadcast(spark.createDataFrame(last, f"tag {kind}, __end long"))
-    return placed.join(ends, "tag").where(F.col("place") < F.col("__end")).select("tag", "a", "b")
+    cuts = [(t, got[tag]["last"]["block"], got[tag]["last"]["place"]) for t, tag in enumerate(tags) if wanted[tag][0]]
+    at = found.join(F.broadcast(spark.createDataFrame(cuts, "t int, block long, place long")), "t").where(block == F.col("block"))
+    ends = at.withColumn("r", F.row_number().over(W.partitionBy("t").orderBy("i"))).where("r = place").select("t", "i").collect()
+    ends = F.broadcast(spark.createDataFrame([(r["t"], tags[r["t"]], r["i"]) for r in ends], f"t int, tag {kind}, __end long"))
+    return found.join(ends, "t").where(F.col("i") <= F.col("__end")).select("tag", "a", "b")
+
+
+def likely_draws(n: int, n_a: int, n_b: int, same: bool, held: int) -> int:
+    """Draws that very likely give n new pairs, if all ``held`` known ones lie between the pools: those expected, and a
+    fiftieth and 1,000 more.  More than this are drawn if they fall short, so the sample does not depend on it."""
+    whole = capacity(n_a, n_b, same)
+    free = whole - min(held, whole)
+    if n >= free:
+        return 3 * n + 1000
+    kept = (n_a - 1) / n_a if same else 1.0
+    return int(1.02 * -log1p(-n / free) * whole / kept) + 1000
 
 
 def draw_pairs(spark: SparkSession, pool_a: DataFrame, pool_b: DataFrame, known: DataFrame, n: int, seed: int) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions.scalars import hash_order
-from pairloom.operators import diagnostics, folds, sampling
+from pairloom.operators import diagnostics, features, folds, sampling
 from pairloom.plans.registry import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +71,33 @@ def test_classes_are_told_before_pairs_are_made(spark):
     assert "Join" not in plan(new).split("Generate")[0]  # no pair is moved for its ends
     cut = {tuple(r) for r in t.folds().select("a", "b", "split").collect() if r["split"].endswith("s2")}
     assert {tuple(r) for r in t.folds(2).select("a", "b", "split").collect()} == cut and cut
+
+
+def test_draws_are_about_the_number_wanted(spark, monkeypatch):
+    assert sampling.likely_draws(10**6, 10**6, 10**6, True, 10**6) < 1.03 * 10**6
+    pool = spark.range(300).select(F.col("id").alias("idx"), (F.col("id") * 3).alias("node"))
+    known = spark.range(299).select((F.col("id") * 3).alias("a"), (F.col("id") * 3 + 3).alias("b")).localCheckpoint()
+    wanted, pools = {"x": (400, 1, "p", "p"), "none": (0, 2, "p", "p"), "y": (90, 3, "p", "p")}, pool.withColumn("pool", F.lit("p"))
+    monkeypatch.setattr(sampling, "SMALL", 50)
+    drawn = lambda: sorted(map(tuple, sampling.draw_tagged(spark, wanted, pools, known).collect()))
+    likely = drawn()
+    for told in (lambda n, *more: 3 * n + 1000, lambda n, *more: n // 3):  # more than enough, and too few at first
+        monkeypatch.setattr(sampling, "likely_draws", told)
+        assert drawn() == likely
+    assert [sum(r[0] == tag for r in likely) for tag in wanted] == [400, 0, 90] and len(set(likely)) == 490
+    assert not {r[1:] for r in likely} & {(3 * k, 3 * k + 3) for k in range(299)}
+
+
+def test_interaction_pairs_move_once(spark):
+    rows = [(1, 2), (2, 1), (1, 2), (3, 3), (None, 5), (5, None), (4, 1)]
+    out = features.interaction_edges(spark.createDataFrame(rows, "a long, b long"), spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 6, 6)], "node long"))
+    want = {(a, b) for a, b in rows} | {(b, a) for a, b in rows} | {(6, 6)}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "Generate" in plan(out).split("Aggregate")[0]  # made distinct before they are turned round
+
+
+def test_edge_lists_hold_the_edges(spark):
+    t = Tables(spark, SF)
+    got = [(r["a"], b) for r in t.edge_lists().collect() for b in r["bs"]]
+    assert sorted(got) == sorted(map(tuple, t.edges().collect()))
