@@ -90,3 +90,15 @@ def test_first_place_that_exists(spark, tmp_path):
     assert got.endswith("b.parquet") and T.read_any(spark, got).count() == 3
     with pytest.raises(FileNotFoundError, match="a.csv"):
         T.find_one(spark, [f"{tmp_path}/a.csv"])
+
+
+def test_large_xml_is_written_compressed(spark, tmp_path):
+    import glob
+
+    from pairloom.plans import sources_scoring as SS
+    from pairloom.plans.registry import Tables
+
+    path = SS.as_xml(Tables(spark, "/root/testdata/sf0.001"))
+    assert glob.glob(f"{path}/part-*.xml.gz") and not glob.glob(f"{path}/part-*.xml")
+    xml.write_subset(spark, path, spark.createDataFrame([("P1",), ("P2",)], "drugbank_id string"), str(tmp_path / "few"), compression="gzip")
+    assert glob.glob(f"{tmp_path}/few/part-*.gz") and xml.parse(spark, str(tmp_path / "few")).drugs.count() == 2
