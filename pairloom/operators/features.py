@@ -52,8 +52,14 @@ def print_edges(prints: DataFrame, ghost: int = -1, node: str = "node", bits: st
 
 def interaction_edges(train: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
     """(src, dst) of training pairs in both directions; nodes without any point at themselves."""
-    both = train.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(train.select("b", "a")).distinct()
-    alone = nodes.select(F.col(node).alias("src")).distinct().join(both, "src", "left_anti")
+    turned = F.coalesce(F.col("b").isNull() | (F.col("b") < F.col("a")), F.lit(False))  # a null end comes first
+    # pairs are made distinct before they are turned round, so that each moves once
+    pairs = train.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
+    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    ways = F.when(F.col("a").eqNullSafe(F.col("b")), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))
+    both = pairs.select(F.explode(ways).alias("x")).select("x.*")
+    ends = both.select("src").distinct()
+    alone = nodes.select(F.col(node).alias("src")).distinct().join(ends, "src", "left_anti")
     return both.unionByName(alone.select("src", F.col("src").alias("dst")))
 
 
