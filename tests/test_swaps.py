@@ -73,3 +73,16 @@ def test_panel_without_triples(spark):
     src, pool, preds, tri, pairs, rounded = scored_case(spark, ("base", "mask_mol", "mask_kg"))
     swaps = D.swap_sensitivity(src, pool, None, preds, bucket, "base")
     assert rounded(D.masked_panel(pairs, preds, swaps)) == rounded(D.masked_panel(tri, preds))
+
+
+def test_coverage_without_triples(spark):
+    src, pool, preds, tri, _, _ = scored_case(spark, ("R0", "R1"))
+    got = D.swap_coverage(D.swap_ends(src, pool), preds).first()
+    assert tuple(got) == tuple(D.coverage(tri, preds).first()) and 0 < got["kept"] < got["total"]
+
+
+def test_channels_from_base_pairs(spark):
+    _, _, preds, tri, pairs, rounded = scored_case(spark, ("R0", "R1", "R2", "R3"))
+    assert pairs.count() < tri.count()
+    assert rounded(D.channel_deltas(pairs, preds)) == rounded(D.channel_deltas(tri, preds))
+    assert rounded(D.ksai(pairs, preds)) == rounded(D.ksai(tri, preds))
