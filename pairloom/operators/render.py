@@ -256,13 +256,21 @@ def mechanism_examples(examples: Column) -> Column:
 
 
 def prompt(method: str, model: str, block: Column, examples: Column | None = None, answer: Column | None = None) -> Column:
-    """The whole chat text: task and instruction, note, examples, constraint, block, answer."""
-    m = method_name(method)
-    note = NOTES.get(m, KG_NOTE if m in SEQUENCE_METHODS else "")
-    user = F.btrim(F.concat(F.lit(note), examples if examples is not None else F.lit(""), F.lit(CONSTRAINT), block), F.lit(" \n\t\r"))
-    msg = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    said = answer if answer is not None else F.lit("")
-    return turns(F.array(msg("system", F.lit((TASK + INSTRUCTION).strip())), msg("user", user), msg("assistant", said)), model_family(model))
+    """The whole chat text: task and instruction, note, examples, constraint, block, answer; a null user or answer text has no turn.
+
+    What ``turns`` gives for these three roles, written out: as they are known, all constants are joined beforehand, and of the
+    user's text, trimmed as a whole, only the ends that are columns are trimmed."""
+    m, family = method_name(method), model_family(model)
+    note, system, blank = NOTES.get(m, KG_NOTE if m in SEQUENCE_METHODS else ""), (TASK + INSTRUCTION).strip(), " \n\t\r"
+    asked = CONSTRAINT.rstrip(blank)
+    front = F.lit((note + asked).lstrip(blank)) if examples is None else F.ltrim(F.concat(F.lit(note), examples, F.lit(asked)), F.lit(blank))
+    end = F.rtrim(block, F.lit(blank))
+    rest = F.when(end == "", F.lit("")).otherwise(F.concat(F.lit(CONSTRAINT[len(asked):]), end))
+    parts = CHAT[family]
+    turn = lambda role, lead, *text: F.coalesce(F.concat(F.lit(parts[role][0] + lead), *text, F.lit(parts[role][1])), F.lit(""))
+    user = turn("user", f"{system}\n\n", front, rest) if family == "gemma" else turn("user", "", front, rest)
+    first = "" if family == "gemma" else system.join(parts["system"])
+    return F.concat(F.lit(first), user, turn("assistant", "", answer if answer is not None else F.lit("")))
 
 
 def answer_of(label: Column) -> Column:

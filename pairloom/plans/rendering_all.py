@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import render as R
@@ -12,6 +13,8 @@ METHODS = (
     "zero_shot", "few_shot_2hop", "few_shot_similarity_smiles", "desc_only", "one_hop_subgraph_single", "one_hop_subgraph_sequence_desc", *R.SEQUENCE_METHODS,
 )
 KINDS = GR.KINDS
+#: The first method with the same block and note: a sequence method is its three settings.
+SAME = {m: next(o for o in METHODS if (R.SEQUENCE_METHODS.get(m, m), R.NOTES.get(m)) == (R.SEQUENCE_METHODS.get(o, o), R.NOTES.get(o))) for m in METHODS}
 
 
 def sql_text(text: str) -> str:
@@ -32,6 +35,12 @@ def block_of(method: str):
     )
 
 
+def listed(rows: DataFrame, node: str, digests: dict[tuple[str, ...], Column], *names: str) -> DataFrame:
+    """A row for each entry: its words, then its column, as ``names``."""
+    entry = lambda words, digest: F.struct(*[F.lit(w).alias(n) for w, n in zip(words, names)], digest.alias(names[-1]))
+    return rows.select(node, F.explode(F.array(*[entry(*x) for x in digests.items()])).alias("__x")).select(node, "__x.*")
+
+
 def _line(kind: str, names: str) -> str:
     said = f"array_to_string({names}, ', ')"
     return f"CASE WHEN {said} = 'unknown' THEN 'whose {kind} is unknown' ELSE 'whose {kind}s are ' || {said} END"
@@ -79,8 +88,8 @@ SIDES_SQL = with_parts("kg") + f", {GR.CTX_SQL}, sd AS MATERIALIZED (SELECT cx.*
 
 @query("r06_all_pair_blocks", SIDES_SQL + " " + " UNION ALL ".join(f"SELECT node, '{m}' AS method, md5({block_sql(m)}) AS block_md5 FROM sd" for m in METHODS))
 def r06_all(t: Tables):
-    blocks = F.array(*[F.struct(F.lit(m).alias("method"), F.md5(block_of(m).cast("binary")).alias("block_md5")) for m in METHODS])
-    return sides(t).select("node", F.explode(blocks).alias("x")).select("node", "x.*")
+    made = sides(t).select("node", *[F.md5(block_of(m).cast("binary")).alias(m) for m in sorted({*SAME.values()})])
+    return listed(made, "node", {(m,): F.col(SAME[m]) for m in METHODS}, "method", "block_md5")
 
 
 def prompt_sql(method: str, family: str, block: str) -> str:
@@ -98,12 +107,12 @@ def prompt_sql(method: str, family: str, block: str) -> str:
     + " UNION ALL ".join(f"SELECT node, '{m}' AS method, '{f}' AS family, md5({prompt_sql(m, f, f'b{i}')}) AS prompt_md5 FROM bl" for i, m in enumerate(METHODS) for f in R.FAMILIES),
 )
 def r10_all(t: Tables):
-    out = sides(t).select("node", *[block_of(m).alias(f"b{i}") for i, m in enumerate(METHODS)])
-    texts = [
-        F.struct(F.lit(m).alias("method"), F.lit(f).alias("family"), F.md5(R.prompt(m, f, F.col(f"b{i}"), answer=R.answer_of(F.lit(1))).cast("binary")).alias("prompt_md5"))
-        for i, m in enumerate(METHODS) for f in R.FAMILIES
-    ]
-    return out.select("node", F.explode(F.array(*texts)).alias("x")).select("node", "x.*")
+    """Each text is made and digested once, for all methods that it is the text of."""
+    first = sorted({*SAME.values()})
+    blocks = sides(t).select("node", *[block_of(m).alias(m) for m in first])
+    text = lambda m, f: R.prompt(m, f, F.col(m), answer=R.answer_of(F.lit(1)))
+    made = blocks.select("node", *[F.md5(text(m, f).cast("binary")).alias(f"{f}:{m}") for m in first for f in R.FAMILIES])
+    return listed(made, "node", {(m, f): F.col(f"{f}:{SAME[m]}") for m in METHODS for f in R.FAMILIES}, "method", "family", "prompt_md5")
 
 
 def chat_sql(template: str) -> str:

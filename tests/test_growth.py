@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions.scalars import hash_order
-from pairloom.operators import diagnostics, features, folds, sampling
+from pairloom.operators import diagnostics, features, folds, render, sampling
+from pairloom.plans import rendering_all
 from pairloom.plans.registry import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,28 @@ def test_edge_lists_hold_the_edges(spark):
     t = Tables(spark, SF)
     got = [(r["a"], b) for r in t.edge_lists().collect() for b in r["bs"]]
     assert sorted(got) == sorted(map(tuple, t.edges().collect()))
+
+
+def test_prompts_are_joined_from_constants(spark):
+    ends, blank = ("x", " x \n", "", " \n", "### Answer: ", None), F.lit(" \n\t\r")
+    rows = spark.createDataFrame([(b, e, a) for b in ends for e in (" \n", "e", None) for a in (" Yes", "", None)], "block string, examples string, answer string")
+    msg = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    for m in ("zero_shot", "ohs_full", "none_known"):
+        note = render.NOTES.get(m, render.KG_NOTE if m in render.SEQUENCE_METHODS else "")
+        for family in render.FAMILIES:
+            for examples in (None, F.col("examples")):
+                user = F.btrim(F.concat(F.lit(note), F.lit("") if examples is None else examples, F.lit(render.CONSTRAINT), "block"), blank)
+                want = render.turns(F.array(msg("system", F.lit((render.TASK + render.INSTRUCTION).strip())), msg("user", user), msg("assistant", F.col("answer"))), family)
+                got = rows.select(render.prompt(m, family, F.col("block"), examples, F.col("answer")).alias("got"), want.alias("want"))
+                assert got.where("NOT got <=> want").count() == 0
+    assert "transform" not in plan(rows.select(render.prompt("zero_shot", "gemma", F.col("block")).alias("x")))
+
+
+def test_equal_prompts_are_digested_once(spark):
+    made = rendering_all.r10_all(Tables(spark, SF))
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)  # or the plan is cut
+    text = plan(made)
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert text.count("md5(") == 11 * len(render.FAMILIES)  # sixteen methods have eleven texts
+    methods = {m for m, f, n in (tuple(r) for r in made.groupBy("method", "family").count().collect())}
+    assert methods == set(rendering_all.METHODS)
