@@ -73,11 +73,11 @@ def parse(spark: SparkSession, path: str, row: str = "drug") -> RawTables:
     return RawTables(drugs, edges, *[entity(k) for k in ENTITY_KINDS], pathways)
 
 
-def write_subset(spark: SparkSession, path: str, keep: DataFrame, out: str, row: str = "drug", root: str = "drugbank", compression: str = "none") -> None:
+def write_subset(spark: SparkSession, path: str, keep: DataFrame, out: str, row: str = "drug", root: str = "drugbank", compression: str = "none", indent: str = "    ") -> None:
     """An XML with the kept records, whose interactions lead to kept partners alone."""
     r = read_records(spark, path, row).join(keep.select("drugbank_id").distinct(), "drugbank_id", "left_semi")
     pairs = r.select("drugbank_id", F.posexplode("drug-interactions.drug-interaction").alias("pos", "x"))
     kept = pairs.withColumn("partner", F.trim(F.col("x.drugbank-id"))).join(keep.select(F.col("drugbank_id").alias("partner")).distinct(), "partner", "left_semi")
     lists = kept.groupBy("drugbank_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("list"))
     j = r.join(lists, "drugbank_id", "left").withColumn("drug-interactions", F.struct(F.col("list").alias("drug-interaction")))
-    j.drop("list", "doc_ord", "drugbank_id").write.format("xml").option("rowTag", row).option("rootTag", root).option("attributePrefix", "_").option("compression", compression).mode("overwrite").save(out)
+    j.drop("list", "doc_ord", "drugbank_id").write.format("xml").option("rowTag", row).option("rootTag", root).option("attributePrefix", "_").option("compression", compression).option("indent", indent).mode("overwrite").save(out)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.scalars import hash_order
 from pairloom.operators import diagnostics, features, folds, render, sampling
-from pairloom.plans import registry, rendering_all
+from pairloom.plans import registry, rendering_all, sources_scoring
 from pairloom.plans.registry import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -136,3 +136,13 @@ def test_g2_alone_meets_the_rows_of_its_pairs(spark, monkeypatch):
     two = sorted(map(tuple, t.classed_edges(groups, 2).collect()))
     assert {r["g"] for r in sides[0].collect()} == {1}  # nodes of G1 are neither counted nor sent to make no pair
     assert two == sorted(x for x in map(tuple, t.classed_edges(groups).collect()) if x[2] == 2)
+
+
+def test_xml_is_written_without_indents(spark, monkeypatch):
+    paths = []
+    fresh = sources_scoring.fresh
+    monkeypatch.setattr(sources_scoring, "fresh", lambda t, tag: paths.append(fresh(t, tag)) or paths[-1])
+    rows = sources_scoring.s17(Tables(spark, SF))
+    assert rows.count() > 0 and len(paths) == 2
+    for path in paths:
+        assert spark.read.text(path).where("value LIKE ' %'").count() == 0  # unpacked
