@@ -6,12 +6,15 @@ node's list of that type (see :func:`with_positions`), counted before any duplic
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import PD_KEYWORDS, PK_KEYWORDS, first_by_keyword, keyword_hits, keyword_label
 from ..sources.stage import bounded_broadcast, staged
+from .grid import met_in_cells
 from .kg import numbered_entities
 
 # Fixed values -------------------------------------------------------------------------------
@@ -129,43 +132,59 @@ def _action(c: str) -> Column:
     return F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
 
 
-def shared_candidates(pairs: DataFrame, bindings: DataFrame, types: Column, a: str = "a", b: str = "b") -> DataFrame:
-    """Every (pair, binding of a, binding of b) on one entity of one of the pair's types, with each end's rank
-    (its first place of the entity) and a's name at it.
+def shared_candidates(
+    pairs: DataFrame, bindings: DataFrame, types: Column, kinds: tuple[str, ...], roles: tuple, a: str = "a", b: str = "b", made: dict[str, Column] | None = None, distinct: bool = False
+) -> DataFrame:
+    """Every (pair, binding of a, binding of b) on one entity that both hold in one of ``roles`` (actions of a and b), of the first of the
+    pair's types that has any, with each end's rank (its first place of the entity) and a's name at it.  The bindings of such
+    an entity are all there, in whatever role.
 
-    A pair meets the codes of its ends' entities as arrays, so that it is shuffled as one row for each of its types;
-    only entities that both hold meet the bindings themselves, one row for each end and entity.
+    ``types`` are among ``kinds``.  Pairs move once, by themselves, to meet an array of codes of each end: a holds what b's entities and
+    actions must be.  Only pairs that share any go on to the bindings themselves.  ``made``: columns that follow from
+    the pair's others and are made then.  ``distinct``: equal pairs count once.
     """
-    told = bounded_broadcast(numbered_entities(bindings))
+    told = bounded_broadcast(numbered_entities(bindings.where(F.col("edge_type").isin(*kinds))))
     binding = F.struct("entity_name", _action("action").alias("action"), "pos")
     held = bindings.join(told, ["edge_type", "entity_id"]).groupBy("node", "edge_type", "code").agg(
         F.min("pos").alias("rank"), F.min_by("entity_name", "pos").alias("first_name"), F.collect_list(binding).alias("rows")
     )
     held = staged(held.where("node IS NOT NULL"), "held")
-    codes = staged(held.groupBy("node", "edge_type").agg(F.collect_list("code").alias("codes")), "codes")
-    one = pairs.select("*", F.posexplode(types).alias("prio", "edge_type"))
-    for s, end in (("a", a), ("b", b)):
-        one = one.join(codes.select(F.col("node").alias(end), "edge_type", F.col("codes").alias(f"__{s}")), [end, "edge_type"])
-    met = one.withColumn("code", F.explode(F.array_intersect("__a", "__b"))).drop("__a", "__b")
+    theirs = sorted({y for _, y in roles})
+    key = lambda y: F.col("code").cast("long") * len(theirs) + theirs.index(y)
+    acts = F.col("rows.action")
+    asks = [F.when(F.array_contains(acts, x), F.array(*[key(y) for z, y in roles if z == x])) for x in sorted({x for x, _ in roles})]
+    has = F.array_compact(F.array(*[F.when(F.array_contains(acts, y), key(y)) for y in theirs]))
+    both = held.select("node", F.flatten(F.array_compact(F.array(*asks))).alias("asks"), has.alias("has")).groupBy("node")
+    both = staged(both.agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("asks", "has")]), "codes")
+    side = lambda end, c: both.where(F.size(c) > 0).select(F.col("node").alias(end), F.col(c).alias(f"__{c}"))
+    met = met_in_cells(pairs, side(a, "asks"), side(b, "has"), a, b, "inner", distinct)
+    hits = F.array_distinct(F.transform(F.array_intersect("__asks", "__has"), lambda x: F.floor(x / len(theirs)).cast("int")))
+    met = met.where(F.arrays_overlap("__asks", "__has")).withColumn("__hits", hits).drop("__asks", "__has").withColumns(made or {})
+    # codes follow the types, so each has a range of them
+    ranges = [tuple(r) for r in told.groupBy("edge_type").agg(F.min("code"), F.max("code")).collect()]
+    within = lambda x, k: reduce(lambda p, r: p | ((k == r[0]) & x.between(r[1], r[2])), ranges, F.lit(False))
+    of_type = F.transform(types, lambda k: F.struct(k.alias("edge_type"), F.filter("__hits", lambda x: within(x, k)).alias("codes")))
+    met = met.withColumn("__first", F.get(F.filter(of_type, lambda x: F.size(x["codes"]) > 0), F.lit(0))).where("__first IS NOT NULL").drop("__hits")
+    met = met.withColumn("edge_type", F.col("__first.edge_type")).withColumn("code", F.explode("__first.codes")).drop("__first").hint("merge")  # more than their estimate
     for s, end in (("a", a), ("b", b)):
-        side = held.select(F.col("node").alias(end), "code", F.col("rank").alias(f"rank_{s}"), F.col("first_name").alias(f"first_{s}"), F.col("rows").alias(f"__{s}"))
-        met = met.join(side if s == "a" else side.drop("first_b"), [end, "code"])
+        own = held.select(F.col("node").alias(end), "code", F.col("rank").alias(f"rank_{s}"), F.col("first_name").alias(f"first_{s}"), F.col("rows").alias(f"__{s}"))
+        met = met.join(own if s == "a" else own.drop("first_b"), [end, "code"])
     met = met.withColumn("__x", F.explode("__a")).drop("__a").withColumn("__y", F.explode("__b")).drop("__b")
     sides = {f"{out}_{s}": F.col(f"{x}.{c}") for s, x in (("a", "__x"), ("b", "__y")) for out, c in (("name", "entity_name"), ("act", "action"), ("pos", "pos"))}
     return met.withColumns(sides).drop("__x", "__y").join(told.drop("edge_type"), "code").drop("code")
 
 
-def pk_mediators(pairs: DataFrame, bindings: DataFrame, text: str = "ddi_type", a: str = "a", b: str = "b") -> DataFrame:
+def pk_mediators(pairs: DataFrame, bindings: DataFrame, text: str = "ddi_type", a: str = "a", b: str = "b", made: Column | None = None, distinct: bool = False) -> DataFrame:
     """The best PK mediator of each pair: first entity type with a candidate, then lowest rank sum,
-    name, id and places.  ``n_candidates`` counts the others."""
-    c = shared_candidates(pairs, bindings, pk_types(F.col(text)), a, b)
+    name, id and places.  ``n_candidates`` counts the others.  ``made``: ``text``, from the pair's other columns."""
+    kinds = tuple(dict.fromkeys((*(k for _, ks in PK_SUBTYPES for k in ks), *PK_DEFAULT)))
+    c = shared_candidates(pairs, bindings, pk_types(F.col(text)), kinds, PK_ROLE_PAIRS, a, b, made if made is None else {text: made}, distinct)
     roles = [(F.col("act_a") == x) & (F.col("act_b") == y) for x, y in PK_ROLE_PAIRS]
     ok = roles[0]
     for r in roles[1:]:
         ok = ok | r
     c = c.where(ok)
     pair = W.partitionBy(a, b)
-    c = c.withColumn("__first", F.min("prio").over(pair)).where("prio = __first").drop("__first")
     c = c.withColumn("rank_sum", F.col("rank_a") + F.col("rank_b"))
     w = pair.orderBy("rank_sum", "name_a", "entity_id", "pos_a", "pos_b")
     best = c.withColumn("__r", F.row_number().over(w)).withColumn("n_candidates", F.count("*").over(pair) - 1).where("__r = 1")
@@ -180,10 +199,10 @@ def pd_confidence(a: Column, b: Column) -> Column:
     return F.when(both.isin(*["|".join(p) for p in PD_HIGH]), "high").when(both.isin(*["|".join(p) for p in PD_LOW]), "low")
 
 
-def pd_mediators(pairs: DataFrame, bindings: DataFrame, text: str = "ddi_type", a: str = "a", b: str = "b", kind: str = "target") -> DataFrame:
+def pd_mediators(pairs: DataFrame, bindings: DataFrame, text: str = "ddi_type", a: str = "a", b: str = "b", kind: str = "target", made: Column | None = None, distinct: bool = False) -> DataFrame:
     """The best PD mediator: per entity the first high pair of actions, else the first low one; then
-    high first, relevance of the target to the text, rank sum, name, id."""
-    c = shared_candidates(pairs, bindings, F.array(F.lit(kind)), a, b)
+    high first, relevance of the target to the text, rank sum, name, id.  ``made``: ``text``, from the pair's other columns."""
+    c = shared_candidates(pairs, bindings, F.array(F.lit(kind)), (kind,), (*PD_HIGH, *PD_LOW), a, b, made if made is None else {text: made}, distinct)
     c = c.withColumn("confidence", pd_confidence(F.col("act_a"), F.col("act_b"))).where("confidence IS NOT NULL").withColumn("__low", (F.col("confidence") != "high").cast("int"))
     per = W.partitionBy(a, b, "entity_id").orderBy("__low", "pos_a", "pos_b")
     c = c.withColumn("__e", F.row_number().over(per)).where("__e = 1")

@@ -123,12 +123,12 @@ s AS (SELECT f.*, x.rank + y.rank AS rank_sum FROM f JOIN r x ON x.node = f.a AN
 SELECT a, b, ddi_type, entity_id AS key_entity_id, name_a AS key_entity_name, edge_type AS key_entity_type, act_a AS action_a, act_b AS action_b,
 CASE WHEN act_b = 'substrate' THEN act_a || '-substrate' WHEN act_a = 'substrate' THEN act_b || '-substrate' ELSE act_a || '-' || act_b END AS match_pattern, CAST(rank_sum AS INTEGER) AS rank_sum, n_candidates FROM b WHERE rn = 1""")
 def j10(t: Tables):
-    return A.pk_mediators(t.typed_edges(), t.kg())
+    return A.pk_mediators(t.meetings(), t.kg(), made=t.type_text(), distinct=True)
 
 
 @query("w03_priority_short_circuit", PK_SQL + "z AS (SELECT 1) SELECT a, b, min(edge_type) AS edge_type, count(*) AS n FROM s GROUP BY a, b")
 def w03(t: Tables):
-    m = A.pk_mediators(t.typed_edges(), t.kg())
+    m = A.pk_mediators(t.meetings(), t.kg(), made=t.type_text(), distinct=True)
     return m.select("a", "b", F.col("key_entity_type").alias("edge_type"), (F.col("n_candidates") + 1).alias("n"))
 
 
@@ -151,7 +151,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY confidence <> 'hig
 SELECT a, b, ddi_type, entity_id AS key_entity_id, first_name AS key_entity_name, 'target' AS key_entity_type, act_a AS action_a, act_b AS action_b, confidence,
 CASE WHEN act_a = act_b OR confidence = 'high' THEN 'convergent' ELSE 'opposing' END AS chain_type, relevance, CAST(rank_sum AS INTEGER) AS rank_sum, n_candidates FROM b WHERE rn = 1""")
 def j11(t: Tables):
-    return A.pd_mediators(t.typed_edges(), t.kg(PD_ACTIONS))
+    return A.pd_mediators(t.meetings(), t.kg(PD_ACTIONS), made=t.type_text(), distinct=True)
 
 
 @query("w04_first_occurrence_rank", with_parts("kg") + " SELECT node, edge_type, entity_id, CAST(min(pos) AS INTEGER) AS rank FROM kg GROUP BY ALL")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import grid, retrieval
+from pairloom.operators import annotate, grid, retrieval
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -40,3 +40,13 @@ def test_contexts_come_back_as_they_were(spark):
         for i, t in enumerate(("k", "m")):
             want = [["unknown"] if held[r[s]][i] is None else held[r[s]][i] for s in ("a", "b")]
             assert (r["ctx"][i]["type"], [r["ctx"][i]["A"], r["ctx"][i]["B"]]) == (t, want)
+
+
+def test_mediators_of_pairs_as_often_as_they_meet(spark):
+    """Repeated pairs count once, the text is made late, and no pair without a shared entity in a role goes on to the bindings."""
+    rows = [("u", "enzyme", "1", "A", "Inhibitor ", 0), ("v", "enzyme", "1", "C", "substrate", 1), ("w", "enzyme", "1", "C", "inducer", 0), ("u", "transporter", "9", "T", "inhibitor", 0), ("w", "transporter", "9", "T", "inhibitor", 2)]
+    bound = spark.createDataFrame(rows, "node string, edge_type string, entity_id string, entity_name string, action string, pos int")
+    pairs = spark.createDataFrame([("u", "v"), ("u", "v"), ("u", "w"), ("u", "w"), ("u", "x")], "a string, b string")
+    out = annotate.pk_mediators(pairs, bound, made=F.lit("serum concentration"), distinct=True)
+    got = sorted((r["a"], r["b"], r["key_entity_id"], r["match_pattern"], r["rank_sum"], r["n_candidates"], r["ddi_type"]) for r in out.collect())
+    assert got == [("u", "v", "1", "inhibitor-substrate", 1, 0, "serum concentration"), ("u", "w", "9", "inhibitor-inhibitor", 2, 0, "serum concentration")]
